@@ -3,9 +3,8 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from quern.llm import best_fit_packing, exact_dedup, simhash_dedup
+from quern.llm import best_fit_packing, exact_dedup, language_id, simhash_dedup, source_mixing
 from quern.sources.tables import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -32,13 +31,59 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.packed_sequences(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def _weights_sql(level: str) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in source_mixing.WEIGHTS[level].items())
+    return f"CASE {level} {cases} ELSE {source_mixing.OTHER} END"
+
+
+def _level_sql(level: str, parents: list[str], before: str) -> str:
+    """One level of the tree: the siblings' water level and the nodes' allowances."""
+    path, family = ", ".join([*parents, level]), f"PARTITION BY {', '.join(parents)}" if parents else ""
+    order = f"{family} ORDER BY capacity / weight, {level}"
+    above = f"JOIN {before} USING ({', '.join(parents)})" if parents else "CROSS JOIN total"
+    return f"""
+{level}_nodes AS (SELECT {path}, sum(tokens)::BIGINT * 2 AS capacity, {_weights_sql(level)} AS weight FROM supply GROUP BY {path}),
+{level}_water AS (SELECT {path}, capacity, weight, (budget - coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / (sum(weight) OVER ({family}) - coalesce(sum(weight) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS water FROM {level}_nodes {above}),
+{level}_line AS (SELECT *, max(CASE WHEN water <= capacity / weight THEN water END) OVER ({family}) AS line FROM {level}_water),
+{level}_given AS (SELECT {path}, greatest(0, coalesce(least(capacity, floor(line * weight)::BIGINT), capacity)) AS budget FROM {level}_line)"""
+
+
+OP5 = f"""
+WITH counted AS (
+  SELECT doc_id, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source, try_cast(nullif(regexp_extract(source, '([0-9]{{1,9}})$', 1), '') AS INTEGER) AS n,
+    CASE WHEN n < 10 THEN 'web' WHEN n < 15 THEN 'books' WHEN n >= 15 THEN 'code' ELSE 'unknown' END AS domain,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens FROM documents),
+supply AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens FROM counted GROUP BY ALL),
+total AS (SELECT floor(sum(tokens)::BIGINT * 0.5::DOUBLE)::BIGINT AS budget FROM supply),
+{_level_sql("domain", [], "")}, {_level_sql("lang", ["domain"], "domain_given")}, {_level_sql("source", ["domain", "lang"], "lang_given")},
+plan AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN floor(budget / tokens)::BIGINT ELSE 0 END AS whole, budget - whole * tokens AS rest FROM supply JOIN source_given USING (domain, lang, source)),
+placed AS (SELECT doc_id, domain, lang, source, tokens, whole, rest, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('11:' || whole || ':' || coalesce(doc_id::VARCHAR, ''))) AS upto FROM counted JOIN plan USING (domain, lang, source)),
+taken AS (SELECT *, (whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM placed)
+SELECT doc_id, domain, lang, source, tokens::BIGINT AS n_tokens, unnest(range(copies)) AS epoch FROM taken WHERE copies > 0
+"""
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_best_fit_packing, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op4_best_fit_packing, op5_source_mixing, op9_language_id, op10_simhash_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1}
+    return {"op1_exact_dedup": OP1, "op5_source_mixing": OP5}
