@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import best_fit_packing, exact_dedup, language_id, simhash_dedup, source_mixing
+from quern.llm import arc_to_warc, best_fit_packing, exact_dedup, language_id, simhash_dedup, source_mixing
 from quern.sources.tables import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -67,6 +67,20 @@ SELECT doc_id, domain, lang, source, tokens::BIGINT AS n_tokens, unnest(range(co
 """
 
 
+def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc_to_warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (SELECT *, list_aggregate(list_transform(range(1, 41), lambda i: lpad(bin(strpos('0123456789abcdef', substr(hex, i, 1)) - 1), 4, '0')), 'string_agg', '') AS bits, min(page_id) OVER (PARTITION BY html) AS least FROM p)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', list_sum(list_transform(range(0, 5), lambda j: (16 >> j) * substr(bits, (5 * i + j + 1)::BIGINT, 1)::INTEGER))::BIGINT + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to
+FROM b
+"""
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
@@ -82,8 +96,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_best_fit_packing, op5_source_mixing, op9_language_id, op10_simhash_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_exact_dedup, op4_best_fit_packing, op5_source_mixing, op8_arc_to_warc, op9_language_id, op10_simhash_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op5_source_mixing": OP5}
+    return {"op1_exact_dedup": OP1, "op5_source_mixing": OP5, "op8_arc_to_warc": OP8}
