@@ -6,7 +6,6 @@ anomalous. The threshold on the anomaly score is calibrated from labelled
 rows: the lowest that keeps a stated share of the good ones.
 """
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,11 +19,12 @@ from quern.plans.staging import settle
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
-LETTERS = re.compile(rb"[A-Za-z\x80-\xff]+")
+#: What is no ASCII punctuation.
+OTHERS = bytes(b for b in range(256) if b >= 0x80 or chr(b).isalnum())
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-MORE = ["n_upper", "n_marks", "n_digits", "n_lines", "n_distinct_words"]
+MORE = ["n_upper", "n_marks"]
 #: Shares that the forest sees, each of two counts.
-RATIOS = [("word_chars", "n_words"), ("n_symbols", "n_words"), ("n_dup_lines", "n_lines"), ("n_repeat_words", "n_words"), ("n_upper", "word_chars"), ("n_marks", "n_words"), ("n_digits", "word_chars")]
+RATIOS = [("word_chars", "n_words"), ("n_symbols", "n_words"), ("n_upper", "word_chars"), ("n_marks", "n_words")]
 LEAST_WORDS, MOST_REPEATED = 50, 50
 TREES, SUBSAMPLE = 200, 256
 #: Rows of which the subsamples are drawn, at most.
@@ -55,19 +55,17 @@ def statistics(text: str | None) -> list[int]:
     names: dict[bytes, int] = {}
     ids = np.array([names.setdefault(w, len(names)) for w in words], np.int64)
     upper = len(solid) - len(solid.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    digits = len(solid) - len(solid.translate(None, b"0123456789"))
     symbols = len(solid) - len(solid.translate(None, SYMBOLS))
     tails = len(solid.translate(None, bytes(range(0x80, 0xC0))))
-    marks = len(LETTERS.sub(b"", solid)) - digits
-    return [len(words), tails, symbols, len(lines) - len(set(lines)), repeated_words(ids), upper, marks, digits, len(lines), len(names)]
+    marks = len(solid.translate(None, OTHERS))
+    return [len(words), tails, symbols, len(lines) - len(set(lines)), repeated_words(ids), upper, marks]
 
 
 def features(counts: np.ndarray) -> np.ndarray:
     """Rows of COUNTS + MORE as the forest sees them."""
     at = {c: i for i, c in enumerate([*COUNTS, *MORE])}
     c = counts.astype(np.float64)
-    cols = [c[:, at[a]] / np.maximum(1, c[:, at[b]]) for a, b in RATIOS]
-    return np.column_stack([*cols, np.log1p(c[:, at["n_words"]])])
+    return np.column_stack([c[:, at[a]] / np.maximum(1, c[:, at[b]]) for a, b in RATIOS])
 
 
 def expected_path(n: int) -> float:

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import arc_to_warc, best_fit_packing, exact_dedup, language_id, simhash_dedup, source_mixing
+from quern.llm import arc_to_warc, best_fit_packing, exact_dedup, language_id, quality_classifier, quality_rules, simhash_dedup, source_mixing
 from quern.sources.tables import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -27,6 +27,14 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(content) AS
 """
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.packed_sequences(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -96,7 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_best_fit_packing, op5_source_mixing, op8_arc_to_warc, op9_language_id, op10_simhash_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality_classifier, op3_quality_rules, op4_best_fit_packing, op5_source_mixing, op8_arc_to_warc, op9_language_id, op10_simhash_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
