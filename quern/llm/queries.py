@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import arc_to_warc, best_fit_packing, exact_dedup, language_id, quality_classifier, quality_rules, secret_scan, simhash_dedup, source_mixing
+from quern.llm import arc_to_warc, best_fit_packing, exact_dedup, language_id, quality_classifier, quality_rules, secret_scan, simhash_dedup, source_mixing, suffix_dedup
 from quern.sources.tables import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -79,6 +79,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arc_to_warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -108,7 +112,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_quality_classifier, op3_quality_rules, op4_best_fit_packing, op5_source_mixing, op6_secret_scan, op8_arc_to_warc, op9_language_id, op10_simhash_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality_classifier, op3_quality_rules, op4_best_fit_packing, op5_source_mixing, op6_secret_scan, op7_suffix_dedup, op8_arc_to_warc, op9_language_id, op10_simhash_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
