@@ -1,9 +1,18 @@
 """All queries of the relational part, by inventory id, and their DuckDB equivalents."""
 
+from importlib import import_module
+
+from quern.plans.registry import ORACLES, QUERIES
+
+FAMILIES = ["bipartite", "aggregates", "joins"]
+
+for family in FAMILIES:
+    import_module(f"quern.queries.{family}")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
