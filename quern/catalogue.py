@@ -4,7 +4,7 @@ from importlib import import_module
 
 from quern.plans.registry import ORACLES, QUERIES
 
-FAMILIES = ["bipartite", "aggregates", "joins"]
+FAMILIES = ["bipartite", "aggregates", "joins", "orders", "sets"]
 
 for family in FAMILIES:
     import_module(f"quern.queries.{family}")
