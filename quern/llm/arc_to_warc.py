@@ -5,10 +5,12 @@ and whose last field declares the length, and that many bytes of content. The
 converter parses it and synthesises what WARC asks for beyond it: a record
 identifier, an ISO timestamp, a record type and digests. WARC files are
 written by Spark's text writer, with the record separator as line end, so any
-store that Spark knows will do, and are read back by declared lengths.
+store that Spark knows will do, as gzip files, and are read back by declared
+lengths.
 """
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -158,7 +160,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for archive in batch.column(0):
             out = []
-            for headers, block in warc_records(archive.as_buffer().to_pybytes()):
+            for headers, block in warc_records(gzip.decompress(archive.as_buffer())):
                 http, payload = http_parts(block)
                 page, least = http.get(PAGE_HEADER.lower(), b""), headers.get(REFERS_HEADER)
                 digest, kind = headers["WARC-Payload-Digest"].removeprefix("sha1:"), headers["WARC-Type"]
@@ -170,7 +172,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, version: int = 2, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Convert each page's legacy record and write WARC files below ``path``.
+    """Convert each page's legacy record and write gzip WARC files below ``path``.
 
     Of pages with equal payloads of at least ``min_bytes``, told by SHA-256
     and length, that with the smallest id is the response and others revisit
@@ -187,7 +189,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, version: int = 2
     groups = by_salt.groupBy("sha").agg(F.min("least").alias("least"), F.min_by("least_url", F.struct("least", "least_url")).alias("least_url"), salt_bits("salt").alias("salts"))
     links = narrow.join(per_salt(groups, "salts"), ["sha", "salt"]).where("page <> least").select("page", "sha", "least", "least_url").distinct()
     linked = whole.join(links, ["page", "sha"], "left").select("page", "url", "html", "least", "least_url")
-    linked.mapInArrow(_converter(version), "value string").write.option("maxRecordsPerFile", FILE_RECORDS).text(path, lineSep=SEPARATOR)
+    linked.mapInArrow(_converter(version), "value string").write.option("maxRecordsPerFile", FILE_RECORDS).text(path, lineSep=SEPARATOR, compression="gzip")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
