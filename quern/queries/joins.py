@@ -68,7 +68,7 @@ def c09_order_insensitive_pairs(spark, d):
     return flows.groupBy(F.least("s", "c").alias("a"), F.greatest("s", "c").alias("b")).agg(F.count("*").alias("directions"))
 
 
-BOXES = """boxes AS (SELECT (r * 8 + c)::INTEGER AS code, -170.0 + 42.5 * c AS west, -170.0 + 42.5 * c + 45.0 AS east, -80.0 + 20.0 * r AS south, -80.0 + 20.0 * r + 20.0 AS north
+BOXES = """boxes AS (SELECT (r * 8 + c)::INTEGER AS code, -170 + 42.5::DOUBLE * c AS west, -170 + 42.5::DOUBLE * c + 45 AS east, -80 + 20.0::DOUBLE * r AS south, -80 + 20.0::DOUBLE * r + 20 AS north
   FROM (SELECT unnest(range(8)) AS r), (SELECT unnest(range(7)) AS c))"""
 
 
@@ -231,7 +231,7 @@ def c30_overlap_semi_join(spark, d):
     return edges(spark, d).join(there, "resource", "left_semi").select("consumer").distinct()
 
 
-@query(f"""WITH {BOXES}, squares AS (SELECT s::INTEGER AS square, -180.0 + 15.0 * (s % 24) AS w, -165.0 + 15.0 * (s % 24) AS e, -90.0 + 15.0 * (s // 24) AS so, -75.0 + 15.0 * (s // 24) AS no FROM (SELECT unnest(range(288)) AS s)),
+@query(f"""WITH {BOXES}, squares AS (SELECT s::INTEGER AS square, -180 + 15.0::DOUBLE * (s % 24) AS w, -165 + 15.0::DOUBLE * (s % 24) AS e, -90 + 15.0::DOUBLE * (s // 24) AS so, -75 + 15.0::DOUBLE * (s // 24) AS no FROM (SELECT unnest(range(288)) AS s)),
 o AS (SELECT square, code, (least(e, east) - greatest(w, west)) * (least(no, north) - greatest(so, south)) AS area FROM squares JOIN boxes ON least(e, east) > greatest(w, west) AND least(no, north) > greatest(so, south))
 SELECT square, max_by(code, (area, -code)) AS dominant, round(max(area), 6) AS largest, round(sum(area), 6) AS total, max(area) >= 112.5 AS supported FROM o GROUP BY 1""")
 def c31_overlay_areas(spark, d):
