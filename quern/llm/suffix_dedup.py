@@ -165,9 +165,13 @@ def _split(keyed: DataFrame, ranges: DataFrame, stride: int) -> DataFrame:
 
 
 def _doubled(rows: DataFrame) -> DataFrame:
-    """Rows whose rank is not unique, round by round, as the rank grows."""
+    """Rows whose rank is not unique, round by round, as the rank grows.
+
+    The ranks that recur are a stage table, so that both sides of the join are
+    plain exchanges, of which Spark splits a partition that one rank fills.
+    """
     for offset in ("second", "third", None):
-        again = rows.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank")
+        again = settle(rows.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank"))
         rows = rows.join(again, "rank", "left_semi")
         rows = settle(rows.withColumn("rank", F.xxhash64("rank", offset)).drop(offset) if offset else rows)
     return rows
@@ -177,7 +181,7 @@ def _decided(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ranges that recur as a whole, one range of each whole of the ranks that still have to be split)."""
     wholes = settle(rows.groupBy("rank", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "sum", "base", "lo", "hi")).alias("one")))
     good = rows.join(wholes.where("n > 1").select("rank", "whole"), ["rank", "whole"], "left_semi").select("id", "sum", "lo", "hi")
-    mixed = wholes.groupBy("rank").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("rank")
+    mixed = settle(wholes.groupBy("rank").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("rank"))
     return good, wholes.join(mixed, "rank", "left_semi").select("rank", "one.*")
 
 
