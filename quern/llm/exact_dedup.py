@@ -44,6 +44,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+    """One row of each group of equal texts, with all columns: of the rows with the largest id any one; null ids go last.
+
+    Rows are told apart by a key of their own on a settled copy, as ids may be null or repeat.
+    """
+    rows = settle(docs.withColumn("__row", F.monotonically_increasing_id()))
+    content = ascii_lower(whole(text_col))
+    keyed = rows.select(F.col(id_col).alias("id"), content.alias("content"), F.col("__row").alias("row")).select("id", "row", "content", F.sha2("content", 256).alias("digest"), salt_of("row").alias("salt"))
+    salted = keyed.groupBy("digest", "salt", "content").agg(F.max("id").alias("largest"), F.max_by("row", "id").alias("named"), F.max("row").alias("last"))
+    merged = salted.groupBy("digest", "content").agg(F.max_by("named", "largest").alias("named"), F.max("last").alias("last"))
+    kept = settle(merged.select(F.coalesce("named", "last").alias("__row")))
+    return rows.join(kept, "__row", "left_semi").drop("__row")

@@ -233,7 +233,19 @@ def language_id(docs: DataFrame, held_out_parts: int = 5, id_col: str = "doc_id"
     return identify(docs, network, id_col, text_col).select(id_col, (part == 0).alias("held_out"), "lang_pred", "score")
 
 
+def _accepter(network: Network | None, least_score: float, text_at: int):
+    label = _labeller(network)
+
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(text_at)
+            for told in label([pa.record_batch([pa.nulls(len(text)), text], names=["id", "text"])]):
+                yield batch.filter(pa.array([name != UNDETERMINED and score >= least_score for name, score in zip(told.column(1).to_pylist(), told.column(2).to_pylist(), strict=True)], pa.bool_()))
+
+    return accept
+
+
 def accepted(docs: DataFrame, least_score: float = 0.35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is told with at least ``least_score``, with all columns; null ids go with ``und``."""
-    good = language_id(docs, id_col=id_col, text_col=text_col).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select(F.col(id_col).alias("__good")).distinct()
-    return docs.join(good, docs[id_col] == good["__good"], "left_semi")
+    """The rows of ``docs`` whose language is told with at least ``least_score``, with all columns; each row by its own text, whatever its id."""
+    network = train(docs, hash_part(F.col(id_col), 5) != 0, id_col=id_col, text_col=text_col)
+    return docs.mapInArrow(_accepter(network, least_score, docs.columns.index(text_col)), docs.schema)

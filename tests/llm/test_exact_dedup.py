@@ -45,3 +45,9 @@ def test_filter_keeps_all_columns_of_one_document_a_group(spark):
     kept = exact_dedup(docs)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {r["doc_id"] for r in expected(list(enumerate(texts))) if r["kept"]}
+
+
+def test_filter_keeps_one_row_of_null_and_repeated_ids(spark):
+    pairs = [(None, "a"), (None, "A"), (3, "b"), (None, "b"), (3, "B"), (3, "c"), (2, "c"), (4, None), (4, ""), (None, "d")]
+    kept = exact_dedup(spark.createDataFrame([(i, t, None, None, None) for i, t in pairs], DOCS)).collect()
+    assert sorted(((r.text or "").lower(), r.doc_id or 0) for r in kept) == [("", 4), ("a", 0), ("b", 3), ("c", 3), ("d", 0)]

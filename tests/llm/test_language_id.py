@@ -76,3 +76,12 @@ def test_awkward_rows(spark):
     assert L.language_id(empty).count() == 0
     unlabelled = L.language_id(spark.createDataFrame([(1, "abc", None, None, None)], DOCS)).collect()
     assert [(r.lang_pred, r.score) for r in unlabelled] == [("und", 0.0)]
+
+
+def test_rows_are_accepted_by_their_own_text(spark):
+    known = [(None if i % 3 == 0 else i, t, lang, s, n) for i, t, lang, s, n in corpus()]
+    unclear = [(None, "123", None, None, None), (1, "...", None, None, None), (1, None, None, None, None)]
+    docs = with_clashes(spark.createDataFrame([*known, *unclear], DOCS))
+    got = L.accepted(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text) for r in got.collect()) == sorted((i or -1, t) for i, t, *_ in known)
