@@ -36,7 +36,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit_packing.packed_sequences(table(spark, sf_dir, "documents"), tokenizer_path())
+    return best_fit_packing.packed_sequences(table(spark, sf_dir, "documents"), tokenizer_path(), added_tokens=True)
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,3 +83,21 @@ def test_empty_null_and_repeated_rows(spark):
     assert [(r.length, r.sequence_id == got[0].sequence_id) for r in got] == [(1, True)] * 3
     assert sorted(r.offset for r in got) == [0, 1, 2]
     assert B.packed_sequences(docs.limit(0), tokenizer_path()).count() == 0
+
+
+def test_the_query_and_the_pipeline_encode_like_an_unmodified_tokenizer(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from quern.llm.queries import op4_best_fit_packing
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    assert plain.encode("<|startoftext|>", add_special_tokens=False).ids == [49406]
+    texts = [*HARD, "Hi <|startoftext|> a<|ENDOFTEXT|>b <|endoftext|>", "a<|endoftext|>b's <|startoftext|><|endoftext|>", "<|startoftext|>日本", "<|endoftext |>"]
+    words = B.WordIds(tokenizer_path(), added_tokens=True)
+    for text in [*texts, *(t or "" for t in awkward_texts())]:
+        assert np.frombuffer(words.of_text(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    docs = documents(spark, texts)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for got in (op4_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.sequences(spark, docs, str(tmp_path))):
+        check_packing(got.collect(), texts, plain, B.LENGTH)
