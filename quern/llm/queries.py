@@ -80,7 +80,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), with_text=True)
 
 
 def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

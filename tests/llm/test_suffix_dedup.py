@@ -63,6 +63,37 @@ def test_anchors_cover_each_start_once_and_depend_on_content_only():
     assert seen[0] == seen[1] == seen[2]
 
 
+def test_a_chunk_boundary_changes_no_anchor(monkeypatch):
+    import numpy as np
+
+    raw = np.frombuffer(bytes(random.Random(4).choices(range(97, 101), k=9000)), np.uint8)
+    whole = S.anchors(raw)
+    monkeypatch.setattr(S, "CHUNK", 1000)
+    parts = S.anchors(raw)
+    assert [np.repeat(b, h - a + 1).tolist() for b, a, h in [whole]] == [np.repeat(b, h - a + 1).tolist() for b, a, h in [parts]]
+
+
+def test_passages_in_a_text_longer_than_a_chunk(spark):
+    rng = random.Random(5)
+    long = rng.randbytes(S.CHUNK // 2 + 3000).hex()
+    passage = long[S.CHUNK - 700 : S.CHUNK + 800]
+    got = {r.doc_id: r for r in S.without_repeats(documents(spark, [long, "ä" + passage + "z", "q" * 100])).collect()}
+    assert [(got[k].n_bytes, got[k].n_removed, got[k].n_spans) for k in range(3)] == [(len(long), 1500, 1), (1503, 1500, 1), (100, 0, 0)]
+    assert got[0].kept_sha256 == hashlib.sha256((long[: S.CHUNK - 700] + long[S.CHUNK + 800 :]).encode()).hexdigest()
+
+
+def test_ranks_double_until_unique_and_keep_the_order_of_pairs(spark):
+    """Blocks of one letter each: ranks of four must group and order like the strings of four letters."""
+    words = {0: "abcabcabca", 1: "bcabx", 2: "zzzz", 3: "q"}
+    cells = [(rid, j, 1, ord(c), 0) for rid, w in words.items() for j, c in enumerate(w)]
+    got = S.doubled(spark.createDataFrame(cells, S.BLOCKS)).collect()
+    of = {(r.rid, r.j): (words[r.rid][r.j : r.j + 4], r.rank) for r in got}
+    every = [(rid, j, w[j : j + 4]) for rid, w in words.items() for j in range(len(w) - 3)]
+    counts = Counter(x for _, _, x in every)
+    assert {(rid, j) for rid, j, x in every if counts[x] > 1} == set(of)
+    assert [x for x, _ in sorted(of.values(), key=lambda p: p[1])] == sorted(x for x, _ in of.values())
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     t = "".join(random.Random(1).choices("abcdefgh ", k=600))
     docs = spark.createDataFrame([(None, t, None, None, None), (None, None, None, None, None), (5, t + "q" * 50, None, None, None), (5, t + "q" * 50, None, None, None)], DOCS)
