@@ -255,7 +255,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = _keyed(docs, id_col, text_col).select("id", "sum", "text").where(F.octet_length("text") >= LENGTH)
     found = settle(keyed.mapInArrow(_mapped(ANCHORS, _anchor_rows), ANCHORS))
     again = settle(found.groupBy("near").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("near"))
-    shared = found.withColumn("n", F.lit(1)).join(again, "near", "left_semi")
+    shared = settle(found.withColumn("n", F.lit(1)).join(again, "near", "left_semi"))  # alone in its stage, Spark may split what one hash fills
     good, left = _decided(shared, ["near"], ["id", "sum", "base", "lo", "hi"])
     spans = good.select("id", "sum", "lo", "hi")
 
