@@ -1,21 +1,27 @@
 """Legacy archives: ARC records of either version become equivalent WARC records.
 
-An ARC record is a header line, whose fields depend on the archive's version
-and whose last field declares the length, and that many bytes of content. The
-converter parses it and synthesises what WARC asks for beyond it: a record
-identifier, an ISO timestamp, a record type and digests. WARC files are
-written by Spark's text writer, with the record separator as line end, so any
-store that Spark knows will do, as gzip files, and are read back by declared
-lengths.
+An ARC file is a series of archives. Each begins with a version block, a
+record of its own that names the version and the fields of all header lines
+up to the next one; a record is such a header line, whose last field declares
+the length, and that many bytes of content. Spark reads the files as tasks,
+finds in their narrow records which payloads are equal, and converts file by
+file: the parser takes records as they are declared, the converter synthesises
+what WARC asks for beyond them: a record identifier, an ISO timestamp, a
+record type and digests. Files of both kinds are written by Spark's text
+writer as gzip files, so any store that Spark knows will do, and read as
+streams: a worker holds a compressed file and one record of it.
 """
 
 import base64
 import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +33,14 @@ ARC_FIELDS = {
     1: ["url", "ip", "date", "content_type", "length"],
     2: ["url", "ip", "date", "content_type", "result_code", "checksum", "location", "offset", "filename", "length"],
 }
+#: By what name a version block calls them.
+ARC_TITLES = {"url": "URL", "ip": "IP-address", "date": "Archive-date", "content_type": "Content-type", "result_code": "Result-code", "checksum": "Checksum", "location": "Location", "offset": "Offset", "filename": "Filename", "length": "Archive-length"}
+VERSION_BLOCK = "filedesc://"
 CRLF = b"\r\n"
 #: Ends each WARC record.
 SEPARATOR = "\r\n\r\n"
-#: Records that a WARC file holds at most; a file is read back by one task.
-FILE_RECORDS = 2000
+#: Records and bytes that are written at once, but for a single longer record, and how often at most to one file: a file is read back by one task.
+BLOCK_RECORDS, BLOCK_BYTES, FILE_BLOCKS = 100, 1 << 20, 16
 #: Extension headers: the page's id, in the HTTP headers of its capture; of a revisit the response's page and the payload's length.
 PAGE_HEADER, REFERS_HEADER, LENGTH_HEADER = b"X-Archive-Page", "X-Archive-Refers-To-Page", "X-Archive-Payload-Length"
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:arc-record")
@@ -39,26 +48,49 @@ NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:arc-record")
 NO_DATE = "19700101000000"
 
 
-def arc_record(version: int, url: str, date: str, content_type: str, content: bytes, ip: str = "0.0.0.0") -> bytes:
+def _header_line(version: int, **fields: str) -> bytes:
+    return " ".join(fields[f] for f in ARC_FIELDS[version]).encode("utf-8", "surrogatepass") + b"\n"
+
+
+def arc_record(version: int, url: str, date: str, content_type: str, content: bytes, ip: str = "0.0.0.0", offset: int = 0, filename: str = "legacy.arc") -> bytes:
     """One ARC record. Blanks in the URL are escaped, as the header line is split on them."""
-    fields = {"url": url.replace(" ", "%20").replace("\t", "%09").replace("\r", "%0D").replace("\n", "%0A") or "-", "ip": ip, "date": date, "content_type": content_type, "result_code": "200", "checksum": "-", "location": "-", "offset": "0", "filename": "legacy.arc", "length": str(len(content))}
-    return " ".join(fields[f] for f in ARC_FIELDS[version]).encode("utf-8", "surrogatepass") + b"\n" + content + b"\n"
-
-
-def arc_records(archive: bytes, version: int) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, content) of each record of ``archive``. Malformed headers and short contents raise ValueError."""
-    at, names = 0, ARC_FIELDS[version]
-    while at < len(archive):
-        end = archive.find(b"\n", at)
-        values = archive[at : end if end >= 0 else len(archive)].decode("utf-8", "surrogatepass").split(" ")
-        if end < 0 or len(values) != len(names) or not values[-1].isdigit():
-            raise ValueError(f"not an ARC version {version} header at byte {at}")
-        header = dict(zip(names, values, strict=True))
-        start, n = end + 1, int(header["length"])
-        if start + n > len(archive):
-            raise ValueError(f"the record at byte {at} declares {n} bytes, {len(archive) - start} are left")
-        yield header, archive[start : start + n]
-        at = start + n + (archive[start + n : start + n + 1] == b"\n")
+    url = url.replace(" ", "%20").replace("\t", "%09").replace("\r", "%0D").replace("\n", "%0A") or "-"
+    return _header_line(version, url=url, ip=ip, date=date, content_type=content_type, result_code="200", checksum="-", location="-", offset=str(offset), filename=filename, length=str(len(content))) + content + b"\n"
+
+
+def version_block(version: int, filename: str = "legacy.arc") -> bytes:
+    """The record that opens an archive."""
+    titles = " ".join(ARC_TITLES[f] for f in ARC_FIELDS[version])
+    return arc_record(version, VERSION_BLOCK + filename, NO_DATE, "text/plain", f"{version} 0 legacy\n{titles}\n".encode(), filename=filename)
+
+
+def _declared_fields(block: bytes) -> list[str]:
+    """The fields of the header lines that follow a version block."""
+    lines = block.decode("latin-1").split("\n")
+    known = {title: field for field, title in ARC_TITLES.items()}
+    names = [known.get(t, "") for t in lines[1].split(" ")] if len(lines) > 1 else []
+    version = lines[0].split(" ")[0]
+    if not version.isdigit() or names != ARC_FIELDS.get(int(version)):
+        raise ValueError(f"not a version block: {block[:80]!r}")
+    return names
+
+
+def arc_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields, content) of each record of a series of archives. What does not hold to its version block raises ValueError."""
+    names: list[str] = []
+    while line := stream.readline():
+        values = line.rstrip(b"\n").decode("utf-8", "surrogatepass").split(" ")
+        if not line.endswith(b"\n") or not values[-1].isdigit():
+            raise ValueError(f"not an ARC header line: {line[:80]!r}")
+        content = stream.read(int(values[-1]))
+        if len(content) < int(values[-1]) or stream.read(1) not in (b"\n", b""):
+            raise ValueError(f"the record of {values[0]} does not end where it declares")
+        if values[0].startswith(VERSION_BLOCK):
+            names = _declared_fields(content)
+            continue
+        if len(values) != len(names):
+            raise ValueError(f"the header line of {values[0]} has {len(values)} fields, its archive declares {len(names)}")
+        yield dict(zip(names, values, strict=True)), content
 
 
 def base32_sha1(data: bytes) -> str:
@@ -116,20 +148,20 @@ def warc_record(headers: dict[str, str], block: bytes) -> bytes:
     return CRLF.join(lines) + CRLF + CRLF + block
 
 
-def warc_records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def warc_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record, by declared lengths. Malformed records raise ValueError."""
-    at = 0
-    while at < len(archive):
-        end = archive.find(CRLF + CRLF, at)
-        lines = archive[at:end].decode("utf-8", "surrogatepass").split("\r\n") if end >= 0 else [""]
-        headers = dict(line.split(": ", 1) for line in lines[1:] if ": " in line)
-        if not lines[0].startswith("WARC/") or not headers.get("Content-Length", "").isdigit():
-            raise ValueError(f"not a WARC header at byte {at}")
-        start, n = end + 4, int(headers["Content-Length"])
-        if archive[start + n : start + n + 4] != SEPARATOR.encode():
-            raise ValueError(f"the record at byte {at} does not end where it declares")
-        yield headers, archive[start : start + n]
-        at = start + n + 4
+    while line := stream.readline():
+        headers: dict[str, str] = {}
+        while (field := stream.readline()) not in (CRLF, b""):
+            name, _, value = field.removesuffix(CRLF).decode("utf-8", "surrogatepass").partition(": ")
+            headers[name] = value
+        if not line.startswith(b"WARC/") or not headers.get("Content-Length", "").isdigit():
+            raise ValueError(f"not a WARC header: {line[:80]!r}")
+        n = int(headers["Content-Length"])
+        block = stream.read(n)
+        if len(block) < n or stream.read(4) != SEPARATOR.encode():
+            raise ValueError(f"the record {headers.get('WARC-Record-ID')} does not end where it declares")
+        yield headers, block
 
 
 def legacy_content(page_id: int | None, html: str | None) -> bytes:
@@ -139,67 +171,147 @@ def legacy_content(page_id: int | None, html: str | None) -> bytes:
     return CRLF.join(head) + CRLF + CRLF + payload
 
 
-def _converter(version: int):
-    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(records: Iterator[tuple[str, bytes]]) -> Iterator[list[tuple[str, bytes]]]:
+    """(name, content) pairs by BLOCK_RECORDS and BLOCK_BYTES."""
+    held: list[tuple[str, bytes]] = []
+    size = 0
+    for name, content in records:
+        if held and (len(held) == BLOCK_RECORDS or size + len(content) > BLOCK_BYTES):
+            yield held
+            held, size = [], 0
+        held.append((name, content))
+        size += len(content)
+    if held:
+        yield held
+
+
+def _values(values: list[bytes]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(values, pa.binary()).cast(pa.string())], names=["value"])
+
+
+def _write(blocks: DataFrame, path: str, end: str) -> None:
+    """``end`` stands after each row: where it ends a record, rows hold several records without the last one's."""
+    blocks.write.option("maxRecordsPerFile", FILE_BLOCKS).text(path, lineSep=end, compression="gzip")
+
+
+def _archiver(versions: tuple[int, ...]):
+    def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get(), 0
         for batch in batches:
+            pages = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            contents = ((url or "", legacy_content(page, html)) for page, url, html in pages)
+            for block in _blocks(contents):
+                version = versions[((task.partitionId() if task else 0) + made) % len(versions)]
+                made += 1
+                out = version_block(version)
+                size, parts = len(out), [out]
+                for url, content in block:
+                    parts.append(arc_record(version, url, NO_DATE, "text/html", content, offset=size))
+                    size += len(parts[-1])
+                yield _values([b"".join(parts)[:-1]])
+
+    return archive
+
+
+def write_arc(pages: DataFrame, path: str, versions: tuple[int, ...] = (1, 2), id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+    """The legacy side: ``pages`` as gzip ARC files below ``path``, archives of the versions in turn.
+
+    A page is the HTTP response of its capture. A null payload is empty, a
+    null URL ``-``, a null id an empty header. Very long payloads are archives
+    of their own. An empty table writes no record.
+    """
+    whole = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    _write(whole.mapInArrow(_archiver(versions), "value string"), path, "\n")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def _opened(archive: pa.Scalar) -> BinaryIO:
+    return gzip.open(io.BytesIO(archive.as_buffer()))
+
+
+def _page(http: dict[bytes, bytes]) -> int | None:
+    value = http.get(PAGE_HEADER.lower(), b"")
+    return int(value) if value else None
+
+
+NARROW = "path string, no int, page long, url string, record_id string, sha binary, n long"
+
+
+def _surveyor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, archive in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             out = []
-            for page, url, html, least, least_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                legacy = arc_record(version, url or "", NO_DATE, "text/html", legacy_content(page, html))
-                for header, content in arc_records(legacy, version):
-                    first = None
-                    if least is not None:
-                        same, of = next(arc_records(arc_record(version, least_url or "", NO_DATE, "text/html", legacy_content(least, html)), version))
-                        first = {"WARC-Refers-To": record_id(same["url"], same["date"], of), "WARC-Refers-To-Target-URI": same["url"], REFERS_HEADER: str(least)}
-                    out.append(warc_record(*warc_headers(header, content, first)))
-            yield pa.record_batch([pa.array(out, pa.binary()).cast(pa.string())], names=["value"])
+            for no, (header, content) in enumerate(arc_records(_opened(archive))):
+                http, payload = http_parts(content)
+                out.append((path, no, _page(http), header["url"], record_id(header["url"], header["date"], content), hashlib.sha256(payload).digest(), len(payload)))
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64()), strict=True)], names=[f.split()[0] for f in NARROW.split(", ")])
+
+
+def _converted(archive: pa.Scalar, links: list[dict] | None) -> Iterator[tuple[str, bytes]]:
+    """The WARC records of an ARC file; ``links`` names the record that each revisit of it refers to."""
+    of = {r["no"]: {"WARC-Refers-To": r["record_id"], "WARC-Refers-To-Target-URI": r["url"], REFERS_HEADER: str(r["page"])} for r in links or []}
+    for no, (header, content) in enumerate(arc_records(_opened(archive))):
+        yield header["url"], warc_record(*warc_headers(header, content, of.get(no)))
+
+
+def _converter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for archive, links in zip(batch.column(0), batch.column(1), strict=True):
+            for block in _blocks(_converted(archive, links.as_py())):
+                yield _values([SEPARATOR.encode().join(record for _, record in block)])
+
 
-    return convert
+def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0) -> None:
+    """Convert the gzip ARC files below ``arc_path`` to gzip WARC files below ``warc_path``.
+
+    Of captures with equal payloads of at least ``min_bytes``, told by SHA-256
+    and length, that with the smallest page id is the response and others
+    revisit it; smaller ones are all responses. Captures without a page id are
+    responses, and so are those that repeat a response's id along with its
+    payload. Very long payloads are records like others. Archives without
+    records give none; malformed ones fail the job.
+    """
+    narrow = settle(_files(spark, arc_path).mapInArrow(_surveyor, NARROW).where(F.col("page").isNotNull() & (F.col("n") >= min_bytes)).withColumn("salt", salt_of("page")))
+    first = F.struct("page", "url", "record_id")
+    by_salt = narrow.groupBy("sha", "salt").agg(F.min(first).alias("least"))
+    groups = by_salt.groupBy("sha").agg(F.min("least").alias("least"), salt_bits("salt").alias("salts"))
+    links = narrow.join(per_salt(groups, "salts"), ["sha", "salt"]).where("page <> least.page")
+    by_file = links.groupBy("path").agg(F.collect_list(F.struct("no", "least.*")).alias("links"))  # no more than a file has records
+    files = _files(spark, arc_path).join(settle(by_file), "path", "left").select("content", "links")
+    _write(files.mapInArrow(_converter, "value string"), warc_path, SEPARATOR)
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for archive in batch.column(0):
             out = []
-            for headers, block in warc_records(gzip.decompress(archive.as_buffer())):
+            for headers, block in warc_records(_opened(archive)):
                 http, payload = http_parts(block)
-                page, least = http.get(PAGE_HEADER.lower(), b""), headers.get(REFERS_HEADER)
+                least = headers.get(REFERS_HEADER)
                 digest, kind = headers["WARC-Payload-Digest"].removeprefix("sha1:"), headers["WARC-Type"]
                 n = int(headers.get(LENGTH_HEADER, len(payload)))
                 intact = f"sha1:{base32_sha1(block)}" == headers["WARC-Block-Digest"] and (kind == "revisit" or base32_sha1(payload) == digest)
-                out.append((int(page) if page else None, n, digest, kind, int(least) if least else None, headers["WARC-Record-ID"], headers.get("WARC-Refers-To"), intact))
+                out.append((_page(http), n, digest, kind, int(least) if least else None, headers["WARC-Record-ID"], headers.get("WARC-Refers-To"), intact))
             cols = list(zip(*out, strict=True)) or [()] * 8
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "refers_to_record", "intact"])
 
 
-def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, version: int = 2, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Convert each page's legacy record and write gzip WARC files below ``path``.
-
-    Of pages with equal payloads of at least ``min_bytes``, told by SHA-256
-    and length, that with the smallest id is the response and others revisit
-    it; smaller ones are all responses. A null payload is empty, a null URL
-    ``-``. Pages without an id are responses, and so are rows that repeat a
-    response's id along with its payload. An empty table writes no record;
-    other columns are ignored.
-    """
-    whole = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    payload = F.coalesce("html", F.lit(""))
-    whole = whole.withColumn("sha", F.unhex(F.sha2(payload, 256)))
-    narrow = settle(whole.where("page is not null").select("page", "url", "sha", F.octet_length(payload).alias("n"), salt_of("page").alias("salt")).where(F.col("n") >= min_bytes).drop("n"))
-    by_salt = narrow.groupBy("sha", "salt").agg(F.min("page").alias("least"), F.min_by("url", F.struct("page", "url")).alias("least_url"))
-    groups = by_salt.groupBy("sha").agg(F.min("least").alias("least"), F.min_by("least_url", F.struct("least", "least_url")).alias("least_url"), salt_bits("salt").alias("salts"))
-    links = narrow.join(per_salt(groups, "salts"), ["sha", "salt"]).where("page <> least").select("page", "sha", "least", "least_url").distinct()
-    linked = whole.join(links, ["page", "sha"], "left").select("page", "url", "html", "least", "least_url")
-    linked.mapInArrow(_converter(version), "value string").write.option("maxRecordsPerFile", FILE_RECORDS).text(path, lineSep=SEPARATOR, compression="gzip")
-
-
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row per record below ``path``: page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, refers_to_record, and whether its digests hold."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_reader, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_record string, intact boolean")
+    return _files(spark, path).select("content").mapInArrow(_reader, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_record string, intact boolean")
 
 
-def archived(pages: DataFrame, min_bytes: int = 0, version: int = 2, **columns) -> DataFrame:
-    """``pages`` written as WARC files in the shared folder and read back."""
-    path = stage_path(pages.sparkSession)
-    write_warc(pages, path, min_bytes, version, **columns)
-    return read_warc(pages.sparkSession, path)
+def archived(pages: DataFrame, min_bytes: int = 0, versions: tuple[int, ...] = (1, 2), **columns) -> DataFrame:
+    """``pages`` written as ARC files in the shared folder, converted to WARC files there, and read back.
+
+    One row per row of ``pages``, null ids and repeated rows too; other
+    columns are ignored; an empty table gives an empty result.
+    """
+    spark, path = pages.sparkSession, stage_path(pages.sparkSession)
+    write_arc(pages, f"{path}/arc", versions, **columns)
+    convert(spark, f"{path}/arc", f"{path}/warc", min_bytes)
+    return read_warc(spark, f"{path}/warc")

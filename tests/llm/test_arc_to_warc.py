@@ -1,3 +1,6 @@
+import gzip
+import io
+
 import pytest
 
 from quern.llm import arc_to_warc as A
@@ -19,38 +22,65 @@ def expected(pages, min_bytes=0):
     return out
 
 
-@pytest.mark.parametrize("version", [1, 2])
-@pytest.mark.parametrize("min_bytes", [0, 20])
-def test_pages_survive_conversion(spark, version, min_bytes):
+@pytest.mark.parametrize(("versions", "min_bytes"), [((1,), 20), ((2, 1), 0)])
+def test_pages_survive_conversion(spark, versions, min_bytes):
     texts = [*awkward_texts(), "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc", "\r\n\r\n", "é" * 999]
     pages = [(i, None if i % 5 == 0 else f"http://x.example/a b\n{i}", t) for i, t in enumerate([*texts, *texts[:9]])] + [(None, None, "one"), (None, "u", None), (3, "again", texts[3])]
-    got = A.archived(with_clashes(spark.createDataFrame(pages, PAGES)), min_bytes, version)
+    got = A.archived(with_clashes(spark.createDataFrame(pages, PAGES)), min_bytes, versions)
     assert all(r.intact for r in got.collect())
     keep = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     want = sorted(expected(pages, min_bytes), key=lambda r: (r["page_id"] is None, r["page_id"], r["payload_bytes"]))
     assert rows(got.select(*keep), "page_id", "payload_bytes") == want
-    ids = {r.page_id: r.record_id for r in got.collect() if r.record_type == "response"}
-    assert all(r.refers_to_record == ids[r.refers_to] for r in got.collect() if r.record_type == "revisit")
+    ids = {(r.page_id, r.record_id) for r in got.collect() if r.record_type == "response"}
+    assert all((r.refers_to, r.refers_to_record) in ids for r in got.collect() if r.record_type == "revisit")
 
 
 def test_empty_table(spark):
     assert A.archived(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_files_hold_archives_of_both_versions(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "x" * (i * 40)) for i in range(450)], PAGES).coalesce(1)
+    A.write_arc(pages, str(tmp_path / "arc"))
+    found, lengths, seen = [], [], 0
+    for f in sorted((tmp_path / "arc").glob("*.gz")):
+        raw = gzip.decompress(f.read_bytes())
+        for version in (1, 2):
+            block = A.version_block(version)
+            assert raw.count(block) >= 2
+            seen += raw.count(block)
+        records = list(A.arc_records(io.BytesIO(raw)))
+        found += [h["url"] for h, _ in records]
+        lengths += [len(h) for h, _ in records]
+        assert all(raw[raw.index(A.version_block(2)) :][int(h["offset"]) :].startswith(h["url"].encode()) for h, _ in records[100:200])
+    assert sorted(found) == sorted(f"http://x/{i}" for i in range(450)) and {*lengths} == {5, 10} and seen >= 5
+    A.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    assert A.read_warc(spark, str(tmp_path / "warc")).where("intact and record_type = 'response'").count() == 450
+
+
+def test_blocks_are_bounded():
+    big = A.BLOCK_BYTES
+    sizes = [[len(c) for _, c in b] for b in A._blocks(("", b"x" * n) for n in (10, big * 2, 5, big - 5, 1, *[1] * 250))]
+    assert sizes == [[10], [2 * big], [5, big - 5], [1] * 100, [1] * 100, [1] * 51]
+
+
 def test_archives_of_several_records_and_malformed_ones():
     contents = [b"plain", A.legacy_content(4, "x\n\ny"), b""]
+    read = lambda raw: [c for _, c in A.arc_records(io.BytesIO(raw))]
     for version in (1, 2):
-        archive = b"".join(A.arc_record(version, f"u{i}", "20010203040506", "text/html", c) for i, c in enumerate(contents))
-        assert [c for _, c in A.arc_records(archive, version)] == contents
-        for bad in (archive[:-4] + b"zzz", archive[5:], archive.replace(b" 5\n", b" 5000\n", 1), b"no header"):
+        records = b"".join(A.arc_record(version, f"u{i}", "20010203040506", "text/html", c) for i, c in enumerate(contents))
+        archive = A.version_block(version) + records
+        assert read(archive) == contents and read(archive + A.version_block(3 - version) + A.arc_record(3 - version, "v", "2001", "a/b", b"last")) == [*contents, b"last"]
+        for bad in (archive[:-4] + b"zzz", archive[5:], archive.replace(b" 5\n", b" 5000\n", 1), b"no header", records, A.version_block(3 - version) + records, archive.replace(b"Archive-length", b"Archive-width")):
             with pytest.raises(ValueError):
-                list(A.arc_records(bad, version))
+                read(bad)
     headers, block = A.warc_headers({"url": "u", "ip": "1.2.3.4", "date": "20010203040506", "content_type": "text/plain", "length": "5"}, b"plain")
     assert (headers["WARC-Type"], headers["WARC-Date"], headers["Content-Type"], block) == ("resource", "2001-02-03T04:05:06Z", "text/plain", b"plain")
     record = A.warc_record(headers, block) + A.SEPARATOR.encode()
-    assert list(A.warc_records(record * 2)) == [(headers, block)] * 2
-    with pytest.raises(ValueError):
-        list(A.warc_records(record[:-1]))
+    assert list(A.warc_records(io.BytesIO(record * 2))) == [(headers, block)] * 2
+    for bad in (record[:-1], b"x" + record, record.replace(b"Content-Length", b"Content-Width")):
+        with pytest.raises(ValueError):
+            list(A.warc_records(io.BytesIO(bad)))
 
 
 def test_dates():
