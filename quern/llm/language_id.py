@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.plans.staging import settle
+
 UNDETERMINED = "und"
 #: Byte 256 fills up a text's last window.
 FILL = 256
@@ -171,30 +173,28 @@ def _windows(window: int, per_doc: int):
 
 
 def train(docs: DataFrame, learn: Column, per_label: int = 250, per_doc: int = 8, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", **shape) -> Network | None:
-    """A network fitted on at most ``per_label`` documents of each label, spread over the table by a hash of the id.
+    """A network fitted on about ``per_label`` different documents of each label, spread over the table by a hash of id and text.
 
     Of each such document ``per_doc`` windows, evenly spread over the whole
     text, are learned. None if there is nothing to learn from.
     """
-    usable = docs.where(learn & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy(label_col).count().collect()}
-    if not counts:
+    usable = docs.where(learn & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), F.xxhash64(F.lit("language"), F.col(id_col), F.col(text_col)).alias("place"))
+    counts = settle(usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+    share = F.pmod(F.col("place"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    picked = usable.join(counts, "label").where(share < F.lit(float(per_label)) / F.col("n"))
+    once = picked.groupBy("label", "place").agg(F.first("text").alias("text")).select("label", "text")  # rows that repeat travel as one
+    network = Network(sorted(r["label"] for r in counts.collect()), **shape)
+    rows = once.mapInArrow(_windows(network.window, per_doc), "label string, bytes binary").collect()
+    if not rows:
         return None
-    share = F.pmod(F.xxhash64(F.lit("language"), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    wanted = F.lit(0.0)
-    for label, n in counts.items():
-        wanted = F.when(F.col(label_col) == label, F.lit(min(1.0, per_label / n))).otherwise(wanted)
-    probe = Network(sorted(counts), **shape)
-    rows = usable.where(share < wanted).select(label_col, text_col).mapInArrow(_windows(probe.window, per_doc), "label string, bytes binary").collect()
     rows.sort(key=lambda r: (r[0], bytes(r[1])))
-    if rows:
-        x = np.full((len(rows), probe.window), FILL, np.uint16)
-        for at, r in enumerate(rows):
-            x[at, : len(r[1])] = np.frombuffer(bytes(r[1]), np.uint8)
-        y = np.array([probe.labels.index(r[0]) for r in rows])
-        balance = np.concatenate([np.resize(np.flatnonzero(y == k), max(np.bincount(y))) for k in np.unique(y)])
-        probe.fit(x[balance], y[balance])
-    return probe
+    x = np.full((len(rows), network.window), FILL, np.uint16)
+    for at, r in enumerate(rows):
+        x[at, : len(r[1])] = np.frombuffer(bytes(r[1]), np.uint8)
+    y = np.array([network.labels.index(r[0]) for r in rows])
+    balance = np.concatenate([np.resize(np.flatnonzero(y == k), max(np.bincount(y))) for k in np.unique(y)])
+    network.fit(x[balance], y[balance])
+    return network
 
 
 def _labeller(network: Network | None):
@@ -219,9 +219,10 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
     """One row per row of ``docs``: the id, lang_pred and score.
 
     lang_pred is a learned label, or ``und``, with score 0, for a text that is
-    null or has no letter, and for all texts if nothing was learned. Null ids
-    and repeated rows each get their row; an empty table gives an empty
-    result; other columns are ignored.
+    null or has no letter, and for all texts if nothing was learned. Very long
+    texts are labelled whole, window by window. Of labels with equal
+    probabilities the first in order wins. Null ids and repeated rows each get
+    their row; an empty table gives an empty result; other columns are ignored.
     """
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_labeller(network), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
@@ -246,6 +247,10 @@ def _accepter(network: Network | None, least_score: float, text_at: int):
 
 
 def accepted(docs: DataFrame, least_score: float = 0.35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is told with at least ``least_score``, with all columns; each row by its own text, whatever its id."""
+    """The rows of ``docs`` whose language is told with at least ``least_score``, with all columns; each row by its own text, whatever its id.
+
+    A score on the threshold is accepted; texts that are null or have no
+    letter go; an empty table gives an empty result.
+    """
     network = train(docs, hash_part(F.col(id_col), 5) != 0, id_col=id_col, text_col=text_col)
     return docs.mapInArrow(_accepter(network, least_score, docs.columns.index(text_col)), docs.schema)

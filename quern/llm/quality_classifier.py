@@ -134,10 +134,25 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, mixing: f
     return Model(w, bias, float(a), float(b))
 
 
+def packed(slots: np.ndarray) -> bytes:
+    """Slots as bytes: their numbers, or, if these take more room, a bit for each slot."""
+    if len(slots) * 32 < SLOTS:
+        return slots.astype("<i4").tobytes()
+    flags = np.zeros(SLOTS, np.uint8)
+    flags[slots] = 1
+    return np.packbits(flags).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if len(data) * 8 < SLOTS:
+        return np.frombuffer(data, "<i4")
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8))).astype(np.int32)
+
+
 def _featurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.zeros(SLOTS, bool)
     for batch in batches:
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array([ngrams(t.as_py(), seen).tobytes() for t in batch.column(2)], pa.binary())], names=["id", "label", "slots"])
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array([packed(ngrams(t.as_py(), seen)) for t in batch.column(2)], pa.binary()), batch.column(3)], names=["id", "label", "slots", "place"])
 
 
 def one_label_each(labels: DataFrame, label_col: str, id_col: str = "doc_id") -> DataFrame:
@@ -147,15 +162,20 @@ def one_label_each(labels: DataFrame, label_col: str, id_col: str = "doc_id") ->
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most ``per_class`` labelled rows of each class, in the order of a hash of the id. ``learn`` is a condition on ``id``."""
+    """Fit on at most ``per_class`` labelled ids of each class, in the order of a hash of the id. ``learn`` is a condition on ``id``.
+
+    Of an id with several texts one teaches, that with the smallest hash. The
+    driver gets at most SLOTS bits of each.
+    """
     pool = one_label_each(labels, label_col, id_col).where(learn)
     share = F.xxhash64(F.lit("quality"), F.col("id"))
     picked = [pool.where(F.col("label") == k).orderBy(share, "id").limit(per_class) for k in (0, 1)]
     sample = F.broadcast(picked[0].union(picked[1]))  # at most 2 * per_class rows
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id").select(F.col("id").cast("long"), F.col("label").cast("int"), "text")
-    rows = texts.mapInArrow(_featurer, "id long, label int, slots binary").collect()
-    rows.sort(key=lambda r: (r[0], r[1], bytes(r[2])))
-    return fit([np.frombuffer(bytes(r[2]), np.int32) for r in rows], np.array([r[1] for r in rows]))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id").select(F.col("id").cast("long"), F.col("label").cast("int"), "text", F.xxhash64("text").alias("place"))
+    found = texts.mapInArrow(_featurer, "id long, label int, slots binary, place long")
+    rows = found.groupBy("id").agg(F.min_by(F.struct("label", "slots"), "place").alias("one")).select("id", "one.*").collect()
+    rows.sort(key=lambda r: r[0])
+    return fit([unpacked(bytes(r[2])) for r in rows], np.array([r[1] for r in rows]))
 
 
 def _scorer(model: Model):
@@ -171,7 +191,8 @@ def quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held
     """One row per row of ``docs``: the id, held_out, score and predicted.
 
     Rows whose hash part is the held-out one teach nothing. A null text scores
-    as an empty one, by the bias alone. Conflicting labels of one id are left
+    as an empty one, by the bias alone; very long ones by all their n-grams.
+    A score of exactly 0.5 predicts 1. Conflicting labels of one id are left
     out. Without labels of both classes all texts score alike. Null ids and
     repeated rows each get their row; an empty table gives an empty result;
     other columns are ignored.

@@ -1,8 +1,8 @@
 """Quality rules by an isolation forest on rule statistics.
 
 Every whole text gives a row of statistics. Trees of random splits, each grown
-on a bounded subsample, isolate rows; a row that few splits isolate is
-anomalous. The threshold on the anomaly score is calibrated from labelled
+on its own subsample of all rows, isolate rows; a row that few splits isolate
+is anomalous. The threshold on the anomaly score is calibrated from labelled
 rows: the lowest that keeps a stated share of the good ones.
 """
 
@@ -24,11 +24,9 @@ OTHERS = bytes(b for b in range(256) if b >= 0x80 or chr(b).isalnum())
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_upper", "n_marks"]
 #: Shares that the forest sees, each of two counts.
-RATIOS = [("word_chars", "n_words"), ("n_symbols", "n_words"), ("n_upper", "word_chars"), ("n_marks", "n_words")]
+RATIOS = [("word_chars", "n_words"), ("n_symbols", "n_words"), ("n_dup_lines", "n_words"), ("n_repeat_words", "n_words"), ("n_upper", "word_chars"), ("n_marks", "n_words")]
 LEAST_WORDS, MOST_REPEATED = 50, 50
 TREES, SUBSAMPLE = 200, 256
-#: Rows of which the subsamples are drawn, at most.
-POOL = 8192
 #: Share of the good labelled rows that the threshold keeps at least, and the steps in which scores are counted.
 KEEP, STEPS = 0.995, 2000
 
@@ -120,13 +118,30 @@ def grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> tuple[np.ndarra
     return np.array(feature, np.int32), np.array(cut), np.array(left, np.int32), np.array(right, np.int32), np.array(path)
 
 
-def isolation_forest(x: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 5) -> Forest:
-    rng, n = np.random.default_rng(seed), min(subsample, len(x))
+def isolation_forest(x: np.ndarray, times: np.ndarray | None = None, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 5) -> Forest:
+    """Trees on draws from ``x``, whose rows count ``times`` each (once)."""
+    rng, times = np.random.default_rng(seed), np.ones(len(x), np.int64) if times is None else times
+    n = int(min(subsample, times.sum()))
     limit = max(1, int(np.ceil(np.log2(max(2, n)))))
-    grown = [grow(x[rng.choice(len(x), n, replace=False)], rng, limit) for _ in range(trees)] if n else []
+    upto = np.cumsum(times)
+    pick = lambda: np.searchsorted(upto, rng.choice(upto[-1], n, replace=False), side="right")
+    grown = [grow(x[pick()], rng, limit) for _ in range(trees)] if n else []
     return Forest(grown, expected_path(n) or 1.0)
 
 
+def drawn(passed: DataFrame, wanted: int = TREES * SUBSAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """(statistics, how often) of about ``wanted`` rows, by a hash of the row over the whole table.
+
+    Equal rows have equal hashes and travel as one.
+    """
+    n, every = passed.count(), ["id", *COUNTS, *MORE]
+    share = F.pmod(F.xxhash64(F.lit("forest"), *every), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = passed.where(share < F.lit(wanted / max(1, n))).groupBy(*every).agg(F.count(F.lit(1)).alias("times")).collect()
+    rows.sort(key=lambda r: tuple(-1 if v is None else v for v in r))
+    table = np.array([r[1:] for r in rows], np.int64).reshape(-1, len(every))
+    return table[:, :-1], table[:, -1]
+
+
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([statistics(t.as_py()) for t in batch.column(1)], np.int64).reshape(-1, len(COUNTS) + len(MORE))
@@ -161,17 +176,19 @@ def rules(docs: DataFrame, labels: DataFrame, keep: float = KEEP, id_col: str =
     base_failed: fewer than LEAST_WORDS words, or more than MOST_REPEATED per
     cent of them in repeated windows. The forest grows on texts that pass the
     base rules; others are not kept anyway. A null text counts as empty and
-    fails. Without labels the method rejects nothing. Null ids and repeated
-    rows each get their row; an empty table gives an empty result; other
-    columns are ignored.
+    fails; very long texts are counted whole. Rows with equal statistics get
+    equal verdicts, a score on the threshold is kept, and of conflicting
+    labels of one id none counts. Without labels the method rejects nothing.
+    Null ids and repeated rows each get their row; an empty table gives an
+    empty result; other columns are ignored.
     """
     every = ", ".join(f"{c} long" for c in [*COUNTS, *MORE])
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     counts = settle(texts.mapInArrow(_counter, f"id long, {every}"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     passed = counts.where(~failed)
-    pool = passed.orderBy(F.xxhash64("id", *COUNTS), "id", *COUNTS).limit(POOL).select(*COUNTS, *MORE).collect()
-    forest = isolation_forest(features(np.array(pool, np.int64).reshape(-1, len(COUNTS) + len(MORE))))
+    pool, times = drawn(passed)
+    forest = isolation_forest(features(pool), times)
     scored = settle(counts.mapInArrow(_scorer(forest), f"id long, {every}, anomaly double"))
     most = threshold(scored.where(~failed), labels.withColumnRenamed(id_col, "doc_id"), keep)
     return scored.select(F.col("id").alias(id_col), *COUNTS, failed.alias("base_failed"), (~failed & (F.col("anomaly") <= most)).alias("kept"), "anomaly")

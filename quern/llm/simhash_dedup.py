@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.plans.components import components
@@ -166,21 +166,31 @@ def near_links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.repartition(n, "grid", "part", "cell").sortWithinPartitions("grid", "part", "cell").mapInArrow(_forest, "u long, v long").distinct()
 
 
+def _prints(docs: DataFrame, key: Column, text_col: str) -> DataFrame:
+    return settle(docs.select(key.alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "id long, fp long").withColumn("salt", salt_of("id")))
+
+
+def _rooted(points: DataFrame) -> DataFrame:
+    """``points(fp, ...)`` with the ``root`` of each fingerprint's component."""
+    roots = components(near_links(points.select("fp")))
+    return points.join(roots, points["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: the id, fingerprint (16 hex digits) and component_id.
 
     component_id is the smallest id that is reachable over links of at most
     RADIUS differing bits, the row's own included. A null text counts as
-    empty; texts without words have fingerprint 0, which links like any other.
-    A null id gets a component like any row but never names one, unless the
-    whole component lacks ids, which leaves component_id null. Repeated rows
-    each get their row. An empty table gives an empty result; other columns
-    are ignored.
+    empty; texts without words have fingerprint 0, which links like any other;
+    of very long texts every shingle counts. A bit that exactly half of the
+    shingles set is 0. A null id gets a component like any row but never names
+    one, unless the whole component lacks ids, which leaves component_id null.
+    Repeated rows each get their row. An empty table gives an empty result;
+    other columns are ignored.
     """
-    prints = settle(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "id long, fp long").withColumn("salt", salt_of("id")))
+    prints = _prints(docs, F.col(id_col).cast("long"), text_col)
     points = settle(prints.groupBy("fp", "salt").agg(F.min("id").alias("least")).groupBy("fp").agg(F.min("least").alias("least"), salt_bits("salt").alias("salts")))
-    roots = components(near_links(points.select("fp")))
-    rooted = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "least", "salts", F.coalesce("root", "fp").alias("root"))
+    rooted = settle(_rooted(points))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     known = per_salt(rooted.join(ids, "root").select("fp", "salts", "component_id"), "salts")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
@@ -188,6 +198,13 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group stays, that with the smallest id, with all its columns; rows without an id stay."""
-    gone = simhash_groups(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """One row of each group stays, with all its columns: of the rows with the smallest id any one; null ids go last.
+
+    Rows are told apart by a key of their own on a settled copy, as ids may be null or repeat.
+    """
+    rows = settle(docs.withColumn("__row", F.monotonically_increasing_id()))
+    prints = _prints(rows, F.col("__row"), text_col).join(rows.select(F.col("__row").alias("id"), F.col(id_col).cast("long").alias("own")), "id")
+    first = F.min(F.struct(F.col("own").isNull().alias("nameless"), "own", F.col("id").alias("row"))).alias("first")
+    points = settle(prints.groupBy("fp", "salt").agg(first).groupBy("fp").agg(F.min("first").alias("first")))
+    kept = settle(_rooted(points).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row")))
+    return rows.join(kept, "__row", "left_semi").drop("__row")

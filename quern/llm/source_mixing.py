@@ -39,6 +39,12 @@ def _weight(level: str, weights: dict[str, dict[str, int]]) -> Column:
     return found
 
 
+def leaf_of(lang_col: str, source_col: str) -> dict[str, Column]:
+    """A row's domain, language and source."""
+    name = lambda c: F.coalesce(F.col(c), F.lit(UNKNOWN))
+    return {"domain": domain_of(F.col(source_col)), "lang": name(lang_col), "source": name(source_col)}
+
+
 def shared_out(nodes: DataFrame, parents: list[str], level: str, weights: dict[str, dict[str, int]]) -> DataFrame:
     """``nodes(*parents, level, capacity, budget)``, budget being the parent's, with the node's own ``allowance``.
 
@@ -83,9 +89,8 @@ def mixed(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 2, seed:
     empty one. Documents without tokens are taken where the prefix reaches
     them. An empty table gives an empty result; other columns are ignored.
     """
-    name = lambda c: F.coalesce(F.col(c), F.lit(UNKNOWN))
     tokens = F.expr(f"cast(regexp_count(coalesce(`{text_col}`, ''), '{WORD}') as bigint)")
-    counted = settle(docs.select(F.col(id_col).alias("id"), domain_of(F.col(source_col)).alias("domain"), name(lang_col).alias("lang"), name(source_col).alias("source"), tokens.alias("tokens")))
+    counted = settle(docs.select(F.col(id_col).alias("id"), *(value.alias(c) for c, value in leaf_of(lang_col, source_col).items()), tokens.alias("tokens")))
     supply = settle(counted.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")))
     plan = allowances(supply, budget_share, max_epochs, weights).withColumnRenamed("tokens", "supply")
     plan = plan.withColumn("full", F.when(F.col("supply") > 0, F.floor(F.col("allowance") / F.col("supply"))).otherwise(0).cast("long"))
@@ -101,7 +106,14 @@ def mixed(docs: DataFrame, budget_share: float = 0.5, max_epochs: int = 2, seed:
     return taken.where("copies > 0").select(F.col("id").alias(id_col), *LEVELS, F.col("tokens").alias("n_tokens"), epochs)
 
 
-def mix(docs: DataFrame, budget_share: float = 0.9, id_col: str = "doc_id", **params) -> DataFrame:
-    """The rows of ``docs`` that a single epoch takes, with all their columns."""
-    taken = mixed(docs, budget_share, max_epochs=1, id_col=id_col, **params).select(F.col(id_col).alias("__taken")).distinct()
-    return docs.join(taken, docs[id_col].eqNullSafe(taken["__taken"]), "left_semi")
+def mix(docs: DataFrame, budget_share: float = 0.9, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", **params) -> DataFrame:
+    """The rows of ``docs`` that a single epoch takes, with all their columns.
+
+    A row is taken with its leaf and id, which together decide its place;
+    rows of one leaf that share an id, or have none, are taken or left together.
+    """
+    leaf = leaf_of(lang_col, source_col)
+    taken = mixed(docs, budget_share, max_epochs=1, id_col=id_col, lang_col=lang_col, source_col=source_col, **params)
+    taken = taken.select(F.col(id_col).alias("__id"), *(F.col(c).alias(f"__{c}") for c in LEVELS)).distinct()
+    same = [docs[id_col].eqNullSafe(taken["__id"]), *(value == taken[f"__{c}"] for c, value in leaf.items())]
+    return docs.join(taken, same, "left_semi")

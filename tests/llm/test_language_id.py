@@ -85,3 +85,41 @@ def test_rows_are_accepted_by_their_own_text(spark):
     got = L.accepted(docs)
     assert got.columns == docs.columns
     assert sorted((r.doc_id or -1, r.text) for r in got.collect()) == sorted((i or -1, t) for i, t, *_ in known)
+
+
+def test_probabilities_match_a_network_run_unit_by_unit():
+    """The recurrences written out for one byte and one unit at a time."""
+    import math
+
+    net = L.Network(["a", "b"], hidden=3, window=8)
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+
+    def run(cell, raw):
+        k, h, out = cell.hidden, [0.0] * cell.hidden, []
+        for byte in raw:
+            dot = lambda row: sum(float(cell.state[row, j]) * h[j] for j in range(k))
+            z = [sigmoid(cell.byte[i, byte] + dot(i)) for i in range(k)]
+            r = [sigmoid(cell.byte[k + i, byte] + dot(k + i)) for i in range(k)]
+            n = [math.tanh(cell.byte[2 * k + i, byte] + r[i] * dot(2 * k + i)) for i in range(k)]
+            h = [(1 - z[i]) * n[i] + z[i] * h[i] for i in range(k)]
+            out.append(h)
+        return out
+
+    for text in (b"x", b"hello wo", "déjà vu, 日本".encode()):
+        total = [0.0, 0.0]
+        for a in range(0, len(text), 8):
+            part = [*text[a : a + 8]]
+            padded = part + [L.FILL] * (8 - len(part))
+            ahead, back = run(net.ahead, padded), run(net.back, padded[::-1])[::-1]
+            for f, g in list(zip(ahead, back))[: len(part)]:
+                s = [math.exp(sum(float(w) * v for w, v in zip(net.out[c], f + g)) + float(net.bias[c, 0])) for c in range(2)]
+                total = [t + x / sum(s) for t, x in zip(total, s)]
+        assert np.allclose(net.pooled([text])[0], [t / len(text) for t in total], atol=1e-5)
+
+
+def test_no_sample_is_no_network(spark):
+    same = spark.range(4000).selectExpr("cast(null as long) as doc_id", "'a b c' as text", "'xa' as lang", "'s' as source", "5L as n_chars")
+    network = L.train(same, F.lit(True), per_label=3)
+    names = {r.lang_pred for r in L.identify(same, network).collect()}
+    assert names == ({L.UNDETERMINED} if network is None else {"xa"})
+    assert L.train(same.limit(0), F.lit(True)) is None

@@ -99,3 +99,78 @@ def test_awkward_rows(spark):
     assert [(r.n_words, r.base_failed, r.kept) for r in R.rules(nulls, none).collect()] == [(0, True, False)] * 2
     assert len({r.score for r in Q.quality(nulls, none).collect()}) == 1
     assert R.rules(docs.limit(0), none).count() == Q.quality(docs.limit(0), none).count() == 0
+
+
+def brute_slots(text):
+    """The distinct slots of a text, one n-gram at a time."""
+    raw, words, out = (text or "").encode(), (text or "").split(), set()
+    for n, offset in ((1, None), (2, 1 << 24), (3, 1 << 25)):
+        for i in range(len(raw) - n + 1):
+            value = int.from_bytes(raw[i : i + n], "big")
+            out.add(value if n == 1 else ((value + offset) * Q.MULTIPLIER & 0xFFFFFFFF) >> 14)
+    for i in range(len(words) - 2 if raw else 0):
+        a, b, c = words[i : i + 3]
+        out.add((c == b) * 2 + (b == a) + (c == a) * 4 + 256)
+    for i in range(len(words) - 4 if raw else 0):
+        w = words[i : i + 5]
+        out.add((w[4] == w[3]) * 8 + (w[3] == w[2]) * 4 + (w[2] == w[1]) * 2 + (w[1] == w[0]) + 264)
+    return sorted(out)
+
+
+def test_scores_match_brute_force(spark):
+    """The model fitted from plain Python n-gram sets of the labelled rows scores every row as the query does."""
+    docs, labels = corpus(n=240)
+    docs += [(1000 + i, t, None, None, None) for i, t in enumerate(awkward_texts()) if len(t or "") < 5000]
+    got = {r["doc_id"]: r["score"] for r in rows(Q.quality(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)), "doc_id")}
+    learn = [(i, y) for i, y, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    texts = {d[0]: d[1] for d in docs}
+    model = Q.fit([np.array(brute_slots(texts[i]), np.int32) for i, _ in learn], np.array([y for _, y in learn]))
+    for i, text in texts.items():
+        slots = brute_slots(text)
+        margin = sum(model.weight[s] for s in slots) / len(slots) + model.bias if slots else model.bias
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(model.slope * margin + model.shift, -30, 30)))) < 1e-9
+
+
+def test_packed_slots_come_back():
+    for n in (0, 5, 8191, 8192, 8193, 200_000):
+        slots = np.sort(np.random.default_rng(n).choice(Q.SLOTS, n, replace=False)).astype(np.int32)
+        assert len(Q.packed(slots)) <= Q.SLOTS // 8 and (Q.unpacked(Q.packed(slots)) == slots).all()
+
+
+def test_an_id_with_many_texts_teaches_once(spark):
+    docs, labels = corpus(n=200)
+    again = docs + [(docs[0][0], f"{docs[0][1]} {k}", None, None, None) for k in range(50)]
+    got = rows(Q.quality(spark.createDataFrame(again, DOCS), spark.createDataFrame(labels, LABELS)), "doc_id")
+    assert len(got) == 250
+
+
+def test_verdicts_match_brute_force(spark):
+    """Path lengths walked node by node, and the threshold by sorting the labelled scores."""
+    docs, labels = corpus(n=300, every=20)
+    frame = spark.createDataFrame(docs, DOCS)
+    got = rows(R.rules(frame, spark.createDataFrame(labels, LABELS)), "doc_id")
+    counts = np.array([R.statistics(d[1]) for d in docs])
+    failed = np.array([c[0] < 50 or 100 * c[4] > 50 * c[0] for c in counts.tolist()])
+    passed = spark.createDataFrame([(d[0], *map(int, c)) for d, c, f in zip(docs, counts, failed) if not f], "id long, " + ", ".join(f"{c} long" for c in [*R.COUNTS, *R.MORE]))
+    pool, times = R.drawn(passed)
+    assert len(pool) == (~failed).sum() and set(times) == {1}
+    forest = R.isolation_forest(R.features(pool), times)
+
+    def path(tree, x):
+        feature, cut, left, right, length = tree
+        node = 0
+        while feature[node] >= 0:
+            node = left[node] if x[feature[node]] < cut[node] else right[node]
+        return length[node]
+
+    scores = [2 ** -(np.mean([path(t, x) for t in forest.trees]) / forest.norm) for x in R.features(counts)]
+    good = sorted(int(np.ceil(s * R.STEPS)) for s, f, y in zip(scores, failed, labels) if not f and y[1] == 1)
+    most = good[int(np.ceil(R.KEEP * len(good))) - 1] / R.STEPS
+    assert [r["kept"] for r in got] == [bool(not f and s <= most) for s, f in zip(scores, failed)]
+
+
+def test_draws_of_equal_rows_travel_as_one(spark):
+    same = spark.range(20_000).selectExpr("cast(null as long) as id", *(f"60L as {c}" for c in [*R.COUNTS, *R.MORE]))
+    pool, times = R.drawn(same, 50_000)
+    assert len(pool) == 1 and times.tolist() == [20_000]
+    assert len(R.isolation_forest(R.features(pool), times, trees=3).trees) == 3
