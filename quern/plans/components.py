@@ -3,19 +3,30 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.plans.salting import per_salt, salt_bits, salt_of
 from quern.plans.staging import settle
 
 
+def _minima(edges: DataFrame) -> DataFrame:
+    """(u, m, salts): the smallest v of each u, found per salt of v first, and the salts that u's edges have."""
+    by_salt = edges.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    return by_salt.groupBy("u").agg(F.min("m").alias("m"), salt_bits("salt").alias("salts"))
+
+
+def _salted(edges: DataFrame) -> DataFrame:
+    return edges.withColumn("salt", salt_of("v"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    both = _salted(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    least = _minima(both).select("u", F.least("u", "m").alias("m"), "salts")
+    return both.where("v > u").join(per_salt(least, "salts"), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    others = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    down = _salted(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    least = _minima(down)
+    others = down.join(per_salt(least, "salts"), ["u", "salt"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -25,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps: the edges shrink towards one
     star for each component in a number of rounds that grows with the
     logarithm of the size. Each round is a stage table. Self-loops and edges
-    with a null end are left out.
+    with a null end are left out. A hub's edges are dealt over salts of their
+    other ends, so no task has to take all of them.
     """
     edges = settle(edges.where("u <> v").select("u", "v").distinct())
     before = None
