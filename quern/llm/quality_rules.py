@@ -2,8 +2,10 @@
 
 Every whole text gives a row of statistics. Trees of random splits, each grown
 on its own subsample of all rows, isolate rows; a row that few splits isolate
-is anomalous. The threshold on the anomaly score is calibrated from labelled
-rows: the lowest that keeps a stated share of the good ones.
+is anomalous. One forest sees what texts are made of, another how they repeat
+themselves, as rare but harmless repeats would drown the former's anomalies.
+The threshold on each anomaly score is calibrated from labelled rows: the
+lowest that keeps a stated share of the good ones.
 """
 
 from collections.abc import Iterator
@@ -23,11 +25,14 @@ BLANKS = b" \t\n\x0b\x0c\r"
 OTHERS = bytes(b for b in range(256) if b >= 0x80 or chr(b).isalnum())
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_upper", "n_marks"]
-#: Shares that the forest sees, each of two counts.
-RATIOS = [("word_chars", "n_words"), ("n_symbols", "n_words"), ("n_dup_lines", "n_words"), ("n_repeat_words", "n_words"), ("n_upper", "word_chars"), ("n_marks", "n_words")]
+#: For each forest the shares that it sees, each of two counts.
+FORESTS = {
+    "anomaly": [("word_chars", "n_words"), ("n_symbols", "n_words"), ("n_upper", "word_chars"), ("n_marks", "n_words")],
+    "repetition": [("n_dup_lines", "n_words"), ("n_repeat_words", "n_words")],
+}
 LEAST_WORDS, MOST_REPEATED = 50, 50
 TREES, SUBSAMPLE = 200, 256
-#: Share of the good labelled rows that the threshold keeps at least, and the steps in which scores are counted.
+#: Share of the good labelled rows that each threshold keeps at least, and the steps in which scores are counted.
 KEEP, STEPS = 0.995, 2000
 
 
@@ -59,11 +64,11 @@ def statistics(text: str | None) -> list[int]:
     return [len(words), tails, symbols, len(lines) - len(set(lines)), repeated_words(ids), upper, marks]
 
 
-def features(counts: np.ndarray) -> np.ndarray:
-    """Rows of COUNTS + MORE as the forest sees them."""
+def features(counts: np.ndarray, name: str = "anomaly") -> np.ndarray:
+    """Rows of COUNTS + MORE as a forest sees them."""
     at = {c: i for i, c in enumerate([*COUNTS, *MORE])}
     c = counts.astype(np.float64)
-    return np.column_stack([c[:, at[a]] / np.maximum(1, c[:, at[b]]) for a, b in RATIOS])
+    return np.column_stack([c[:, at[a]] / np.maximum(1, c[:, at[b]]) for a, b in FORESTS[name]])
 
 
 def expected_path(n: int) -> float:
@@ -148,33 +153,38 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), *(pa.array(found[:, i]) for i in range(found.shape[1]))], names=["id", *COUNTS, *MORE])
 
 
-def _scorer(forest: Forest):
+def _scorer(forests: dict[str, Forest]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = np.column_stack([batch.column(i).to_numpy() for i in range(1, batch.num_columns)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forest.scores(features(counts)))], names=[*batch.schema.names, "anomaly"])
+            found = [pa.array(forest.scores(features(counts, name))) for name, forest in forests.items()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, *forests])
 
     return score
 
 
-def threshold(scored: DataFrame, labels: DataFrame, keep: float = KEEP) -> float:
-    """The lowest step of the anomaly score that at least ``keep`` of the rows labelled good stay at or below; without such rows 1."""
-    step = F.ceil(F.col("anomaly") * STEPS).cast("int")
+def thresholds(scored: DataFrame, labels: DataFrame, keep: float = KEEP) -> dict[str, float]:
+    """For each forest the lowest step of its score that at least ``keep`` of the rows labelled good stay at or below; without such rows 1."""
+    steps = F.explode(F.array(*(F.struct(F.lit(name).alias("forest"), F.ceil(F.col(name) * STEPS).cast("int").alias("step")) for name in FORESTS))).alias("s")
     good = one_label_each(labels, "quality").where("label = 1").select("id")
-    counts = scored.join(good, "id", "left_semi").groupBy(step.alias("step")).count().collect()  # STEPS rows at most
-    upto, total = 0, sum(r["count"] for r in counts)
-    for r in sorted(counts, key=lambda r: r["step"]):
-        upto += r["count"]
-        if upto >= keep * total:
-            return r["step"] / STEPS
-    return 1.0
+    counts = scored.join(good, "id", "left_semi").select(steps).groupBy("s.forest", "s.step").count().collect()  # STEPS rows a forest at most
+    out = dict.fromkeys(FORESTS, 1.0)
+    for name in FORESTS:
+        own = sorted((r["step"], r["count"]) for r in counts if r["forest"] == name)
+        upto = 0
+        for step, n in own:
+            upto += n
+            if upto >= keep * sum(n for _, n in own):
+                out[name] = step / STEPS
+                break
+    return out
 
 
 def rules(docs: DataFrame, labels: DataFrame, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the id, COUNTS, base_failed, kept and anomaly.
+    """One row per row of ``docs``: the id, COUNTS, base_failed, kept, anomaly and repetition.
 
     base_failed: fewer than LEAST_WORDS words, or more than MOST_REPEATED per
-    cent of them in repeated windows. The forest grows on texts that pass the
+    cent of them in repeated windows. The forests grow on texts that pass the
     base rules; others are not kept anyway. A null text counts as empty and
     fails; very long texts are counted whole. Rows with equal statistics get
     equal verdicts, a score on the threshold is kept, and of conflicting
@@ -188,7 +198,10 @@ def rules(docs: DataFrame, labels: DataFrame, keep: float = KEEP, id_col: str =
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     passed = counts.where(~failed)
     pool, times = drawn(passed)
-    forest = isolation_forest(features(pool), times)
-    scored = settle(counts.mapInArrow(_scorer(forest), f"id long, {every}, anomaly double"))
-    most = threshold(scored.where(~failed), labels.withColumnRenamed(id_col, "doc_id"), keep)
-    return scored.select(F.col("id").alias(id_col), *COUNTS, failed.alias("base_failed"), (~failed & (F.col("anomaly") <= most)).alias("kept"), "anomaly")
+    forests = {name: isolation_forest(features(pool, name), times) for name in FORESTS}
+    scored = settle(counts.mapInArrow(_scorer(forests), f"id long, {every}, " + ", ".join(f"{name} double" for name in FORESTS)))
+    most = thresholds(scored.where(~failed), labels.withColumnRenamed(id_col, "doc_id"), keep)
+    kept = ~failed
+    for name, line in most.items():
+        kept &= F.col(name) <= line
+    return scored.select(F.col("id").alias(id_col), *COUNTS, failed.alias("base_failed"), kept.alias("kept"), *FORESTS)
