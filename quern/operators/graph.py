@@ -2,9 +2,10 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.space import haversine_km
 from quern.plans.components import components
 from quern.plans.staging import settle
 
@@ -18,19 +19,61 @@ def grid_edges(cells: DataFrame, values: list[str], width: int | None = None) ->
     return one.join(near, ["x", "y"]).withColumnsRenamed({"x": "x1", "y": "y1"})
 
 
-def grid_components(cells: DataFrame, width: int) -> DataFrame:
-    """(node, root) of cells that touch by an edge, with columns wrapping at ``width``; a node is y * width + x."""
+def corner_edges(cells: DataFrame, width: int) -> DataFrame:
+    """(u, v) of cells that touch by a corner, where both cells beside the corner are there too; a node is y * width + x, columns wrap."""
+    at = lambda dx, dy: (F.col("y") + dy) * width + F.pmod(F.col("x") + dx, F.lit(width))
+    steps = [F.struct(at(0, 0).alias("u"), at(dx, 1).alias("v"), at(dx, 0).alias("p"), at(0, 1).alias("q")) for dx in (1, -1)]
+    asked = cells.select(F.inline(F.array(*steps)))
+    node = cells.select(at(0, 0).alias("node"))
+    for end in ("v", "p", "q"):
+        asked = asked.join(node.withColumnRenamed("node", end), end, "left_semi")
+    return asked.select("u", "v")
+
+
+def grid_components(cells: DataFrame, width: int, corners: bool = False) -> DataFrame:
+    """(node, root) of cells that touch by an edge, or also by an open corner, with columns wrapping at ``width``; a node is y * width + x."""
     name = lambda k: F.col(f"y{k}") * width + F.col(f"x{k}")
-    linked = components(grid_edges(cells, [], width).select(name(1).alias("u"), name(2).alias("v")))
+    links = grid_edges(cells, [], width).select(name(1).alias("u"), name(2).alias("v"))
+    linked = components(links.union(corner_edges(cells, width)) if corners else links)
     every = cells.select((F.col("y") * width + F.col("x")).alias("node"))
     return every.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def block_contacts(cells: DataFrame, size: int, per_row: int) -> DataFrame:
-    """(lo, hi, contacts): edges between cells of different blocks of size x size cells."""
-    block = lambda k: F.floor(F.col(f"y{k}") / size) * per_row + F.floor(F.col(f"x{k}") / size)
-    pairs = grid_edges(cells, []).select(block(1).alias("p"), block(2).alias("q")).where("p <> q")
-    return pairs.groupBy(F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi")).agg(F.count("*").alias("contacts"))
+def coarsened(cells: DataFrame, size: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, contacts) of a grid in blocks of size x size cells, columns wrapping at ``width``.
+
+    nodes(cell, block, node): a block's cells that touch by edges within it
+    are one node, named by its first cell. contacts(lo, hi, contacts): edges
+    between cells of nodes of different blocks.
+    """
+    per_row = -(-width // size)
+    name = lambda k: F.col(f"y{k}") * width + F.col(f"x{k}")
+    block = lambda x, y: F.floor(y / size) * per_row + F.floor(x / size)
+    touching = grid_edges(cells, [], width).select(name(1).alias("u"), name(2).alias("v"), block(F.col("x1"), F.col("y1")).alias("p"), block(F.col("x2"), F.col("y2")).alias("q"), (F.abs(F.col("x1") - F.col("x2")) > 1).alias("around"))
+    inside = components(touching.where("p = q and not around").select("u", "v"))
+    every = cells.select((F.col("y") * width + F.col("x")).alias("cell"), block(F.col("x"), F.col("y")).alias("block"))
+    nodes = settle(every.join(inside.withColumnRenamed("node", "cell"), "cell", "left").select("cell", "block", F.coalesce("root", "cell").alias("node")))
+    of = lambda k: nodes.select(F.col("cell").alias(k), F.col("node").alias(f"n{k}"))
+    across = touching.where("p <> q").join(of("u"), "u").join(of("v"), "v")
+    return nodes, across.groupBy(F.least("nu", "nv").alias("lo"), F.greatest("nu", "nv").alias("hi")).agg(F.count("*").alias("contacts"))
+
+
+def nearest_and_tree(distances: DataFrame, k: int, power: float) -> DataFrame:
+    """Laplacian entries (i, j, value) of the k nearest neighbours of each node joined with the minimum spanning tree.
+
+    ``distances(a, b, d)`` has each pair once, in km; an edge conducts
+    (d / 1000) ** -power. The tree keeps the graph in one piece.
+    """
+    both = distances.union(distances.select("b", "a", "d"))
+    near = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= k)
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
+    tree = spanning_forest(distances.select(F.lit(0).alias("g"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("d").alias("w")), "g").select("a", "b", F.col("w").alias("d"))
+    return laplacian(near.union(tree).distinct().select("a", "b", F.pow(F.col("d") / 1000, F.lit(-power)).alias("w")))
+
+
+def edge_conductance(k1, k2, lat1, lon1, lat2, lon2):
+    """Harmonic mean of the cells' conductances over the great-circle distance of their centres, in km."""
+    return 2 / (1 / k1 + 1 / k2) / haversine_km(lat1, lon1, lat2, lon2)
 
 
 def laplacian(edges: DataFrame) -> DataFrame:
@@ -81,35 +124,54 @@ def resistances(edges: DataFrame, by: str) -> DataFrame:
     return edges.groupBy(by).applyInPandas(solve, f"{by} {kinds[by]}, a {kinds['a']}, b {kinds['b']}, resistance double")
 
 
-def pair_resistance(edges: DataFrame, source: int, sink: int, rounds: int = 60, tolerance: float = 1e-10) -> DataFrame:
-    """Effective resistance between two nodes of a graph of any size, by conjugate gradients whose vectors are tables.
+def terminal_resistance(edges: DataFrame, terminals: DataFrame, pairs: list[tuple[int, int]], rounds: int = 2000, tolerance: float = 1e-9) -> DataFrame:
+    """(a, b, resistance) between sites whose current enters a graph (a, b, w) of any size at several nodes.
 
-    NULL if the nodes are not connected. Each round is one join of the edges
-    with the direction and a few sums.
+    ``terminals(site, node, weight)``: a site's weights sum to 1, duplicates
+    are summed. For a pair of sites the resistance is
+    (wa - wb)' L+ (wa - wb), solved by conjugate gradients with the degrees as
+    preconditioner, whose vectors are tables. Fails if a site's weights do not
+    sum to 1, if the pair's terminals are not all connected, or if ``rounds``
+    do not bring the residual below ``tolerance`` times the current.
     """
     spark = edges.sparkSession
-    both = settle(edges.select("a", "b", "w").union(edges.select("b", "a", "w")).where("a <> b"))
-    root = components(both.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    mine = root.where(F.col("node") == source).select("root")
-    nodes = root.join(mine, "root", "left_semi").select(F.col("node").alias("k"))
-    if nodes.where(F.col("k").isin(source, sink)).count() < 2:
-        return spark.createDataFrame([(source, sink, None)], "a long, b long, resistance double")
-    degree = both.groupBy(F.col("a").alias("k")).agg(F.sum("w").alias("deg"))
-    start = F.when(F.col("k") == source, 1.0).when(F.col("k") == sink, -1.0).otherwise(0.0)
-    state = settle(nodes.join(degree, "k").select("k", "deg", F.lit(0.0).alias("x"), start.alias("r"), start.alias("p")))
-    rr = 2.0
-    for _ in range(rounds):
-        flow = both.join(state.select(F.col("k").alias("b"), F.col("p").alias("q")), "b").groupBy(F.col("a").alias("k")).agg(F.sum(F.col("w") * F.col("q")).alias("in"))
-        ap = state.join(flow, "k", "left").withColumn("ap", F.col("deg") * F.col("p") - F.coalesce("in", F.lit(0.0)))
-        ap = settle(ap.drop("in"))
-        curve = ap.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
-        if not curve:
-            break
-        step = rr / curve
-        moved = ap.select("k", "deg", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("ap")).alias("r"), "p")
-        now = moved.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
-        state = settle(moved.withColumn("p", F.col("r") + now / rr * F.col("p")))
-        rr = now
-        if rr < tolerance:
-            break
-    return state.agg(F.lit(source).cast("long").alias("a"), F.lit(sink).cast("long").alias("b"), F.round(F.sum(F.when(F.col("k") == source, F.col("x")).when(F.col("k") == sink, -F.col("x"))), 6).alias("resistance"))
+    both = settle(edges.select("a", "b", "w").union(edges.select("b", "a", "w")).where("a <> b").groupBy("a", "b").agg(F.sum("w").alias("w")))
+    root = settle(components(both.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    weights = settle(terminals.groupBy("site", F.col("node").alias("k")).agg(F.sum("weight").alias("weight")))
+    degree = settle(both.groupBy(F.col("a").alias("k")).agg(F.sum("w").alias("deg")))
+    out = []
+    for a, b in pairs:
+        ends = settle(weights.where(F.col("site").isin(a, b)))
+        sums = {r["site"]: r["s"] for r in ends.groupBy("site").agg(F.sum("weight").alias("s")).collect()}
+        if any(abs(sums.get(x, 0.0) - 1) > 1e-9 for x in (a, b)):
+            raise ValueError(f"the weights of sites {a} and {b} sum to {sums}, not to 1")
+        roots = ends.join(root.withColumnRenamed("node", "k"), "k", "left").select("root").distinct().collect()
+        if len(roots) != 1 or roots[0]["root"] is None:
+            raise ValueError(f"the terminals of sites {a} and {b} are not connected")
+        current = ends.groupBy("k").agg(F.sum(F.when(F.col("site") == a, F.col("weight")).otherwise(-F.col("weight"))).alias("c"))
+        nodes = root.where(F.col("root") == roots[0]["root"]).select(F.col("node").alias("k"))
+        r = F.coalesce("c", F.lit(0.0))
+        state = settle(nodes.join(degree, "k").join(current, "k", "left").select("k", "deg", r.alias("c"), F.lit(0.0).alias("x"), r.alias("r"), (r / F.col("deg")).alias("p")))
+        inner = F.sum(F.col("r") * F.col("r") / F.col("deg"))
+        rz = first = state.agg(inner).first()[0] or 0.0
+        done = 0
+        while rz > tolerance * tolerance * first and rz > 0:
+            if done == rounds:
+                raise RuntimeError(f"no convergence after {rounds} rounds: residual {rz} of {first}")
+            done += 1
+            flow = both.join(state.select(F.col("k").alias("b"), F.col("p").alias("q")), "b").groupBy(F.col("a").alias("k")).agg(F.sum(F.col("w") * F.col("q")).alias("in"))
+            ap = settle(state.join(flow, "k", "left").withColumn("ap", F.col("deg") * F.col("p") - F.coalesce("in", F.lit(0.0))).drop("in"))
+            step = rz / ap.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
+            moved = ap.select("k", "deg", "c", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("ap")).alias("r"), "p")
+            now = moved.agg(inner).first()[0]
+            state = settle(moved.withColumn("p", F.col("r") / F.col("deg") + now / rz * F.col("p")))
+            rz = now
+        out.append((a, b, round(state.agg(F.sum(F.col("c") * F.col("x"))).first()[0] or 0.0, 6)))
+    return spark.createDataFrame(out, "a long, b long, resistance double")
+
+
+def pair_resistance(edges: DataFrame, source: int, sink: int, **limits) -> DataFrame:
+    """Effective resistance between two nodes; fails if they are not connected."""
+    spark = edges.sparkSession
+    ends = spark.createDataFrame([(source, source, 1.0), (sink, sink, 1.0)], "site long, node long, weight double")
+    return terminal_resistance(edges, ends, [(source, sink)], **limits)

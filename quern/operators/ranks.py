@@ -3,22 +3,57 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def average_rank(x: str, by: list[str]) -> Column:
-    """Rank within ``by``; equal values share the mean of their ranks."""
-    ties = Window.partitionBy(*by, x)
-    return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count("*").over(ties) - 1) / 2
-
-
-def zscore(x: str, by: list[str]) -> Column:
-    """Standard score with the population deviation; 0 where nothing varies."""
-    w = Window.partitionBy(*by)
-    sd = F.stddev_pop(x).over(w)
-    return F.when(sd > 1.5e-8, (F.col(x) - F.avg(x).over(w)) / F.when(sd > 1.5e-8, sd)).otherwise(0.0)
-
-
-def centred(x: str, by: list[str]) -> Column:
-    return F.col(x) - F.avg(x).over(Window.partitionBy(*by))
+from quern.plans.staging import settle
+
+
+def value_counts(df: DataFrame, by: list[str], x: str) -> DataFrame:
+    """(*by, x, n, before): how often each value occurs in its group and how many rows have smaller ones; NULL values are left out.
+
+    Rows are counted on the map side first. The different values are then
+    dealt by ranges, and sums run within a range and over the ranges' totals,
+    so no task takes a whole group however few groups there are.
+    """
+    counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("n"))
+    ranged = settle(counts.repartitionByRange(*by, x).withColumn("_range", F.spark_partition_id()))
+    totals = ranged.groupBy(*by, "_range").agg(F.sum("n").alias("t"))
+    earlier = F.sum("t").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = totals.select(*by, "_range", F.coalesce(earlier, F.lit(0)).alias("_start"))
+    within = F.sum("n").over(Window.partitionBy(*by, "_range").orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
+    summed = ranged.withColumn("_within", F.coalesce(within, F.lit(0)))
+    return summed.join(starts, [*by, "_range"]).select(*by, x, "n", (F.col("_start") + F.col("_within")).alias("before"))
+
+
+def with_average_ranks(df: DataFrame, by: list[str], ranks: dict[str, str]) -> DataFrame:
+    """``df`` with, for each ``new: x`` of ``ranks``, the rank of x within ``by``; equal values share the mean of their ranks, NULL has none."""
+    for new, x in ranks.items():
+        ranked = value_counts(df, by, x).select(*by, x, (F.col("before") + (F.col("n") + 1) / 2).alias(new))
+        df = df.join(ranked, [*by, x], "left")
+    return df
+
+
+def exact_quantiles(df: DataFrame, by: list[str], x: str, qs: dict[str, float]) -> DataFrame:
+    """(*by, *qs) with linear interpolation between the two order statistics around q * (n - 1)."""
+    counts = settle(value_counts(df, by, x))
+    sizes = counts.groupBy(*by).agg(F.sum("n").alias("_all"))
+    placed = counts.join(sizes, by)
+    place = lambda q: F.lit(q) * (F.col("_all") - 1)
+    holds = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
+    ends = [F.max(F.when(holds(f(place(q))), F.col(x))).alias(f"_{side}_{name}") for name, q in qs.items() for side, f in (("lo", F.floor), ("hi", F.ceil))]
+    found = placed.groupBy(*by).agg(F.max("_all").alias("_all"), *ends)
+    value = lambda name, q: F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (place(q) - F.floor(place(q)))
+    return found.select(*by, *[value(name, q).alias(name) for name, q in qs.items()])
+
+
+def with_zscore(df: DataFrame, by: list[str], x: str, new: str) -> DataFrame:
+    """``df`` with the standard score by the population deviation; 0 where nothing varies."""
+    moments = df.groupBy(*by).agg(F.avg(x).alias("_mean"), F.stddev_pop(x).alias("_sd"))
+    score = F.when(F.col("_sd") > 1.5e-8, (F.col(x) - F.col("_mean")) / F.when(F.col("_sd") > 1.5e-8, F.col("_sd"))).otherwise(0.0)
+    return df.join(moments, by).withColumn(new, score).drop("_mean", "_sd")
+
+
+def with_centred(df: DataFrame, by: list[str], x: str, new: str) -> DataFrame:
+    """``df`` with x less its group's mean."""
+    return df.join(df.groupBy(*by).agg(F.avg(x).alias("_mean")), by).withColumn(new, F.col(x) - F.col("_mean")).drop("_mean")
 
 
 def tertile(count: str, key: str, by: list[str]) -> Column:

@@ -6,6 +6,10 @@ from pyspark.sql import functions as F
 from quern.operators.aggregates import r6, ratio
 
 
+#: Groups of which all pairs may be asked for.
+MOST_GROUPS = 50_000
+
+
 def shared_counts(incidence: DataFrame, group: str, item: str) -> DataFrame:
     """(a, b, shared) for all pairs of groups a < b that share an item: the off-diagonal of the incidence times its transpose.
 
@@ -18,7 +22,13 @@ def shared_counts(incidence: DataFrame, group: str, item: str) -> DataFrame:
 
 
 def pair_overlaps(incidence: DataFrame, groups: DataFrame, group: str, item: str) -> DataFrame:
-    """All pairs a < b of ``groups`` with na, nb, shared and union; pairs that share nothing included."""
+    """All pairs a < b of ``groups`` with na, nb, shared and union; pairs that share nothing included.
+
+    As all pairs are wanted, the groups have to be few: beyond MOST_GROUPS it fails.
+    """
+    n = groups.count()
+    if n > MOST_GROUPS:
+        raise ValueError(f"{n} groups have too many pairs; {MOST_GROUPS} are the most")
     sizes = groups.select(group).join(incidence.groupBy(group).agg(F.count("*").alias("n")), group, "left").select(group, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
     a, b = sizes.select(F.col(group).alias("a"), F.col("n").alias("na")), sizes.select(F.col(group).alias("b"), F.col("n").alias("nb"))
     pairs = a.join(b, F.col("a") < F.col("b")).join(shared_counts(incidence, group, item), ["a", "b"], "left")

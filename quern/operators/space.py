@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.plans.staging import settle
+
 EARTH_KM = 6371.0088
 
 
@@ -40,6 +42,86 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float = 10.0) ->
     return points.join(found, "id", "left").select("id", F.coalesce("code", F.lit(-1)).alias("code"), F.coalesce("hits", F.lit(0).cast("long")).alias("hits"))
 
 
+def ring_edges(rings: Column) -> Column:
+    """array<struct<x1, y1, x2, y2>> of rings given as array<array<struct<x, y>>>; a ring that is left open is closed."""
+    edge = lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))
+    of_ring = lambda r: F.transform(r, lambda p, k: edge(p, F.get(r, F.pmod(k + 1, F.size(r)))))
+    return F.flatten(F.transform(rings, of_ring))
+
+
+def polygon_boxes(polygons: DataFrame) -> DataFrame:
+    """``polygons(code, rings)`` with their edges and bounding boxes."""
+    end = lambda f, axis: F.array_min(F.transform("edges", lambda e: e[axis])) if f == "min" else F.array_max(F.transform("edges", lambda e: e[axis]))
+    edged = polygons.withColumn("edges", ring_edges(F.col("rings"))).drop("rings")
+    return edged.withColumns({"west": end("min", "x1"), "east": end("max", "x1"), "south": end("min", "y1"), "north": end("max", "y1")})
+
+
+def _turn(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
+    return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+
+
+def _within(x: Column, y: Column, e: Column) -> Column:
+    return x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
+
+
+def covers(edges: Column, x: Column, y: Column) -> Column:
+    """Whether a polygon's edges hold a point: a ray to the east crosses an odd number of them, holes and parts included, or one of them goes through it."""
+    through = lambda e: (_turn(e["x1"], e["y1"], e["x2"], e["y2"], x, y) == 0) & _within(x, y, e)
+    meets = lambda e: x < e["x1"] + F.try_divide((e["x2"] - e["x1"]) * (y - e["y1"]), e["y2"] - e["y1"])
+    crossings = F.size(F.filter(edges, lambda e: ((e["y1"] > y) != (e["y2"] > y)) & meets(e)))
+    return (crossings % 2 == 1) | F.exists(edges, through)
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float = 10.0) -> DataFrame:
+    """Each point with the number of polygons that cover it, boundaries included, and the lowest code of them; code -1 and 0 if none.
+
+    Points and polygons meet by an equi-join on the grid cells of the
+    polygons' boxes, so no task sees all pairs.
+    """
+    celled = points.withColumn("cx", F.floor(F.col("lon") / size)).withColumn("cy", F.floor(F.col("lat") / size))
+    near = celled.join(box_cells(polygon_boxes(polygons), size), ["cx", "cy"]).where("lon between west and east and lat between south and north")
+    found = near.where(covers(F.col("edges"), F.col("lon"), F.col("lat"))).groupBy("id").agg(F.min("code").alias("code"), F.count(F.lit(1)).alias("hits"))
+    return points.join(found, "id", "left").select("id", F.coalesce("code", F.lit(-1)).alias("code"), F.coalesce("hits", F.lit(0).cast("long")).alias("hits"))
+
+
+def edges_meet(e: Column, f: Column) -> Column:
+    """Whether two edges share a point."""
+    side = lambda g, k, h: _turn(g["x1"], g["y1"], g["x2"], g["y2"], h[f"x{k}"], h[f"y{k}"])
+    on = lambda g, k, h: (side(g, k, h) == 0) & _within(h[f"x{k}"], h[f"y{k}"], g)
+    proper = (F.signum(side(e, 1, f)) * F.signum(side(e, 2, f)) < 0) & (F.signum(side(f, 1, e)) * F.signum(side(f, 2, e)) < 0)
+    return proper | on(e, 1, f) | on(e, 2, f) | on(f, 1, e) | on(f, 2, e)
+
+
+def meeting_polygons(polygons: DataFrame, size: float = 10.0) -> DataFrame:
+    """(a, b) of all pairs a < b of polygons that share a point: edges that meet, or one that holds the other."""
+    cells = box_cells(polygon_boxes(polygons), size)
+    one, two = (cells.select("cx", "cy", *[F.col(c).alias(c + k) for c in ("code", "edges", "west", "east", "south", "north")]) for k in ("1", "2"))
+    near = one.join(two, ["cx", "cy"]).where("code1 < code2 and west1 <= east2 and west2 <= east1 and south1 <= north2 and south2 <= north1").drop("cx", "cy").dropDuplicates(["code1", "code2"])
+    first = lambda k: (F.get(F.col(f"edges{k}"), 0)["x1"], F.get(F.col(f"edges{k}"), 0)["y1"])
+    meet = F.exists("edges1", lambda e: F.exists("edges2", lambda f: edges_meet(e, f)))
+    return near.where(meet | covers(F.col("edges1"), *first("2")) | covers(F.col("edges2"), *first("1"))).select(F.col("code1").alias("a"), F.col("code2").alias("b"))
+
+
+#: Search radii in turn; the last one reaches round the earth.
+RINGS = (250.0, 1000.0, 4000.0, 20100.0)
+
+
+def nearest(left: DataFrame, right: DataFrame, allowed: str = "true", rings: tuple[float, ...] = RINGS) -> DataFrame:
+    """(a, b, km): the nearest b of each a however far it is, of those that ``allowed`` (SQL on a and b) lets it have; the lowest b among equals.
+
+    Points that find none within a ring search the next one; those that still
+    search are few wherever points lie close, so wide rings meet few of them.
+    """
+    found = None
+    for km in rings:
+        best = settle(within_km(left, right, km).where(allowed).groupBy("a").agg(F.min(F.struct("km", "b")).alias("m")).select("a", "m.b", "m.km"))
+        found = best if found is None else found.union(best)
+        left = settle(left.join(best.select(F.col("a").alias("id")), "id", "left_anti"))
+        if left.isEmpty():
+            break
+    return found
+
+
 def within_km(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     """(a, b, km) of all pairs (left.id, right.id) that are at most ``km`` apart.
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.operators.aggregates import ratio
-from quern.operators.ranks import average_rank
+from quern.operators.ranks import with_average_ranks
 
 
 def log_factorials(spark: SparkSession, n: int) -> DataFrame:
@@ -20,13 +20,13 @@ def pearson(x: str, y: str, least: int = 3) -> Column:
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    ranked = df.withColumn("_x", average_rank(x, by)).withColumn("_y", average_rank(y, by))
+    ranked = with_average_ranks(df.select(*by, x, y), by, {"_x": x, "_y": y})
     return ranked.groupBy(*by).agg(pearson("_x", "_y").alias("rho"))
 
 
 def partial_spearman(df: DataFrame, by: list[str], x: str, y: str, z: str) -> DataFrame:
     """Correlation of the ranks of x and y with the ranks of z taken out of both."""
-    ranked = df.withColumns({"_x": average_rank(x, by), "_y": average_rank(y, by), "_z": average_rank(z, by)})
+    ranked = with_average_ranks(df.select(*by, x, y, z), by, {"_x": x, "_y": y, "_z": z})
     r = ranked.groupBy(*by).agg(pearson("_x", "_y").alias("xy"), pearson("_x", "_z").alias("xz"), pearson("_y", "_z").alias("yz"))
     left = (1 - F.col("xz") * F.col("xz")) * (1 - F.col("yz") * F.col("yz"))
     return r.select(*by, F.when(left > 1e-12, (F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt(F.when(left > 1e-12, left))).alias("rho"))
@@ -40,7 +40,7 @@ def two_control_slope(y: str, x: str, z: str) -> Column:
 
 def superiority(df: DataFrame, by: list[str], arm: str, x: str) -> DataFrame:
     """P(a > b) + P(a = b) / 2 between rows with and without ``arm``, and the Mann-Whitney U, both from rank sums."""
-    ranked = df.withColumn("_r", average_rank(x, by))
+    ranked = with_average_ranks(df.select(*by, arm, x), by, {"_r": x})
     n1, n0 = F.count_if(arm), F.count_if(~F.col(arm))
     u = F.sum(F.when(F.col(arm), F.col("_r"))) - n1 * (n1 + 1) / 2
     return ranked.groupBy(*by).agg(u.alias("u"), ratio(u, n1 * n0).alias("superiority"), (2 * ratio(u, n1 * n0) - 1).alias("rank_biserial"))

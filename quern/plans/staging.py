@@ -12,18 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir``, else the context's own, else a new temporary folder (tests)."""
+    """The shared folder: ``spark.checkpoint.dir``, else the context's own; in local mode, as in tests, else a new temporary folder."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="quern-")
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir()
     return root
 
 
+def _run_root(spark: SparkSession) -> str:
+    return f"{stage_root(spark)}/quern/{spark.sparkContext.applicationId}"
+
+
 def stage_path(spark: SparkSession) -> str:
-    return f"{stage_root(spark)}/quern/{uuid.uuid4().hex}"
+    return f"{_run_root(spark)}/{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -32,3 +38,9 @@ def settle(df: DataFrame) -> DataFrame:
     path = stage_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all stage tables of this application, once no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import aggregates as A
 from quern.operators.aggregates import r6, ratio
+from quern.operators.ranks import exact_quantiles
 from quern.plans.registry import query
 from quern.sources.relations import DIST, EDGES, GROUPS, OBS, POINTS, TAXA, distribution, edges, incidence, observations, points, taxa, unit_groups
 from quern.sources.tables import table
@@ -51,7 +52,8 @@ def d16_set_valued_equality(spark, d):
 
 @query(f"WITH {OBS} SELECT species, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.9), 6) AS q90 FROM obs GROUP BY 1")
 def d17_quantiles(spark, d):
-    return observations(spark, d).groupBy("species").agg(*A.quantiles("value", {"q25": 0.25, "q50": 0.5, "q90": 0.9}))
+    found = exact_quantiles(observations(spark, d), ["species"], "value", {"q25": 0.25, "q50": 0.5, "q90": 0.9})
+    return found.select("species", *[r6(q).alias(q) for q in ("q25", "q50", "q90")])
 
 
 @query(f"WITH {OBS}, r AS (SELECT species, value, row_number() OVER (PARTITION BY species ORDER BY value) AS r, count(*) OVER (PARTITION BY species) AS n FROM obs) SELECT species, value AS lower_quantile FROM r WHERE r = floor(0.9 * (n - 1)) + 1")

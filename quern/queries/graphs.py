@@ -9,15 +9,17 @@ from quern.operators import space
 from quern.operators.aggregates import r6
 from quern.plans.components import components
 from quern.plans.registry import query
+from quern.plans.staging import settle
 from quern.sources.relations import DIST, POINTS, incidence, points
 from quern.sources.tables import table
 
-LINKS = "links AS (SELECT DISTINCT p_partkey AS u, (p_partkey * 7 + 11) % 1999 AS v FROM part WHERE p_partkey % 3 = 0)"
+LINKS = "links AS (SELECT DISTINCT p_partkey AS u, p_partkey - p_partkey % 10 + p_size % 10 AS v FROM part)"
 
 
 def _links(spark, d):
+    """Each part is linked to one of its ten, so a component has ten parts at most."""
     k = F.col("p_partkey")
-    return table(spark, d, "part").where(k % 3 == 0).select(k.alias("u"), ((k * 7 + 11) % 1999).alias("v")).distinct()
+    return table(spark, d, "part").select(k.cast("long").alias("u"), (k - k % 10 + F.col("p_size") % 10).cast("long").alias("v")).distinct()
 
 
 @query(f"WITH RECURSIVE {LINKS}, sym AS (SELECT u, v FROM links WHERE u <> v UNION SELECT v, u FROM links WHERE u <> v), reach AS (SELECT u AS node, u AS root FROM sym UNION SELECT s.v, r.root FROM reach r JOIN sym s ON s.u = r.node WHERE r.root < s.v) SELECT node, min(root) AS root FROM reach GROUP BY 1")
@@ -32,14 +34,15 @@ def _cells(spark):
     return spark.range(24 * 12).select((F.col("id") % 24).alias("x"), F.floor(F.col("id") / 24).alias("y")).where("(x * 5 + y * 3) % 7 < 4")
 
 
-@query(f"WITH RECURSIVE {GRID}, c AS (SELECT y * 24 + x AS id, x, y FROM cells), sym AS (SELECT a.id AS u, b.id AS v FROM c a JOIN c b ON (a.y = b.y AND (b.x = (a.x + 1) % 24 OR a.x = (b.x + 1) % 24)) OR (a.x = b.x AND abs(a.y - b.y) = 1)), reach AS (SELECT id AS node, id AS root FROM c UNION SELECT s.v, r.root FROM reach r JOIN sym s ON s.u = r.node WHERE r.root < s.v) SELECT node, min(root) AS root FROM reach GROUP BY 1")
+@query(f"WITH RECURSIVE {GRID}, c AS (SELECT y * 24 + x AS id, x, y FROM cells), near AS (SELECT a.id AS u, b.id AS v, a.x AS ax, b.x AS bx, a.y AS ay, b.y AS yb FROM c a JOIN c b ON ((b.x - a.x + 24) % 24 IN (0, 1, 23) AND abs(a.y - b.y) <= 1 AND a.id <> b.id)), sym AS (SELECT u, v FROM near WHERE ax = bx OR ay = yb OR (EXISTS (SELECT 1 FROM cells WHERE x = bx AND y = ay) AND EXISTS (SELECT 1 FROM cells WHERE x = ax AND y = yb))), reach AS (SELECT id AS node, id AS root FROM c UNION SELECT s.v, r.root FROM reach r JOIN sym s ON s.u = r.node WHERE r.root < s.v) SELECT node, min(root) AS root FROM reach GROUP BY 1")
 def l02_grid_components(spark, d):
-    return G.grid_components(_cells(spark), 24)
+    """Eight neighbours, but none through a corner that a missing cell closes; columns wrap."""
+    return G.grid_components(_cells(spark), 24, corners=True)
 
 
-@query(f"WITH {GRID}, b AS (SELECT x, y, (y // 3) * 8 + x // 3 AS block FROM cells), p AS (SELECT a.block AS p, c.block AS q FROM b a JOIN b c ON (a.y = c.y AND c.x = a.x + 1) OR (a.x = c.x AND c.y = a.y + 1) WHERE a.block <> c.block) SELECT least(p, q) AS lo, greatest(p, q) AS hi, count(*)::BIGINT AS contacts FROM p GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {GRID}, b AS (SELECT y * 24 + x AS id, x, y, (y // 3) * 8 + x // 3 AS block FROM cells), sym AS (SELECT a.id AS u, c.id AS v FROM b a JOIN b c ON a.block = c.block AND abs(a.x - c.x) + abs(a.y - c.y) = 1), reach AS (SELECT id AS node, id AS root FROM b UNION SELECT s.v, r.root FROM reach r JOIN sym s ON s.u = r.node WHERE r.root < s.v), n AS (SELECT node AS id, min(root) AS root FROM reach GROUP BY 1), p AS (SELECT n1.root AS p, n2.root AS q FROM b a JOIN b c ON a.block <> c.block AND ((a.y = c.y AND c.x = (a.x + 1) % 24) OR (a.x = c.x AND c.y = a.y + 1)) JOIN n n1 ON n1.id = a.id JOIN n n2 ON n2.id = c.id) SELECT least(p, q) AS lo, greatest(p, q) AS hi, count(*)::BIGINT AS contacts FROM p GROUP BY 1, 2")
 def l03_coarsened_contacts(spark, d):
-    return G.block_contacts(_cells(spark), 3, 8)
+    return G.coarsened(_cells(spark), 3, 24)[1]
 
 
 @query()
@@ -51,14 +54,20 @@ def l04_minimum_spanning_tree(spark, d):
     return G.spanning_forest(e.select("label", "a", "b", F.round("km", 6).alias("w")), "label")
 
 
-@query(f"WITH {DIST}, e AS (SELECT x.unit AS a, y.unit AS b, count(*)::BIGINT AS w FROM dist x JOIN dist y ON x.resource = y.resource AND x.unit < y.unit GROUP BY 1, 2), s AS (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e), k AS (SELECT a, b, w FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY w DESC, b) AS r FROM s) WHERE r <= 3), u AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, w FROM k), t AS (SELECT a, w FROM u UNION ALL SELECT b, w FROM u) SELECT a AS i, a AS j, sum(w)::BIGINT AS value FROM t GROUP BY 1 UNION ALL SELECT a, b, -w FROM u UNION ALL SELECT b, a, -w FROM u")
-def l05_knn_laplacian(spark, d):
-    from quern.operators.sets import shared_counts
+KM_OF = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians(q.lat) - radians(p.lat)) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin((radians(q.lon) - radians(p.lon)) / 2), 2))))"
+
 
-    e = shared_counts(incidence(spark, d), "unit", "resource").select("a", "b", F.col("shared").alias("w"))
-    both = e.union(e.select("b", "a", "w"))
-    k = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("w"), "b"))).where("r <= 3")
-    return G.laplacian(k.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").distinct())
+@query(f"""WITH RECURSIVE p AS (SELECT n_nationkey AS id, (n_nationkey * 37 % 120 - 60)::DOUBLE AS lat, (n_nationkey * 91 % 340 - 170)::DOUBLE AS lon FROM nation), e AS (SELECT p.id AS a, q.id AS b, {KM_OF} AS d FROM p JOIN p q ON p.id < q.id), o AS (SELECT *, row_number() OVER (ORDER BY d, a, b) AS r FROM e), s AS (SELECT r, a, b FROM o UNION ALL SELECT r, b, a FROM o),
+reach AS (SELECT r, a AS node FROM o UNION SELECT x.r, s.b FROM reach x JOIN s ON s.a = x.node AND s.r < x.r), tree AS (SELECT a, b, d FROM o WHERE (r, b) NOT IN (SELECT (r, node) FROM reach)),
+k AS (SELECT least(a, b) AS a, greatest(a, b) AS b, d FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS n FROM (SELECT a, b, d FROM e UNION ALL SELECT b, a, d FROM e)) WHERE n <= 3), u AS (SELECT a, b, 1 / (d / 1000) AS w FROM (SELECT a, b, d FROM k UNION SELECT a, b, d FROM tree)), t AS (SELECT a, w FROM u UNION ALL SELECT b, w FROM u)
+SELECT a AS i, a AS j, round(sum(w), 6) AS value FROM t GROUP BY 1 UNION ALL SELECT a, b, round(-w, 6) FROM u UNION ALL SELECT b, a, round(-w, 6) FROM u""")
+def l05_knn_laplacian(spark, d):
+    """Three nearest neighbours and the spanning tree of 25 places, one a nation."""
+    k = F.col("n_nationkey")
+    p = table(spark, d, "nation").select(k.alias("id"), (k * 37 % 120 - 60).cast("double").alias("lat"), (k * 91 % 340 - 170).cast("double").alias("lon"))
+    a, b = (p.select(F.col("id").alias(n), F.col("lat").alias(f"lat{n}"), F.col("lon").alias(f"lon{n}")) for n in ("a", "b"))
+    e = a.join(b, F.col("a") < F.col("b")).select("a", "b", space.haversine_km(F.col("lata"), F.col("lona"), F.col("latb"), F.col("lonb")).alias("d"))  # all pairs of nations
+    return G.nearest_and_tree(settle(e), 3, 1.0).select("i", "j", r6("value").alias("value"))
 
 
 @query()
@@ -72,15 +81,26 @@ def l06_effective_resistance(spark, d):
 
 @query()
 def l07_terminal_resistance(spark, d):
-    """Between two terminals of one large sparse graph, by conjugate gradients on edge tables."""
-    return G.pair_resistance(_links(spark, d).where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b"), F.lit(1.0).alias("w")), 3, 32)
-
-
-@query(f"WITH {GRID}, c AS (SELECT x, y, 1.0 + (x * 3 + y) % 5 AS k FROM cells), e AS (SELECT a.x, a.y, a.k AS ka, b.k AS kb, CASE WHEN a.y = b.y THEN cos(radians(-55.0 + 10 * a.y)) ELSE 1.0 END AS dist FROM c a JOIN c b ON (a.y = b.y AND b.x = a.x + 1) OR (a.x = b.x AND b.y = a.y + 1)) SELECT count(*)::BIGINT AS edges, round(sum(2 * ka * kb / (ka + kb) / dist), 4) AS conductance FROM e")
+    """Between sites of several ports each on a grid of cells, by conjugate gradients on edge tables."""
+    name = lambda k: F.col(f"y{k}") * 8 + F.col(f"x{k}")
+    open_cells = spark.range(8 * 6).select((F.col("id") % 8).alias("x"), F.floor(F.col("id") / 8).alias("y")).where("(x * 5 + y * 3) % 7 < 6")
+    edges = G.grid_edges(open_cells, [], 8).select(name(1).alias("a"), name(2).alias("b"), (F.lit(1.0) + name(1) % 3).alias("w"))
+    main = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    largest = main.groupBy("root").count().orderBy(F.desc("count"), "root").limit(1)
+    rank = F.row_number().over(Window.orderBy("node"))  # of a grid's cells
+    ports = main.join(largest, "root", "left_semi").select("node", rank.alias("r")).where("r in (1, 5, 9, 14)").select((F.col("r") > 5).cast("long").alias("site"), "node", F.lit(0.5).alias("weight"))
+    return G.terminal_resistance(edges, ports, [(0, 1)])
+
+
+@query(f"""WITH {GRID}, c AS (SELECT x, y, 1.0 + (x * 3 + y) % 5 AS k, -55.0::DOUBLE + 10 * y AS lat, -175.0::DOUBLE + 10 * x AS lon FROM cells), e AS (SELECT p.y = q.y AS along, p.k AS ka, q.k AS kb, p.lat AS lat, {KM_OF} AS km, 6371.0088 * radians(10) * CASE WHEN p.y = q.y THEN 1.0 ELSE cos(radians((p.lat + q.lat) / 2)) END AS face FROM c p JOIN c q ON (p.y = q.y AND q.x = p.x + 1) OR (p.x = q.x AND q.y = p.y + 1))
+SELECT along, lat, count(*)::BIGINT AS edges, round(sum(2 / (1 / ka + 1 / kb) / km * face), 6) AS conductance, round(avg(km), 6) AS km FROM e GROUP BY 1, 2""")
 def l08_edge_conductance(spark, d):
-    e = G.grid_edges(_cells(spark).withColumn("k", (F.lit(1.0) + (F.col("x") * 3 + F.col("y")) % 5)), ["k"])
-    dist = F.when(F.col("along"), F.cos(F.radians(F.lit(-55.0) + 10 * F.col("y1")))).otherwise(1.0)
-    return e.agg(F.count("*").alias("edges"), F.round(F.sum(2 * F.col("k1") * F.col("k2") / (F.col("k1") + F.col("k2")) / dist), 4).alias("conductance"))
+    cells = _cells(spark).withColumns({"k": F.lit(1.0) + (F.col("x") * 3 + F.col("y")) % 5, "lat": F.lit(-55.0) + 10 * F.col("y"), "lon": F.lit(-175.0) + 10 * F.col("x")})
+    e = G.grid_edges(cells, ["k", "lat", "lon"])
+    ends = [F.col(c) for c in ("lat1", "lon1", "lat2", "lon2")]
+    face = space.EARTH_KM * F.radians(F.lit(10.0)) * F.when(F.col("along"), 1.0).otherwise(F.cos(F.radians((F.col("lat1") + F.col("lat2")) / 2)))
+    found = e.select("along", F.col("lat1").alias("lat"), (G.edge_conductance(F.col("k1"), F.col("k2"), *ends) * face).alias("g"), space.haversine_km(*ends).alias("km"))
+    return found.groupBy("along", "lat").agg(F.count("*").alias("edges"), r6(F.sum("g")).alias("conductance"), r6(F.avg("km")).alias("km"))
 
 
 @query("WITH p AS (SELECT s_nationkey AS site, s_suppkey % 11 AS node, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier) SELECT site, node, round(sum(1.0 / n), 6) AS weight FROM p GROUP BY 1, 2")

@@ -7,6 +7,7 @@ from quern.operators import joins as J
 from quern.operators import space as S
 from quern.operators.aggregates import r6
 from quern.plans.registry import query
+from quern.sources import files
 from quern.sources.relations import DIST, EDGES, GROUPS, OBS, POINTS, TAXA, distribution, edges, observations, points, taxa, unit_groups
 from quern.sources.tables import table
 
@@ -77,28 +78,53 @@ def _boxes(spark):
     return grid.select("code", (F.lit(-170.0) + 42.5 * F.col("c")).alias("west"), (F.lit(-170.0) + 42.5 * F.col("c") + 45.0).alias("east"), (F.lit(-80.0) + 20.0 * F.col("r")).alias("south"), (F.lit(-80.0) + 20.0 * F.col("r") + 20.0).alias("north"))
 
 
-@query(f"WITH {POINTS}, {BOXES} SELECT id, coalesce(min(code), -1) AS code, count(code)::BIGINT AS hits FROM points LEFT JOIN boxes ON lon BETWEEN west AND east AND lat BETWEEN south AND north GROUP BY 1")
+#: Six-cornered polygons with a triangular hole, as offsets from their centres; neighbours overlap.
+SHAPE = [[(-24.0, -6.0), (-8.0, -10.0), (20.0, -9.5), (26.0, 4.0), (3.0, 11.5), (-20.0, 8.0)], [(-5.0, -3.0), (5.0, -3.0), (0.5, 4.0)]]
+POLYGONS = f"""offs AS (SELECT * FROM (VALUES {", ".join(f"({r}, {k}, {x}::DOUBLE, {y}::DOUBLE)" for r, ring in enumerate(SHAPE) for k, (x, y) in enumerate(ring))}) v(ring, k, dx, dy)),
+centres AS (SELECT (r * 8 + c)::INTEGER AS code, -150 + 50.0::DOUBLE * c AS x, -70 + 20.0::DOUBLE * r AS y FROM (SELECT unnest(range(8)) AS r), (SELECT unnest(range(7)) AS c)),
+corners AS (SELECT code, ring, k, x + dx AS x, y + dy AS y FROM centres, offs),
+sides AS (SELECT code, ring, k, x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM corners WINDOW w AS (PARTITION BY code, ring ORDER BY k))"""
+COVERS = """(count(*) FILTER ((y1 > {y}) <> (y2 > {y}) AND {x} < x1 + (x2 - x1) * ({y} - y1) / nullif(y2 - y1, 0)) % 2 = 1
+  OR bool_or((x2 - x1) * ({y} - y1) - (y2 - y1) * ({x} - x1) = 0 AND {x} BETWEEN least(x1, x2) AND greatest(x1, x2) AND {y} BETWEEN least(y1, y2) AND greatest(y1, y2)))"""
+COVERED = f"covered AS (SELECT id, code FROM points, sides GROUP BY id, code, lon, lat HAVING {COVERS.format(x='lon', y='lat')})"
+
+
+def _polygons(spark):
+    grid = spark.range(56).select((F.floor(F.col("id") / 7) * 8 + F.col("id") % 7).cast("int").alias("code"), (F.lit(-150.0) + 50.0 * (F.col("id") % 7)).alias("cx"), (F.lit(-70.0) + 20.0 * F.floor(F.col("id") / 7)).alias("cy"))
+    corner = lambda x, y: F.struct((F.col("cx") + x).alias("x"), (F.col("cy") + y).alias("y"))
+    return grid.select("code", F.array(*[F.array(*[corner(x, y) for x, y in ring]) for ring in SHAPE]).alias("rings"))
+
+
+@query(f"WITH {POINTS}, {POLYGONS}, {COVERED} SELECT id, coalesce(min(code), -1) AS code, count(code)::BIGINT AS hits FROM points LEFT JOIN covered USING (id) GROUP BY 1")
 def c10_point_in_polygon(spark, d):
-    return S.points_in_boxes(points(spark, d), _boxes(spark))
+    return S.points_in_polygons(points(spark, d), _polygons(spark))
 
 
-@query(f"WITH {POINTS}, {BOXES} SELECT id, min(code) AS code FROM points JOIN boxes ON lon BETWEEN west AND east AND lat BETWEEN south AND north GROUP BY 1")
+@query(f"WITH {POINTS}, {POLYGONS}, {COVERED} SELECT id, min(code) AS code FROM covered GROUP BY 1")
 def c11_covering_polygon_first(spark, d):
-    return S.points_in_boxes(points(spark, d), _boxes(spark)).where("hits > 0").select("id", "code")
+    return S.points_in_polygons(points(spark, d), _polygons(spark)).where("hits > 0").select("id", "code")
+
+
+TURN = "sign(({b}.x1 - {a}.x1) * ({a}.y2 - {a}.y1) * -1 + ({a}.x2 - {a}.x1) * ({b}.y1 - {a}.y1)), sign(({b}.x2 - {a}.x1) * ({a}.y2 - {a}.y1) * -1 + ({a}.x2 - {a}.x1) * ({b}.y2 - {a}.y1))"
 
 
-@query(f"WITH {BOXES} SELECT a.code AS a, b.code AS b FROM boxes a JOIN boxes b ON a.code < b.code AND a.west <= b.east AND b.west <= a.east AND a.south <= b.north AND b.south <= a.north")
+@query(f"""WITH {POLYGONS}, t AS (SELECT a.code AS a, b.code AS b, [{TURN.format(a="a", b="b")}] AS s, [{TURN.format(a="b", b="a")}] AS t,
+  a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2 FROM sides a JOIN sides b ON a.code < b.code),
+meet AS (SELECT DISTINCT a, b FROM t WHERE (s[1] * s[2] < 0 AND t[1] * t[2] < 0)
+  OR (s[1] = 0 AND bx1 BETWEEN least(ax1, ax2) AND greatest(ax1, ax2) AND by1 BETWEEN least(ay1, ay2) AND greatest(ay1, ay2)) OR (s[2] = 0 AND bx2 BETWEEN least(ax1, ax2) AND greatest(ax1, ax2) AND by2 BETWEEN least(ay1, ay2) AND greatest(ay1, ay2))
+  OR (t[1] = 0 AND ax1 BETWEEN least(bx1, bx2) AND greatest(bx1, bx2) AND ay1 BETWEEN least(by1, by2) AND greatest(by1, by2)) OR (t[2] = 0 AND ax2 BETWEEN least(bx1, bx2) AND greatest(bx1, bx2) AND ay2 BETWEEN least(by1, by2) AND greatest(by1, by2))),
+held AS (SELECT c.code AS p, sides.code AS q FROM corners c JOIN sides ON c.code <> sides.code WHERE c.ring = 0 AND c.k = 0 GROUP BY c.code, sides.code, c.x, c.y HAVING {COVERS.format(x="c.x", y="c.y")})
+SELECT a, b FROM meet UNION SELECT least(p, q), greatest(p, q) FROM held""")
 def c12_polygon_intersections(spark, d):
-    cells = S.box_cells(_boxes(spark), 10.0)
-    a, b = (cells.select("cx", "cy", *[F.col(c).alias(c + k) for c in ("code", "west", "east", "south", "north")]) for k in ("1", "2"))
-    touch = a.join(b, ["cx", "cy"]).where("code1 < code2 and west1 <= east2 and west2 <= east1 and south1 <= north2 and south2 <= north1")
-    return touch.select(F.col("code1").alias("a"), F.col("code2").alias("b")).distinct()
+    return S.meeting_polygons(_polygons(spark))
 
 
-@query(f"WITH {POINTS}, {BOXES}, h AS (SELECT id, count(code) AS hits, min(code) AS code FROM points LEFT JOIN boxes ON code % 2 = 0 AND lon BETWEEN west AND east AND lat BETWEEN south AND north GROUP BY 1) SELECT id, code FROM h WHERE hits <= 1")
+@query(f"WITH {POINTS}, {POLYGONS}, {COVERED} SELECT id, code FROM points LEFT JOIN (SELECT id, code FROM covered WHERE code % 2 = 0 AND (code // 8) % 2 = 0) USING (id)")
 def c13_left_spatial_join(spark, d):
-    found = S.points_in_boxes(points(spark, d), _boxes(spark).where("code % 2 = 0"))
-    return found.where("hits <= 1").select("id", F.when(F.col("hits") > 0, F.col("code")).alias("code"))
+    """Over polygons that do not overlap; a point in two of them fails the query."""
+    apart = _polygons(spark).where("code % 2 = 0 and floor(code / 8) % 2 = 0")
+    found = files.expect(S.points_in_polygons(points(spark, d), apart), no_overlap=F.col("hits") <= 1)
+    return found.select("id", F.when(F.col("hits") > 0, F.col("code")).alias("code"))
 
 
 @query(f"WITH {PARTS_OF}, m AS (SELECT name, count(DISTINCT part) AS n, min(part) AS part FROM keyed GROUP BY 1), q AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS name FROM part) SELECT name, CASE WHEN n = 1 THEN part END AS part, CASE WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'unmatched' END AS outcome FROM q LEFT JOIN m USING (name)")
@@ -117,10 +143,10 @@ def c15_mutually_unique_join(spark, d):
 KM = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians({b}.lat) - radians({a}.lat)) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin((radians({b}.lon) - radians({a}.lon)) / 2), 2))))"
 
 
-@query(f"WITH {POINTS}, p AS (SELECT a.id AS a, b.id AS b, {KM.format(a='a', b='b')} AS km FROM points a JOIN points b ON b.id % 7 = 0 AND a.id % 7 <> 0) SELECT a, b, round(km, 4) AS km FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY km, b) AS r FROM p WHERE km <= 3000) WHERE r = 1")
+@query(f"WITH {POINTS}, p AS (SELECT a.id AS a, b.id AS b, {KM.format(a='a', b='b')} AS km FROM points a JOIN points b ON b.id % 7 = 0 AND a.id % 7 <> 0) SELECT a, b, round(km, 4) AS km FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY km, b) AS r FROM p) WHERE r = 1")
 def c16_nearest_neighbour(spark, d):
     p = points(spark, d)
-    best = S.nearest_k(S.within_km(p.where("id % 7 <> 0"), p.where("id % 7 = 0"), 3000.0), 1)
+    best = S.nearest(p.where("id % 7 <> 0"), p.where("id % 7 = 0"))
     return best.select("a", "b", F.round("km", 4).alias("km"))
 
 
@@ -203,12 +229,11 @@ def c26_alias_resolution(spark, d):
     return asked.join(names.select(F.col("name").alias("q"), "name"), "q", "left").join(known, "q", "left").select("q", F.coalesce("name", "meant").alias("resolved"))
 
 
-@query(f"WITH {POINTS}, p AS (SELECT a.id AS a, b.id AS b, b.label, round({KM.format(a='a', b='b')}, 3) AS km FROM points a JOIN points b ON b.id < a.id WHERE {KM.format(a='a', b='b')} <= 1500) SELECT a, b, label, km FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY km, b, label) AS r FROM p) WHERE r = 1")
+@query(f"WITH {POINTS}, p AS (SELECT a.id AS a, b.id AS b, b.label, round({KM.format(a='a', b='b')}, 3) AS km FROM points a JOIN points b ON b.id < a.id) SELECT a, b, label, km FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY km, b, label) AS r FROM p) WHERE r = 1")
 def c27_nearest_prior(spark, d):
     p = points(spark, d)
-    near = S.within_km(p, p, 1500.0).where("b < a").join(p.select(F.col("id").alias("b"), "label"), "b")
-    best = near.groupBy("a").agg(F.min(F.struct(F.round("km", 3).alias("km"), "b", "label")).alias("m"))
-    return best.select("a", "m.b", "m.label", "m.km")
+    best = S.nearest(p, p, "b < a")
+    return best.join(p.select(F.col("id").alias("b"), "label"), "b").select("a", "b", "label", F.round("km", 3).alias("km"))
 
 
 @query("SELECT coalesce(a.k, b.k) AS k, a.n AS orders, b.n AS suppliers, a.k IS NOT NULL AND b.k IS NOT NULL AS common FROM (SELECT c_nationkey AS k, count(*)::BIGINT AS n FROM customer WHERE c_nationkey % 3 <> 0 GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*)::BIGINT AS n FROM supplier WHERE s_nationkey % 4 <> 0 GROUP BY 1) b ON a.k = b.k")

@@ -12,17 +12,17 @@ from quern.sources.tables import table
 
 @query("SELECT l_orderkey, l_linenumber, (rank() OVER w + (count(*) OVER (PARTITION BY l_linenumber, l_quantity) - 1) / 2)::DOUBLE AS r FROM lineitem WINDOW w AS (PARTITION BY l_linenumber ORDER BY l_quantity)")
 def e01_average_rank(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", R.average_rank("l_quantity", ["l_linenumber"]).cast("double").alias("r"))
+    return R.with_average_ranks(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), ["l_linenumber"], {"r": "l_quantity"}).select("l_orderkey", "l_linenumber", F.col("r").cast("double").alias("r"))
 
 
 @query("SELECT c_custkey, round(CASE WHEN stddev_pop(c_acctbal) OVER w > 1.5e-8 THEN (c_acctbal - avg(c_acctbal) OVER w) / stddev_pop(c_acctbal) OVER w ELSE 0 END, 6) AS z FROM customer WINDOW w AS (PARTITION BY c_nationkey)")
 def e02_zscore(spark, d):
-    return table(spark, d, "customer").select("c_custkey", r6(R.zscore("c_acctbal", ["c_nationkey"])).alias("z"))
+    return R.with_zscore(table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), ["c_nationkey"], "c_acctbal", "z").select("c_custkey", r6("z").alias("z"))
 
 
 @query("SELECT s_suppkey, round(s_acctbal - avg(s_acctbal) OVER (PARTITION BY s_nationkey), 4) AS centred FROM supplier")
 def e03_group_centring(spark, d):
-    return table(spark, d, "supplier").select("s_suppkey", F.round(R.centred("s_acctbal", ["s_nationkey"]), 4).alias("centred"))
+    return R.with_centred(table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), ["s_nationkey"], "s_acctbal", "centred").select("s_suppkey", F.round("centred", 4).alias("centred"))
 
 
 @query("SELECT s_suppkey, s_nationkey FROM (SELECT *, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier) WHERE n >= 5")

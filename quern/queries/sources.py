@@ -120,9 +120,15 @@ def a17_html_table_rows(spark, d):
     return table(spark, d, "pages").lateralJoin(files.HtmlRows(F.col("html").outer())).select("page_id", "row_no", F.array_join("cells", " | ").alias("cells"))
 
 
-@query("WITH t AS (SELECT c_custkey AS k, (c_custkey * 37 % 5000)::BIGINT AS total FROM customer), p AS (SELECT k, total, ceil(total / 300)::BIGINT AS pages FROM t WHERE total > 0) SELECT DISTINCT k, (floor(i * pages / greatest(1, least(8, pages))) * 300)::BIGINT AS page_offset FROM p, (SELECT unnest(range(8)) AS i) WHERE i < least(8, pages)")
+@query("""WITH t AS (SELECT c_custkey AS k, least(100000, CASE WHEN c_custkey % 2 = 0 THEN c_custkey * 37 % 5000 ELSE c_custkey * 9973 % 130000 END)::BIGINT AS total FROM customer),
+p AS (SELECT k, total, ceil(total / 300)::BIGINT AS pages, greatest(0, total - 300) AS last FROM t WHERE total > 0),
+few AS (SELECT k, i * 300 AS page_offset FROM p, (SELECT unnest(range(8)) AS i) WHERE pages <= 8 AND i < pages),
+spread AS (SELECT DISTINCT k, last, least(last, (round_even(i * (last / 7::DOUBLE) / 300, 0) * 300)::BIGINT) AS page_offset FROM p, (SELECT unnest(range(8)) AS i) WHERE pages > 8),
+free AS (SELECT k, n, page_offset, row_number() OVER (PARTITION BY k ORDER BY page_offset) AS r FROM (SELECT k, last, count(*) AS n FROM spread GROUP BY 1, 2), (SELECT unnest(range(334)) * 300 AS page_offset) WHERE page_offset <= last AND (k, page_offset) NOT IN (SELECT (k, page_offset) FROM spread))
+SELECT k, page_offset::BIGINT AS page_offset FROM few UNION ALL SELECT k, page_offset FROM spread UNION ALL SELECT k, page_offset FROM free WHERE r <= 8 - n""")
 def a19_page_plan(spark, d):
-    t = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") * 37 % 5000).alias("total"))
+    k = F.col("c_custkey")
+    t = table(spark, d, "customer").select(k.alias("k"), F.when(k % 2 == 0, k * 37 % 5000).otherwise(k * 9973 % 130000).alias("total"))
     return t.select("k", F.explode(files.page_offsets(F.col("total"), 300, 8)).alias("page_offset"))
 
 
@@ -144,15 +150,15 @@ def a22_last_write_wins(spark, d):
     return files.last_write_wins(table(spark, d, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
 
 
-@query("SELECT c_custkey, sha256(c_name || '|' || c_nationkey || '|' || c_mktsegment) AS state_key FROM customer")
+@query("SELECT p_partkey, left(sha256('pilot|' || trim(p_name)), 16) || '-' || replace(trim(p_name), ' ', '_') AS state_key FROM part")
 def a23_state_keys(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.sha2(F.concat_ws("|", "c_name", "c_nationkey", "c_mktsegment"), 256).alias("state_key"))
+    return table(spark, d, "part").select("p_partkey", files.state_key(F.col("p_name"), "pilot").alias("state_key"))
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 0")
+@query("SELECT o_orderkey, o_totalprice FROM orders")
 def a27_zstd_parquet_round_trip(spark, d):
     path = stage_path(spark)
-    table(spark, d, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", "o_totalprice").write.parquet(path, compression="zstd")
+    table(spark, d, "orders").select("o_orderkey", "o_totalprice").write.parquet(path, compression="zstd")
     return spark.read.parquet(path)
 
 
@@ -184,6 +190,12 @@ def m03_duplicate_collapse(spark, d):
     return E.drained(keyed)
 
 
+@query("SELECT strftime(epoch_ms((epoch_ms(ts) // 259200000) * 259200000), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(DISTINCT (user_id, CAST(ts AS DATE)))::BIGINT AS provider_days, count(*)::BIGINT AS records FROM events GROUP BY 1, 2")
+def m04_provider_days(spark, d):
+    """Distinct user-days in windows of three days, as a stream."""
+    return E.drained(E.provider_days(E.event_stream(spark, d), "3 days"), "complete").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query("SELECT time_bucket(INTERVAL '1 day', ts)::VARCHAR AS start, event_type, count(*)::BIGINT AS records, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 def m04_daily_windows(spark, d):
     return E.drained(E.tumbling(E.event_stream(spark, d), "1 day"), "complete").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
@@ -191,7 +203,14 @@ def m04_daily_windows(spark, d):
 
 @query("SELECT event_id, coalesce(ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) <= INTERVAL '2 days', false) AS follows FROM events")
 def m05_follow_up_state(spark, d):
-    return E.follow_ups(table(spark, d, "events"), 2)
+    """As a stream with a state for each user and type, which has to be kept in RocksDB."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return E.drained(E.follow_ups(E.event_stream(spark, d), 2))
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
 
 
 @query()

@@ -33,11 +33,16 @@ def unit_lists(df: DataFrame, column: str) -> DataFrame:
 
 
 def read_features(spark: SparkSession, path: str, code: str, name: str) -> DataFrame:
-    """(code, name, kind, rings) of a GeoJSON file's features; fails at run time if a code repeats."""
-    schema = f"features array<struct<properties: map<string,string>, geometry: struct<type:string, coordinates:array<array<array<double>>>>>>"
+    """(code, name, kind, rings) of a GeoJSON file's features, all rings of a MultiPolygon in one list.
+
+    Fails at run time if a code repeats or a geometry is of another kind.
+    """
+    schema = "features array<struct<properties: map<string,string>, geometry: struct<type:string, coordinates:string>>>"
     f = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f"))
-    rows = f.select(F.col("f.properties")[code].alias("code"), F.col("f.properties")[name].alias("name"), F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("rings"))
-    return expect_unique(rows, ["code"])
+    kind, text, ring = F.col("f.geometry.type"), F.col("f.geometry.coordinates"), "array<array<array<double>>>"
+    rings = F.when(kind == "Polygon", F.from_json(text, ring)).when(kind == "MultiPolygon", F.flatten(F.from_json(text, f"array<{ring}>")))
+    rows = f.select(F.col("f.properties")[code].alias("code"), F.col("f.properties")[name].alias("name"), kind.alias("kind"), rings.alias("rings"))
+    return expect_unique(expect(rows, **{"polygons only": F.col("rings").isNotNull()}), ["code"])
 
 
 def expect(df: DataFrame, **checks: Column) -> DataFrame:
@@ -137,12 +142,35 @@ class HtmlRows:
             yield k, row
 
 
-def page_offsets(total: Column, page: int, most: int) -> Column:
-    """At most ``most`` page starts, spread evenly over an index of ``total`` rows and snapped down to whole pages."""
-    pages = F.ceil(total / page)
-    n = F.least(F.lit(most), pages)
-    spread = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1)), lambda i: (F.floor(i * pages / F.greatest(F.lit(1), n)) * page).cast("long"))
-    return F.when(total > 0, F.array_sort(F.array_distinct(spread))).otherwise(F.array().cast("array<bigint>"))
+#: Rows of an index that a remote service lets one page through.
+DEEPEST = 100_000
+
+
+def page_offsets(total: Column, page: int, most: int, deepest: int = DEEPEST) -> Column:
+    """At most ``most`` page starts, spread evenly over an index of ``total`` rows, its first and last row included.
+
+    Of the index ``deepest`` rows can be reached. If all pages fit, they are
+    the plan. Else evenly spread starts are rounded to whole pages, half to
+    even, and cut at the last full page's start; starts that fall together are
+    made up for by the first pages that are not in the plan.
+    """
+    if page < 1 or most < 1:
+        raise ValueError("page and most have to be positive")
+    none = F.array().cast("array<bigint>")
+    reach = F.greatest(F.lit(0), F.least(total, F.lit(deepest))).cast("long")
+    pages, last = F.ceil(reach / page), F.greatest(F.lit(0).cast("long"), reach - page)
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1).cast("long"), pages) - 1), lambda i: i * page)
+    step = last / F.lit(float(max(1, most - 1)))
+    spread = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.least(last, (F.bround(i * step / page, 0) * page).cast("long"))))
+    free = F.array_except(F.sequence(F.lit(0).cast("long"), last, F.lit(page).cast("long")), spread)
+    filled = F.array_sort(F.concat(spread, F.slice(free, F.lit(1), F.lit(most) - F.size(spread))))
+    return F.when(reach <= 0, none).when(pages <= most, every).when(F.lit(most == 1), F.array(F.lit(0).cast("long"))).otherwise(filled)
+
+
+def state_key(name: Column, tag: str) -> Column:
+    """The name under which a consumer's progress is kept: 16 hex digits of a digest of tag and name, and the name without blanks; empty names fail."""
+    known = F.when(F.length(F.trim(name)) > 0, F.trim(name)).otherwise(F.raise_error(F.lit("a name has to be non-empty")).cast("string"))
+    return F.concat_ws("-", F.substring(F.sha2(F.concat_ws("|", F.lit(tag), known), 256), 1, 16), F.replace(known, F.lit(" "), F.lit("_")))
 
 
 def window_chunks(offset: Column, length: Column, size: int) -> Column:

@@ -30,12 +30,18 @@ def deduplicated(events: DataFrame, keys: list[str], delay: str = "1 day") -> Da
 
 
 def tumbling(events: DataFrame, width: str, slide: str | None = None, delay: str = "1 day") -> DataFrame:
-    """Records and distinct-like user bitmap counts per window and type."""
+    """Records and value per window and type."""
     e = events.withWatermark("ts", delay) if events.isStreaming else events
     g = e.groupBy(F.window("ts", width, slide), "event_type").agg(F.count("*").alias("records"), F.round(F.sum("value"), 4).alias("value"))
     return g.select(F.col("window.start").alias("start"), "event_type", "records", "value")
 
 
+def provider_days(events: DataFrame, width: str) -> DataFrame:
+    """Distinct (user, day) pairs per window and type, as a batch or in complete mode; a stream's state holds the pairs of each window."""
+    g = events.groupBy(F.window("ts", width), "event_type").agg(F.size(F.collect_set(F.struct("user_id", F.to_date("ts").alias("day")))).cast("long").alias("provider_days"), F.count("*").alias("records"))
+    return g.select(F.col("window.start").alias("start"), "event_type", "provider_days", "records")
+
+
 def sessions(events: DataFrame, gap: str, delay: str = "1 day") -> DataFrame:
     """Sessions of each user: rows that follow one another within ``gap``."""
     e = events.withWatermark("ts", delay) if events.isStreaming else events

@@ -1,5 +1,6 @@
 """Every query with SQL against DuckDB on the smallest tables; every other query gives rows."""
 
+import json
 import math
 import os
 import random
@@ -80,7 +81,96 @@ def test_resistances_of_known_circuits(spark):
     assert got["r", 0, 2] == 1.0 and got["r", 0, 1] == 0.75 and got["s", 7, 9] == 2.0
     flat = ring.select("a", "b", "w")
     assert pair_resistance(flat, 0, 2).first().resistance == 1.0
-    assert pair_resistance(flat, 0, 9).first().resistance is None
+    with pytest.raises(ValueError):
+        pair_resistance(flat, 0, 9)
+    with pytest.raises(RuntimeError):
+        pair_resistance(flat, 0, 1, rounds=1)
+
+
+def test_distributed_terminals_match_a_pseudo_inverse(spark):
+    import numpy as np
+
+    from quern.operators.graph import terminal_resistance
+
+    rng = np.random.default_rng(3)
+    edges = [(i, i + 1, float(rng.uniform(0.5, 3))) for i in range(11)] + [(int(a), int(b), float(rng.uniform(0.5, 3))) for a, b in rng.integers(0, 12, (14, 2)) if a != b]
+    lap = np.zeros((12, 12))
+    for a, b, w in edges:
+        lap[[a, b], [a, b]] += w
+        lap[[a, b], [b, a]] -= w
+    ends = [(7, 0, 0.25), (7, 0, 0.25), (7, 4, 0.5), (8, 11, 1.0)]
+    w = np.zeros(12)
+    for site, node, share in ends:
+        w[node] += share if site == 7 else -share
+    got = terminal_resistance(spark.createDataFrame(edges, "a long, b long, w double"), spark.createDataFrame(ends, "site long, node long, weight double"), [(7, 8)]).first()
+    assert abs(got.resistance - w @ np.linalg.pinv(lap) @ w) < 1e-6
+    with pytest.raises(ValueError):
+        terminal_resistance(spark.createDataFrame(edges, "a long, b long, w double"), spark.createDataFrame(ends[1:], "site long, node long, weight double"), [(7, 8)])
+
+
+def test_points_that_lie_far_apart_find_their_nearest(spark):
+    from quern.operators.space import nearest
+
+    a = spark.createDataFrame([(1, 0.0, 0.0), (2, -60.0, -170.0), (3, 10.0, 179.5)], "id long, lat double, lon double")
+    b = spark.createDataFrame([(8, 0.5, 0.5), (9, 10.0, -179.5)], "id long, lat double, lon double")
+    assert {(r.a, r.b) for r in nearest(a, b).collect()} == {(1, 8), (2, 9), (3, 9)}
+
+
+def test_overlaps_and_empty_sets_fail(spark):
+    from pyspark.errors import PySparkException
+
+    from quern.operators import sets, space
+    from quern.sources import files
+
+    square = lambda code, x: (code, [[(x, 0.0), (x + 2, 0.0), (x + 2, 2.0), (x, 2.0)]])
+    shapes = spark.createDataFrame([square(1, 0.0), square(2, 1.0)], "code int, rings array<array<struct<x:double,y:double>>>")
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.0, 1.0), (3, 2.0, 3.0), (4, 2.5, 1.0)], "id long, lat double, lon double")
+    found = space.points_in_polygons(points, shapes)
+    assert {(r.id, r.code, r.hits) for r in found.collect()} == {(1, 1, 1), (2, 1, 2), (3, 2, 1), (4, -1, 0)}
+    with pytest.raises(PySparkException):
+        files.expect(found, no_overlap=found["hits"] <= 1).collect()
+    empty = spark.createDataFrame([], "unit int, resource int")
+    with pytest.raises(PySparkException):
+        sets.pair_overlaps(empty, spark.range(2).select(found.sparkSession.range(1).columns[0]).withColumnRenamed("id", "unit"), "unit", "resource").select(sets.jaccard(strict=True)).collect()
+
+
+def test_features_of_both_kinds(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    from quern.sources import files
+
+    ring = [[[0, 0], [2, 0], [2, 2], [0, 0]]]
+    feature = lambda code, kind, c: {"type": "Feature", "properties": {"c": code, "n": code}, "geometry": {"type": kind, "coordinates": c}}
+    write = lambda name, *f: (tmp_path / name).write_text(json.dumps({"features": f}))
+    write("a.json", feature("x", "Polygon", ring), feature("y", "MultiPolygon", [ring, [ring[0], ring[0]]]))
+    got = {r.code: (r.kind, len(r.rings)) for r in files.read_features(spark, str(tmp_path / "a.json"), "c", "n").collect()}
+    assert got == {"x": ("Polygon", 1), "y": ("MultiPolygon", 3)}
+    write("b.json", feature("x", "Point", [1, 2]))
+    with pytest.raises(PySparkException):
+        files.read_features(spark, str(tmp_path / "b.json"), "c", "n").collect()
+
+
+def test_page_plan_of_a_known_index(spark):
+    from pyspark.sql import functions as F
+
+    from quern.sources import files
+
+    plan = lambda total, most=8: spark.range(1).select(files.page_offsets(F.lit(total), 300, most).alias("p")).first().p
+    assert plan(4999) == [0, 600, 1200, 2100, 2700, 3300, 3900, 4699]
+    assert plan(0) == [] and plan(299) == [0] and plan(2400) == [300 * k for k in range(8)]
+    assert plan(4999, 1) == [0] and max(plan(10**7)) == 99_600 and len(plan(2500)) == 8
+
+
+def test_stage_tables_go(spark, tmp_path):
+    import os
+
+    from quern.plans import staging
+
+    staging.settle(spark.range(3))
+    root = staging._run_root(spark).removeprefix("file:")
+    assert os.listdir(root)
+    staging.release(spark)
+    assert not os.path.exists(root)
 
 
 def test_credit_adds_up_and_contracts_hold(spark):
