@@ -94,12 +94,14 @@ def weighted_order(key: Column, weight: Column, tag: str) -> Column:
     return F.when(weight > 0, -F.log(u) / F.when(weight > 0, weight))
 
 
-def swapped(edges: DataFrame, chain: str, burn: int, keep: int, thin: int, forbidden: bool = False) -> DataFrame:
+def swapped(edges: DataFrame, chain: str, burn: float, keep: int, thin: float, forbidden: bool = False) -> DataFrame:
     """(chain, sample, row, col) of degree-preserving swaps of each chain's bipartite edges (row, col, stratum[, fixed]).
 
     Two edges a-x, b-y of a stratum become a-y, b-x unless one of those is an
     edge already or, with ``forbidden``, fixed; fixed rows never move and are
-    not returned. Row and column sums stay as they are.
+    not returned. Row and column sums stay as they are. ``burn`` attempts an
+    edge come before the first sample and ``thin`` before each, so chains mix
+    alike at every size. A chain is sequential, so one task.
     """
 
     def body(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -111,7 +113,8 @@ def swapped(edges: DataFrame, chain: str, burn: int, keep: int, thin: int, forbi
         strata = [np.flatnonzero(moving["stratum"].to_numpy() == s) for s in moving["stratum"].unique()]
         weight = np.array([len(s) for s in strata], float)
         rng, out = seeded("swap", name), []
-        for step in range(1, burn + keep * thin + 1):
+        first, apart = int(burn * len(moving)), max(1, int(thin * len(moving)))
+        for step in range(1, first + keep * apart + 1):
             s = strata[int(rng.choice(len(strata), p=weight / weight.sum()))]
             if len(s) > 1:
                 i, j = s[rng.integers(0, len(s), 2)]
@@ -120,8 +123,8 @@ def swapped(edges: DataFrame, chain: str, burn: int, keep: int, thin: int, forbi
                     cells -= {(rows[i], cols[i]), (rows[j], cols[j])}
                     cells |= set(new)
                     cols[i], cols[j] = cols[j], cols[i]
-            if step > burn and (step - burn) % thin == 0:
-                out.append(pd.DataFrame({chain: name, "sample": (step - burn) // thin - 1, "row": rows, "col": cols}))
+            if step > first and (step - first) % apart == 0:
+                out.append(pd.DataFrame({chain: name, "sample": (step - first) // apart - 1, "row": rows, "col": cols}))
         return pd.concat(out, ignore_index=True)
 
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema}

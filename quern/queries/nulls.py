@@ -217,7 +217,7 @@ def j13_parameter_grid(spark, d):
 
 
 def _chains(spark, d, chains):
-    e = distribution(spark, d).where("resource % 20 = 0").join(unit_groups(spark, d), "unit")
+    e = distribution(spark, d).join(unit_groups(spark, d), "unit")
     return e.select(F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain"), F.col("resource").alias("row"), F.col("unit").alias("col"), F.col("grp").alias("stratum"), F.col("native").alias("fixed"))
 
 
@@ -229,17 +229,17 @@ def _shared(samples):
 @query()
 def j14_degree_preserving_swaps(spark, d):
     e = _chains(spark, d, 4).withColumn("stratum", F.lit(0))
-    return N.swapped(e, "chain", 2000, 5, 200).groupBy("chain", "sample").agg(F.count("*").alias("cells"), F.count_distinct("row", "col").alias("distinct_cells"), F.count_if(F.col("col") < 5).alias("low_units"))
+    return N.swapped(e, "chain", 1.0, 5, 0.2).groupBy("chain", "sample").agg(F.count("*").alias("cells"), F.count_distinct("row", "col").alias("distinct_cells"), F.count_if(F.col("col") < 5).alias("low_units"))
 
 
 @query()
 def j15_stratified_swaps(spark, d):
-    return N.swapped(_chains(spark, d, 4), "chain", 2000, 5, 200).join(unit_groups(spark, d), F.col("col") == F.col("unit")).groupBy("chain", "sample", "grp").agg(F.count("*").alias("cells"))
+    return N.swapped(_chains(spark, d, 4), "chain", 1.0, 5, 0.2).join(unit_groups(spark, d), F.col("col") == F.col("unit")).groupBy("chain", "sample", "grp").agg(F.count("*").alias("cells"))
 
 
 @query()
 def j16_protected_swaps(spark, d):
-    return _shared(N.swapped(_chains(spark, d, 4), "chain", 2000, 5, 200, forbidden=True))
+    return _shared(N.swapped(_chains(spark, d, 4), "chain", 1.0, 5, 0.2, forbidden=True))
 
 
 @query(f"WITH {OBS}, c AS (SELECT dataset, species, count(*) AS n FROM obs GROUP BY 1, 2), k AS (SELECT draw, dataset, species FROM c, (SELECT unnest(range(5)) AS draw) WHERE {UNIFORM.format(key="'thin|' || draw || '|' || dataset || '|' || species")} < 1 - pow(1 - 0.05::DOUBLE, n)) SELECT draw::INTEGER AS draw, dataset % 10 AS bucket, count(*)::BIGINT AS kept FROM k GROUP BY 1, 2")

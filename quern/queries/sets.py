@@ -36,10 +36,11 @@ def g02_bag_union(spark, d):
     return part("supplier", "s", "supplier").select("id", "unit", "balance", "kind").unionByName(part("customer", "c", "customer"))
 
 
-@query(f"WITH {PAIRS.replace(' % 6 <> 0', ' >= 0')} SELECT a, b, round(shared / \"union\", 6) AS jaccard FROM pairs")
+@query(f"WITH {PAIRS.replace(' % 6 <> 0', ' >= 0')} SELECT a, b, round(shared / \"union\", 6) AS jaccard FROM pairs WHERE na > 0 AND nb > 0")
 def g03_jaccard_strict(spark, d):
-    """Over all communities, none of which is empty; two empty ones would fail the query."""
-    return S.pair_overlaps(incidence(spark, d), unit_groups(spark, d), "unit", "resource").select("a", "b", S.jaccard(strict=True).alias("jaccard"))
+    """Over the communities that have a resource; two empty ones would fail the query."""
+    kept = incidence(spark, d)
+    return S.pair_overlaps(kept, kept.select("unit").distinct(), "unit", "resource").select("a", "b", S.jaccard(strict=True).alias("jaccard"))
 
 
 @query(f"WITH {PAIRS} SELECT a, b, round(shared / nullif(\"union\", 0), 6) AS jaccard FROM pairs")

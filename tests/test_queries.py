@@ -195,3 +195,26 @@ def test_streams_agree_with_batches(spark):
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(E.drained(E.cell_counts(stream), "complete")) == key(E.cell_counts(batch))
     assert key(E.drained(E.tumbling(E.event_stream(spark, DIR), "1 day"), "complete")) == key(E.tumbling(batch, "1 day"))
+
+
+def test_swaps_keep_margins_and_protected_cells(spark):
+    from collections import Counter
+
+    from quern.operators import nulls as N
+
+    rng = random.Random(2)
+    cells = sorted({(rng.randrange(30), rng.randrange(12)) for _ in range(150)})
+    edges = [(0, r, c, c % 2, r % 5 == 0) for r, c in cells]
+    frame = spark.createDataFrame(edges, "chain int, row int, col int, stratum int, fixed boolean")
+    for forbidden in (False, True):
+        moving = [(r, c) for _, r, c, _, f in edges if not (forbidden and f)]
+        held = {(r, c) for _, r, c, _, f in edges if forbidden and f}
+        samples = {}
+        for s in N.swapped(frame, "chain", 2.0, 3, 1.0, forbidden=forbidden).collect():
+            samples.setdefault(s["sample"], []).append((s["row"], s["col"]))
+        assert sorted(samples) == [0, 1, 2]
+        for found in samples.values():
+            assert len(set(found)) == len(found) == len(moving) and not held & set(found)
+            assert Counter(r for r, _ in found) == Counter(r for r, _ in moving) and Counter(c for _, c in found) == Counter(c for _, c in moving)
+            assert Counter((r, c % 2) for r, c in found) == Counter((r, c % 2) for r, c in moving)
+        assert set(samples[2]) != set(moving)
