@@ -1,18 +1,28 @@
 """Null models, bootstraps and selections whose steps depend on one another.
 
-Spark deals out the independent units - chains, replicates, strata - one group
-to a task; within a group numpy does the sequential part. Every draw comes
+Spark deals out the independent units - replicates, strata - one group to a
+task; within a group numpy does the sequential part. Swap chains run as rounds
+over whole tables. Every draw comes
 from a generator seeded by a hash of the unit's name, so results do not depend
 on partitioning.
 """
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.plans.staging import settle
+
+#: Edges that are paired with one another in a round of swaps, on average.
+DEALT = 4096
+
+#: The Poisson(1) distribution function from 0 on.
+POISSON_CUTS = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
+
 
 def seeded(*parts) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(hashlib.sha256("|".join(map(str, parts)).encode()).digest()[:8], "big"))
@@ -43,8 +53,7 @@ def bootstrap(df: DataFrame, by: str, draws: int, statistic, tag: str) -> DataFr
 def poisson_weights(df: DataFrame, unit: Column, draws: int, tag: str) -> DataFrame:
     """Each row once per draw in which its unit's Poisson(1) weight, from a hash, is positive: a bootstrap without shuffling rows."""
     u = hash_uniform(F.lit(tag), F.col("draw").cast("string"), unit.cast("string"))
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]  # fixed values: the Poisson(1) distribution function
-    weight = sum(((u >= c).cast("int") for c in cuts), F.lit(0))
+    weight = sum(((u >= c).cast("int") for c in POISSON_CUTS), F.lit(0))
     return df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("weight", weight).where("weight > 0")
 
 
@@ -100,35 +109,46 @@ def swapped(edges: DataFrame, chain: str, burn: float, keep: int, thin: float, f
     Two edges a-x, b-y of a stratum become a-y, b-x unless one of those is an
     edge already or, with ``forbidden``, fixed; fixed rows never move and are
     not returned. Row and column sums stay as they are. ``burn`` attempts an
-    edge come before the first sample and ``thin`` before each, so chains mix
-    alike at every size. A chain is sequential, so one task.
-    """
+    edge come before the first sample and ``thin`` before each, rounded up to
+    whole rounds of half an attempt an edge, so chains mix alike at every
+    size. An edge that is there twice does not move.
 
-    def body(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf[chain].iloc[0]
-        pdf = pdf.sort_values(["stratum", "row", "col"], ignore_index=True)
-        moving = pdf[~pdf["fixed"]] if forbidden else pdf
-        cells = set(zip(pdf["row"], pdf["col"]))
-        rows, cols = moving["row"].tolist(), moving["col"].tolist()
-        strata = [np.flatnonzero(moving["stratum"].to_numpy() == s) for s in moving["stratum"].unique()]
-        weight = np.array([len(s) for s in strata], float)
-        rng, out = seeded("swap", name), []
-        first, apart = int(burn * len(moving)), max(1, int(thin * len(moving)))
-        for step in range(1, first + keep * apart + 1):
-            s = strata[int(rng.choice(len(strata), p=weight / weight.sum()))]
-            if len(s) > 1:
-                i, j = s[rng.integers(0, len(s), 2)]
-                new = (rows[i], cols[j]), (rows[j], cols[i])
-                if rows[i] != rows[j] and cols[i] != cols[j] and new[0] not in cells and new[1] not in cells:
-                    cells -= {(rows[i], cols[i]), (rows[j], cols[j])}
-                    cells |= set(new)
-                    cols[i], cols[j] = cols[j], cols[i]
-            if step > first and (step - first) % apart == 0:
-                out.append(pd.DataFrame({chain: name, "sample": (step - first) // apart - 1, "row": rows, "col": cols}))
-        return pd.concat(out, ignore_index=True)
-
-    kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
-    return edges.groupBy(chain).applyInPandas(body, f"{chain} {kinds[chain]}, sample int, row {kinds['row']}, col {kinds['col']}")
+    A round pairs all edges at random and swaps every pair whose four cells,
+    left or entered, are no other pair's and no other edge's. The same pairing
+    leads back from the outcome, so all reachable states are equally likely.
+    """
+    if forbidden:
+        edges = edges.withColumn("fixed", F.coalesce("fixed", F.lit(False)))
+        still = edges.where("fixed").select(chain, "row", "col")
+        edges = edges.where("not fixed")
+    deals = edges.groupBy(chain, "stratum").agg(F.ceil(F.count(F.lit(1)) / DEALT).alias("_deals"))
+    state = settle(edges.join(deals, [chain, "stratum"]).select(chain, "stratum", "_deals", "row", "col", F.col("row").alias("_row0"), F.col("col").alias("_col0")))
+    out, burnt, apart = None, math.ceil(2 * burn), max(1, math.ceil(2 * thin))
+    for step in range(1, burnt + keep * apart + 1):
+        state = settle(_swap_round(state, still if forbidden else None, chain, step))
+        if step > burnt and (step - burnt) % apart == 0:
+            sample = state.select(chain, F.lit((step - burnt) // apart - 1).alias("sample"), "row", "col")
+            out = sample if out is None else out.union(sample)
+    return out
+
+
+def _swap_round(state: DataFrame, still: DataFrame | None, chain: str, step: int) -> DataFrame:
+    """One attempt for each pair of edges; pairs are made within deals of some thousand edges, which a hash draws anew each round."""
+    draw = lambda tag: F.xxhash64(F.lit(tag), F.lit(step), chain, "_row0", "_col0")
+    pair = [chain, "stratum", "_deal", "_pair"]
+    dealt = Window.partitionBy(*pair[:3]).orderBy("_order", "_row0", "_col0")
+    place = F.row_number().over(dealt)
+    mate = lambda c: F.when(place % 2 == 1, F.lead(c).over(dealt)).otherwise(F.lag(c).over(dealt))
+    hashed = state.withColumn("_deal", F.pmod(draw("deal"), F.col("_deals"))).withColumn("_order", draw("order"))
+    mated = hashed.select(*state.columns, "_deal", F.floor((place - 1) / 2).alias("_pair"), mate("row").alias("_mate"), mate("col").alias("_to"))
+    paired = settle(mated.withColumn("_try", F.coalesce((F.col("_mate") != F.col("row")) & (F.col("_to") != F.col("col")), F.lit(False))))
+    here, there = paired.select(*pair, "row", "col", "_try"), paired.where("_try").select(*pair, "row", F.col("_to").alias("col"), "_try")
+    taken = here.union(there)
+    cells = taken.select(chain, "row", "col") if still is None else taken.select(chain, "row", "col").union(still)
+    crowded = cells.groupBy(chain, "row", "col").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    barred = taken.where("_try").join(crowded, [chain, "row", "col"], "left_semi").select(*pair).distinct().withColumn("_barred", F.lit(True))
+    moves = F.col("_try") & F.col("_barred").isNull()
+    return paired.join(barred, pair, "left").withColumn("col", F.when(moves, F.col("_to")).otherwise(F.col("col"))).select(*state.columns)
 
 
 def two_way_residuals(df: DataFrame, by: str, a: str, b: str, x: str, rounds: int = 2000, tolerance: float = 1e-10) -> DataFrame:
@@ -210,23 +230,7 @@ def phylogenetic_gls(rows: DataFrame, covariance: DataFrame, by: str) -> DataFra
 
 def holm(df: DataFrame, by: list[str], p: str) -> Column:
     """Holm's adjusted p within ``by``."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*by)
     order = w.orderBy(p)
     step = F.least(F.lit(1.0), F.col(p) * (F.count("*").over(w) - F.row_number().over(order) + 1))
     return step
-
-
-def interior_points(lat0: float, lat1: float, lon0: float, lon1: float, n: int) -> list[tuple[float, float]]:
-    """The first n points of a Halton sequence in a box."""
-
-    def inverse(i: int, base: int) -> float:
-        out, f = 0.0, 1.0
-        while i:
-            f /= base
-            out += f * (i % base)
-            i //= base
-        return out
-
-    return [(lat0 + (lat1 - lat0) * inverse(i, 2), lon0 + (lon1 - lon0) * inverse(i, 3)) for i in range(1, n + 1)]

@@ -8,11 +8,23 @@ from pyspark.sql import functions as F
 from quern.operators import nulls as N
 from quern.operators import space
 from quern.operators.aggregates import r6
+from quern.operators.ranks import radical_inverse
 from quern.plans.registry import query
-from quern.sources.relations import DIST, OBS, distribution, observations, points, taxa, unit_groups
+from quern.plans.staging import settle
+from quern.sources.relations import DIST, GROUPS, OBS, TAXA, distribution, observations, points, taxa, unit_groups
 from quern.sources.tables import table
 
 UNIFORM = "('0x' || substr(sha256({key}), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0"
+MIRRORED = "list_sum(list_transform(range(12), lambda j: ((i + 1) // ({base} ** j)::BIGINT) % {base} / ({base}::DOUBLE ** (j + 1))))"
+
+
+def poisson(key: str) -> str:
+    """SQL for the Poisson(1) weight of a key."""
+    return "(" + " + ".join(f"({UNIFORM.format(key=key)} >= {c})::INTEGER" for c in N.POISSON_CUTS) + ")"
+
+
+def drawn(n: int) -> str:
+    return f"(SELECT unnest(range({n})) AS draw)"
 
 
 @query()
@@ -47,16 +59,11 @@ def f11_weighted_sample(spark, d):
     return o.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("o", "k"))).where("r <= 2").select("g", "k")
 
 
-@query()
+@query(f"WITH p AS (SELECT n_nationkey AS k, i, {MIRRORED.format(base=2)} AS u, {MIRRORED.format(base=3)} AS v FROM nation, (SELECT unnest(range(16)) AS i)) SELECT k, i::INTEGER AS i, round(k + u, 9) AS lat, round(2.0 * k + 2 * v, 9) AS lon FROM p")
 def f14_interior_points(spark, d):
-    """Sixteen points inside each nation's box."""
-
-    def body(batches):
-        for pdf in batches:
-            out = [(int(k), i, lat, lon) for k in pdf["k"] for i, (lat, lon) in enumerate(N.interior_points(float(k), k + 1.0, 2.0 * k, 2.0 * k + 2, 16))]
-            yield pd.DataFrame(out, columns=["k", "i", "lat", "lon"])
-
-    return table(spark, d, "nation").select(F.col("n_nationkey").alias("k")).mapInPandas(body, "k int, i int, lat double, lon double")
+    """Sixteen points inside each nation's box, a Halton sequence in bases 2 and 3."""
+    p = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i"))
+    return p.select("k", "i", F.round(F.col("k") + radical_inverse(F.col("i") + 1, 2), 9).alias("lat"), F.round(2.0 * F.col("k") + 2 * radical_inverse(F.col("i") + 1, 3), 9).alias("lon"))
 
 
 def _nation_rows(spark, d):
@@ -136,7 +143,7 @@ def j05_bootstrap_spearman(spark, d):
     return b.groupBy("u").agg(r6(F.percentile("value", F.lit(0.025))).alias("low"), r6(F.percentile("value", F.lit(0.975))).alias("high"))
 
 
-@query()
+@query(f"WITH {OBS}, cells AS (SELECT species, week, sum(value) AS s, count(*) AS n FROM obs GROUP BY 1, 2), a AS (SELECT species, draw, {poisson("'species|' || draw || '|' || species")} AS wa FROM (SELECT DISTINCT species FROM cells), {drawn(200)}), b AS (SELECT week, draw, {poisson("'week|' || draw || '|' || week")} AS wb FROM (SELECT DISTINCT week FROM cells), {drawn(200)}), v AS (SELECT draw, sum(wa * wb * s) / sum(wa * wb * n) AS value FROM cells JOIN a USING (species) JOIN b USING (week, draw) WHERE wa > 0 AND wb > 0 GROUP BY 1) SELECT count(*) AS draws, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM v")
 def j07_crossed_bootstrap(spark, d):
     """Mean event value with species and weeks resampled as crossed factors: weights multiply on the cell sums, rows are never resampled."""
     cells = observations(spark, d).groupBy("species", "week").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
@@ -147,7 +154,7 @@ def j07_crossed_bootstrap(spark, d):
     return draws.agg(F.count("*").alias("draws"), r6(F.percentile("value", F.lit(0.025))).alias("low"), r6(F.percentile("value", F.lit(0.975))).alias("high"))
 
 
-@query()
+@query(f"WITH w AS (SELECT c_nationkey AS u, c_acctbal AS x, draw, {poisson("'customers|' || draw || '|' || c_custkey")} AS w FROM customer, {drawn(100)}), per AS (SELECT draw, u, sum(w * x) / sum(w) AS m FROM w WHERE w > 0 GROUP BY 1, 2), v AS (SELECT draw, avg(m) AS value FROM per GROUP BY 1) SELECT count(*) AS draws, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS se FROM v")
 def j08_stratified_bootstrap(spark, d):
     """Mean balance with customers resampled within nations, nations weighing alike."""
     rows = N.poisson_weights(_nation_rows(spark, d), F.col("k"), 100, "customers")
@@ -174,7 +181,7 @@ def j09_placement_null(spark, d):
     return N.per_replicate(spark, 500, "draw long, whole long, strata long", body)
 
 
-@query()
+@query(f"WITH {DIST}, {TAXA}, per AS (SELECT resource, family, units FROM (SELECT resource, count(*)::DOUBLE AS units FROM dist GROUP BY 1) JOIN taxa USING (resource)), wanted AS (SELECT unit, family, count(*) AS want FROM dist JOIN taxa USING (resource) WHERE native GROUP BY 1, 2), deal AS (SELECT *, row_number() OVER (PARTITION BY unit, family, draw ORDER BY sha256('matched|' || unit || '|' || draw || '|' || resource)) AS r FROM per JOIN wanted USING (family), {drawn(10)}), m AS (SELECT unit, draw, avg(units) AS m FROM deal WHERE r <= want GROUP BY 1, 2) SELECT unit, round(avg(m), 6) AS resampled, count(*) AS draws FROM m GROUP BY 1")
 def j10_composition_matched_resample(spark, d):
     """Portfolios of random parts with the same brands as a nation's native ones: mean units per part, observed and resampled."""
     per = distribution(spark, d).groupBy("resource").agg(F.count("*").cast("double").alias("units")).join(taxa(spark, d), "resource")
@@ -185,7 +192,7 @@ def j10_composition_matched_resample(spark, d):
     return means.groupBy("unit").agg(r6(F.avg("m")).alias("resampled"), F.count("*").alias("draws"))
 
 
-@query()
+@query(f"WITH {DIST}, w AS (SELECT resource, count(*) FILTER (native) AS native, count(*) AS units FROM dist GROUP BY 1), o AS (SELECT *, -ln(greatest({UNIFORM.format(key="'bias|' || draw || '|' || resource")}, 1e-15)) / exp(-pow((native - 6) / 2.0, 2) / 2) AS o FROM w, {drawn(20)}), p AS (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY o, resource) AS r FROM o) SELECT draw::INTEGER AS draw, round(avg(units), 6) AS units, round(avg(native), 6) AS native FROM p WHERE r <= 50 GROUP BY 1")
 def j11_bias_weighted_resample(spark, d):
     """Parts drawn with chances that fall with the distance of their native range from a size of six."""
     per = distribution(spark, d).groupBy("resource").agg(F.count_if("native").alias("native"), F.count("*").alias("units"))
@@ -198,7 +205,7 @@ def j11_bias_weighted_resample(spark, d):
 @query()
 def j12_exponent_calibration(spark, d):
     """The exponent on a part's range at which weighted draws meet the mean range of heavily sold parts; bisection over one-row jobs."""
-    per = distribution(spark, d).groupBy("resource").agg(F.count("*").cast("double").alias("units")).cache()
+    per = settle(distribution(spark, d).groupBy("resource").agg(F.count("*").cast("double").alias("units")))
     target = per.where("resource % 2 = 0").agg(F.percentile("units", F.lit(0.7))).first()[0]
     low, high = -3.0, 3.0
     for _ in range(12):
@@ -258,7 +265,7 @@ def j18_node_relabelling(spark, d):
     return _permuted(n, ["band"], "k", "v", 3, "node").select("draw", F.col("k").alias("node"), F.col("permuted").alias("source"))
 
 
-@query()
+@query(f"WITH {GROUPS}, r AS (SELECT grp AS g, unit AS u, c_custkey::DOUBLE AS k, c_acctbal AS x FROM customer JOIN groups ON c_nationkey = unit), s AS (SELECT g, u, count(*) AS s, sum(x) AS x, sum(k) AS k, sum(x * k) AS xk, sum(x * x) AS xx, sum(k * k) AS kk FROM r GROUP BY 1, 2), w AS (SELECT *, {poisson("'blocks|' || draw || '|' || u")} AS w FROM s, {drawn(200)}), t AS (SELECT g, draw, sum(w * s) AS s, sum(w * x) AS x, sum(w * k) AS k, sum(w * xk) AS xk, sum(w * xx) AS xx, sum(w * kk) AS kk FROM w WHERE w > 0 GROUP BY 1, 2), c AS (SELECT g, (xk / s - x * k / (s * s)) / sqrt((xx / s - x * x / (s * s)) * (kk / s - k * k / (s * s))) AS r FROM t) SELECT g, round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high FROM c GROUP BY 1")
 def j21_block_bootstrap(spark, d):
     """Correlation of balance and key within regions, nations resampled as blocks."""
     sums = _nation_rows(spark, d).groupBy("g", "u").agg(*[F.sum(e).alias(n) for n, e in {"s": F.lit(1.0), "x": F.col("x"), "k": F.col("k"), "xk": F.col("x") * F.col("k"), "xx": F.col("x") * F.col("x"), "kk": F.col("k") * F.col("k")}.items()])

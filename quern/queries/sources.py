@@ -1,9 +1,5 @@
 """Scans, sinks and streams. File formats are written from the tables first, then scanned."""
 
-import os
-import tempfile
-import zipfile
-
 from pyspark.sql import functions as F
 
 from quern.plans.registry import query
@@ -42,14 +38,13 @@ def a03_gzip_csv_scan(spark, d):
     return files.read_csv(spark, path, ["s_suppkey"])
 
 
-@query("SELECT s_suppkey::VARCHAR AS s_suppkey, s_name FROM supplier WHERE s_suppkey <= 100")
+@query("SELECT s_suppkey::VARCHAR AS s_suppkey, s_name FROM supplier")
 def a04_zip_member_discovery(spark, d):
-    rows = _suppliers(spark, d).where("s_suppkey <= 100").collect()  # a small archive to scan
-    path = os.path.join(tempfile.mkdtemp(prefix="quern-"), "tables.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        z.writestr("readme.txt", "no table here\n")
-        z.writestr("other.csv", "a,b\n1,2\n")
-        z.writestr("suppliers.tsv", "﻿s_suppkey\tS_NAME\ts_nationkey\n" + "".join(f"{r[0]}\t{r[1]}\t{r[2]}\n" for r in rows))
+    """Archives that hold a note and another table beside the one that is looked for; each task writes and reads its own."""
+    path = stage_path(spark)
+    other = {"readme.txt": "no table here\n", "other.csv": "a,b\n1,2\n"}
+    named = _suppliers(spark, d).withColumnRenamed("s_name", "S_NAME").withColumn("s_suppkey", F.col("s_suppkey").cast("string"))
+    files.write_archives(named, path, "suppliers.tsv", other)
     spark.dataSource.register(files.ZipTable)
     return spark.read.format("ziptable").option("path", path).option("required", "s_suppkey,s_name").load()
 
@@ -213,10 +208,10 @@ def m05_follow_up_state(spark, d):
         spark.conf.set(provider, before) if before else spark.conf.unset(provider)
 
 
-@query()
+@query("WITH o AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL '6 hours', true)::INTEGER AS fresh FROM events), n AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM o) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, count(*)::BIGINT AS records FROM n GROUP BY user_id, s")
 def m06_user_sessions(spark, d):
     """Extension: sessions of each user with a gap of six hours."""
-    return E.sessions(table(spark, d, "events"), "6 hours").select("user_id", F.col("start").cast("string").alias("start"), "records")
+    return E.sessions(table(spark, d, "events"), "6 hours").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"), "records")
 
 
 @query("WITH w AS (SELECT ts - INTERVAL '12 hours' * o AS moment, event_type, value FROM events, (SELECT unnest([0, 1]) AS o)) SELECT strftime(time_bucket(INTERVAL '12 hours', moment), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*)::BIGINT AS records FROM w GROUP BY 1, 2")

@@ -2,6 +2,8 @@
 
 import csv
 import io
+import os
+import urllib.parse
 import zipfile
 from html.parser import HTMLParser
 
@@ -64,11 +66,48 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
 
 
+def local_path(path: str) -> str:
+    """The path of a folder or file that is mounted on all workers, without ``file:``."""
+    parts = urllib.parse.urlparse(path)
+    if parts.scheme not in ("", "file"):
+        raise ValueError(f"archives need a mounted folder, {path} is not one")
+    return parts.path
+
+
+def write_archives(df: DataFrame, path: str, member: str, other: dict[str, str]) -> None:
+    """A ZIP archive for each partition of ``df`` below ``path``, with the rows as a tab-separated member and ``other`` members as they are.
+
+    An archive gets its name when it is whole, so a task that is run again
+    replaces it. Values must hold neither tabs nor line breaks.
+    """
+    folder, names = local_path(path), df.columns
+
+    def body(batches):
+        from pyspark import TaskContext
+
+        os.makedirs(folder, exist_ok=True)
+        task = TaskContext.get()
+        part = f"{folder}/.{task.partitionId()}-{task.taskAttemptId()}"
+        with zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED) as archive:
+            for name, text in other.items():
+                archive.writestr(name, text)
+            with archive.open(member, "w", force_zip64=True) as f:
+                f.write(("\ufeff" + "\t".join(names) + "\n").encode())
+                for batch in batches:
+                    columns = [batch.column(i).to_pylist() for i in range(len(names))]
+                    f.write("".join("\t".join("" if v is None else str(v) for v in row) + "\n" for row in zip(*columns)).encode())
+        os.replace(part, f"{folder}/{task.partitionId()}.zip")
+        yield from ()
+
+    df.mapInArrow(body, df.schema).write.format("noop").mode("overwrite").save()
+
+
 class ZipTable(DataSource):
     """Rows of the one member of a ZIP archive whose header has all required columns; the delimiter is found out.
 
-    Options: path, on a file system that all workers see, and required
-    (comma-separated). Columns are strings.
+    Options: path, an archive or a folder of archives on a file system that
+    all workers see, and required (comma-separated). Columns are strings. An
+    archive is a task.
     """
 
     @classmethod
@@ -79,7 +118,7 @@ class ZipTable(DataSource):
         return T.StructType([T.StructField(c, T.StringType()) for c in self.options["required"].split(",")])
 
     def reader(self, schema: T.StructType) -> "ZipTableReader":
-        return ZipTableReader(self.options["path"], [f.name for f in schema.fields])
+        return ZipTableReader(local_path(self.options["path"]), [f.name for f in schema.fields])
 
 
 class ZipTableReader(DataSourceReader):
@@ -87,24 +126,26 @@ class ZipTableReader(DataSourceReader):
         self.path, self.required = path, required
 
     def partitions(self) -> list[InputPartition]:
+        if os.path.isdir(self.path):
+            return [InputPartition(f"{self.path}/{f}") for f in sorted(os.listdir(self.path)) if f.endswith(".zip") and not f.startswith(".")]
+        return [InputPartition(self.path)]
+
+    def read(self, partition: InputPartition):
         found = []
-        with zipfile.ZipFile(self.path) as archive:
+        with zipfile.ZipFile(partition.value) as archive:
             for member in archive.namelist():
                 with archive.open(member) as f:
                     head = io.TextIOWrapper(f, "utf-8-sig", errors="replace").readline().rstrip("\r\n")
                 sep = max("\t,;", key=head.count)
                 if set(self.required) <= {c.strip().lower() for c in head.split(sep)}:
                     found.append((member, sep))
-        if len(found) != 1:
-            raise ValueError(f"{len(found)} members have the columns {self.required}")
-        return [InputPartition(found[0])]
-
-    def read(self, partition: InputPartition):
-        member, sep = partition.value
-        with zipfile.ZipFile(self.path) as archive, archive.open(member) as f:
-            for row in csv.DictReader(io.TextIOWrapper(f, "utf-8-sig", newline=""), delimiter=sep):
-                low = {k.strip().lower(): v for k, v in row.items() if k}
-                yield tuple(low[c] for c in self.required)
+            if len(found) != 1:
+                raise ValueError(f"{len(found)} members of {partition.value} have the columns {self.required}")
+            member, sep = found[0]
+            with archive.open(member) as f:
+                for row in csv.DictReader(io.TextIOWrapper(f, "utf-8-sig", newline=""), delimiter=sep):
+                    low = {k.strip().lower(): v for k, v in row.items() if k}
+                    yield tuple(low[c] for c in self.required)
 
 
 class _Tables(HTMLParser):

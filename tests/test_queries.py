@@ -197,6 +197,29 @@ def test_streams_agree_with_batches(spark):
     assert key(E.drained(E.tumbling(E.event_stream(spark, DIR), "1 day"), "complete")) == key(E.tumbling(batch, "1 day"))
 
 
+def test_source_digests_are_those_of_the_files(spark):
+    import hashlib
+
+    content = open(f"{DIR}/region.parquet", "rb").read()
+    rows = [tuple(r) for r in catalogue.queries()["a28_source_digests"](spark, DIR).collect()]
+    assert rows == [("region.parquet", len(content), hashlib.sha256(content).hexdigest())]
+
+
+def test_swaps_reach_all_graphs_alike(spark):
+    """Of all 3 x 3 graphs with two edges a row and a column, in 600 chains, each comes up about as often as the others."""
+    from collections import Counter
+
+    from quern.operators import nulls as N
+
+    edges = [(c, r, (r + k) % 3, 0) for c in range(600) for r in range(3) for k in (0, 1)]
+    frame = spark.createDataFrame(edges, "chain int, row int, col int, stratum int")
+    graphs = {}
+    for s in N.swapped(frame, "chain", 8.0, 1, 1.0).collect():
+        graphs.setdefault(s["chain"], set()).add((s["row"], s["col"]))
+    times = Counter(frozenset(g) for g in graphs.values())
+    assert len(times) == 6 and all(65 < n < 140 for n in times.values()), times
+
+
 def test_swaps_keep_margins_and_protected_cells(spark):
     from collections import Counter
 
