@@ -24,10 +24,19 @@ def value_counts(df: DataFrame, by: list[str], x: str) -> DataFrame:
 
 
 def with_average_ranks(df: DataFrame, by: list[str], ranks: dict[str, str]) -> DataFrame:
-    """``df`` with, for each ``new: x`` of ``ranks``, the rank of x within ``by``; equal values share the mean of their ranks, NULL has none."""
+    """``df`` with, for each ``new: x`` of ``ranks``, the rank of x within ``by``; equal values share the mean of their ranks, NULL has none.
+
+    Columns of one type are counted together, and their ranks are one stage
+    table, by whose size Spark decides how to join them.
+    """
+    alike = {}
     for new, x in ranks.items():
-        ranked = value_counts(df, by, x).select(*by, x, (F.col("before") + (F.col("n") + 1) / 2).alias(new))
-        df = df.join(ranked, [*by, x], "left")
+        alike.setdefault(df.schema[x].dataType, {})[new] = x
+    for group in alike.values():
+        values = df.select(*by, F.inline(F.array(*[F.struct(F.lit(new).alias("_of"), F.col(x).alias("_v")) for new, x in group.items()])))
+        ranked = settle(value_counts(values, [*by, "_of"], "_v").select(*by, "_of", "_v", (F.col("before") + (F.col("n") + 1) / 2).alias("_rank")))
+        for new, x in group.items():
+            df = df.join(ranked.where(F.col("_of") == new).select(*by, F.col("_v").alias(x), F.col("_rank").alias(new)), [*by, x], "left")
     return df
 
 
