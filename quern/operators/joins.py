@@ -44,6 +44,22 @@ def one_source_keys(df: DataFrame, key: str, source: str) -> Column:
     return F.when(claims == 1, F.col(key))
 
 
+def latest_before(df: DataFrame, key: str, ticks: str, value: str, new: str, width: int) -> DataFrame:
+    """``df`` with the largest ``value`` among the key's rows of smaller ``ticks``, a whole number; NULL if there is none or the key is NULL.
+
+    Time is cut into spans of ``width`` ticks. A window looks back within a
+    span, and what came before it is carried over from the spans' maxima, so
+    a key's history is sorted span by span and not in one task.
+    """
+    cut = df.withColumn("_span", F.floor(F.col(ticks) / width))
+    spans = cut.groupBy(key, "_span").agg(F.max(value).alias("_most"))
+    earlier = F.max("_most").over(Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
+    carried = spans.select(key, "_span", earlier.alias("_carried"))
+    within = F.max(value).over(Window.partitionBy(key, "_span").orderBy(ticks).rangeBetween(Window.unboundedPreceding, -1))
+    found = cut.withColumn("_within", within).join(carried, [key, "_span"], "left")
+    return found.withColumn(new, F.when(F.col(key).isNotNull(), F.greatest("_within", "_carried"))).drop("_span", "_within", "_carried")
+
+
 def lag_class(lower_a: Column, upper_a: Column, lower_b: Column, upper_b: Column) -> Column:
     """Whether interval b surely follows a, surely precedes it, or may do either."""
     return F.when(lower_b > upper_a, "after").when(upper_b < lower_a, "before").otherwise("undecided")

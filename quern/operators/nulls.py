@@ -1,10 +1,10 @@
 """Null models, bootstraps and selections whose steps depend on one another.
 
-Spark deals out the independent units - replicates, strata - one group to a
-task; within a group numpy does the sequential part. Swap chains run as rounds
-over whole tables. Every draw comes
-from a generator seeded by a hash of the unit's name, so results do not depend
-on partitioning.
+Swap chains, selections and matchings run as rounds over whole tables, and
+resampling gives rows weights, so no group has to fit a task. Where numpy does
+a sequential part - batches of replicates, fits from sufficient statistics -
+Spark deals out the units. Every draw comes from a generator or a hash seeded
+by the unit's name, so results do not depend on partitioning.
 """
 
 import hashlib
@@ -39,17 +39,6 @@ def per_replicate(spark: SparkSession, draws: int, columns: str, body, batch: in
     return jobs.groupBy("first").applyInPandas(lambda pdf: body(int(pdf["first"].iloc[0]), int(pdf["last"].iloc[0])), columns)
 
 
-def bootstrap(df: DataFrame, by: str, draws: int, statistic, tag: str) -> DataFrame:
-    """(by, draw, value): ``statistic(rows)`` of each resample of a group's rows, which have to fit a task."""
-
-    def body(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(pdf.columns), ignore_index=True)
-        rng, n = seeded(tag, pdf[by].iloc[0]), len(pdf)
-        return pd.DataFrame({by: pdf[by].iloc[0], "draw": range(draws), "value": [float(statistic(pdf.iloc[rng.integers(0, n, n)])) for _ in range(draws)]})
-
-    return df.groupBy(by).applyInPandas(body, f"{by} {df.schema[by].dataType.simpleString()}, draw int, value double")
-
-
 def poisson_weights(df: DataFrame, unit: Column, draws: int, tag: str) -> DataFrame:
     """Each row once per draw in which its unit's Poisson(1) weight, from a hash, is positive: a bootstrap without shuffling rows."""
     u = hash_uniform(F.lit(tag), F.col("draw").cast("string"), unit.cast("string"))
@@ -58,43 +47,48 @@ def poisson_weights(df: DataFrame, unit: Column, draws: int, tag: str) -> DataFr
 
 
 def farthest_points(df: DataFrame, by: list[str], axes: list[str], key: str, n: int) -> DataFrame:
-    """(by, key, pick): max-min selection of n rows in standardised space, the most central first; ties go to the smaller hash of the key."""
+    """(*by, key, pick): max-min selection of n rows in standardised space, the most central first.
 
-    def body(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < n:
-            raise ValueError(f"a stratum has {len(pdf)} rows, {n} are asked for")
-        order = pdf[key].map(lambda k: hashlib.sha256(str(k).encode()).hexdigest())
-        pdf = pdf.assign(_h=order).sort_values("_h", ignore_index=True)
-        x = pdf[axes].to_numpy(float)
-        sd = x.std(axis=0)
-        x = (x - x.mean(axis=0)) / np.where(sd > 1.5e-8, sd, 1)
-        chosen = [int(np.argmin((x**2).sum(axis=1)))]
-        nearest = ((x - x[chosen[0]]) ** 2).sum(axis=1)
-        while len(chosen) < n:
-            nearest[chosen] = -1
-            chosen.append(int(np.argmax(nearest)))
-            nearest = np.minimum(nearest, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
-        out = pdf.iloc[chosen][[*by, key]].copy()
-        out["pick"] = range(n)
-        return out
+    Distances that agree in nine digits are ties, which go to the smaller hash
+    of the key. Rows with NULL in a group column or an axis are left out; keys
+    are distinct within a group, and a group with fewer than n rows fails.
 
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.groupBy(*by).applyInPandas(body, ", ".join(f"{c} {kinds[c]}" for c in [*by, key]) + ", pick int")
+    Each pick is one aggregate over all rows, with what was picked before
+    joined to them, so a group is never gathered in a task.
+    """
+    df = df.dropna(subset=[*by, *axes])
+    moments = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[f(c).alias(f"_{k}_{c}") for c in axes for k, f in (("mean", F.avg), ("sd", F.stddev_pop))])
+    short = F.raise_error(F.concat(F.lit("a stratum has "), F.col("_n").cast("string"), F.lit(f" rows, {n} are asked for"))).cast("boolean")
+    moments = moments.where(F.when(F.col("_n") < n, short).otherwise(True))
+    score = lambda c: (F.col(c) - F.col(f"_mean_{c}")) / F.when(F.col(f"_sd_{c}") > 1.5e-8, F.col(f"_sd_{c}")).otherwise(1.0)
+    rows = settle(df.join(moments, by).select(*by, key, F.sha2(F.col(key).cast("string"), 256).alias("_h"), F.array(*[score(c) for c in axes]).alias("_z")))
+    apart = lambda z, c: F.aggregate(F.zip_with(z, c, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+    first = rows.withColumn("_gap", F.round(apart(F.col("_z"), F.array(*[F.lit(0.0)] * len(axes))), 9))
+    best = lambda gaps: gaps.groupBy(*by).agg(F.min(F.struct("_gap", "_h", key, "_z")).alias("_best"))
+    picks = settle(best(first).select(*by, F.array("_best").alias("_chosen")))
+    for _ in range(n - 1):
+        left = rows.join(picks, by).where(~F.array_contains(F.col(f"_chosen.{key}"), F.col(key)))
+        nearest = F.array_min(F.transform("_chosen", lambda c: apart(F.col("_z"), c["_z"])))
+        picks = settle(picks.join(best(left.withColumn("_gap", F.round(-nearest, 9))), by).select(*by, F.concat("_chosen", F.array("_best")).alias("_chosen")))
+    return picks.select(*by, F.posexplode("_chosen").alias("pick", "_one")).select(*by, F.col(f"_one.{key}").alias(key), "pick")
 
 
 def greedy_pairs(pairs: DataFrame, by: str) -> DataFrame:
-    """Of each group's candidates (by, a, b, d) the pairs taken in order of (d, a, b), each a and b once."""
+    """Of each group's candidates (by, a, b, d) the pairs taken in order of (d, a, b), each a and b once; candidates with a NULL are left out.
 
-    def body(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_a, used_b, rows = set(), set(), []
-        for r in pdf.sort_values(["d", "a", "b"]).itertuples(index=False):
-            if r.a not in used_a and r.b not in used_b:
-                used_a.add(r.a)
-                used_b.add(r.b)
-                rows.append(r)
-        return pd.DataFrame(rows, columns=pdf.columns)[list(pdf.columns)]
-
-    return pairs.groupBy(by).applyInPandas(body, pairs.schema)
+    A pair that comes first both among those of its a and among those of its b
+    is taken whatever else is, so each round takes all such pairs and drops
+    the candidates of their ends. Rounds go on until no candidate is left: few
+    on scattered distances, as many as pairs where each waits for the last.
+    """
+    left, out = settle(pairs.select(by, "a", "b", "d").dropna()), None
+    while not left.isEmpty():
+        of_a = left.groupBy(by, "a").agg(F.min(F.struct("d", "b")).alias("m")).select(by, "a", "m.b", "m.d")
+        of_b = left.groupBy(by, "b").agg(F.min(F.struct("d", "a")).alias("m")).select(by, "m.a", "b")
+        taken = settle(of_a.join(of_b, [by, "a", "b"]))
+        out = taken if out is None else out.union(taken)
+        left = settle(left.join(taken.select(by, "a"), [by, "a"], "left_anti").join(taken.select(by, "b"), [by, "b"], "left_anti"))
+    return (left if out is None else out).select(*pairs.columns)
 
 
 def weighted_order(key: Column, weight: Column, tag: str) -> Column:

@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 from quern.plans.staging import settle
 
 
-def value_counts(df: DataFrame, by: list[str], x: str) -> DataFrame:
+def value_counts(df: DataFrame, by: list[str], x: str, weight: str | None = None) -> DataFrame:
     """(*by, x, n, before): how often each value occurs in its group and how many rows have smaller ones; NULL values are left out.
 
+    A row counts ``weight`` times, a whole number, if that is given.
+
     Rows are counted on the map side first. The different values are then
     dealt by ranges, and sums run within a range and over the ranges' totals,
     so no task takes a whole group however few groups there are.
     """
-    counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     ranged = settle(counts.repartitionByRange(*by, x).withColumn("_range", F.spark_partition_id()))
     totals = ranged.groupBy(*by, "_range").agg(F.sum("n").alias("t"))
     earlier = F.sum("t").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
@@ -23,26 +25,27 @@ def value_counts(df: DataFrame, by: list[str], x: str) -> DataFrame:
     return summed.join(starts, [*by, "_range"]).select(*by, x, "n", (F.col("_start") + F.col("_within")).alias("before"))
 
 
-def with_average_ranks(df: DataFrame, by: list[str], ranks: dict[str, str]) -> DataFrame:
+def with_average_ranks(df: DataFrame, by: list[str], ranks: dict[str, str], weight: str | None = None) -> DataFrame:
     """``df`` with, for each ``new: x`` of ``ranks``, the rank of x within ``by``; equal values share the mean of their ranks, NULL has none.
 
     Columns of one type are counted together, and their ranks are one stage
-    table, by whose size Spark decides how to join them.
+    table, by whose size Spark decides how to join them. A row stands for
+    ``weight`` equal ones, if that is given.
     """
     alike = {}
     for new, x in ranks.items():
         alike.setdefault(df.schema[x].dataType, {})[new] = x
     for group in alike.values():
-        values = df.select(*by, F.inline(F.array(*[F.struct(F.lit(new).alias("_of"), F.col(x).alias("_v")) for new, x in group.items()])))
-        ranked = settle(value_counts(values, [*by, "_of"], "_v").select(*by, "_of", "_v", (F.col("before") + (F.col("n") + 1) / 2).alias("_rank")))
+        values = df.select(*by, *([weight] if weight else []), F.inline(F.array(*[F.struct(F.lit(new).alias("_of"), F.col(x).alias("_v")) for new, x in group.items()])))
+        ranked = settle(value_counts(values, [*by, "_of"], "_v", weight).select(*by, "_of", "_v", (F.col("before") + (F.col("n") + 1) / 2).alias("_rank")))
         for new, x in group.items():
             df = df.join(ranked.where(F.col("_of") == new).select(*by, F.col("_v").alias(x), F.col("_rank").alias(new)), [*by, x], "left")
     return df
 
 
-def exact_quantiles(df: DataFrame, by: list[str], x: str, qs: dict[str, float]) -> DataFrame:
-    """(*by, *qs) with linear interpolation between the two order statistics around q * (n - 1)."""
-    counts = settle(value_counts(df, by, x))
+def exact_quantiles(df: DataFrame, by: list[str], x: str, qs: dict[str, float], weight: str | None = None) -> DataFrame:
+    """(*by, *qs) with linear interpolation between the two order statistics around q * (n - 1); a row stands for ``weight`` equal ones."""
+    counts = settle(value_counts(df, by, x, weight))
     sizes = counts.groupBy(*by).agg(F.sum("n").alias("_all"))
     placed = counts.join(sizes, by)
     place = lambda q: F.lit(q) * (F.col("_all") - 1)

@@ -19,6 +19,14 @@ def pearson(x: str, y: str, least: int = 3) -> Column:
     return F.when((F.count("*") >= least) & (sx > 1.5e-8) & (sy > 1.5e-8), F.try_divide(F.covar_pop(x, y), sx * sy))
 
 
+def weighted_pearson(x: str, y: str, weight: str) -> Column:
+    """Correlation as an aggregate of rows that count ``weight`` times; NULL where a side does not vary."""
+    mean = lambda e: F.sum(F.col(weight) * e) / F.sum(weight)
+    part = lambda a, b: mean(F.col(a) * F.col(b)) - mean(F.col(a)) * mean(F.col(b))
+    varies = (part(x, x) > 1e-9) & (part(y, y) > 1e-9)
+    return F.when(varies, F.try_divide(part(x, y), F.sqrt(part(x, x) * part(y, y))))
+
+
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     ranked = with_average_ranks(df.select(*by, x, y), by, {"_x": x, "_y": y})
     return ranked.groupBy(*by).agg(pearson("_x", "_y").alias("rho"))

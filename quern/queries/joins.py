@@ -200,9 +200,10 @@ def c22_interval_lag_join(spark, d):
 
 @query("""SELECT a.event_id, (SELECT max(b.ts) FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'view' AND b.ts < a.ts)::VARCHAR AS latest FROM events a WHERE a.event_type = 'purchase'""")
 def c23_as_of_join(spark, d):
-    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    before = F.max(F.when(F.col("event_type") == "view", F.col("ts"))).over(Window.partitionBy("user_id").orderBy(F.unix_micros("ts")).rangeBetween(Window.unboundedPreceding, -1))
-    return e.withColumn("latest", before.cast("string")).where("event_type = 'purchase'").select("event_id", "latest")
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    e = e.withColumn("t", F.unix_micros("ts")).withColumn("seen", F.when(F.col("event_type") == "view", F.col("ts")))
+    found = J.latest_before(e, "user_id", "t", "seen", "latest", 3_600_000_000)
+    return found.where("event_type = 'purchase'").select("event_id", F.col("latest").cast("string").alias("latest"))
 
 
 @query(f"WITH {OBS}, c AS (SELECT dataset, (day - DATE '2024-01-01')::BIGINT AS t, count(*) AS n FROM obs GROUP BY 1, 2) SELECT a.dataset, a.t, coalesce(sum(b.n), 0)::BIGINT AS trailing FROM c a LEFT JOIN c b ON a.dataset = b.dataset AND b.t >= a.t - 5 AND b.t < a.t GROUP BY 1, 2")

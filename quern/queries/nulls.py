@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from quern.operators import nulls as N
 from quern.operators import space
 from quern.operators.aggregates import r6
-from quern.operators.ranks import radical_inverse
+from quern.operators.ranks import exact_quantiles, radical_inverse, with_average_ranks
+from quern.operators.stats import weighted_pearson
 from quern.plans.registry import query
 from quern.plans.staging import settle
-from quern.sources.relations import DIST, GROUPS, OBS, TAXA, distribution, observations, points, taxa, unit_groups
+from quern.sources.relations import DIST, GROUPS, OBS, POINTS, TAXA, distribution, observations, points, taxa, unit_groups
 from quern.sources.tables import table
 
 UNIFORM = "('0x' || substr(sha256({key}), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0"
@@ -27,20 +28,31 @@ def drawn(n: int) -> str:
     return f"(SELECT unnest(range({n})) AS draw)"
 
 
-@query()
+def _spread(rows: str, by: str, key: str, n: int) -> str:
+    """SQL for n rows (g, k, x, y) of each large enough group of ``rows``: the most central one, then the one farthest from those before."""
+    gap = "(z.x - c.x) * (z.x - c.x) + (z.y - c.y) * (z.y - c.y)"
+    z = """m AS (SELECT g, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM r GROUP BY 1 HAVING count(*) >= {n}), z AS (SELECT g, k, sha256(k::VARCHAR) AS h, (x - mx) / CASE WHEN sx > 1.5e-8 THEN sx ELSE 1 END AS x, (y - my) / CASE WHEN sy > 1.5e-8 THEN sy ELSE 1 END AS y FROM r JOIN m USING (g)), p0 AS (SELECT g, k, x, y, 0 AS pick FROM z QUALIFY row_number() OVER (PARTITION BY g ORDER BY round(x * x + y * y, 9), h) = 1)""".format(n=n)
+    for i in range(1, n):
+        z += f", n{i} AS (SELECT z.g, z.k, z.h, z.x, z.y, min({gap}) AS gap FROM z JOIN p{i - 1} c USING (g) WHERE NOT EXISTS (SELECT 1 FROM p{i - 1} q WHERE q.g = z.g AND q.k = z.k) GROUP BY ALL), p{i} AS (SELECT * FROM p{i - 1} UNION ALL (SELECT g, k, x, y, {i} FROM n{i} QUALIFY row_number() OVER (PARTITION BY g ORDER BY round(-gap, 9), h) = 1))"
+    return f"WITH {rows}, {z} SELECT g AS {by}, k AS {key}, pick FROM p{n - 1}"
+
+
+def _groups_of(df, by, least):
+    """Rows of groups that have at least so many."""
+    return df.join(df.groupBy(by).count().where(F.col("count") >= least).select(by), by)
+
+
+@query(_spread("r AS (SELECT p_brand AS g, p_partkey AS k, p_size AS x, p_retailprice AS y FROM part)", "p_brand", "p_partkey", 3))
 def f07_farthest_point_sample(spark, d):
-    """Twelve parts of each brand, spread over size and price."""
+    """Three parts of each brand, spread over size and price."""
     p = table(spark, d, "part").select("p_brand", "p_partkey", "p_size", "p_retailprice")
-    enough = p.withColumn("n", F.count("*").over(Window.partitionBy("p_brand"))).where("n >= 3").drop("n")
-    return N.farthest_points(enough, ["p_brand"], ["p_size", "p_retailprice"], "p_partkey", 3)
+    return N.farthest_points(_groups_of(p, "p_brand", 3), ["p_brand"], ["p_size", "p_retailprice"], "p_partkey", 3)
 
 
-@query()
+@query(_spread(f"{POINTS}, r AS (SELECT label AS g, id AS k, lat AS x, lon AS y FROM points)", "label", "id", 5))
 def f08_stratified_selection(spark, d):
     """Five points of each label, spread over the globe."""
-    p = points(spark, d)
-    enough = p.withColumn("n", F.count("*").over(Window.partitionBy("label"))).where("n >= 5").drop("n")
-    return N.farthest_points(enough, ["label"], ["lat", "lon"], "id", 5)
+    return N.farthest_points(_groups_of(points(spark, d), "label", 5), ["label"], ["lat", "lon"], "id", 5)
 
 
 @query()
@@ -132,14 +144,17 @@ def i13_logistic_regression(spark, d):
     return model.transform(rows.where("week >= 4")).groupBy("week").agg(r6(F.avg(loss)).alias("log_loss"), F.count("*").alias("n"))
 
 
-def _rank_corr(pdf: pd.DataFrame) -> float:
-    r = pdf[["x", "k"]].rank()
-    return float(np.corrcoef(r.x, r.k)[0, 1])
+RANK_OF = "r{c} AS (SELECT u, draw, {c}, (sum(n) OVER (PARTITION BY u, draw ORDER BY {c}) - n)::DOUBLE + (n + 1)::DOUBLE / 2 AS r{c} FROM (SELECT u, draw, {c}, sum(w) AS n FROM v GROUP BY 1, 2, 3))"
 
 
-@query()
+@query(f"""WITH r AS (SELECT n_nationkey AS u, c_custkey AS k, c_acctbal AS x FROM customer JOIN nation ON c_nationkey = n_nationkey), v AS (SELECT * FROM (SELECT *, {poisson("'spearman|' || draw || '|' || k")} AS w FROM r, {drawn(100)}) WHERE w > 0), {RANK_OF.format(c="x")}, {RANK_OF.format(c="k")},
+m AS (SELECT u, draw, sum(w * rx) / sum(w) AS x, sum(w * rk) / sum(w) AS k, sum(w * rx * rx) / sum(w) AS xx, sum(w * rk * rk) / sum(w) AS kk, sum(w * rx * rk) / sum(w) AS xk FROM v JOIN rx USING (u, draw, x) JOIN rk USING (u, draw, k) GROUP BY 1, 2),
+c AS (SELECT u, CASE WHEN xx - x * x > 1e-9 AND kk - k * k > 1e-9 THEN (xk - x * k) / sqrt((xx - x * x) * (kk - k * k)) END AS r FROM m) SELECT u, round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high FROM c GROUP BY 1""")
 def j05_bootstrap_spearman(spark, d):
-    b = N.bootstrap(_nation_rows(spark, d).select("u", "k", "x"), "u", 100, _rank_corr, "spearman")
+    """Rank correlation of balance and key in each nation, customers resampled by weights."""
+    w = N.poisson_weights(_nation_rows(spark, d).select("u", "k", "x"), F.col("k"), 100, "spearman")
+    ranked = with_average_ranks(w, ["u", "draw"], {"_x": "x", "_k": "k"}, "weight")
+    b = ranked.groupBy("u", "draw").agg(weighted_pearson("_x", "_k", "weight").alias("value"))
     return b.groupBy("u").agg(r6(F.percentile("value", F.lit(0.025))).alias("low"), r6(F.percentile("value", F.lit(0.975))).alias("high"))
 
 
@@ -276,15 +291,13 @@ def j21_block_bootstrap(spark, d):
     return t.withColumn("r", r).groupBy("g").agg(r6(F.percentile("r", F.lit(0.025))).alias("low"), r6(F.percentile("r", F.lit(0.975))).alias("high"))
 
 
-@query()
+@query(f"WITH {GROUPS}, r AS (SELECT grp AS g, c_custkey AS k, c_mktsegment = 'BUILDING' AS arm, c_acctbal AS x FROM customer JOIN groups ON c_nationkey = unit WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')), v AS (SELECT g, draw, arm, x, unnest(range({poisson("'medians|' || draw || '|' || k")})) AS copy FROM r, {drawn(100)}), m AS (SELECT g, draw, quantile_cont(x, 0.5) FILTER (arm) - quantile_cont(x, 0.5) FILTER (NOT arm) AS v FROM v GROUP BY 1, 2) SELECT g, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM m GROUP BY 1")
 def j22_median_difference(spark, d):
-    """Difference of the medians of two segments in each region, bootstrapped."""
-    rows = table(spark, d, "customer").join(unit_groups(spark, d), F.col("c_nationkey") == F.col("unit")).where("c_mktsegment in ('BUILDING', 'MACHINERY')").select(F.col("grp").alias("g"), (F.col("c_mktsegment") == "BUILDING").alias("arm"), F.col("c_acctbal").alias("x"))
-
-    def statistic(pdf):
-        return pdf.x[pdf.arm].median() - pdf.x[~pdf.arm].median()
-
-    b = N.bootstrap(rows, "g", 100, statistic, "medians")
+    """Difference of the medians of two segments in each region, customers resampled by weights."""
+    rows = table(spark, d, "customer").join(unit_groups(spark, d), F.col("c_nationkey") == F.col("unit")).where("c_mktsegment in ('BUILDING', 'MACHINERY')").select(F.col("grp").alias("g"), F.col("c_custkey").alias("k"), (F.col("c_mktsegment") == "BUILDING").alias("arm"), F.col("c_acctbal").alias("x"))
+    medians = exact_quantiles(N.poisson_weights(rows, F.col("k"), 100, "medians"), ["g", "draw", "arm"], "x", {"median": 0.5}, "weight")
+    side = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("median")))
+    b = medians.groupBy("g", "draw").agg((side(True) - side(False)).alias("value"))
     return b.groupBy("g").agg(r6(F.percentile("value", F.lit(0.025))).alias("low"), r6(F.percentile("value", F.lit(0.975))).alias("high"))
 
 

@@ -241,3 +241,56 @@ def test_swaps_keep_margins_and_protected_cells(spark):
             assert Counter(r for r, _ in found) == Counter(r for r, _ in moving) and Counter(c for _, c in found) == Counter(c for _, c in moving)
             assert Counter((r, c % 2) for r, c in found) == Counter((r, c % 2) for r, c in moving)
         assert set(samples[2]) != set(moving)
+
+
+def test_greedy_pairs_are_those_of_a_sorted_scan(spark):
+    from quern.operators import nulls as N
+
+    rng = random.Random(5)
+    rows = {(g, a, b): float(rng.randrange(6)) for g in "xy" for a in range(25) for b in range(25) if rng.random() < 0.3}
+    rows |= {("chain", k, k + step): float(2 * k + step) for k in range(12) for step in (0, 1)}
+    want, used = set(), set()
+    for (g, a, b), d in sorted(rows.items(), key=lambda r: (r[0][0], r[1], r[0][1:])):
+        if not {(g, "a", a), (g, "b", b)} & used:
+            used |= {(g, "a", a), (g, "b", b)}
+            want.add((g, a, b, d))
+    schema = "g string, a long, b long, d double"
+    frame = spark.createDataFrame([(*k, d) for k, d in rows.items()] + [("x", None, 1, 0.0), ("x", 1, 1, None)], schema)
+    assert {tuple(r) for r in N.greedy_pairs(frame, "g").collect()} == want
+    assert N.greedy_pairs(spark.createDataFrame([], schema), "g").columns == ["g", "a", "b", "d"]
+
+
+def test_short_strata_fail(spark):
+    from pyspark.errors import PySparkException
+
+    from quern.operators import nulls as N
+
+    frame = spark.createDataFrame([("g", k, float(k % 2), 1.0) for k in range(4)], "g string, k long, x double, y double")
+    assert sorted(r.pick for r in N.farthest_points(frame, ["g"], ["x", "y"], "k", 4).collect()) == [0, 1, 2, 3]
+    with pytest.raises(PySparkException):
+        N.farthest_points(frame, ["g"], ["x", "y"], "k", 5).collect()
+
+
+def test_weights_stand_for_copies(spark):
+    from pyspark.sql import functions as F
+
+    from quern.operators import ranks
+    from quern.operators.stats import pearson, weighted_pearson
+
+    rng = random.Random(7)
+    frame = spark.createDataFrame([(k % 2, rng.randrange(9), rng.randrange(9), rng.randrange(1, 4)) for k in range(80)], "g int, x int, y int, w int")
+    copies = frame.withColumn("copy", F.explode(F.sequence(F.lit(1), "w")))
+    rho = lambda df, weight, how: {r.g: round(r.r, 9) for r in ranks.with_average_ranks(df, ["g"], {"_x": "x", "_y": "y"}, weight).groupBy("g").agg(how.alias("r")).collect()}
+    assert rho(frame, "w", weighted_pearson("_x", "_y", "w")) == rho(copies, None, pearson("_x", "_y"))
+    middle = lambda df, weight: {tuple(r) for r in ranks.exact_quantiles(df, ["g"], "x", {"low": 0.1, "half": 0.5}, weight).collect()}
+    assert middle(frame, "w") == middle(copies, None)
+
+
+def test_latest_value_before_crosses_spans(spark):
+    from quern.operators.joins import latest_before
+
+    rng = random.Random(9)
+    rows = [(k, rng.choice([1, 1, 1, 2, None]), rng.randrange(-40, 40), rng.choice([None, rng.randrange(99)])) for k in range(150)]
+    want = {k: None if u is None else max((v for _, o, s, v in rows if o == u and s < t and v is not None), default=None) for k, u, t, _ in rows}
+    frame = spark.createDataFrame(rows, "k int, u int, t long, v int")
+    assert {r.k: r.latest for r in latest_before(frame, "u", "t", "v", "latest", 7).collect()} == want
