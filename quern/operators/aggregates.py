@@ -3,6 +3,9 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.ranks import value_counts
+from quern.plans.staging import settle
+
 
 def r6(c: Column) -> Column:
     return F.round(c, 6)
@@ -24,10 +27,11 @@ def described(x: str) -> list[Column]:
 
 
 def lower_quantile(df: DataFrame, by: list[str], x: str, q: float) -> DataFrame:
-    """The value at place floor(q * (n - 1)) of the sorted values."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(x))).withColumn("_n", n)
-    return ranked.where(F.col("_r") == F.floor(F.lit(q) * (F.col("_n") - 1)) + 1).select(*by, F.col(x).alias("lower_quantile"))
+    """The value at place floor(q * (n - 1)) of the sorted values; NULLs are left out."""
+    counts = settle(value_counts(df, by, x))
+    placed = counts.join(counts.groupBy(*by).agg(F.sum("n").alias("_all")), by)
+    place = F.floor(F.lit(q) * (F.col("_all") - 1))
+    return placed.where((F.col("before") <= place) & (place < F.col("before") + F.col("n"))).select(*by, F.col(x).alias("lower_quantile"))
 
 
 def weighted_mean(x: Column, w: Column) -> Column:

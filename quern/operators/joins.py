@@ -34,14 +34,14 @@ def unique_match(left: DataFrame, right: DataFrame, key: str, ident: str) -> Dat
 
 def mutually_unique(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Inner join of keys that occur once on either side."""
-    once = lambda df: df.withColumn("_n", F.count("*").over(Window.partitionBy(key))).where("_n = 1").drop("_n")
+    once = lambda df: df.join(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select(key), key, "left_semi")
     return once(left).join(once(right), key)
 
 
-def one_source_keys(df: DataFrame, key: str, source: str) -> Column:
-    """The key, or NULL where more than one source claims it."""
-    claims = F.size(F.collect_set(source).over(Window.partitionBy(key)))
-    return F.when(claims == 1, F.col(key))
+def with_own_key(df: DataFrame, key: str, source: str, new: str) -> DataFrame:
+    """``df`` with the key as ``new``, or NULL where more than one source claims it."""
+    claims = df.groupBy(key).agg(F.min(source).alias("_least"), F.max(source).alias("_most"))
+    return df.join(claims, key, "left").withColumn(new, F.when(F.col("_least") == F.col("_most"), F.col(key))).drop("_least", "_most")
 
 
 def latest_before(df: DataFrame, key: str, ticks: str, value: str, new: str, width: int) -> DataFrame:

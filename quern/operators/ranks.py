@@ -25,6 +25,27 @@ def value_counts(df: DataFrame, by: list[str], x: str, weight: str | None = None
     return summed.join(starts, [*by, "_range"]).select(*by, x, "n", (F.col("_start") + F.col("_within")).alias("before"))
 
 
+def with_places(df: DataFrame, by: list[str], order: list[str], new: str, size: str | None = None) -> DataFrame:
+    """``df`` with each row's place within ``by``, from 1, in the ascending order of the columns ``order``, and the group's size.
+
+    Rows are dealt by ranges, numbered within them and moved on by the rows of
+    the ranges before, so no task takes a whole group. NULLs come first, and
+    NULL is a group like others. Rows that ``order`` cannot tell apart get
+    their places in any order.
+    """
+    ranged = settle(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+    totals = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_t"))
+    group = Window.partitionBy(*by)
+    earlier = F.coalesce(F.sum("_t").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = totals.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.col("_range").alias("_from"), earlier.alias("_start"), F.sum("_t").over(group).alias("_all"))
+    same = F.col("_range") == F.col("_from")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    within = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order))
+    placed = ranged.withColumn("_within", within).join(starts, same).withColumn(new, F.col("_start") + F.col("_within"))
+    return placed.select(*df.columns, new, *([F.col("_all").alias(size)] if size else []))
+
+
 def with_average_ranks(df: DataFrame, by: list[str], ranks: dict[str, str], weight: str | None = None) -> DataFrame:
     """``df`` with, for each ``new: x`` of ``ranks``, the rank of x within ``by``; equal values share the mean of their ranks, NULL has none.
 
@@ -68,20 +89,20 @@ def with_centred(df: DataFrame, by: list[str], x: str, new: str) -> DataFrame:
     return df.join(df.groupBy(*by).agg(F.avg(x).alias("_mean")), by).withColumn(new, F.col(x) - F.col("_mean")).drop("_mean")
 
 
-def tertile(count: str, key: str, by: list[str]) -> Column:
-    """low, middle or high, cut at n // 3 and 2 * n // 3 of the order by (count, key)."""
-    w = Window.partitionBy(*by)
-    r, n = F.row_number().over(w.orderBy(count, key)), F.count("*").over(w)
-    return F.when(r <= F.floor(n / 3), "low").when(r <= F.floor(2 * n / 3), "middle").otherwise("high")
+def with_tertile(df: DataFrame, by: list[str], count: str, key: str, new: str) -> DataFrame:
+    """``df`` with low, middle or high, cut at n // 3 and 2 * n // 3 of the order by (count, key) within ``by``."""
+    r, n = F.col("_place"), F.col("_size")
+    third = F.when(r <= F.floor(n / 3), "low").when(r <= F.floor(2 * n / 3), "middle").otherwise("high")
+    return with_places(df, by, [count, key], "_place", "_size").withColumn(new, third).drop("_place", "_size")
 
 
-def ordered_block(by: list[str], order: list, sizes: list[int]) -> Column:
-    """Number of the contiguous block, of the given sizes, that a row's place in the order falls into; NULL beyond them."""
-    r, upto, out = F.row_number().over(Window.partitionBy(*by).orderBy(*order)), 0, None
+def with_ordered_block(df: DataFrame, by: list[str], order: list[str], sizes: list[int], new: str) -> DataFrame:
+    """``df`` with the number of the contiguous block, of the given sizes, that a row's place in the order falls into; NULL beyond them."""
+    upto, out = 0, None
     for k, n in enumerate(sizes):
         upto += n
-        out = F.when(r <= upto, k) if out is None else out.when(r <= upto, k)
-    return out
+        out = F.when(F.col("_place") <= upto, k) if out is None else out.when(F.col("_place") <= upto, k)
+    return with_places(df, by, order, "_place").withColumn(new, out).drop("_place")
 
 
 def hash_fold(key: Column, folds: int, digits: int = 8) -> Column:
@@ -91,11 +112,10 @@ def hash_fold(key: Column, folds: int, digits: int = 8) -> Column:
 
 def hash_split(df: DataFrame, by: list[str], key: str, share: float) -> DataFrame:
     """train or eval by the order of a hash within ``by``; the cut rounds half to even and leaves both sides a row."""
-    w = Window.partitionBy(*by)
-    n = F.count("*").over(w)
+    hashed = df.withColumn("_h", F.sha2(F.concat_ws("|", *by, key), 256))
+    n = F.col("_size")
     cut = F.greatest(F.lit(1), F.least(n - 1, F.bround(n * F.lit(share), 0).cast("long")))
-    r = F.row_number().over(w.orderBy(F.sha2(F.concat_ws("|", *by, key), 256), key))
-    return df.withColumn("part", F.when(r <= cut, "train").otherwise("eval"))
+    return with_places(hashed, by, ["_h", key], "_place", "_size").withColumn("part", F.when(F.col("_place") <= cut, "train").otherwise("eval")).drop("_h", "_place", "_size")
 
 
 def radical_inverse(i: Column, base: int) -> Column:

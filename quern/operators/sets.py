@@ -1,6 +1,6 @@
 """Similarity of sets that live in an incidence table (group, item)."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.aggregates import r6, ratio
@@ -43,5 +43,10 @@ def jaccard(strict: bool = False):
 
 
 def single_status(df: DataFrame, keys: list[str], status: str) -> DataFrame:
-    """Rows of keys that have but one status."""
-    return df.withColumn("_s", F.size(F.collect_set(status).over(Window.partitionBy(*keys)))).where("_s = 1").drop("_s")
+    """Rows of keys that have but one status, NULLs not counted."""
+    one = df.groupBy(*keys).agg(F.min(status).alias("_least"), F.max(status).alias("_most")).where("_least = _most")
+    one = one.select(*[F.col(c).alias(f"_key{k}") for k, c in enumerate(keys)])
+    same = F.lit(True)
+    for k, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_key{k}"))
+    return df.join(one, same, "left_semi")

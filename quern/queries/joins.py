@@ -287,7 +287,7 @@ def c33_registry_match(spark, d):
 @query(f"WITH {PARTS_OF}, c AS (SELECT name, count(DISTINCT part % 40) AS n FROM keyed GROUP BY 1) SELECT part, CASE WHEN n = 1 THEN name END AS name, CASE WHEN n > 1 THEN 'claimed by several' END AS reason FROM keyed JOIN c USING (name)")
 def c34_reverse_uniqueness(spark, d):
     k = _first_word(spark, d).withColumn("source", F.col("part") % 40)
-    kept = k.withColumn("own", J.one_source_keys(k, "name", "source"))
+    kept = J.with_own_key(k, "name", "source", "own")
     return kept.select("part", F.col("own").alias("name"), F.when(F.col("own").isNull(), "claimed by several").alias("reason"))
 
 

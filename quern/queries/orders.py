@@ -27,8 +27,8 @@ def e03_group_centring(spark, d):
 
 @query("SELECT s_suppkey, s_nationkey FROM (SELECT *, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier) WHERE n >= 5")
 def e04_group_size_filter(spark, d):
-    n = F.count("*").over(Window.partitionBy("s_nationkey"))
-    return table(spark, d, "supplier").withColumn("n", n).where("n >= 5").select("s_suppkey", "s_nationkey")
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    return s.join(s.groupBy("s_nationkey").count().where("count >= 5"), "s_nationkey", "left_semi").select("s_suppkey", "s_nationkey")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prefix FROM lineitem")
@@ -47,7 +47,7 @@ def e06_top_k_per_group(spark, d):
 SELECT family, CASE WHEN r <= floor(m / 3) THEN 'low' WHEN r <= floor(2 * m / 3) THEN 'middle' ELSE 'high' END AS tertile, count(*)::BIGINT AS resources, round(avg(n), 6) AS mean FROM t GROUP BY 1, 2""")
 def e07_rank_tertiles(spark, d):
     n = distribution(spark, d).join(taxa(spark, d), "resource").groupBy("family", "resource").agg(F.count("*").alias("n"))
-    return n.withColumn("tertile", R.tertile("n", "resource", ["family"])).groupBy("family", "tertile").agg(F.count("*").alias("resources"), r6(F.avg("n")).alias("mean"))
+    return R.with_tertile(n, ["family"], "n", "resource", "tertile").groupBy("family", "tertile").agg(F.count("*").alias("resources"), r6(F.avg("n")).alias("mean"))
 
 
 @query(f"WITH {OBS}, s AS (SELECT species, day, sum(value) AS x FROM obs GROUP BY 1, 2), l AS (SELECT species, x, lag(x) OVER (PARTITION BY species ORDER BY day) AS p FROM s) SELECT species, round(corr(x, p), 6) AS lag1 FROM l WHERE p IS NOT NULL GROUP BY 1")
@@ -78,7 +78,7 @@ def e09_effective_sample_size(spark, d):
 @query("SELECT n_nationkey, CASE WHEN r <= 4 THEN 0 WHEN r <= 10 THEN 1 WHEN r <= 19 THEN 2 WHEN r <= 25 THEN 3 END::INTEGER AS block FROM (SELECT *, row_number() OVER (ORDER BY n_name, n_nationkey) AS r FROM nation)")
 def e10_ordered_blocks(spark, d):
     one = table(spark, d, "nation").withColumn("all", F.lit(0))
-    return one.select("n_nationkey", R.ordered_block(["all"], ["n_name", "n_nationkey"], [4, 6, 9, 6]).alias("block"))
+    return R.with_ordered_block(one, ["all"], ["n_name", "n_nationkey"], [4, 6, 9, 6], "block").select("n_nationkey", "block")
 
 
 @query("WITH q AS (SELECT s_nationkey, [quantile_cont(s_acctbal, 0.25), quantile_cont(s_acctbal, 0.5), quantile_cont(s_acctbal, 0.75)] AS cuts FROM supplier GROUP BY 1) SELECT s_suppkey, (SELECT count(*) FROM unnest(cuts) AS u(c) WHERE c <= s_acctbal)::INTEGER AS stratum FROM supplier JOIN q USING (s_nationkey)")

@@ -8,6 +8,7 @@ from quern.operators import models as M
 from quern.operators import ranks as R
 from quern.operators import stats as T
 from quern.operators.aggregates import quantiles, r6, ratio
+from quern.operators.ranks import with_places
 from quern.plans.registry import query
 from quern.sources.relations import DIST, GROUPS, OBS, TAXA, distribution, observations, taxa, unit_groups
 from quern.sources.tables import table
@@ -141,9 +142,9 @@ def i23_phi(spark, d):
 def _permuted(df, by, key, value, draws, tag):
     """(by, key, value, draw, permuted): values dealt anew within ``by`` by the order of a hash of tag, draw and key."""
     grid = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    w = Window.partitionBy("draw", *by)
-    placed = grid.withColumn("place", F.row_number().over(w.orderBy(key))).withColumn("to", F.row_number().over(w.orderBy(F.sha2(F.concat_ws("|", F.lit(tag), "draw", key), 256), key)))
-    donors = placed.select("draw", *by, F.col("to").alias("place"), F.col(value).alias("permuted"))
+    placed = with_places(grid, ["draw", *by], [key], "place")
+    hashed = grid.select("draw", *by, key, F.col(value).alias("permuted"), F.sha2(F.concat_ws("|", F.lit(tag), "draw", key), 256).alias("_h"))
+    donors = with_places(hashed, ["draw", *by], ["_h", key], "place").select("draw", *by, "place", "permuted")
     return placed.join(donors, ["draw", *by, "place"])
 
 

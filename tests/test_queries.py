@@ -294,3 +294,16 @@ def test_latest_value_before_crosses_spans(spark):
     want = {k: None if u is None else max((v for _, o, s, v in rows if o == u and s < t and v is not None), default=None) for k, u, t, _ in rows}
     frame = spark.createDataFrame(rows, "k int, u int, t long, v int")
     assert {r.k: r.latest for r in latest_before(frame, "u", "t", "v", "latest", 7).collect()} == want
+
+
+def test_places_are_those_of_a_sorted_list(spark):
+    from quern.operators.ranks import with_places
+
+    rng = random.Random(11)
+    rows = [(rng.choice([None, 1, 1, 1, 2]), rng.choice([None, *range(9)]), k) for k in range(200)]
+    got = {r.k: (r.place, r.n) for r in with_places(spark.createDataFrame(rows, "g int, x int, k int"), ["g"], ["x", "k"], "place", "n").collect()}
+    for g in (None, 1, 2):
+        order = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert [got[k] for _, _, k in order] == [(i + 1, len(order)) for i in range(len(order))]
+    assert with_places(spark.createDataFrame([], "g int, x int"), ["g"], ["x"], "place").count() == 0
+    assert [r.place for r in with_places(spark.range(5), [], ["id"], "place").orderBy("id").collect()] == [1, 2, 3, 4, 5]
