@@ -41,9 +41,13 @@ def per_replicate(spark: SparkSession, draws: int, columns: str, body, batch: in
 
 def poisson_weights(df: DataFrame, unit: Column, draws: int, tag: str) -> DataFrame:
     """Each row once per draw in which its unit's Poisson(1) weight, from a hash, is positive: a bootstrap without shuffling rows."""
-    u = hash_uniform(F.lit(tag), F.col("draw").cast("string"), unit.cast("string"))
-    weight = sum(((u >= c).cast("int") for c in POISSON_CUTS), F.lit(0))
-    return df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("weight", weight).where("weight > 0")
+
+    def weight(draw: Column) -> Column:
+        u = hash_uniform(F.lit(tag), draw.cast("string"), unit.cast("string"))
+        return F.get(F.transform(F.array(u), lambda v: sum(((v >= c).cast("int") for c in POISSON_CUTS), F.lit(0))), 0)  # one hash for all cuts
+
+    each = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda i: F.struct(i.alias("draw"), weight(i).alias("weight")))
+    return df.select("*", F.inline(F.filter(each, lambda e: e["weight"] > 0)))
 
 
 def farthest_points(df: DataFrame, by: list[str], axes: list[str], key: str, n: int) -> DataFrame:
