@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import arc_to_warc, best_fit_packing, exact_dedup, language_id, quality_classifier, quality_rules, secret_scan, simhash_dedup, source_mixing, suffix_dedup
+from quern.llm import arc_to_warc, best_fit_packing, exact_dedup, exact_topk, importance_resampling, language_id, merkle_manifest, quality_classifier, quality_rules, secret_scan, simhash_dedup, source_mixing, suffix_dedup
 from quern.sources.tables import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -105,6 +105,71 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def _climb_sql(name: str, leaves: str, levels: int) -> str:
+    """Levels of trees over ``leaves(tree, i, n, h)``, one CTE a level: each node with its run as a list; a root stays as it is."""
+    out, last = [], leaves
+    for k in range(levels):
+        out.append(f"{name}_run{k} AS (SELECT tree, i // 3 AS p, any_value(n) AS n, list(h ORDER BY i) AS run FROM {last} GROUP BY tree, i // 3)")
+        last = f"{name}{k}"
+        out.append(f"{last} AS (SELECT tree, p AS i, CASE WHEN n = 1 THEN 1 ELSE (n + 2) // 3 END AS n, CASE WHEN n = 1 THEN run[1] ELSE sha256(array_to_string(run, '')) END AS h FROM {name}_run{k})")
+    return ",\n".join(out)
+
+
+def _prove_sql(name: str, start: str, levels: int) -> str:
+    """``start(doc_id, tree, i, h, proof)`` carried up the levels: h folded with the siblings, which are added to proof."""
+    out, last = [], start
+    for k in range(levels):
+        at = f"{name}_way{k}"
+        out.append(f"""{at} AS (SELECT doc_id, c.tree, c.i // 3 AS i,
+  CASE WHEN r.n = 1 THEN c.h ELSE sha256(array_to_string(run[:c.i % 3], '') || c.h || array_to_string(run[c.i % 3 + 2:], '')) END AS h,
+  CASE WHEN r.n = 1 THEN proof ELSE proof || array_to_string(run[:c.i % 3], '') || array_to_string(run[c.i % 3 + 2:], '') END AS proof FROM {last} c JOIN {name}_run{k} r ON c.tree = r.tree AND c.i // 3 = r.p)""")
+        last = at
+    return ",\n".join(out)
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}))::VARCHAR || ':' || {value}, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_field_sql(c) for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)) + ")"
+
+
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda j: ascii(substr(doc_id::VARCHAR, j, 1))::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, j: xor(c >> 1, (c & 1) * 3988292384))), 4294967295)"
+OP11 = f"""
+WITH t AS (SELECT doc_id, coalesce('+' || source, '') AS tree, {_leaf_sql("text")} AS h, {_leaf_sql("replace(text, chr(10), '')")} AS bad, {_CRC32} % 2 = 0 AS hit FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM t),
+{_climb_sql("low", "leaves", 12)},
+sources AS (SELECT '' AS tree, tree AS source, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, count(*) OVER () AS n, h FROM low11),
+{_climb_sql("up", "sources", 6)},
+begun AS (SELECT doc_id, tree, i, CASE WHEN hit THEN bad ELSE h END AS h, '' AS proof FROM leaves),
+{_prove_sql("low", "begun", 12)},
+halfway AS (SELECT w.doc_id, '' AS tree, s.i, w.h, w.proof FROM low_way11 w JOIN sources s ON s.source = w.tree),
+{_prove_sql("up", "halfway", 6)}
+SELECT l.doc_id, l.h AS leaf, s.h AS subroot, u.h AS root, sha256(w.proof) AS proof_sha256, w.h AS folded_root, w.h = u.h AS verified
+FROM leaves l JOIN sources s ON s.source = l.tree JOIN up5 u ON true JOIN up_way5 w USING (doc_id)
+"""
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.nearest(table(spark, sf_dir, "embeddings"))
+
+
+OP13 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.vec, c.vec)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 5
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -112,8 +177,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_quality_classifier, op3_quality_rules, op4_best_fit_packing, op5_source_mixing, op6_secret_scan, op7_suffix_dedup, op8_arc_to_warc, op9_language_id, op10_simhash_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality_classifier, op3_quality_rules, op4_best_fit_packing, op5_source_mixing, op6_secret_scan, op7_suffix_dedup, op8_arc_to_warc, op9_language_id, op10_simhash_dedup, op11_merkle_manifest, op12_importance_resampling, op13_exact_topk, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op5_source_mixing": OP5, "op8_arc_to_warc": OP8}
+    return {"op1_exact_dedup": OP1, "op5_source_mixing": OP5, "op8_arc_to_warc": OP8, "op11_merkle_manifest": OP11, "op13_exact_topk": OP13}
