@@ -29,7 +29,7 @@ REMEMBERED = 500_000
 
 _S, _L, _N = "\\t-\\r \\x85\\xa0", "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
-#: Beyond these characters, or with separators on which str.split() and the vocabulary's own rules differ, the tokenizer library takes the whole text.
+#: Of a text in lower case: beyond these characters, or with separators on which str.split() and the vocabulary's own rules differ, the tokenizer library takes the whole text.
 _OTHER = re.compile("[^\x00-\x1b\x20-ɏ]")
 
 
@@ -75,9 +75,10 @@ class WordIds(dict):
         return ids
 
     def of_text(self, text: str) -> bytes:
-        if self.whole.search(text):
+        low = text.lower()
+        if self.whole.search(low):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.lower().split()))
+        return b"".join(map(self.__getitem__, low.split()))
 
 
 def sequence_cuts(ids: bytes, length: int = LENGTH) -> list[tuple[int, int, int]]:

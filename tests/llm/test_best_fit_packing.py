@@ -27,6 +27,20 @@ def test_ids_equal_the_library_s(tokenizer):
         assert np.frombuffer(words.of_text(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("added_tokens", [False, True])
+def test_ids_of_each_letter_beside_others_equal_an_untouched_tokenizer_s(tokenizer, added_tokens):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path()) if added_tokens else tokenizer
+    words = B.WordIds(tokenizer_path(), added_tokens)
+    lowered = [c for c in range(0x2B0, 0x30000) if not 0xD800 <= c < 0xE000 and all(ord(x) < 0x250 for x in chr(c).lower())]
+    for c in [*range(0x2B0), *lowered]:
+        for text in ("{}", "a{}", "{}a", "1{}", "{}1", "'{}", "{}'", "Z{}Z", "{0}{0}", "'s{}s'S"):
+            text = f"so {text.format(chr(c))} on"
+            assert np.frombuffer(words.of_text(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, (hex(c), text)
+    assert np.frombuffer(words.of_text("Ɔkyeame"), "<u4").tolist() == [133, 242, 74, 693, 780]
+
+
 def check_packing(rows, texts, tokenizer, length):
     whole = defaultdict(list)
     for r in rows:
