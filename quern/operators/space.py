@@ -25,113 +25,100 @@ def arc_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return EARTH_KM * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))
 
 
-def box_cells(df: DataFrame, size: float) -> DataFrame:
-    """One row per grid cell that a box (west, east, south, north) touches: cx, cy."""
-    span = lambda a, b: F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size))
-    return df.withColumn("cx", F.explode(span("west", "east"))).withColumn("cy", F.explode(span("south", "north")))
+#: Width of the coarsest cells of the unit cube, how many fit one side of the next coarser one, and levels at most: a packed index has 20 bits an axis.
+WIDTH, FINER, LEVELS = 0.5, 4, 10
+#: Comparisons a point that end the descent.
+ENOUGH = 64
+#: Squared chords are exact up to this.
+SLACK = 1e-12
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float = 10.0) -> DataFrame:
-    """Each point with the number of boxes that hold it, edges included, and the lowest code of them; code -1 and 0 if none.
-
-    Points and boxes meet by an equi-join on grid cells, so no task sees all pairs.
-    """
-    celled = points.withColumn("cx", F.floor(F.col("lon") / size)).withColumn("cy", F.floor(F.col("lat") / size))
-    hits = celled.join(box_cells(boxes, size), ["cx", "cy"]).where("lon between west and east and lat between south and north")
-    found = hits.groupBy("id").agg(F.min("code").alias("code"), F.count(F.lit(1)).alias("hits"))
-    return points.join(found, "id", "left").select("id", F.coalesce("code", F.lit(-1)).alias("code"), F.coalesce("hits", F.lit(0).cast("long")).alias("hits"))
-
-
-def ring_edges(rings: Column) -> Column:
-    """array<struct<x1, y1, x2, y2>> of rings given as array<array<struct<x, y>>>; a ring that is left open is closed."""
-    edge = lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))
-    of_ring = lambda r: F.transform(r, lambda p, k: edge(p, F.get(r, F.pmod(k + 1, F.size(r)))))
-    return F.flatten(F.transform(rings, of_ring))
-
-
-def polygon_boxes(polygons: DataFrame) -> DataFrame:
-    """``polygons(code, rings)`` with their edges and bounding boxes."""
-    end = lambda f, axis: F.array_min(F.transform("edges", lambda e: e[axis])) if f == "min" else F.array_max(F.transform("edges", lambda e: e[axis]))
-    edged = polygons.withColumn("edges", ring_edges(F.col("rings"))).drop("rings")
-    return edged.withColumns({"west": end("min", "x1"), "east": end("max", "x1"), "south": end("min", "y1"), "north": end("max", "y1")})
-
-
-def _turn(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
-    return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
-
-
-def _within(x: Column, y: Column, e: Column) -> Column:
-    return x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
+def _celled(points: DataFrame, level: int) -> DataFrame:
+    """``points`` with the cell of a level that their place on the unit sphere lies in, and the cell around it."""
+    index = lambda c: f"floor(({c} + 1) / {WIDTH / FINER**level!r}D)"
+    packed = lambda axis: " + ".join(f"shiftleft({axis(c)}, {20 * k})" for k, c in enumerate("xyz"))
+    return points.withColumns({"cell": F.expr(packed(index)), "parent": F.expr(packed(lambda c: f"({index(c)} div {FINER})"))})
 
 
-def covers(edges: Column, x: Column, y: Column) -> Column:
-    """Whether a polygon's edges hold a point: a ray to the east crosses an odd number of them, holes and parts included, or one of them goes through it."""
-    through = lambda e: (_turn(e["x1"], e["y1"], e["x2"], e["y2"], x, y) == 0) & _within(x, y, e)
-    meets = lambda e: x < e["x1"] + F.try_divide((e["x2"] - e["x1"]) * (y - e["y1"]), e["y2"] - e["y1"])
-    crossings = F.size(F.filter(edges, lambda e: ((e["y1"] > y) != (e["y2"] > y)) & meets(e)))
-    return (crossings % 2 == 1) | F.exists(edges, through)
+def _extents(points: DataFrame, by: list[str], level: int, side: str) -> DataFrame:
+    """Each cell's points: how many, the box around them, the least and the greatest id."""
+    ends = [F.expr(f"{f}({c}) AS {side}_{c}{k}") for c in "xyz" for k, f in enumerate(("min", "max"))]
+    stats = _celled(points, level).groupBy(*by, "parent", "cell").agg(F.expr(f"count(1) AS {side}_n"), *ends, F.expr(f"min(id) AS {side}_low"), F.expr(f"max(id) AS {side}_high"))
+    return stats.withColumnsRenamed({"cell": side, "parent": f"{side}_parent"})
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float = 10.0) -> DataFrame:
-    """Each point with the number of polygons that cover it, boundaries included, and the lowest code of them; code -1 and 0 if none.
+def _promising(pairs: DataFrame, of: list[str], prior: bool) -> DataFrame:
+    """The pairs of boxes l and r whose least distance does not exceed the greatest to a box that surely has a neighbour for all of l.
 
-    Points and polygons meet by an equi-join on the grid cells of the
-    polygons' boxes, so no task sees all pairs.
+    Distances are squared chords.
     """
-    celled = points.withColumn("cx", F.floor(F.col("lon") / size)).withColumn("cy", F.floor(F.col("lat") / size))
-    near = celled.join(box_cells(polygon_boxes(polygons), size), ["cx", "cy"]).where("lon between west and east and lat between south and north")
-    found = near.where(covers(F.col("edges"), F.col("lon"), F.col("lat"))).groupBy("id").agg(F.min("code").alias("code"), F.count(F.lit(1)).alias("hits"))
-    return points.join(found, "id", "left").select("id", F.coalesce("code", F.lit(-1)).alias("code"), F.coalesce("hits", F.lit(0).cast("long")).alias("hits"))
-
-
-def edges_meet(e: Column, f: Column) -> Column:
-    """Whether two edges share a point."""
-    side = lambda g, k, h: _turn(g["x1"], g["y1"], g["x2"], g["y2"], h[f"x{k}"], h[f"y{k}"])
-    on = lambda g, k, h: (side(g, k, h) == 0) & _within(h[f"x{k}"], h[f"y{k}"], g)
-    proper = (F.signum(side(e, 1, f)) * F.signum(side(e, 2, f)) < 0) & (F.signum(side(f, 1, e)) * F.signum(side(f, 2, e)) < 0)
-    return proper | on(e, 1, f) | on(e, 2, f) | on(f, 1, e) | on(f, 2, e)
-
-
-def meeting_polygons(polygons: DataFrame, size: float = 10.0) -> DataFrame:
-    """(a, b) of all pairs a < b of polygons that share a point: edges that meet, or one that holds the other."""
-    cells = box_cells(polygon_boxes(polygons), size)
-    one, two = (cells.select("cx", "cy", *[F.col(c).alias(c + k) for c in ("code", "edges", "west", "east", "south", "north")]) for k in ("1", "2"))
-    near = one.join(two, ["cx", "cy"]).where("code1 < code2 and west1 <= east2 and west2 <= east1 and south1 <= north2 and south2 <= north1").drop("cx", "cy").dropDuplicates(["code1", "code2"])
-    first = lambda k: (F.get(F.col(f"edges{k}"), 0)["x1"], F.get(F.col(f"edges{k}"), 0)["y1"])
-    meet = F.exists("edges1", lambda e: F.exists("edges2", lambda f: edges_meet(e, f)))
-    return near.where(meet | covers(F.col("edges1"), *first("2")) | covers(F.col("edges2"), *first("1"))).select(F.col("code1").alias("a"), F.col("code2").alias("b"))
-
-
-#: Search radii in turn; the last one reaches round the earth.
-RINGS = (250.0, 1000.0, 4000.0, 20100.0)
+    squares = lambda ends: " + ".join(f"pow({ends(c)}, 2)" for c in "xyz")
+    near = squares(lambda c: f"greatest(l_{c}0 - r_{c}1, r_{c}0 - l_{c}1, 0D)")
+    far = squares(lambda c: f"greatest(l_{c}1 - r_{c}0, r_{c}1 - l_{c}0)")
+    bounded = (pairs.where("r_low < l_high") if prior else pairs).selectExpr("*", f"{near} AS _near", f"{far} AS _far")
+    reach = F.min(F.expr("CASE WHEN r_low < l_low THEN _far END") if prior else F.col("_far")).over(Window.partitionBy(*of))
+    return bounded.withColumn("_reach", reach).where(f"_reach IS NULL OR _near <= _reach + {SLACK}D").drop("_near", "_far", "_reach")
+
+
+def nearest_candidates(left: DataFrame, right: DataFrame, by: list[str] | None = None, prior: bool = False) -> DataFrame:
+    """(*by, a, b, km) of pairs among which is the nearest b of each a: within ``by``, and with ``prior`` of lower ids than a's.
+
+    Both sides descend a pyramid of cells together. Of each pair of cells the
+    boxes around their points bound the distance from below and above; a left
+    cell keeps the right cells that may be nearer than the farthest point of
+    its best one, and hands them on to the cells within it. The descent ends
+    when the points of the cells that are left make few comparisons, or no
+    cell has been split.
+    """
+    by = by or []
+    placed = []
+    for df in (left, right):
+        x, y, z = unit_vector(F.col("lat"), F.col("lon"))
+        placed.append(settle(df.where("lat is not null and lon is not null").select(*by, "id", "lat", "lon", x.alias("x"), y.alias("y"), z.alias("z"))))
+    left, right = placed
+    kept, before = None, (0, 0)
+    for level in range(LEVELS):
+        l, r = _extents(left, by, level, "l"), _extents(right, by, level, "r")
+        if kept is None:
+            pairs = l.withColumn("_all", F.lit(0)).join(r.withColumn("_all", F.lit(0)), [*by, "_all"]).drop("_all")  # of the coarsest cells, some fifty a side
+        else:
+            parents = kept.select(*by, F.col("l").alias("l_parent"), F.col("r").alias("r_parent"))
+            pairs = parents.join(l, [*by, "l_parent"]).join(r, [*by, "r_parent"])
+        kept = settle(_promising(pairs, [*by, "l"], prior).select(*by, "l", "r", "l_n", *[c for c in r.columns if c not in (*by, "r", "r_parent")]))
+        cost, *cells = kept.agg(F.coalesce(F.sum(F.expr("l_n * r_n")), F.lit(0)), F.count_distinct(*by, "l"), F.count_distinct(*by, "r")).first()
+        points = left.count() if level == 0 else points
+        if cost <= ENOUGH * points or level and cells == before:
+            break
+        before = cells
+    own = _celled(left, level).select(*by, F.col("cell").alias("l"), F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), *[F.col(c).alias(f"l_{c}{k}") for c in "xyz" for k in (0, 1)], F.col("id").alias("l_low"), F.col("id").alias("l_high"))
+    boxes = _promising(own.join(kept.drop("l_n"), [*by, "l"]), [*by, "a"], prior)
+    other = _celled(right, level).select(*by, F.col("cell").alias("r"), F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    met = boxes.select(*by, "r", "a", "lat1", "lon1").join(other, [*by, "r"])
+    met = met.where("b < a") if prior else met
+    return met.select(*by, "a", "b", haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).alias("km"))
 
 
-def nearest(left: DataFrame, right: DataFrame, allowed: str = "true", rings: tuple[float, ...] = RINGS) -> DataFrame:
-    """(a, b, km): the nearest b of each a however far it is, of those that ``allowed`` (SQL on a and b) lets it have; the lowest b among equals.
+def nearest(left: DataFrame, right: DataFrame, by: list[str] | None = None, prior: bool = False) -> DataFrame:
+    """(*by, a, b, km): the nearest b of each a however far it is, of those that ``nearest_candidates`` lets it have; the lowest b among equals.
 
-    Points that find none within a ring search the next one; those that still
-    search are few wherever points lie close, so wide rings meet few of them.
+    Ids are distinct on each side.
     """
-    found = None
-    for km in rings:
-        best = settle(within_km(left, right, km).where(allowed).groupBy("a").agg(F.min(F.struct("km", "b")).alias("m")).select("a", "m.b", "m.km"))
-        found = best if found is None else found.union(best)
-        left = settle(left.join(best.select(F.col("a").alias("id")), "id", "left_anti"))
-        if left.isEmpty():
-            break
-    return found
+    by = by or []
+    best = nearest_candidates(left, right, by, prior).groupBy(*by, "a").agg(F.min(F.struct("km", "b")).alias("m"))
+    return best.select(*by, "a", "m.b", "m.km")
 
 
-def within_km(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
-    """(a, b, km) of all pairs (left.id, right.id) that are at most ``km`` apart.
+def within_km(left: DataFrame, right: DataFrame, km: float, by: list[str] | None = None) -> DataFrame:
+    """(*by, a, b, km) of all pairs (left.id, right.id) that are at most ``km`` apart and agree in ``by``.
 
     Right points are put into all latitude bands within reach and, where the
     longitude circle is wide enough, into longitude cells of their band.
     """
     band = F.lit(km / 111.0)  # degrees of latitude, a little more than km
     rows = lambda lat: F.floor(lat / band)
-    l = left.select(F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), rows(F.col("lat")).alias("row"))
-    r = right.select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(F.sequence(rows(F.col("lat")) - 1, rows(F.col("lat")) + 1)).alias("row"))
+    by = by or []
+    l = left.select(*by, F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), rows(F.col("lat")).alias("row"))
+    r = right.select(*by, F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(F.sequence(rows(F.col("lat")) - 1, rows(F.col("lat")) + 1)).alias("row"))
     width = F.greatest(F.cos(F.radians(F.least(F.lit(89.0), (F.abs(F.col("row")) + 2) * band))), F.lit(0.02))  # the band's narrowest circle
     cells = F.greatest(F.lit(1), F.floor(F.lit(360.0) * width / band / 2)).cast("int")
     cell = lambda lon: F.pmod(F.floor((lon + 180.0) / 360.0 * F.col("cells")), F.col("cells"))
@@ -139,7 +126,7 @@ def within_km(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     near = F.array_distinct(F.array(*[F.pmod(cell(F.col("lon2")) + k, F.col("cells")) for k in (-1, 0, 1)]))
     r = r.withColumn("cells", cells).withColumn("cell", F.explode(near)).drop("cells")
     d = haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    return l.join(r, ["row", "cell"]).withColumn("km", d).where(F.col("km") <= km).select("a", "b", "km")
+    return l.join(r, [*by, "row", "cell"]).withColumn("km", d).where(F.col("km") <= km).select(*by, "a", "b", "km")
 
 
 def nearest_k(pairs: DataFrame, k: int) -> DataFrame:

@@ -49,8 +49,7 @@ def l03_coarsened_contacts(spark, d):
 def l04_minimum_spanning_tree(spark, d):
     """One tree per label over the points within 6000 km of one another."""
     p = points(spark, d)
-    labels = p.select("id", "label")
-    e = space.within_km(p, p, 6000.0).where("a < b").join(labels.withColumnRenamed("id", "a"), "a").join(labels.select(F.col("id").alias("b"), F.col("label").alias("other")), "b").where("label = other")
+    e = space.within_km(p, p, 6000.0, ["label"]).where("a < b")
     return G.spanning_forest(e.select("label", "a", "b", F.round("km", 6).alias("w")), "label")
 
 

@@ -1,11 +1,13 @@
 """C02-C36."""
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.operators import joins as J
+from quern.operators import polygons as P
 from quern.operators import space as S
-from quern.operators.aggregates import r6
 from quern.plans.registry import query
 from quern.sources import files
 from quern.sources.relations import DIST, EDGES, GROUPS, OBS, POINTS, TAXA, distribution, edges, observations, points, taxa, unit_groups
@@ -69,61 +71,65 @@ def c09_order_insensitive_pairs(spark, d):
     return flows.groupBy(F.least("s", "c").alias("a"), F.greatest("s", "c").alias("b")).agg(F.count("*").alias("directions"))
 
 
-BOXES = """boxes AS (SELECT (r * 8 + c)::INTEGER AS code, -170 + 42.5::DOUBLE * c AS west, -170 + 42.5::DOUBLE * c + 45 AS east, -80 + 20.0::DOUBLE * r AS south, -80 + 20.0::DOUBLE * r + 20 AS north
-  FROM (SELECT unnest(range(8)) AS r), (SELECT unnest(range(7)) AS c))"""
+#: Directions in which the hulls' corners lie, and a hole's size; hulls stand for units of land.
+DIRECTIONS, HOLE = 16, 0.4
+SPOTS = {
+    "label": ("label * 8 + 2 * floor((lon + 180) / 90) + floor((lat + 90) / 90)", 3),  # hulls of other labels overlap
+    "tile": ("floor((lon + 180) / 60) * 10 + floor((lat + 90) / 45)", 3),  # no two overlap
+}
+
 
+def _hulls_sql(spots: str) -> str:
+    code, least = SPOTS[spots]
+    dirs = ", ".join(f"({k}, {math.cos(2 * math.pi * k / DIRECTIONS)!r}::DOUBLE, {math.sin(2 * math.pi * k / DIRECTIONS)!r}::DOUBLE)" for k in range(DIRECTIONS))
+    hole = lambda c: f"(m.{c}0 + m.{c}1) / 2 + {HOLE} * (o.{c} - (m.{c}0 + m.{c}1) / 2)"
+    return f"""spots AS (SELECT ({code})::INTEGER AS code, lon AS x, lat AS y FROM points WHERE label IS NOT NULL), dirs AS (SELECT * FROM (VALUES {dirs}) v(k, c, s)),
+far AS (SELECT code, k, max([x * c + y * s, x, y]) AS h FROM spots, dirs WHERE code IN (SELECT code FROM spots GROUP BY 1 HAVING count(*) >= {least}) GROUP BY 1, 2), outer_ring AS (SELECT code, k, h[2] AS x, h[3] AS y FROM far),
+middle AS (SELECT code, max(x) FILTER (k = 0) AS x0, max(x) FILTER (k = {DIRECTIONS // 2}) AS x1, max(y) FILTER (k = 0) AS y0, max(y) FILTER (k = {DIRECTIONS // 2}) AS y1 FROM outer_ring GROUP BY 1),
+corners AS (SELECT code, 0 AS ring, k, x, y FROM outer_ring UNION ALL SELECT code, 1, k, {hole("x")}, {hole("y")} FROM outer_ring o JOIN middle m USING (code)),
+sides AS (SELECT * FROM (SELECT code, ring, k, x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM corners WINDOW w AS (PARTITION BY code, ring ORDER BY k)) WHERE x1 <> x2 OR y1 <> y2)"""
 
-def _boxes(spark):
-    grid = spark.range(56).select((F.floor(F.col("id") / 7) * 8 + F.col("id") % 7).cast("int").alias("code"), (F.col("id") % 7).alias("c"), F.floor(F.col("id") / 7).alias("r"))
-    return grid.select("code", (F.lit(-170.0) + 42.5 * F.col("c")).alias("west"), (F.lit(-170.0) + 42.5 * F.col("c") + 45.0).alias("east"), (F.lit(-80.0) + 20.0 * F.col("r")).alias("south"), (F.lit(-80.0) + 20.0 * F.col("r") + 20.0).alias("north"))
+
+def _hulls(spark, d, spots):
+    code, least = SPOTS[spots]
+    p = points(spark, d).where("label is not null").select(F.expr(code).cast("int").alias("code"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    enough = p.groupBy("code").count().where(F.col("count") >= least).select("code")
+    return P.polygon_edges(P.support_hulls(p.join(enough, "code"), DIRECTIONS, HOLE), wrap=False)
 
 
-#: Six-cornered polygons with a triangular hole, as offsets from their centres; neighbours overlap.
-SHAPE = [[(-24.0, -6.0), (-8.0, -10.0), (20.0, -9.5), (26.0, 4.0), (3.0, 11.5), (-20.0, 8.0)], [(-5.0, -3.0), (5.0, -3.0), (0.5, 4.0)]]
-POLYGONS = f"""offs AS (SELECT * FROM (VALUES {", ".join(f"({r}, {k}, {x}::DOUBLE, {y}::DOUBLE)" for r, ring in enumerate(SHAPE) for k, (x, y) in enumerate(ring))}) v(ring, k, dx, dy)),
-centres AS (SELECT (r * 8 + c)::INTEGER AS code, -150 + 50.0::DOUBLE * c AS x, -70 + 20.0::DOUBLE * r AS y FROM (SELECT unnest(range(8)) AS r), (SELECT unnest(range(7)) AS c)),
-corners AS (SELECT code, ring, k, x + dx AS x, y + dy AS y FROM centres, offs),
-sides AS (SELECT code, ring, k, x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM corners WINDOW w AS (PARTITION BY code, ring ORDER BY k))"""
 COVERS = """(count(*) FILTER ((y1 > {y}) <> (y2 > {y}) AND {x} < x1 + (x2 - x1) * ({y} - y1) / nullif(y2 - y1, 0)) % 2 = 1
   OR bool_or((x2 - x1) * ({y} - y1) - (y2 - y1) * ({x} - x1) = 0 AND {x} BETWEEN least(x1, x2) AND greatest(x1, x2) AND {y} BETWEEN least(y1, y2) AND greatest(y1, y2)))"""
 COVERED = f"covered AS (SELECT id, code FROM points, sides GROUP BY id, code, lon, lat HAVING {COVERS.format(x='lon', y='lat')})"
 
 
-def _polygons(spark):
-    grid = spark.range(56).select((F.floor(F.col("id") / 7) * 8 + F.col("id") % 7).cast("int").alias("code"), (F.lit(-150.0) + 50.0 * (F.col("id") % 7)).alias("cx"), (F.lit(-70.0) + 20.0 * F.floor(F.col("id") / 7)).alias("cy"))
-    corner = lambda x, y: F.struct((F.col("cx") + x).alias("x"), (F.col("cy") + y).alias("y"))
-    return grid.select("code", F.array(*[F.array(*[corner(x, y) for x, y in ring]) for ring in SHAPE]).alias("rings"))
-
-
-@query(f"WITH {POINTS}, {POLYGONS}, {COVERED} SELECT id, coalesce(min(code), -1) AS code, count(code)::BIGINT AS hits FROM points LEFT JOIN covered USING (id) GROUP BY 1")
+@query(f"WITH {POINTS}, {_hulls_sql('label')}, {COVERED} SELECT id, coalesce(min(code), -1) AS code, count(code)::BIGINT AS hits FROM points LEFT JOIN covered USING (id) GROUP BY 1")
 def c10_point_in_polygon(spark, d):
-    return S.points_in_polygons(points(spark, d), _polygons(spark))
+    return P.points_in_polygons(points(spark, d), _hulls(spark, d, "label"))
 
 
-@query(f"WITH {POINTS}, {POLYGONS}, {COVERED} SELECT id, min(code) AS code FROM covered GROUP BY 1")
+@query(f"WITH {POINTS}, {_hulls_sql('label')}, {COVERED} SELECT id, min(code) AS code FROM covered GROUP BY 1")
 def c11_covering_polygon_first(spark, d):
-    return S.points_in_polygons(points(spark, d), _polygons(spark)).where("hits > 0").select("id", "code")
+    return P.points_in_polygons(points(spark, d), _hulls(spark, d, "label"), 5.0).where("hits > 0").select("id", "code")
 
 
 TURN = "sign(({b}.x1 - {a}.x1) * ({a}.y2 - {a}.y1) * -1 + ({a}.x2 - {a}.x1) * ({b}.y1 - {a}.y1)), sign(({b}.x2 - {a}.x1) * ({a}.y2 - {a}.y1) * -1 + ({a}.x2 - {a}.x1) * ({b}.y2 - {a}.y1))"
 
 
-@query(f"""WITH {POLYGONS}, t AS (SELECT a.code AS a, b.code AS b, [{TURN.format(a="a", b="b")}] AS s, [{TURN.format(a="b", b="a")}] AS t,
+@query(f"""WITH {POINTS}, {_hulls_sql("label")}, t AS (SELECT a.code AS a, b.code AS b, [{TURN.format(a="a", b="b")}] AS s, [{TURN.format(a="b", b="a")}] AS t,
   a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2 FROM sides a JOIN sides b ON a.code < b.code),
 meet AS (SELECT DISTINCT a, b FROM t WHERE (s[1] * s[2] < 0 AND t[1] * t[2] < 0)
   OR (s[1] = 0 AND bx1 BETWEEN least(ax1, ax2) AND greatest(ax1, ax2) AND by1 BETWEEN least(ay1, ay2) AND greatest(ay1, ay2)) OR (s[2] = 0 AND bx2 BETWEEN least(ax1, ax2) AND greatest(ax1, ax2) AND by2 BETWEEN least(ay1, ay2) AND greatest(ay1, ay2))
   OR (t[1] = 0 AND ax1 BETWEEN least(bx1, bx2) AND greatest(bx1, bx2) AND ay1 BETWEEN least(by1, by2) AND greatest(by1, by2)) OR (t[2] = 0 AND ax2 BETWEEN least(bx1, bx2) AND greatest(bx1, bx2) AND ay2 BETWEEN least(by1, by2) AND greatest(by1, by2))),
-held AS (SELECT c.code AS p, sides.code AS q FROM corners c JOIN sides ON c.code <> sides.code WHERE c.ring = 0 AND c.k = 0 GROUP BY c.code, sides.code, c.x, c.y HAVING {COVERS.format(x="c.x", y="c.y")})
+held AS (SELECT c.code AS p, sides.code AS q FROM corners c JOIN sides ON c.code <> sides.code WHERE c.k = 0 GROUP BY c.code, sides.code, c.x, c.y HAVING {COVERS.format(x="c.x", y="c.y")})
 SELECT a, b FROM meet UNION SELECT least(p, q), greatest(p, q) FROM held""")
 def c12_polygon_intersections(spark, d):
-    return S.meeting_polygons(_polygons(spark))
+    return P.meeting_polygons(_hulls(spark, d, "label"))
 
 
-@query(f"WITH {POINTS}, {POLYGONS}, {COVERED} SELECT id, code FROM points LEFT JOIN (SELECT id, code FROM covered WHERE code % 2 = 0 AND (code // 8) % 2 = 0) USING (id)")
+@query(f"WITH {POINTS}, {_hulls_sql('tile')}, {COVERED} SELECT id, code FROM points LEFT JOIN covered USING (id)")
 def c13_left_spatial_join(spark, d):
     """Over polygons that do not overlap; a point in two of them fails the query."""
-    apart = _polygons(spark).where("code % 2 = 0 and floor(code / 8) % 2 = 0")
-    found = files.expect(S.points_in_polygons(points(spark, d), apart), no_overlap=F.col("hits") <= 1)
+    found = files.expect(P.points_in_polygons(points(spark, d), _hulls(spark, d, "tile")), no_overlap=F.col("hits") <= 1)
     return found.select("id", F.when(F.col("hits") > 0, F.col("code")).alias("code"))
 
 
@@ -233,7 +239,7 @@ def c26_alias_resolution(spark, d):
 @query(f"WITH {POINTS}, p AS (SELECT a.id AS a, b.id AS b, b.label, round({KM.format(a='a', b='b')}, 3) AS km FROM points a JOIN points b ON b.id < a.id) SELECT a, b, label, km FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY km, b, label) AS r FROM p) WHERE r = 1")
 def c27_nearest_prior(spark, d):
     p = points(spark, d)
-    best = S.nearest(p, p, "b < a")
+    best = S.nearest(p, p, prior=True)
     return best.join(p.select(F.col("id").alias("b"), "label"), "b").select("a", "b", "label", F.round("km", 3).alias("km"))
 
 
@@ -257,15 +263,19 @@ def c30_overlap_semi_join(spark, d):
     return edges(spark, d).join(there, "resource", "left_semi").select("consumer").distinct()
 
 
-@query(f"""WITH {BOXES}, squares AS (SELECT s::INTEGER AS square, -180 + 15.0::DOUBLE * (s % 24) AS w, -165 + 15.0::DOUBLE * (s % 24) AS e, -90 + 15.0::DOUBLE * (s // 24) AS so, -75 + 15.0::DOUBLE * (s // 24) AS no FROM (SELECT unnest(range(288)) AS s)),
-o AS (SELECT square, code, (least(e, east) - greatest(w, west)) * (least(no, north) - greatest(so, south)) AS area FROM squares JOIN boxes ON least(e, east) > greatest(w, west) AND least(no, north) > greatest(so, south))
-SELECT square, max_by(code, (area, -code)) AS dominant, round(max(area), 6) AS largest, round(sum(area), 6) AS total, max(area) >= 112.5 AS supported FROM o GROUP BY 1""")
+#: The area that an edge adds to a square: the mean of x, held within the square and less its western side, times the height within it.
+UNDER = "(power(greatest(0, least({x}, e) - w), 2) / 2 + 15.0 * greatest(0, {x} - e))"
+
+
+@query(f"""WITH {POINTS}, {_hulls_sql("tile")}, squares AS (SELECT s::INTEGER AS square, -180 + 15.0::DOUBLE * (s % 24) AS w, -165 + 15.0::DOUBLE * (s % 24) AS e, -90 + 15.0::DOUBLE * (s // 24) AS so, -75 + 15.0::DOUBLE * (s // 24) AS no FROM (SELECT unnest(range(288)) AS s)),
+cut AS (SELECT square, w, e, code, CASE ring WHEN 0 THEN 1 ELSE -1 END AS sign, x1, y1, x2, y2, greatest(so, least(no, y1)) AS ya, greatest(so, least(no, y2)) AS yb FROM squares, sides WHERE y1 <> y2),
+ends AS (SELECT *, x1 + (x2 - x1) * (ya - y1) / (y2 - y1) AS xa, x1 + (x2 - x1) * (yb - y1) / (y2 - y1) AS xb FROM cut),
+o AS (SELECT square, code, sum(sign * (yb - ya) * CASE WHEN abs(xb - xa) < 1e-9 THEN greatest(0, least(e, xa) - w) ELSE ({UNDER.format(x="xb")} - {UNDER.format(x="xa")}) / (xb - xa) END) AS area FROM ends GROUP BY 1, 2)
+SELECT square, max_by(code, (area, -code)) AS dominant, round(max(area), 4) AS largest, round(sum(area), 4) AS total, max(area) >= 112.5 AS supported FROM o WHERE area > 1e-8 GROUP BY 1""")
 def c31_overlay_areas(spark, d):
-    squares = spark.range(288).select(F.col("id").cast("int").alias("square"), (F.lit(-180.0) + 15.0 * (F.col("id") % 24)).alias("west"), (F.lit(-90.0) + 15.0 * F.floor(F.col("id") / 24)).alias("south"))
-    squares = squares.withColumn("east", F.col("west") + 15.0).withColumn("north", F.col("south") + 15.0)
-    a = S.box_cells(squares, 15.0).select("cx", "cy", "square", *[F.col(c).alias(c + "1") for c in ("west", "east", "south", "north")])
-    o = a.join(S.box_cells(_boxes(spark), 15.0), ["cx", "cy"]).select("square", "code", (F.least("east1", "east") - F.greatest("west1", "west")).alias("dx"), (F.least("north1", "north") - F.greatest("south1", "south")).alias("dy")).where("dx > 0 and dy > 0").distinct().withColumn("area", F.col("dx") * F.col("dy"))
-    return o.groupBy("square").agg(F.max_by("code", F.struct("area", -F.col("code"))).alias("dominant"), r6(F.max("area")).alias("largest"), r6(F.sum("area")).alias("total"), (F.max("area") >= 112.5).alias("supported"))
+    """Land units over squares of 15 degrees: the one that covers most of a square, its area, that of all, and whether it covers half."""
+    o = P.overlay_areas(_hulls(spark, d, "tile"), 15.0).where("area > 1e-8").withColumn("square", (F.col("cx") + 12 + 24 * (F.col("cy") + 6)).cast("int"))
+    return o.groupBy("square").agg(F.max_by("code", F.struct("area", -F.col("code"))).alias("dominant"), F.round(F.max("area"), 4).alias("largest"), F.round(F.sum("area"), 4).alias("total"), (F.max("area") >= 112.5).alias("supported"))
 
 
 @query("SELECT coalesce(a.k, b.k) AS k, coalesce(a.hit, false) AS in_orders, coalesce(b.hit, false) AS in_events FROM (SELECT DISTINCT o_custkey AS k, true AS hit FROM orders) a FULL JOIN (SELECT DISTINCT user_id AS k, true AS hit FROM events) b ON a.k = b.k")

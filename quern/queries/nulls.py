@@ -59,8 +59,7 @@ def f08_stratified_selection(spark, d):
 def f10_greedy_matching(spark, d):
     """Odd and even points of a label matched within 2000 km, the nearest first."""
     p = points(spark, d)
-    label = p.select(F.col("id").alias("a"), "label")
-    near = space.within_km(p.where("id % 2 = 0"), p.where("id % 2 = 1"), 2000.0).join(label, "a").join(label.select(F.col("a").alias("b"), F.col("label").alias("other")), "b").where("label = other")
+    near = space.within_km(p.where("id % 2 = 0"), p.where("id % 2 = 1"), 2000.0, ["label"])
     return N.greedy_pairs(near.select("label", "a", "b", F.round("km", 6).alias("d")), "label")
 
 

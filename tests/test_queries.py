@@ -119,13 +119,13 @@ def test_points_that_lie_far_apart_find_their_nearest(spark):
 def test_overlaps_and_empty_sets_fail(spark):
     from pyspark.errors import PySparkException
 
-    from quern.operators import sets, space
+    from quern.operators import polygons, sets
     from quern.sources import files
 
     square = lambda code, x: (code, [[(x, 0.0), (x + 2, 0.0), (x + 2, 2.0), (x, 2.0)]])
     shapes = spark.createDataFrame([square(1, 0.0), square(2, 1.0)], "code int, rings array<array<struct<x:double,y:double>>>")
     points = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.0, 1.0), (3, 2.0, 3.0), (4, 2.5, 1.0)], "id long, lat double, lon double")
-    found = space.points_in_polygons(points, shapes)
+    found = polygons.points_in_polygons(points, polygons.polygon_edges(polygons.ring_corners(shapes)))
     assert {(r.id, r.code, r.hits) for r in found.collect()} == {(1, 1, 1), (2, 1, 2), (3, 2, 1), (4, -1, 0)}
     with pytest.raises(PySparkException):
         files.expect(found, no_overlap=found["hits"] <= 1).collect()
