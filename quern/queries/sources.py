@@ -179,21 +179,22 @@ def m02_resumable_ingest(spark, d):
     return E.drained(E.event_stream(spark, d).select("event_id", "user_id"))
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events")
+@query("SELECT DISTINCT user_id, event_type, CAST(ts AS DATE)::VARCHAR AS day FROM events")
 def m03_duplicate_collapse(spark, d):
-    keyed = E.event_stream(spark, d).select("user_id", "event_type").dropDuplicates(["user_id", "event_type"])
-    return E.drained(keyed)
+    """First event of each user, type and day, as a stream that forgets a key once the watermark has passed it."""
+    keyed = lambda e: E.deduplicated(e.withColumn("day", F.date_format("ts", "yyyy-MM-dd")), ["user_id", "event_type", "day"])
+    return E.closed(E.event_stream(spark, d), keyed).select("user_id", "event_type", "day")
 
 
 @query("SELECT strftime(epoch_ms((epoch_ms(ts) // 259200000) * 259200000), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(DISTINCT (user_id, CAST(ts AS DATE)))::BIGINT AS provider_days, count(*)::BIGINT AS records FROM events GROUP BY 1, 2")
 def m04_provider_days(spark, d):
-    """Distinct user-days in windows of three days, as a stream."""
-    return E.drained(E.provider_days(E.event_stream(spark, d), "3 days"), "complete").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+    """Distinct user-days in windows of three days, as a stream of two aggregates in a chain."""
+    return E.closed(E.event_stream(spark, d), lambda e: E.provider_days(e, "3 days")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("SELECT time_bucket(INTERVAL '1 day', ts)::VARCHAR AS start, event_type, count(*)::BIGINT AS records, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 def m04_daily_windows(spark, d):
-    return E.drained(E.tumbling(E.event_stream(spark, d), "1 day"), "complete").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+    return E.closed(E.event_stream(spark, d), lambda e: E.tumbling(e, "1 day")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("SELECT event_id, coalesce(ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) <= INTERVAL '2 days', false) AS follows FROM events")
@@ -203,7 +204,7 @@ def m05_follow_up_state(spark, d):
     before = spark.conf.get(provider, None)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return E.drained(E.follow_ups(E.event_stream(spark, d), 2))
+        return E.closed(E.event_stream(spark, d), lambda e: E.follow_ups(e, 2))
     finally:
         spark.conf.set(provider, before) if before else spark.conf.unset(provider)
 

@@ -1,16 +1,18 @@
 """Structured Streaming forms of the event operators, each with the same result as its batch form."""
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quern.plans.staging import stage_path
 
+#: When the row that closes a stream stands. Tested by its time, as Spark moves other filters below the watermark.
+CLOSING = "9000-01-01"
+NOT_CLOSING = f"ts <> timestamp '{CLOSING}'"
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -25,82 +27,141 @@ def cell_counts(events: DataFrame) -> DataFrame:
 
 
 def deduplicated(events: DataFrame, keys: list[str], delay: str = "1 day") -> DataFrame:
-    """First row of each key; a stream forgets keys once the watermark has passed."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
+    """First row of each key; a stream forgets keys once the watermark has passed, so copies have to lie within ``delay`` of one another."""
+    return events.withWatermark("ts", delay).where(NOT_CLOSING).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
 def tumbling(events: DataFrame, width: str, slide: str | None = None, delay: str = "1 day") -> DataFrame:
     """Records and value per window and type."""
-    e = events.withWatermark("ts", delay) if events.isStreaming else events
+    e = events.withWatermark("ts", delay).where(NOT_CLOSING) if events.isStreaming else events
     g = e.groupBy(F.window("ts", width, slide), "event_type").agg(F.count("*").alias("records"), F.round(F.sum("value"), 4).alias("value"))
     return g.select(F.col("window.start").alias("start"), "event_type", "records", "value")
 
 
-def provider_days(events: DataFrame, width: str) -> DataFrame:
-    """Distinct (user, day) pairs per window and type, as a batch or in complete mode; a stream's state holds the pairs of each window."""
-    g = events.groupBy(F.window("ts", width), "event_type").agg(F.size(F.collect_set(F.struct("user_id", F.to_date("ts").alias("day")))).cast("long").alias("provider_days"), F.count("*").alias("records"))
+def provider_days(events: DataFrame, width: str, delay: str = "1 day") -> DataFrame:
+    """Distinct (user, day) pairs per window and type, and their records.
+
+    Two aggregates in a chain: rows become user-days, which are then counted
+    by window. A stream keeps a user-day until the watermark has passed its
+    day, and a count until it has passed the window.
+    """
+    e = events.withWatermark("ts", delay).where(NOT_CLOSING) if events.isStreaming else events
+    days = e.groupBy(F.window("ts", "1 day").alias("day"), "event_type", "user_id").agg(F.count("*").alias("records"))
+    g = days.groupBy(F.window(F.window_time("day"), width), "event_type").agg(F.count("*").alias("provider_days"), F.sum("records").alias("records"))
     return g.select(F.col("window.start").alias("start"), "event_type", "provider_days", "records")
 
 
 def sessions(events: DataFrame, gap: str, delay: str = "1 day") -> DataFrame:
     """Sessions of each user: rows that follow one another within ``gap``."""
-    e = events.withWatermark("ts", delay) if events.isStreaming else events
+    e = events.withWatermark("ts", delay).where(NOT_CLOSING) if events.isStreaming else events
     g = e.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("records"))
     return g.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "records")
 
 
+def _run(stream: DataFrame, mode: str, out: str, state: str) -> tuple[list[int], list[dict]]:
+    """(numbers of the batches that were written to ``out``, what the stream's state operators report of each)."""
+    done: list[int] = []
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        done.append(number)
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(sink).start()
+    query.awaitTermination()
+    return done, [dict(o) for p in query.recentProgress for o in p["stateOperators"]]
+
+
+def _written(stream: DataFrame, out: str, numbers: list[int]) -> DataFrame:
+    spark = stream.sparkSession
+    if not numbers:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(T.StructType([*stream.schema.fields])).parquet(*[f"{out}/batch={n}" for n in numbers])
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """The stream's result once it has taken all that is there: a Parquet table in the shared folder.
 
     Batches are written by number, so that a batch that is run again after a
     failure replaces what it had written. In complete mode the last one counts.
     """
-    spark = stream.sparkSession
-    out, state = stage_path(spark), stage_path(spark)
-    last: list[int] = []
+    out, state = stage_path(stream.sparkSession), stage_path(stream.sparkSession)
+    done, _ = _run(stream, mode, out, state)
+    return _written(stream, out, done[-1:] if mode == "complete" else sorted(set(done)))
 
-    def sink(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        last.append(number)
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
-    if not last:
-        return spark.createDataFrame([], stream.schema)
-    schema = T.StructType([*stream.schema.fields])
-    return spark.read.schema(schema).parquet(*[f"{out}/batch={n}" for n in (last[-1:] if mode == "complete" else sorted(set(last)))])
+def closed(events: DataFrame, build: Callable[[DataFrame], DataFrame], reports: list[dict] | None = None) -> DataFrame:
+    """The result in append mode of ``build`` on a stream that has ended: all that is there, and then a closing row of a far future.
+
+    The closing row takes the watermark past all events, so that every window and every waiting event comes out and no
+    state stays behind. It comes by a second source, in a run that goes on
+    from the first one's checkpoint. ``reports`` gets the state operators'
+    progress of each batch.
+    """
+    spark = events.sparkSession
+    folder, out, state = (stage_path(spark) for _ in range(3))
+    spark.createDataFrame([], EVENTS).write.parquet(folder)
+    both = events.unionByName(spark.readStream.schema(EVENTS).parquet(folder).select(*events.columns))
+    stream = build(both)
+    first, told = _run(stream, "append", out, state)
+    spark.sql(f"SELECT CAST(NULL AS long) AS event_id, timestamp '{CLOSING}' AS ts, CAST(NULL AS long) AS user_id, CAST(NULL AS string) AS event_type, CAST(NULL AS double) AS value, CAST(NULL AS string) AS props").write.mode("append").parquet(folder)
+    second, more = _run(stream, "append", out, state)
+    if reports is not None:
+        reports += [*told, *more]
+    return _written(stream, out, sorted({*first, *second}))
 
 
 FOLLOW_UP = "event_id long, follows boolean"
 
 
 class FollowUp(StatefulProcessor):
-    """For each event whether the same user had one of the same type at most ``days`` days before; keyed by user and type."""
+    """For each event whether the same user had one of the same type at most ``days`` days before; keyed by user and type.
+
+    Events wait in the state until the watermark has passed them, as only then
+    no earlier one can come any more; a timer at the earliest wakes them.
+    """
 
     def __init__(self, days: int) -> None:
-        self.days = days
+        self.reach = days * 86_400_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "latest string")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "event_id long, at long")
+        self.latest = handle.getValueState("latest", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        latest = pd.Timestamp(json.loads(self.seen.get()[0])) if self.seen.exists() else None
-        follows = []
-        for ts in batch.ts:
-            follows.append(bool(latest is not None and (ts - latest) <= pd.Timedelta(days=self.days)))
-            latest = ts
-        self.seen.update((json.dumps(str(latest)),))
-        yield pd.DataFrame({"event_id": batch.event_id, "follows": follows})
+        batch = pd.concat(list(rows))
+        self.waiting.appendList(list(zip(batch.event_id.tolist(), batch["at"].tolist(), strict=True)))
+        self._wake(batch["at"])
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        every = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=["event_id", "at"]).astype("int64")
+        past = every["at"] <= timerValues.getCurrentWatermarkInMs() * 1000
+        final, rest = every[past].sort_values(["at", "event_id"]), every[~past]
+        if final.empty:
+            return iter(())
+        before = final["at"].shift(1)
+        if self.latest.exists():
+            before.iloc[0] = self.latest.get()[0]
+        self.latest.update((int(final["at"].iloc[-1]),))
+        if rest.empty:
+            self.waiting.clear()
+        else:
+            self.waiting.put(list(zip(rest.event_id.tolist(), rest["at"].tolist(), strict=True)))
+            self._wake(rest["at"])
+        return iter([pd.DataFrame({"event_id": final.event_id, "follows": (final["at"] - before <= self.reach).fillna(False)})])
+
+    def _wake(self, at: pd.Series) -> None:
+        self.handle.registerTimer(-(-int(at.min()) // 1000))
 
     def close(self) -> None:
         pass
 
 
-def follow_ups(events: DataFrame, days: int) -> DataFrame:
-    """(event_id, follows). A stream has to deliver each user's events in order; the batch form is a window."""
+def follow_ups(events: DataFrame, days: int, delay: str = "1 day") -> DataFrame:
+    """(event_id, follows). A stream takes events in any order, if none comes later than ``delay`` after a later one; the batch form is a window."""
     if not events.isStreaming:
-        from pyspark.sql import Window
-
         before = F.lag("ts").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
         return events.select("event_id", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(before.cast("timestamp")) <= days * 86_400_000_000, F.lit(False)).alias("follows"))
-    return events.groupBy("user_id", "event_type").transformWithStateInPandas(FollowUp(days), FOLLOW_UP, "Append", "None")
+    timed = events.withWatermark("ts", delay).where(NOT_CLOSING).withColumn("at", F.unix_micros("ts"))
+    return timed.groupBy("user_id", "event_type").transformWithStateInPandas(FollowUp(days), FOLLOW_UP, "Append", "EventTime")
