@@ -149,23 +149,38 @@ def _swap_round(state: DataFrame, still: DataFrame | None, chain: str, step: int
     return paired.join(barred, pair, "left").withColumn("col", F.when(moves, F.col("_to")).otherwise(F.col("col"))).select(*state.columns)
 
 
-def two_way_residuals(df: DataFrame, by: str, a: str, b: str, x: str, rounds: int = 2000, tolerance: float = 1e-10) -> DataFrame:
-    """Residuals of x after the means of a and of b are taken out in turn until they settle; one group to a task."""
-
-    def body(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf[x].to_numpy(float).copy()
-        codes = [np.unique(pdf[c], return_inverse=True)[1] for c in (a, b)]
-        sizes = [np.bincount(c) for c in codes]
-        for _ in range(rounds):
-            before = r.copy()
-            for c, n in zip(codes, sizes):
-                r -= (np.bincount(c, r) / n)[c]
-            if np.abs(r - before).max() < tolerance:
-                break
-        return pdf[[by, a, b]].assign(residual=np.round(r, 6))
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.groupBy(by).applyInPandas(body, ", ".join(f"{c} {kinds[c]}" for c in (by, a, b)) + ", residual double")
+def two_way_residuals(df: DataFrame, by: str, a: str, b: str, x: str, rounds: int = 500, tolerance: float = 1e-10) -> DataFrame:
+    """(by, a, b, residual) of x after the effects of a and of b are taken out by least squares within each group.
+
+    The effects of a are eliminated; those of b solve what is left of the
+    normal equations by conjugate gradients with the counts as
+    preconditioner, all groups at once, a table row a level. Only counts by
+    (a, b) and one row a level travel in a round. Fails if ``rounds`` do not
+    bring each group's residual below ``tolerance`` of its first. Rows with a
+    null are left out.
+    """
+    rows = settle(df.select(by, a, b, x).where(" AND ".join(f"`{c}` IS NOT NULL" for c in (by, a, b, x))))
+    cells = rows.groupBy(by, a, b).agg(F.count(F.lit(1)).alias("_n"), F.sum(x).alias("_s"))
+    means = rows.groupBy(by, a).agg(F.count(F.lit(1)).alias("_na"), F.avg(x).alias("_ma"))
+    cells = settle(cells.join(means, [by, a]))
+    state = settle(cells.groupBy(by, b).agg(F.sum("_n").alias("_deg"), F.expr("sum(_s - _n * _ma)").alias("_r")).selectExpr("*", "0D AS _x", "_r / _deg AS _p"))
+    first = settle(state.groupBy(by).agg(F.expr("sum(_r * _r / _deg) AS _rz0")))
+    for done in range(rounds + 1):
+        norm = state.groupBy(by).agg(F.expr("sum(_r * _r / _deg) AS _rz"))
+        if norm.join(first, by).where(f"_rz > {tolerance**2!r}D * _rz0 AND _rz > 1e-300D").isEmpty():
+            break
+        if done == rounds:
+            raise RuntimeError(f"no convergence after {rounds} rounds")
+        over_a = cells.join(state.select(by, b, "_p"), [by, b]).groupBy(by, a).agg(F.expr("sum(_n * _p) / first(_na) AS _v"))
+        back = cells.join(over_a, [by, a]).groupBy(by, b).agg(F.expr("sum(_n * _v) AS _w"))
+        applied = settle(state.join(back, [by, b]).selectExpr(f"`{by}`", f"`{b}`", "_deg", "_x", "_r", "_p", "_deg * _p - _w AS _ap"))
+        steps = applied.groupBy(by).agg(F.expr("sum(_r * _r / _deg) AS _rz"), F.expr("sum(_p * _ap) AS _pap"))
+        moved = applied.join(steps, by).withColumn("_step", F.expr("CASE WHEN _pap > 1e-300D THEN _rz / _pap ELSE 0D END")).selectExpr(f"`{by}`", f"`{b}`", "_deg", "_x + _step * _p AS _x", "_r - _step * _ap AS _r", "_p", "_rz")
+        now = moved.groupBy(by).agg(F.expr("sum(_r * _r / _deg) AS _now"))
+        state = settle(moved.join(now, by).selectExpr(f"`{by}`", f"`{b}`", "_deg", "_x", "_r", "_r / _deg + CASE WHEN _rz > 1e-300D THEN _now / _rz ELSE 0D END * _p AS _p"))
+    effects = state.select(by, b, F.col("_x").alias("_eb"))
+    of_a = cells.join(effects, [by, b]).groupBy(by, a).agg(F.expr("sum(_s - _n * _eb) / sum(_n) AS _ea"))
+    return rows.join(effects, [by, b]).join(of_a, [by, a]).select(by, a, b, F.expr(f"round(`{x}` - _ea - _eb, 6) AS residual"))
 
 
 def random_intercept(df: DataFrame, group: str, y: str) -> DataFrame:
@@ -198,32 +213,53 @@ def random_intercept(df: DataFrame, group: str, y: str) -> DataFrame:
     return stats.groupBy("_one").applyInPandas(body, "mean double, between double, within double, icc double")
 
 
-def phylogenetic_gls(rows: DataFrame, covariance: DataFrame, by: str) -> DataFrame:
-    """Slope and Pagel's lambda of y on x for each group's rows (by, i, x, y) and covariance entries (by, i, j, v); dense, for some hundred rows."""
-
-    def body(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("i", ignore_index=True)
-        at = {k: n for n, k in enumerate(left.i)}
-        c = np.zeros((len(left),) * 2)
-        for r in right.itertuples(index=False):
-            if r.i in at and r.j in at:
-                c[at[r.i], at[r.j]] = r.v
-        x, y = np.column_stack([np.ones(len(left)), left.x]), left.y.to_numpy(float)
-
-        def fit(lam: float):
-            v = np.where(np.eye(len(c), dtype=bool), c, lam * c)
-            half = np.linalg.cholesky(v)
-            xs, ys = np.linalg.solve(half, x), np.linalg.solve(half, y)
-            b = np.linalg.lstsq(xs, ys, rcond=None)[0]
-            s2 = ((ys - xs @ b) ** 2).mean()
-            return -0.5 * (len(y) * np.log(max(s2, 1e-300)) + 2 * np.log(np.diag(half)).sum()), b
-
-        grid = np.linspace(0, 1, 101)
-        best = max(grid, key=lambda lam: fit(lam)[0])
-        return pd.DataFrame({by: [key[0]], "slope": [round(float(fit(best)[1][1]), 6)], "lambda": [round(float(best), 2)]})
-
-    kind = rows.schema[by].dataType.simpleString()
-    return rows.groupBy(by).cogroup(covariance.groupBy(by)).applyInPandas(body, f"{by} {kind}, slope double, lambda double")
+#: Values of Pagel's lambda that are tried.
+LAMBDAS = 101
+
+
+def phylogenetic_gls(tree: DataFrame, tips: DataFrame, by: str, lambdas: int = LAMBDAS) -> DataFrame:
+    """(by, slope, lambda): of y on x for the tips (by, node, x, y) of trees (by, node, parent, length), the root's parent being null.
+
+    Independent contrasts run from the tips to the root, one round for each
+    depth and all lambdas at once: a node's children give its value, weighted
+    by their branches, and what they differ by goes to sums of squares and
+    products; so no covariance matrix is needed. Lambda shortens the inner
+    branches and lengthens the tips' to keep their heights; of the values
+    tried the likeliest is taken, the smallest among equals. Tips without x or
+    y are left out.
+    """
+    kept = tree.select(by, "node", "parent", "length")
+    level = settle(kept.where("parent IS NULL").selectExpr(f"`{by}`", "node", "CAST(NULL AS double) AS _length", "0D AS _height", "CAST(NULL AS string) AS _up"))
+    levels = [level]
+    while True:
+        above = levels[-1].select(by, F.col("node").alias("parent"), F.col("_height").alias("_base"))
+        level = settle(kept.join(above, [by, "parent"]).selectExpr(f"`{by}`", "node", "CAST(length AS double) AS _length", "_base + length AS _height", "parent AS _up"))
+        if level.isEmpty():
+            break
+        levels.append(level)
+    values = tips.where("x IS NOT NULL AND y IS NOT NULL").selectExpr(f"`{by}`", "node", "CAST(x AS double) AS _x", "CAST(y AS double) AS _y")
+    grid = F.explode(F.expr(f"transform(sequence(0, {lambdas - 1}), k -> k / {max(1, lambdas - 1)}D)")).alias("_lam")
+    sums = ["_sxx", "_sxy", "_syy", "_logdet", "_n"]
+    inner = None
+    for depth in range(len(levels) - 1, -1, -1):
+        # A tip's branch keeps its height; an inner one is scaled and adds to its own variance.
+        tip = levels[depth].join(values, [by, "node"]).select("*", grid).selectExpr(f"`{by}`", "node", "_up", "_lam", "_x", "_y", "greatest(_height - _lam * (_height - _length), 1e-12D) AS _v", *[f"0D AS {c}" for c in sums[:-1]], "1D AS _n")
+        if inner is not None:
+            inner = inner.join(levels[depth], [by, "node"]).selectExpr(f"`{by}`", "node", "_up", "_lam", "_x", "_y", "_own + coalesce(_lam * _length, 0D) AS _v", "_w AS _weight", *sums)
+            tip = tip.withColumn("_weight", F.lit(None).cast("double")).select(*inner.columns).union(inner)
+        if depth == 0:
+            break
+        tip = settle(tip)
+        mean = tip.groupBy(by, F.col("_up").alias("node"), "_lam").agg(F.expr("sum(1 / _v) AS _w"), F.expr("sum(_x / _v) / sum(1 / _v) AS _mx"), F.expr("sum(_y / _v) / sum(1 / _v) AS _my"))
+        apart = tip.withColumnRenamed("node", "_child").withColumnRenamed("_up", "node").join(mean, [by, "node", "_lam"])
+        inner = apart.groupBy(by, "node", "_lam").agg(
+            F.expr("first(_mx) AS _x"), F.expr("first(_my) AS _y"), F.expr("1 / first(_w) AS _own"), F.expr("first(_w) AS _w"),
+            F.expr("sum(_sxx + pow(_x - _mx, 2) / _v) AS _sxx"), F.expr("sum(_sxy + (_x - _mx) * (_y - _my) / _v) AS _sxy"), F.expr("sum(_syy + pow(_y - _my, 2) / _v) AS _syy"),
+            F.expr("sum(_logdet + ln(_v)) + ln(first(_w)) AS _logdet"), F.expr("sum(_n) AS _n"),
+        )
+    fit = tip.where("_sxx > 0").selectExpr(f"`{by}`", "_lam", "try_divide(_sxy, _sxx) AS slope", "-0.5 * (_n * ln(greatest((_syy - try_divide(_sxy * _sxy, _sxx)) / _n, 1e-300D)) + _logdet - ln(_weight)) AS _fit")
+    best = fit.groupBy(by).agg(F.max(F.struct("_fit", (-F.col("_lam")).alias("_less"), "slope")).alias("m"))
+    return best.select(by, F.round("m.slope", 6).alias("slope"), F.round(-F.col("m._less"), 2).alias("lambda"))
 
 
 def holm(df: DataFrame, by: list[str], p: str) -> Column:

@@ -100,14 +100,28 @@ def i10_holm_adjustment(spark, d):
     return steps.select("k", r6(F.max("step").over(Window.partitionBy("g").orderBy("p"))).alias("adjusted"))
 
 
-@query()
+#: One level of pruning in SQL: children (node, up, lam, x, y, v and sums) become their parents.
+PRUNE = """{name}_m AS (SELECT up, lam, sum(1 / v) AS w, sum(x / v) / sum(1 / v) AS mx, sum(y / v) / sum(1 / v) AS my FROM {child} GROUP BY 1, 2),
+{name} AS (SELECT c.up AS node, c.lam, any_value(mx) AS x, any_value(my) AS y, any_value(w) AS w, sum(sxx + (x - mx) * (x - mx) / v) AS sxx, sum(sxy + (x - mx) * (y - my) / v) AS sxy, sum(syy + (y - my) * (y - my) / v) AS syy, sum(ld + ln(v)) + ln(any_value(w)) AS ld, sum(n) AS n FROM {child} c JOIN {name}_m m ON c.up = m.up AND c.lam = m.lam GROUP BY 1, 2)"""
+
+
+@query(f"""WITH o AS (SELECT o_custkey, count(*)::DOUBLE AS x FROM orders GROUP BY 1), tips AS (SELECT c_nationkey AS up, k / 100.0::DOUBLE AS lam, coalesce(x, 0) AS x, c_acctbal::DOUBLE AS y, 1.0 - k / 100.0::DOUBLE * 0.7::DOUBLE AS v, 0.0::DOUBLE AS sxx, 0.0::DOUBLE AS sxy, 0.0::DOUBLE AS syy, 0.0::DOUBLE AS ld, 1.0::DOUBLE AS n FROM customer LEFT JOIN o ON o_custkey = c_custkey, (SELECT unnest(range(101)) AS k)),
+{PRUNE.format(name="nations", child="tips")}, under AS (SELECT n_regionkey AS up, lam, x, y, 1 / w + lam * 0.3 AS v, sxx, sxy, syy, ld, n FROM nations JOIN nation ON node = n_nationkey),
+{PRUNE.format(name="regions", child="under")}, top AS (SELECT 0 AS up, lam, x, y, 1 / w + lam * 0.4 AS v, sxx, sxy, syy, ld, n FROM regions), {PRUNE.format(name="root", child="top")},
+fit AS (SELECT lam, sxy / sxx AS slope, -0.5 * (n * ln((syy - sxy * sxy / sxx) / n) + ld - ln(w)) AS f FROM root)
+SELECT 0 AS t, round(slope, 6) AS slope, round(lam, 2) AS lambda FROM fit ORDER BY f DESC, lam LIMIT 1""")
 def i11_phylogenetic_gls(spark, d):
-    """Nations as tips, regions as clades that share half of their history."""
-    n = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("i")).agg(F.avg("c_acctbal").alias("y"), F.count("*").cast("double").alias("x")).withColumn("t", F.lit(0))
-    g = unit_groups(spark, d)
-    c = g.select(F.col("unit").alias("i"), F.col("grp").alias("gi")).join(g.select(F.col("unit").alias("j"), F.col("grp").alias("gj")), F.col("gi") == F.col("gj"))
-    v = c.select(F.lit(0).alias("t"), "i", "j", F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.5).alias("v"))
-    return N.phylogenetic_gls(n.select("t", "i", "x", "y"), v, "t")
+    """Customers as tips of nations, those of regions: balance on the number of orders."""
+    name = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    branch = lambda df, node, parent, length: df.select(F.lit(0).alias("t"), node.alias("node"), parent.alias("parent"), F.lit(length).alias("length"))
+    customers = table(spark, d, "customer")
+    root = branch(spark.range(1), F.lit("root"), F.lit(None).cast("string"), 0.0)
+    regions = branch(table(spark, d, "region"), name("r", "r_regionkey"), F.lit("root"), 0.4)
+    nations = branch(table(spark, d, "nation"), name("n", "n_nationkey"), name("r", "n_regionkey"), 0.3)
+    tree = root.union(regions).union(nations).union(branch(customers, name("c", "c_custkey"), name("n", "c_nationkey"), 0.3))
+    orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").cast("double").alias("n"))
+    tips = customers.join(orders, "c_custkey", "left").select(F.lit(0).alias("t"), name("c", "c_custkey").alias("node"), F.coalesce("n", F.lit(0.0)).alias("x"), F.col("c_acctbal").alias("y"))
+    return N.phylogenetic_gls(tree, tips, "t")
 
 
 def _panel(spark, d):
