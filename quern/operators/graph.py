@@ -1,10 +1,9 @@
 """Grids, contacts, Laplacians, spanning trees and effective resistance."""
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.ranks import with_places
 from quern.operators.space import haversine_km
 from quern.plans.components import components
 from quern.plans.staging import settle
@@ -105,69 +104,143 @@ def spanning_forest(edges: DataFrame, by: str) -> DataFrame:
         nodes = settle(nodes.join(merged, "root", "left").select(by, "node", F.coalesce("new", "root").alias("root")))
 
 
-def resistances(edges: DataFrame, by: str) -> DataFrame:
-    """(by, a, b, resistance) for all pairs of a group's nodes, by the Laplacian's pseudo-inverse; for groups of up to some thousand nodes."""
+#: Right-hand sides that one solve takes at once.
+SIDES = 32
+
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(np.r_[group.a, group.b])
-        i, j = np.searchsorted(names, group.a), np.searchsorted(names, group.b)
-        lap = np.zeros((len(names),) * 2)
-        np.add.at(lap, (i, j), -group.w)
-        np.add.at(lap, (j, i), -group.w)
-        np.fill_diagonal(lap, -lap.sum(axis=1))
-        inv = np.linalg.pinv(lap, hermitian=True)
-        u, v = np.triu_indices(len(names), 1)
-        r = inv[u, u] + inv[v, v] - 2 * inv[u, v]
-        return pd.DataFrame({by: group[by].iloc[0], "a": names[u], "b": names[v], "resistance": np.round(r, 9)})
+def _array(entries) -> str:
+    return f"array({', '.join(entries)})"
 
-    kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
-    return edges.groupBy(by).applyInPandas(solve, f"{by} {kinds[by]}, a {kinds['a']}, b {kinds['b']}, resistance double")
 
+def solved(both: DataFrame, currents: DataFrame, sides: int, rounds: int, tolerance: float) -> DataFrame:
+    """(k, x): for each of ``sides`` currents a solution of the Laplacian's equations, as an array, by conjugate gradients.
 
-def terminal_resistance(edges: DataFrame, terminals: DataFrame, pairs: list[tuple[int, int]], rounds: int = 2000, tolerance: float = 1e-9) -> DataFrame:
-    """(a, b, resistance) between sites whose current enters a graph (a, b, w) of any size at several nodes.
+    ``both(a, b, w)`` has each edge in both directions, ``currents(k, c)`` all
+    nodes, with arrays of currents that sum to 0 in each component. The
+    degrees are the preconditioner. A node's row holds the vectors' entries
+    for all right-hand sides, so the edges are read once a round for all of
+    them; the driver sees two numbers for each. Fails if ``rounds`` do not
+    bring each residual below ``tolerance`` times its first.
+    """
+    each = range(sides)
+    degree = both.groupBy(F.col("a").alias("k")).agg(F.sum("w").alias("deg"))
+    state = settle(currents.join(degree, "k").selectExpr("k", "deg", "transform(c, v -> 0D) AS x", "c AS r", "transform(c, v -> v / deg) AS p"))
+    squares = [F.expr(f"coalesce(sum(r[{i}] * r[{i}] / deg), 0D)") for i in each]
+    rz = first = list(state.agg(*squares).first())
+    open_ends = lambda now: [v > tolerance * tolerance * f and v > 0 for v, f in zip(now, first, strict=True)]
+    done = 0
+    while any(open_ends(rz)):
+        if done == rounds:
+            raise RuntimeError(f"no convergence after {rounds} rounds: residuals {rz} of {first}")
+        done += 1
+        carried = both.join(state.select(F.col("k").alias("b"), "p"), "b")
+        flow = carried.groupBy(F.col("a").alias("k")).agg(*[F.expr(f"sum(w * p[{i}]) AS f{i}") for i in each]).selectExpr("k", f"{_array(f'f{i}' for i in each)} AS f")
+        ap = settle(state.join(flow, "k").selectExpr("k", "deg", "x", "r", "p", "zip_with(p, f, (v, u) -> deg * v - u) AS ap"))
+        bent = list(ap.agg(*[F.expr(f"sum(p[{i}] * ap[{i}])") for i in each]).first())
+        step = _array(f"{(z / b if go and b else 0.0)!r}D" for z, b, go in zip(rz, bent, open_ends(rz), strict=True))
+        along = lambda v, d, sign: f"transform({v}, (u, i) -> u {sign} {step}[i] * {d}[i])"
+        moved = ap.selectExpr("k", "deg", f"{along('x', 'p', '+')} AS x", f"{along('r', 'ap', '-')} AS r", "p")
+        now = list(moved.agg(*squares).first())
+        turn = _array(f"{(n / z if z else 0.0)!r}D" for n, z in zip(now, rz, strict=True))
+        state, rz = moved.selectExpr("k", "deg", "x", "r", f"transform(r, (v, i) -> v / deg + {turn}[i] * p[i]) AS p"), now
+    return state.select("k", "x")
+
+
+def _undirected(edges: DataFrame) -> DataFrame:
+    both = edges.select("a", "b", "w").union(edges.select("b", "a", "w")).where("a <> b")
+    return settle(both.groupBy("a", "b").agg(F.sum("w").alias("w")))
+
+
+def site_resistances(edges: DataFrame, terminals: DataFrame, rounds: int = 2000, tolerance: float = 1e-9, sides: int = SIDES) -> DataFrame:
+    """(a, b, resistance) of all pairs a < b of sites that are connected, whose current enters a graph (a, b, w) at several nodes.
 
     ``terminals(site, node, weight)``: a site's weights sum to 1, duplicates
-    are summed. For a pair of sites the resistance is
-    (wa - wb)' L+ (wa - wb), solved by conjugate gradients with the degrees as
-    preconditioner, whose vectors are tables. Fails if a site's weights do not
-    sum to 1, if the pair's terminals are not all connected, or if ``rounds``
-    do not bring the residual below ``tolerance`` times the current.
+    are summed. The resistance is (wa - wb)' L+ (wa - wb). Each site's current
+    against the first site of its component is one right-hand side; sites of
+    different components share them, and ``sides`` of them are solved at once.
+    Fails if a site's weights do not sum to 1 or its terminals lie in more
+    than one component or in none.
     """
-    spark = edges.sparkSession
-    both = settle(edges.select("a", "b", "w").union(edges.select("b", "a", "w")).where("a <> b").groupBy("a", "b").agg(F.sum("w").alias("w")))
-    root = settle(components(both.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    weights = settle(terminals.groupBy("site", F.col("node").alias("k")).agg(F.sum("weight").alias("weight")))
-    degree = settle(both.groupBy(F.col("a").alias("k")).agg(F.sum("w").alias("deg")))
-    out = []
-    for a, b in pairs:
-        ends = settle(weights.where(F.col("site").isin(a, b)))
-        sums = {r["site"]: r["s"] for r in ends.groupBy("site").agg(F.sum("weight").alias("s")).collect()}
-        if any(abs(sums.get(x, 0.0) - 1) > 1e-9 for x in (a, b)):
-            raise ValueError(f"the weights of sites {a} and {b} sum to {sums}, not to 1")
-        roots = ends.join(root.withColumnRenamed("node", "k"), "k", "left").select("root").distinct().collect()
-        if len(roots) != 1 or roots[0]["root"] is None:
-            raise ValueError(f"the terminals of sites {a} and {b} are not connected")
-        current = ends.groupBy("k").agg(F.sum(F.when(F.col("site") == a, F.col("weight")).otherwise(-F.col("weight"))).alias("c"))
-        nodes = root.where(F.col("root") == roots[0]["root"]).select(F.col("node").alias("k"))
-        r = F.coalesce("c", F.lit(0.0))
-        state = settle(nodes.join(degree, "k").join(current, "k", "left").select("k", "deg", r.alias("c"), F.lit(0.0).alias("x"), r.alias("r"), (r / F.col("deg")).alias("p")))
-        inner = F.sum(F.col("r") * F.col("r") / F.col("deg"))
-        rz = first = state.agg(inner).first()[0] or 0.0
-        done = 0
-        while rz > tolerance * tolerance * first and rz > 0:
-            if done == rounds:
-                raise RuntimeError(f"no convergence after {rounds} rounds: residual {rz} of {first}")
-            done += 1
-            flow = both.join(state.select(F.col("k").alias("b"), F.col("p").alias("q")), "b").groupBy(F.col("a").alias("k")).agg(F.sum(F.col("w") * F.col("q")).alias("in"))
-            ap = settle(state.join(flow, "k", "left").withColumn("ap", F.col("deg") * F.col("p") - F.coalesce("in", F.lit(0.0))).drop("in"))
-            step = rz / ap.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
-            moved = ap.select("k", "deg", "c", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("ap")).alias("r"), "p")
-            now = moved.agg(inner).first()[0]
-            state = settle(moved.withColumn("p", F.col("r") / F.col("deg") + now / rz * F.col("p")))
-            rz = now
-        out.append((a, b, round(state.agg(F.sum(F.col("c") * F.col("x"))).first()[0] or 0.0, 6)))
-    return spark.createDataFrame(out, "a long, b long, resistance double")
+    both = _undirected(edges)
+    root = settle(components(both.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("k"), "root"))
+    weights = settle(terminals.groupBy("site", F.col("node").alias("k")).agg(F.sum("weight").alias("weight")).join(root, "k", "left"))
+    sound = weights.groupBy("site").agg(F.sum("weight").alias("s"), F.count_distinct("root").alias("n"), F.bool_or(F.col("root").isNull()).alias("lost"), F.min("root").alias("root"))
+    if (bad := sound.where("abs(s - 1) > 1e-9 or n <> 1 or lost").first()) is not None:
+        raise ValueError(f"the weights of site {bad['site']} sum to {bad['s']} over {bad['n']} components")
+    sites = settle(with_places(sound.select("root", "site"), ["root"], ["site"], "place"))
+    last = sites.agg(F.max("place")).first()[0] or 0
+    weights = settle(weights.drop("root").join(sites, "site"))
+    base = weights.where("place = 1").select("k", F.col("weight").alias("ground"))
+    potentials = None
+    for at in range(2, last + 1, sides):
+        some = min(sides, last + 1 - at)
+        own = weights.where(F.col("place").between(at, at + some - 1)).groupBy("k").agg(*[F.expr(f"coalesce(sum(CASE WHEN place = {at + i} THEN weight END), 0D) AS c{i}") for i in range(some)])
+        full = root.join(own, "k", "left").join(base, "k", "left")
+        held = sites.groupBy("root").agg(F.max("place").alias("most"))  # a component with fewer sites has no current on the other sides
+        current = full.join(held, "root").selectExpr("k", f"{_array(f'coalesce(c{i}, 0D) - CASE WHEN most >= {at + i} THEN coalesce(ground, 0D) ELSE 0D END' for i in range(some))} AS c")
+        x = solved(both, current, some, rounds, tolerance)
+        seen = weights.join(x, "k").select("root", "site", "place", "weight", F.posexplode("x").alias("i", "v")).groupBy("root", "site", "place", "i").agg(F.sum(F.col("weight") * F.col("v")).alias("u"))
+        seen = settle(seen.select("root", "site", "place", (F.col("i") + at).alias("side"), "u"))
+        potentials = seen if potentials is None else potentials.union(seen)
+    if potentials is None:
+        return sites.selectExpr("site AS a", "site AS b", "0D AS resistance").where(F.lit(False))
+    # w_s' x_t for all sites s and sides t of a component; the first site's own side is 0.
+    named = sites.selectExpr("root", "site AS other", "place AS side")
+    u = settle(potentials.join(named, ["root", "side"]).select("root", "site", "other", "u"))
+    diagonal = u.where("site = other").select("site", F.col("u").alias("d"))
+    end = lambda c: sites.select("root", F.col("site").alias(c))
+    pairs = end("a").join(end("b"), "root").where("a < b")  # every pair is a row of the result
+    gram = lambda s, t, name: u.select("root", F.col("site").alias(s), F.col("other").alias(t), F.col("u").alias(name))
+    own = lambda c, name: diagonal.select(F.col("site").alias(c), F.col("d").alias(name))
+    r = pairs.join(own("a", "aa"), "a", "left").join(own("b", "bb"), "b", "left").join(gram("a", "b", "ab"), ["root", "a", "b"], "left").join(gram("b", "a", "ba"), ["root", "b", "a"], "left")
+    value = " + ".join(f"{sign} coalesce({c}, 0D)" for sign, c in (("", "aa"), ("", "bb"), ("-", "ab"), ("-", "ba")))
+    return r.select("a", "b", F.round(F.expr(value), 6).alias("resistance"))
+
+
+def resistances(edges: DataFrame, by: str) -> DataFrame:
+    """(by, a, b, resistance) for all connected pairs a < b of a group's nodes, solved for all groups at once."""
+    name = lambda c: F.struct(F.col(by).alias("g"), F.col(c).alias("k"))
+    named = settle(edges.select(name("a").alias("a"), name("b").alias("b"), "w"))
+    nodes = named.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    found = site_resistances(named, nodes.select(F.col("node").alias("site"), "node", F.lit(1.0).alias("weight")))
+    return found.select(F.col("a.g").alias(by), F.col("a.k").alias("a"), F.col("b.k").alias("b"), "resistance")
+
+
+def sketched_resistances(edges: DataFrame, pairs: DataFrame, sides: int = 64, seed: int = 1, rounds: int = 2000, tolerance: float = 1e-6) -> DataFrame:
+    """(a, b, resistance) of chosen ``pairs(a, b)`` of nodes of a graph (a, b, w) by random projections.
+
+    A resistance is the squared length of a potential difference seen through
+    all edges; ``sides`` random signs an edge keep it with a relative standard
+    error of sqrt(2 / sides), 18 % for 64, however many nodes and pairs there
+    are. Solved SIDES at a time. Pairs that are not connected have no row.
+    """
+    both = _undirected(edges)
+    root = settle(components(both.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("k"), "root"))
+    one_way = both.where("a < b")
+    seen = None
+    for at in range(0, sides, SIDES):
+        some = min(SIDES, sides - at)
+        sign = lambda i: f"CASE WHEN xxhash64({seed}, {at + i}, a, b) & 1 = 0 THEN 1D ELSE -1D END * sqrt(w / {sides})"
+        cut = settle(one_way.selectExpr("a", "b", f"{_array(map(sign, range(some)))} AS q"))
+        ends = cut.selectExpr("a AS k", "q").union(cut.selectExpr("b AS k", "transform(q, v -> -v) AS q"))
+        current = ends.groupBy("k").agg(*[F.expr(f"sum(q[{i}]) AS c{i}") for i in range(some)]).selectExpr("k", f"{_array(f'c{i}' for i in range(some))} AS c")
+        x = settle(solved(both, current, some, rounds, tolerance))
+        end = lambda c: x.select(F.col("k").alias(c), F.col("x").alias(f"x{c}"))  # noqa: E731, B023
+        part = pairs.select("a", "b").join(end("a"), "a").join(end("b"), "b").selectExpr("a", "b", "aggregate(zip_with(xa, xb, (u, v) -> (u - v) * (u - v)), 0D, (s, v) -> s + v) AS part")
+        seen = part if seen is None else seen.union(part)
+    whole = seen.groupBy("a", "b").agg(F.sum("part").alias("resistance"))
+    side = lambda c: root.select(F.col("k").alias(c), F.col("root").alias(f"r{c}"))
+    return whole.join(side("a"), "a").join(side("b"), "b").where("ra = rb").select("a", "b", "resistance")
+
+
+def terminal_resistance(edges: DataFrame, terminals: DataFrame, pairs: list[tuple[int, int]], **limits) -> DataFrame:
+    """``site_resistances`` of the given pairs of sites; fails if the sites of a pair are not connected."""
+    asked = sorted({s for p in pairs for s in p})
+    found = {(r["a"], r["b"]): r["resistance"] for r in site_resistances(edges, terminals.where(F.col("site").isin(asked)), **limits).collect()}
+    ordered = [(min(p), max(p)) for p in pairs]
+    if lost := [p for p in ordered if p not in found]:
+        raise ValueError(f"the terminals of sites {lost} are not connected")
+    return edges.sparkSession.createDataFrame([(a, b, found[p]) for (a, b), p in zip(pairs, ordered, strict=True)], "a long, b long, resistance double")
 
 
 def pair_resistance(edges: DataFrame, source: int, sink: int, **limits) -> DataFrame:

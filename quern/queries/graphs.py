@@ -27,22 +27,24 @@ def l01_connected_components(spark, d):
     return components(_links(spark, d))
 
 
-GRID = "cells AS (SELECT x::BIGINT AS x, y::BIGINT AS y FROM (SELECT unnest(range(24)) AS x), (SELECT unnest(range(12)) AS y) WHERE (x * 5 + y * 3) % 7 < 4)"
+#: Cells of 15 degrees by the number n of points in them; those with a multiple of four count as closed.
+GRID = f"{POINTS}, cells AS (SELECT floor((lon + 180) / 15)::BIGINT AS x, floor((lat + 90) / 15)::BIGINT AS y, count(*) AS n FROM points GROUP BY 1, 2 HAVING count(*) % 4 <> 0)"
 
 
-def _cells(spark):
-    return spark.range(24 * 12).select((F.col("id") % 24).alias("x"), F.floor(F.col("id") / 24).alias("y")).where("(x * 5 + y * 3) % 7 < 4")
+def _cells(spark, d):
+    p = points(spark, d).select(F.floor((F.col("lon") + 180) / 15).alias("x"), F.floor((F.col("lat") + 90) / 15).alias("y"))
+    return p.groupBy("x", "y").agg(F.count("*").alias("n")).where("n % 4 <> 0")
 
 
 @query(f"WITH RECURSIVE {GRID}, c AS (SELECT y * 24 + x AS id, x, y FROM cells), near AS (SELECT a.id AS u, b.id AS v, a.x AS ax, b.x AS bx, a.y AS ay, b.y AS yb FROM c a JOIN c b ON ((b.x - a.x + 24) % 24 IN (0, 1, 23) AND abs(a.y - b.y) <= 1 AND a.id <> b.id)), sym AS (SELECT u, v FROM near WHERE ax = bx OR ay = yb OR (EXISTS (SELECT 1 FROM cells WHERE x = bx AND y = ay) AND EXISTS (SELECT 1 FROM cells WHERE x = ax AND y = yb))), reach AS (SELECT id AS node, id AS root FROM c UNION SELECT s.v, r.root FROM reach r JOIN sym s ON s.u = r.node WHERE r.root < s.v) SELECT node, min(root) AS root FROM reach GROUP BY 1")
 def l02_grid_components(spark, d):
     """Eight neighbours, but none through a corner that a missing cell closes; columns wrap."""
-    return G.grid_components(_cells(spark), 24, corners=True)
+    return G.grid_components(_cells(spark, d), 24, corners=True)
 
 
 @query(f"WITH RECURSIVE {GRID}, b AS (SELECT y * 24 + x AS id, x, y, (y // 3) * 8 + x // 3 AS block FROM cells), sym AS (SELECT a.id AS u, c.id AS v FROM b a JOIN b c ON a.block = c.block AND abs(a.x - c.x) + abs(a.y - c.y) = 1), reach AS (SELECT id AS node, id AS root FROM b UNION SELECT s.v, r.root FROM reach r JOIN sym s ON s.u = r.node WHERE r.root < s.v), n AS (SELECT node AS id, min(root) AS root FROM reach GROUP BY 1), p AS (SELECT n1.root AS p, n2.root AS q FROM b a JOIN b c ON a.block <> c.block AND ((a.y = c.y AND c.x = (a.x + 1) % 24) OR (a.x = c.x AND c.y = a.y + 1)) JOIN n n1 ON n1.id = a.id JOIN n n2 ON n2.id = c.id) SELECT least(p, q) AS lo, greatest(p, q) AS hi, count(*)::BIGINT AS contacts FROM p GROUP BY 1, 2")
 def l03_coarsened_contacts(spark, d):
-    return G.coarsened(_cells(spark), 3, 24)[1]
+    return G.coarsened(_cells(spark, d), 3, 24)[1]
 
 
 @query()
@@ -71,7 +73,7 @@ def l05_knn_laplacian(spark, d):
 
 @query()
 def l06_effective_resistance(spark, d):
-    """Between all pairs of a group's nodes, in a ring of its nations with a chord: one dense solve per group."""
+    """Between all pairs of a group's nodes, in a ring of its nations: all groups in one solve."""
     n = table(spark, d, "nation").select(F.col("n_regionkey").alias("g"), F.col("n_nationkey").alias("k"))
     w = Window.partitionBy("g").orderBy("k")
     ring = n.select("g", F.col("k").alias("a"), F.coalesce(F.lead("k").over(w), F.first("k").over(w)).alias("b")).where("a <> b").withColumn("w", F.lit(1.0))
@@ -80,24 +82,27 @@ def l06_effective_resistance(spark, d):
 
 @query()
 def l07_terminal_resistance(spark, d):
-    """Between sites of several ports each on a grid of cells, by conjugate gradients on edge tables."""
-    name = lambda k: F.col(f"y{k}") * 8 + F.col(f"x{k}")
-    open_cells = spark.range(8 * 6).select((F.col("id") % 8).alias("x"), F.floor(F.col("id") / 8).alias("y")).where("(x * 5 + y * 3) % 7 < 6")
-    edges = G.grid_edges(open_cells, [], 8).select(name(1).alias("a"), name(2).alias("b"), (F.lit(1.0) + name(1) % 3).alias("w"))
+    """Between all labels, whose current enters at the cells of their points, over cells of 30 degrees that conduct by their points."""
+    cell = lambda c: (F.floor((F.col("lat") + 90) / 30) * 12 + F.floor((F.col("lon") + 180) / 30)).alias(c)
+    p = points(spark, d).where("label is not null").select("label", cell("node"))
+    n = p.groupBy("node").agg(F.count("*").alias("n"))
+    places = n.select((F.col("node") % 12).alias("x"), F.floor(F.col("node") / 12).alias("y"), "n")
+    name = lambda k: F.col(f"y{k}") * 12 + F.col(f"x{k}")
+    edges = settle(G.grid_edges(places, ["n"], 12).select(name(1).alias("a"), name(2).alias("b"), (2 / (1 / F.col("n1") + 1 / F.col("n2"))).alias("w")))
     main = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
     largest = main.groupBy("root").count().orderBy(F.desc("count"), "root").limit(1)
-    rank = F.row_number().over(Window.orderBy("node"))  # of a grid's cells
-    ports = main.join(largest, "root", "left_semi").select("node", rank.alias("r")).where("r in (1, 5, 9, 14)").select((F.col("r") > 5).cast("long").alias("site"), "node", F.lit(0.5).alias("weight"))
-    return G.terminal_resistance(edges, ports, [(0, 1)])
+    ports = p.join(main.join(largest, "root", "left_semi"), "node").groupBy(F.col("label").alias("site"), "node").agg(F.count("*").alias("m"))
+    share = F.col("m") / F.sum("m").over(Window.partitionBy("site"))  # of a label's cells
+    return G.site_resistances(edges, ports.select("site", "node", share.alias("weight")))
 
 
-@query(f"""WITH {GRID}, c AS (SELECT x, y, 1.0 + (x * 3 + y) % 5 AS k, -55.0::DOUBLE + 10 * y AS lat, -175.0::DOUBLE + 10 * x AS lon FROM cells), e AS (SELECT p.y = q.y AS along, p.k AS ka, q.k AS kb, p.lat AS lat, {KM_OF} AS km, 6371.0088 * radians(10) * CASE WHEN p.y = q.y THEN 1.0 ELSE cos(radians((p.lat + q.lat) / 2)) END AS face FROM c p JOIN c q ON (p.y = q.y AND q.x = p.x + 1) OR (p.x = q.x AND q.y = p.y + 1))
+@query(f"""WITH {GRID}, c AS (SELECT x, y, n::DOUBLE AS k, -82.5::DOUBLE + 15 * y AS lat, -172.5::DOUBLE + 15 * x AS lon FROM cells), e AS (SELECT p.y = q.y AS along, p.k AS ka, q.k AS kb, p.lat AS lat, {KM_OF} AS km, 6371.0088 * radians(15) * CASE WHEN p.y = q.y THEN 1.0 ELSE cos(radians((p.lat + q.lat) / 2)) END AS face FROM c p JOIN c q ON (p.y = q.y AND q.x = p.x + 1) OR (p.x = q.x AND q.y = p.y + 1))
 SELECT along, lat, count(*)::BIGINT AS edges, round(sum(2 / (1 / ka + 1 / kb) / km * face), 6) AS conductance, round(avg(km), 6) AS km FROM e GROUP BY 1, 2""")
 def l08_edge_conductance(spark, d):
-    cells = _cells(spark).withColumns({"k": F.lit(1.0) + (F.col("x") * 3 + F.col("y")) % 5, "lat": F.lit(-55.0) + 10 * F.col("y"), "lon": F.lit(-175.0) + 10 * F.col("x")})
+    cells = _cells(spark, d).withColumns({"k": F.col("n").cast("double"), "lat": F.lit(-82.5) + 15 * F.col("y"), "lon": F.lit(-172.5) + 15 * F.col("x")})
     e = G.grid_edges(cells, ["k", "lat", "lon"])
     ends = [F.col(c) for c in ("lat1", "lon1", "lat2", "lon2")]
-    face = space.EARTH_KM * F.radians(F.lit(10.0)) * F.when(F.col("along"), 1.0).otherwise(F.cos(F.radians((F.col("lat1") + F.col("lat2")) / 2)))
+    face = space.EARTH_KM * F.radians(F.lit(15.0)) * F.when(F.col("along"), 1.0).otherwise(F.cos(F.radians((F.col("lat1") + F.col("lat2")) / 2)))
     found = e.select("along", F.col("lat1").alias("lat"), (G.edge_conductance(F.col("k1"), F.col("k2"), *ends) * face).alias("g"), space.haversine_km(*ends).alias("km"))
     return found.groupBy("along", "lat").agg(F.count("*").alias("edges"), r6(F.sum("g")).alias("conductance"), r6(F.avg("km")).alias("km"))
 
