@@ -4,7 +4,7 @@ from importlib import import_module
 
 from quern.plans.registry import ORACLES, QUERIES
 
-FAMILIES = ["bipartite", "aggregates", "joins", "orders", "sets", "scalars", "statistics", "graphs", "sources", "nulls", "formats"]
+FAMILIES = ["bipartite", "aggregates", "joins", "orders", "sets", "scalars", "statistics", "graphs", "sources", "nulls", "formats", "versions"]
 
 for family in FAMILIES:
     import_module(f"quern.queries.{family}")
