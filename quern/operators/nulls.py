@@ -20,6 +20,9 @@ from quern.plans.staging import settle
 #: Edges that are paired with one another in a round of swaps, on average.
 DEALT = 4096
 
+#: Draws whose weights stand side by side in one row.
+BLOCK = 25
+
 #: The Poisson(1) distribution function from 0 on.
 POISSON_CUTS = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
 
@@ -39,15 +42,37 @@ def per_replicate(spark: SparkSession, draws: int, columns: str, body, batch: in
     return jobs.groupBy("first").applyInPandas(lambda pdf: body(int(pdf["first"].iloc[0]), int(pdf["last"].iloc[0])), columns)
 
 
+def _poisson_weight(tag: str, draw: Column, unit: Column) -> Column:
+    u = hash_uniform(F.lit(tag), draw.cast("string"), unit.cast("string"))
+    return F.get(F.transform(F.array(u), lambda v: sum(((v >= c).cast("int") for c in POISSON_CUTS), F.lit(0))), 0)  # one hash for all cuts
+
+
 def poisson_weights(df: DataFrame, unit: Column, draws: int, tag: str) -> DataFrame:
     """Each row once per draw in which its unit's Poisson(1) weight, from a hash, is positive: a bootstrap without shuffling rows."""
+    each = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda i: F.struct(i.alias("draw"), _poisson_weight(tag, i, unit).alias("weight")))
+    return df.select("*", F.inline(F.filter(each, lambda e: e["weight"] > 0)))
 
-    def weight(draw: Column) -> Column:
-        u = hash_uniform(F.lit(tag), draw.cast("string"), unit.cast("string"))
-        return F.get(F.transform(F.array(u), lambda v: sum(((v >= c).cast("int") for c in POISSON_CUTS), F.lit(0))), 0)  # one hash for all cuts
 
-    each = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda i: F.struct(i.alias("draw"), weight(i).alias("weight")))
-    return df.select("*", F.inline(F.filter(each, lambda e: e["weight"] > 0)))
+def poisson_blocks(df: DataFrame, unit: Column, draws: int, tag: str) -> DataFrame:
+    """Each row once per block of ``BLOCK`` draws, with the array ``weights`` of its unit's Poisson(1) weights in them, 0 too.
+
+    The weights are those of ``poisson_weights``. What sorts or shuffles such
+    rows moves a ``BLOCK``-th of the rows that single draws would make; the
+    array of the last block ends with the draws. Hashing costs more than
+    moving a row, so the rows are dealt to all shuffle partitions first, whose
+    number is given, as small tables would be dealt to one.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = df.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // BLOCK)))).repartition(parts, F.col("block"), unit)
+    first = F.col("block") * BLOCK
+    return blocks.withColumn("weights", F.transform(F.sequence(first, F.least(first + BLOCK, F.lit(draws)) - 1), lambda i: _poisson_weight(tag, i, unit)))
+
+
+def per_draw(blocks: DataFrame, *arrays: str) -> DataFrame:
+    """Rows of ``poisson_blocks`` taken apart again: one for each draw of positive weight, with its ``draw``, ``weight`` and element of each array; of a NULL array NULL."""
+    kept = [c for c in blocks.columns if c not in ("block", "weights", *arrays)]
+    each = F.transform("weights", lambda w, i: F.struct((F.col("block") * BLOCK + i).alias("draw"), w.alias("weight"), *[F.get(a, i).alias(a) for a in arrays]))
+    return blocks.select(*kept, F.inline(F.filter(each, lambda e: e["weight"] > 0)))
 
 
 def farthest_points(df: DataFrame, by: list[str], axes: list[str], key: str, n: int) -> DataFrame:

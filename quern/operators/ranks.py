@@ -25,6 +25,24 @@ def value_counts(df: DataFrame, by: list[str], x: str, weight: str | None = None
     return summed.join(starts, [*by, "_range"]).select(*by, x, "n", (F.col("_start") + F.col("_within")).alias("before"))
 
 
+def value_count_vectors(df: DataFrame, by: list[str], x: str, weights: str, width: int) -> DataFrame:
+    """(*by, x, n, before) as of ``value_counts``, for ``width`` weightings at once: n and before are arrays.
+
+    ``weights`` is an array of whole numbers, one for each weighting; beyond a
+    shorter one counts are NULL. There is one order of the values whatever the
+    weights, so one sort and one shuffle serve all of them: equal values are
+    added up on the map side, and prefix sums run over the columns of a row.
+    """
+    ns = [f"_n{i}" for i in range(width)]
+    counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(*[F.sum(F.get(weights, F.lit(i))).alias(n) for i, n in enumerate(ns)])
+    ranged = settle(counts.repartitionByRange(*by, x).withColumn("_range", F.spark_partition_id()))
+    totals = ranged.groupBy(*by, "_range").agg(*[F.sum(n).alias(n) for n in ns])
+    upto = lambda w: F.array(*[F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for n in ns])
+    starts = totals.select(*by, "_range", upto(Window.partitionBy(*by).orderBy("_range")).alias("_start"))
+    summed = ranged.select(*by, x, "_range", F.array(*ns).alias("n"), upto(Window.partitionBy(*by, "_range").orderBy(x)).alias("_within"))
+    return summed.join(starts, [*by, "_range"]).select(*by, x, "n", F.zip_with("_start", "_within", lambda s, w: s + w).alias("before"))
+
+
 def with_places(df: DataFrame, by: list[str], order: list[str], new: str, size: str | None = None) -> DataFrame:
     """``df`` with each row's place within ``by``, from 1, in the ascending order of the columns ``order``, and the group's size.
 
@@ -64,6 +82,15 @@ def with_average_ranks(df: DataFrame, by: list[str], ranks: dict[str, str], weig
     return df
 
 
+def with_rank_vectors(df: DataFrame, by: list[str], ranks: dict[str, str], weights: str, width: int) -> DataFrame:
+    """``df`` with, for each ``new: x`` of ``ranks``, an array: the rank of x within ``by`` by each of the array ``weights``; equal values share the mean of their ranks."""
+    source = df
+    for new, x in ranks.items():
+        rank = F.zip_with("before", "n", lambda b, n: b + (n + 1) / 2).alias(new)
+        df = df.join(value_count_vectors(source, by, x, weights, width).select(*by, x, rank), [*by, x], "left")
+    return df
+
+
 def exact_quantiles(df: DataFrame, by: list[str], x: str, qs: dict[str, float], weight: str | None = None) -> DataFrame:
     """(*by, *qs) with linear interpolation between the two order statistics around q * (n - 1); a row stands for ``weight`` equal ones."""
     counts = settle(value_counts(df, by, x, weight))
@@ -77,6 +104,20 @@ def exact_quantiles(df: DataFrame, by: list[str], x: str, qs: dict[str, float],
     return found.select(*by, *[value(name, q).alias(name) for name, q in qs.items()])
 
 
+def quantile_vectors(df: DataFrame, by: list[str], x: str, qs: dict[str, float], weights: str, width: int) -> DataFrame:
+    """(*by, at, *qs): ``exact_quantiles`` by each of the array ``weights``, ``at`` being the place in it; groups that a weighting leaves empty are left out."""
+    counts = settle(value_count_vectors(df, by, x, weights, width))
+    sizes = counts.groupBy(*by).agg(F.array(*[F.sum(F.get("n", F.lit(i))) for i in range(width)]).alias("_all"))
+    each = counts.join(sizes, by).select(*by, x, F.posexplode(F.arrays_zip("n", "before", "_all")).alias("at", "_of")).where("_of.n > 0")
+    one = each.select(*by, "at", x, "_of.n", "_of.before", "_of._all")
+    place = lambda q: F.lit(q) * (F.col("_all") - 1)
+    holds = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
+    ends = [F.max(F.when(holds(f(place(q))), F.col(x))).alias(f"_{side}_{name}") for name, q in qs.items() for side, f in (("lo", F.floor), ("hi", F.ceil))]
+    found = one.groupBy(*by, "at").agg(F.max("_all").alias("_all"), *ends)
+    value = lambda name, q: F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (place(q) - F.floor(place(q)))
+    return found.select(*by, "at", *[value(name, q).alias(name) for name, q in qs.items()])
+
+
 def with_zscore(df: DataFrame, by: list[str], x: str, new: str) -> DataFrame:
     """``df`` with the standard score by the population deviation; 0 where nothing varies."""
     moments = df.groupBy(*by).agg(F.avg(x).alias("_mean"), F.stddev_pop(x).alias("_sd"))

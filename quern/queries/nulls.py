@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.operators import nulls as N
 from quern.operators import space
 from quern.operators.aggregates import r6
-from quern.operators.ranks import exact_quantiles, radical_inverse, with_average_ranks
+from quern.operators.ranks import quantile_vectors, radical_inverse, with_rank_vectors
 from quern.operators.stats import weighted_pearson
 from quern.plans.registry import query
 from quern.plans.staging import settle
@@ -165,9 +165,9 @@ m AS (SELECT u, draw, sum(w * rx) / sum(w) AS x, sum(w * rk) / sum(w) AS k, sum(
 c AS (SELECT u, CASE WHEN xx - x * x > 1e-9 AND kk - k * k > 1e-9 THEN (xk - x * k) / sqrt((xx - x * x) * (kk - k * k)) END AS r FROM m) SELECT u, round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high FROM c GROUP BY 1""")
 def j05_bootstrap_spearman(spark, d):
     """Rank correlation of balance and key in each nation, customers resampled by weights."""
-    w = N.poisson_weights(_nation_rows(spark, d).select("u", "k", "x"), F.col("k"), 100, "spearman")
-    ranked = with_average_ranks(w, ["u", "draw"], {"_x": "x", "_k": "k"}, "weight")
-    b = ranked.groupBy("u", "draw").agg(weighted_pearson("_x", "_k", "weight").alias("value"))
+    w = settle(N.poisson_blocks(_nation_rows(spark, d).select("u", "k", "x"), F.col("k"), 100, "spearman"))
+    ranked = with_rank_vectors(w, ["u", "block"], {"_x": "x", "_k": "k"}, "weights", N.BLOCK)
+    b = N.per_draw(ranked, "_x", "_k").groupBy("u", "draw").agg(weighted_pearson("_x", "_k", "weight").alias("value"))
     return b.groupBy("u").agg(r6(F.percentile("value", F.lit(0.025))).alias("low"), r6(F.percentile("value", F.lit(0.975))).alias("high"))
 
 
@@ -308,9 +308,9 @@ def j21_block_bootstrap(spark, d):
 def j22_median_difference(spark, d):
     """Difference of the medians of two segments in each region, customers resampled by weights."""
     rows = table(spark, d, "customer").join(unit_groups(spark, d), F.col("c_nationkey") == F.col("unit")).where("c_mktsegment in ('BUILDING', 'MACHINERY')").select(F.col("grp").alias("g"), F.col("c_custkey").alias("k"), (F.col("c_mktsegment") == "BUILDING").alias("arm"), F.col("c_acctbal").alias("x"))
-    medians = exact_quantiles(N.poisson_weights(rows, F.col("k"), 100, "medians"), ["g", "draw", "arm"], "x", {"median": 0.5}, "weight")
+    medians = quantile_vectors(N.poisson_blocks(rows, F.col("k"), 100, "medians"), ["g", "block", "arm"], "x", {"median": 0.5}, "weights", N.BLOCK)
     side = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("median")))
-    b = medians.groupBy("g", "draw").agg((side(True) - side(False)).alias("value"))
+    b = medians.groupBy("g", "block", "at").agg((side(True) - side(False)).alias("value"))
     return b.groupBy("g").agg(r6(F.percentile("value", F.lit(0.025))).alias("low"), r6(F.percentile("value", F.lit(0.975))).alias("high"))
 
 
