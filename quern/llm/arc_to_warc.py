@@ -7,17 +7,22 @@ the length, and that many bytes of content. Spark reads the files as tasks,
 finds in their narrow records which payloads are equal, and converts file by
 file: the parser takes records as they are declared, the converter synthesises
 what WARC asks for beyond them: a record identifier, an ISO timestamp, a
-record type and digests. Files of both kinds are written by Spark's text
-writer as gzip files, so any store that Spark knows will do, and read as
-streams: a worker holds a compressed file and one record of it.
+record type and digests. Contents are bytes throughout: an image or a page
+that is not UTF-8 passes as it is. Files of both kinds are written by Spark's
+text writer, so any store that Spark knows will do, and read as streams: a
+worker holds a compressed file and one record of it. ARC files are a gzip
+stream; in WARC files each record is a gzip member of its own, as indexes of
+offsets want it, and the writer calls them ``.txt``.
 """
 
 import base64
 import gzip
 import hashlib
 import io
+import re
 import uuid
 from collections.abc import Iterator
+from datetime import datetime
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -48,6 +53,14 @@ NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:arc-record")
 NO_DATE = "19700101000000"
 
 
+def _text(raw: bytes) -> str:
+    """A header's text; where it is not UTF-8, bytes beyond ASCII become percent escapes."""
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return "".join(chr(b) if b < 128 else f"%{b:02X}" for b in raw)
+
+
 def _header_line(version: int, **fields: str) -> bytes:
     return " ".join(fields[f] for f in ARC_FIELDS[version]).encode("utf-8", "surrogatepass") + b"\n"
 
@@ -79,7 +92,7 @@ def arc_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields, content) of each record of a series of archives. What does not hold to its version block raises ValueError."""
     names: list[str] = []
     while line := stream.readline():
-        values = line.rstrip(b"\n").decode("utf-8", "surrogatepass").split(" ")
+        values = _text(line.rstrip(b"\n")).split(" ")
         if not line.endswith(b"\n") or not values[-1].isdigit():
             raise ValueError(f"not an ARC header line: {line[:80]!r}")
         content = stream.read(int(values[-1]))
@@ -112,9 +125,12 @@ def record_id(url: str, date: str, content: bytes) -> str:
 
 
 def warc_date(arc_date: str) -> str:
-    """YYYYMMDDhhmmss, or its first 8 digits, as an ISO timestamp in UTC."""
-    d = arc_date.ljust(14, "0") if arc_date.isdigit() and 8 <= len(arc_date) <= 14 else NO_DATE
-    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+    """YYYYMMDDhhmmss, or at least its first 8 digits, as an ISO timestamp in UTC; the epoch if there is no such time."""
+    d = arc_date.ljust(14, "0") if re.fullmatch(r"[0-9]{8,14}", arc_date) else NO_DATE
+    try:
+        return datetime(*(int(d[a:b]) for a, b in ((0, 4), (4, 6), (6, 8), (8, 10), (10, 12), (12, 14)))).isoformat() + "Z"
+    except ValueError:
+        return warc_date(NO_DATE)
 
 
 def warc_headers(header: dict[str, str], content: bytes, refers_to: dict[str, str] | None = None) -> tuple[dict[str, str], bytes]:
@@ -153,7 +169,7 @@ def warc_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     while line := stream.readline():
         headers: dict[str, str] = {}
         while (field := stream.readline()) not in (CRLF, b""):
-            name, _, value = field.removesuffix(CRLF).decode("utf-8", "surrogatepass").partition(": ")
+            name, _, value = _text(field.removesuffix(CRLF)).partition(": ")
             headers[name] = value
         if not line.startswith(b"WARC/") or not headers.get("Content-Length", "").isdigit():
             raise ValueError(f"not a WARC header: {line[:80]!r}")
@@ -164,9 +180,9 @@ def warc_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
-def legacy_content(page_id: int | None, html: str | None) -> bytes:
+def legacy_content(page_id: int | None, html: str | bytes | None) -> bytes:
     """The HTTP response that a legacy archive holds for a page; it carries the page's id as a header."""
-    payload = (html or "").encode("utf-8", "surrogatepass")
+    payload = html if isinstance(html, bytes) else (html or "").encode("utf-8", "surrogatepass")
     head = [b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", PAGE_HEADER + b": " + (b"" if page_id is None else b"%d" % page_id), b"Content-Length: %d" % len(payload)]
     return CRLF.join(head) + CRLF + CRLF + payload
 
@@ -185,13 +201,27 @@ def _blocks(records: Iterator[tuple[str, bytes]]) -> Iterator[list[tuple[str, by
         yield held
 
 
+def _member(record: bytes) -> bytes:
+    return gzip.compress(record, 6, mtime=0)
+
+
+def _members(records: list[bytes]) -> bytes:
+    """A gzip member for each record, without the zero byte that ends the last one and that the writer puts after a row.
+
+    A member ends with the high byte of its length, so only one of 16 MiB or
+    more may end otherwise: an empty member then follows it.
+    """
+    out = b"".join(map(_member, records))
+    return (out if out.endswith(b"\0") else out + _member(b""))[:-1]
+
+
 def _values(values: list[bytes]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(values, pa.binary()).cast(pa.string())], names=["value"])
+    return pa.record_batch([pa.array(values, pa.binary())], names=["value"])
 
 
-def _write(blocks: DataFrame, path: str, end: str) -> None:
-    """``end`` stands after each row: where it ends a record, rows hold several records without the last one's."""
-    blocks.write.option("maxRecordsPerFile", FILE_BLOCKS).text(path, lineSep=end, compression="gzip")
+def _write(blocks: DataFrame, path: str, end: str, compression: str) -> None:
+    """Rows of bytes, ``end`` after each of them: the cast to strings, which the writer asks for, leaves bytes as they are."""
+    blocks.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", FILE_BLOCKS).text(path, lineSep=end, compression=compression)
 
 
 def _archiver(versions: tuple[int, ...]):
@@ -216,12 +246,12 @@ def _archiver(versions: tuple[int, ...]):
 def write_arc(pages: DataFrame, path: str, versions: tuple[int, ...] = (1, 2), id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """The legacy side: ``pages`` as gzip ARC files below ``path``, archives of the versions in turn.
 
-    A page is the HTTP response of its capture. A null payload is empty, a
+    A page, text or bytes, is the HTTP response of its capture. A null payload is empty, a
     null URL ``-``, a null id an empty header. Very long payloads are archives
     of their own. An empty table writes no record.
     """
     whole = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    _write(whole.mapInArrow(_archiver(versions), "value string"), path, "\n")
+    _write(whole.mapInArrow(_archiver(versions), "value binary"), path, "\n", "gzip")
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -234,7 +264,7 @@ def _opened(archive: pa.Scalar) -> BinaryIO:
 
 def _page(http: dict[bytes, bytes]) -> int | None:
     value = http.get(PAGE_HEADER.lower(), b"")
-    return int(value) if value else None
+    return int(value) if re.fullmatch(rb"-?[0-9]+", value) else None
 
 
 NARROW = "path string, no int, page long, url string, record_id string, sha binary, n long"
@@ -262,18 +292,20 @@ def _converter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for archive, links in zip(batch.column(0), batch.column(1), strict=True):
             for block in _blocks(_converted(archive, links.as_py())):
-                yield _values([SEPARATOR.encode().join(record for _, record in block)])
+                yield _values([_members([record + SEPARATOR.encode() for _, record in block])])
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0) -> None:
-    """Convert the gzip ARC files below ``arc_path`` to gzip WARC files below ``warc_path``.
+    """Convert the gzip ARC files below ``arc_path`` to WARC files below ``warc_path``, a gzip member for each record.
 
     Of captures with equal payloads of at least ``min_bytes``, told by SHA-256
     and length, that with the smallest page id is the response and others
     revisit it; smaller ones are all responses. Captures without a page id are
     responses, and so are those that repeat a response's id along with its
     payload. Very long payloads are records like others. Archives without
-    records give none; malformed ones fail the job.
+    records give none; malformed ones fail the job. Contents may be any bytes;
+    a header line that is not UTF-8 is escaped, and a date that does not exist
+    is the epoch.
     """
     narrow = settle(_files(spark, arc_path).mapInArrow(_surveyor, NARROW).where(F.col("page").isNotNull() & (F.col("n") >= min_bytes)).withColumn("salt", salt_of("page")))
     first = F.struct("page", "url", "record_id")
@@ -282,7 +314,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int =
     links = narrow.join(per_salt(groups, "salts"), ["sha", "salt"]).where("page <> least.page")
     by_file = links.groupBy("path").agg(F.collect_list(F.struct("no", "least.*")).alias("links"))  # no more than a file has records
     files = _files(spark, arc_path).join(settle(by_file), "path", "left").select("content", "links")
-    _write(files.mapInArrow(_converter, "value string"), warc_path, SEPARATOR)
+    _write(files.mapInArrow(_converter, "value binary"), warc_path, "\0", "none")
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,6 @@
 import gzip
 import io
+import zlib
 
 import pytest
 
@@ -85,3 +86,47 @@ def test_archives_of_several_records_and_malformed_ones():
 
 def test_dates():
     assert [A.warc_date(d) for d in ("20010203", "2001", "x", "20010203040506")] == ["2001-02-03T00:00:00Z", "1970-01-01T00:00:00Z", "1970-01-01T00:00:00Z", "2001-02-03T04:05:06Z"]
+    assert [A.warc_date(d) for d in ("20051332999999", "20050229", "00000101", "20040229235959")] == ["1970-01-01T00:00:00Z"] * 3 + ["2004-02-29T23:59:59Z"]
+
+
+def members(raw):
+    """The contents of the gzip members that ``raw`` is a plain series of."""
+    out = []
+    while raw:
+        opened = zlib.decompressobj(wbits=31)
+        out.append(opened.decompress(raw))
+        assert opened.eof
+        raw = opened.unused_data
+    return out
+
+
+def test_bytes_that_are_not_text_pass_unchanged(spark, tmp_path):
+    """Images, a Latin-1 page and a Latin-1 URL in archives of both versions; each WARC record is a gzip member of its own."""
+    image, page = bytes(range(256)) * 40, "<p>déjà vu</p>".encode("latin-1")
+    http = lambda kind, payload: b"HTTP/1.1 200 OK\r\nContent-Type: " + kind + b"\r\n\r\n" + payload
+    contents = [http(b"image/png", image), http(b"text/html; charset=iso-8859-1", page), image, b"\xff\n\x00", b""]
+    (tmp_path / "arc").mkdir()
+    for version in (1, 2):
+        records = b"".join(A.arc_record(version, f"http://x/caf%E9/{version}/{i}", "20010203040506", "image/png", c) for i, c in enumerate(contents))
+        (tmp_path / "arc" / f"v{version}.arc.gz").write_bytes(gzip.compress(A.version_block(version) + records.replace(b"caf%E9", b"caf\xe9")))
+    A.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    got = {}
+    for f in (tmp_path / "warc").glob("part-*"):
+        for record in members(f.read_bytes()):
+            for headers, block in A.warc_records(io.BytesIO(record)) if record else ():
+                got[headers["WARC-Target-URI"]] = block, headers["WARC-Type"]
+            assert not record or len(list(A.warc_records(io.BytesIO(record)))) == 1
+    kinds = ["response", "response", "resource", "resource", "resource"]
+    assert got == {f"http://x/caf%E9/{v}/{i}": (c, kinds[i]) for v in (1, 2) for i, c in enumerate(contents)}
+    assert A.read_warc(spark, str(tmp_path / "warc")).where("intact and page_id is null").count() == 10
+
+
+def test_pages_of_bytes_are_archived(spark):
+    pages = [(1, "u", b"\xff\xd8\xff\x00\n\r\n\r\n"), (2, "v", b"\xff\xd8\xff\x00\n\r\n\r\n"), (3, "w", None), (4, "x", "é".encode("latin-1"))]
+    got = A.archived(spark.createDataFrame(pages, "page_id long, url string, html binary"))
+    assert {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got.where("intact").collect()} == {(i, len(h or b""), A.base32_sha1(h or b""), "revisit" if i == 2 else "response", 1 if i == 2 else None) for i, _, h in pages}
+
+
+def test_long_members_are_followed_by_an_empty_one():
+    for records in ([b"a" * (1 << 24)], [b"a" * (1 << 24), b"b"], [b"b", b"c"], [b""]):
+        assert [m for m in members(A._members(records) + b"\0") if m] == [r for r in records if r]
