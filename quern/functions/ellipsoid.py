@@ -25,8 +25,51 @@ def cell_area(south: Column, north: Column, width: Column) -> Column:
     return F.lit(POLAR * POLAR / 2e6) * F.radians(width) * (_zone(north) - _zone(south))
 
 
+def _arc(integrand, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Integral of a smooth function of the arc's squared sine, by Gauss-Legendre nodes."""
+    nodes, weights = np.polynomial.legendre.leggauss(16)
+    half = (end - start) / 2
+    at = (start + end)[:, None] / 2 + half[:, None] * nodes
+    return half * (integrand(np.sin(at) ** 2) @ weights)
+
+
+def _by_azimuth(u1: np.ndarray, u2: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Metres between two reduced latitudes, ``apart`` radians of longitude: the azimuth at the first is found by halving.
+
+    Turned so that the first point lies in the south and no nearer to the
+    equator than the second, a line's longitude grows through the wanted one
+    just once as its azimuth runs from north to south, so this always settles.
+    Equal latitudes on the equator less than (1 - f) * pi apart have no such
+    line and are not given here.
+    """
+    f = FLATTENING
+    first = np.abs(u1) >= np.abs(u2)
+    b1, b2 = np.where(first, u1, u2), np.where(first, u2, u1)
+    b2 = np.where(b1 > 0, -b2, b2)
+    b1 = np.minimum(-np.abs(b1), -1e-200)
+    s1, c1, s2, c2 = np.sin(b1), np.cos(b1), np.sin(b2), np.cos(b2)
+
+    def line(azimuth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Longitude and length of the line that leaves the first point so, at the second's latitude."""
+        across, along = np.sin(azimuth), np.cos(azimuth)
+        node = across * c1
+        arrival = np.sqrt(np.maximum(0.0, (along * c1) ** 2 + (c2 - c1) * (c2 + c1)))
+        from_, to = np.arctan2(s1, along * c1), np.arctan2(s2, arrival)
+        turned = np.arctan2(node * np.sin(to), np.cos(to)) - np.arctan2(node * np.sin(from_), np.cos(from_))
+        k = ((RADIUS / POLAR) ** 2 - 1) * (1 - node**2)[:, None]
+        lag = _arc(lambda q: (2 - f) / (1 + (1 - f) * np.sqrt(1 + k * q)), from_, to)
+        return turned - f * node * lag, POLAR * _arc(lambda q: np.sqrt(1 + k * q), from_, to)
+
+    north, south = np.zeros(len(b1)), np.full(len(b1), np.pi)
+    for _ in range(60):
+        middle = (north + south) / 2
+        short = line(middle)[0] < apart
+        north, south = np.where(short, middle, north), np.where(short, south, middle)
+    return line(south)[1]
+
+
 def _inverse(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """Vincenty's inverse solution in metres. NaN where it does not settle, near antipodes."""
+    """Vincenty's inverse solution in metres; where it does not settle, near antipodes, that of ``_by_azimuth``. NaN only for NaN."""
     f = FLATTENING
     u1, u2 = (np.arctan((1 - f) * np.tan(np.radians(x))) for x in (lat1, lat2))
     apart = np.radians(lon2 - lon1)
@@ -51,12 +94,16 @@ def _inverse(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndar
         a = 1 + k / 16384 * (4096 + k * (k * (320 - 175 * k) - 768))
         b = k / 1024 * (256 + k * (k * (74 - 47 * k) - 128))
         turn = b * sin_sigma * (middle + b / 4 * (cos_sigma * (2 * middle**2 - 1) - b / 6 * middle * (4 * sin_sigma**2 - 3) * (4 * middle**2 - 3)))
-        return np.where(settled & (np.abs(lam) <= np.pi), POLAR * a * (sigma - turn), np.nan)
+        metres = np.where(settled & (np.abs(lam) <= np.pi), POLAR * a * (sigma - turn), np.nan)
+    far = np.isnan(metres) & np.isfinite(u1) & np.isfinite(u2) & np.isfinite(apart)
+    if far.any():
+        metres[far] = _by_azimuth(u1[far], u2[far], np.abs(apart[far]))
+    return metres
 
 
 @F.pandas_udf(T.DoubleType())
 def geodesic(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
-    """Metres along the shortest line on the ellipsoid; null for null or nearly antipodal points."""
+    """Metres along the shortest line on the ellipsoid; null for null points only."""
     return pd.Series(_inverse(*(x.to_numpy(np.float64) for x in (lat1, lon1, lat2, lon2))))
 
 

@@ -21,10 +21,30 @@ def test_geodesics_of_known_length(spark):
     got = {r.id: r.m for r in df.select("id", ellipsoid.geodesic("a", "b", "c", "d").alias("m")).collect()}
     assert math.isclose(got[1], math.radians(1) * ellipsoid.RADIUS, rel_tol=1e-9)
     assert math.isclose(got[2], 10_001_965.729, abs_tol=0.01)
-    assert got[3] == 0.0 and got[4] is None and got[5] is None
+    assert got[3] == 0.0 and got[4] is None and math.isclose(got[5], 20_003_931.4586, abs_tol=0.001)
     assert 109_000 < got[6] < 110_000
 
 
+def test_geodesics_near_antipodes():
+    """Published lengths, exact antipodes, symmetry, the triangle inequality, and agreement of both solutions where both settle."""
+    one = lambda *p: float(ellipsoid._inverse(*(np.array([float(x)]) for x in p))[0])
+    assert math.isclose(one(0, 0, 0.5, 179.5), 19_936_288.579, abs_tol=0.001)
+    assert math.isclose(one(0, 0, 0.5, 179.7), 19_944_127.421, abs_tol=0.001)
+    for lat in (-90.0, -61.5, -0.25, 0.0, 12.0, 89.9):
+        assert math.isclose(one(lat, 10, -lat, -170), 20_003_931.4586, abs_tol=0.001)
+    rng = np.random.default_rng(5)
+    lat, lon = rng.uniform(-90, 90, 4000), rng.uniform(-180, 180, 4000)
+    lat2, lon2 = np.clip(-lat + rng.normal(0, 0.5, 4000), -90, 90), lon + 180 + rng.normal(0, 0.5, 4000)
+    d = ellipsoid._inverse(lat, lon, lat2, lon2)
+    assert np.isfinite(d).all() and (d <= 20_003_931.459).all()
+    assert np.allclose(d, ellipsoid._inverse(-lat2, lon2, -lat, lon), atol=0.001)
+    mid = rng.uniform(-80, 80, 4000), rng.uniform(-180, 180, 4000)
+    assert (d <= ellipsoid._inverse(lat, lon, *mid) + ellipsoid._inverse(*mid, lat2, lon2) + 0.001).all()
+    lat2, lon2 = rng.uniform(-90, 90, 4000), lon + rng.uniform(-150, 150, 4000)
+    reduced = lambda x: np.arctan((1 - ellipsoid.FLATTENING) * np.tan(np.radians(x)))
+    assert np.allclose(ellipsoid._inverse(lat, lon, lat2, lon2), ellipsoid._by_azimuth(reduced(lat), reduced(lat2), np.radians(np.abs(lon2 - lon))), atol=0.001)
+
+
 def test_cells_make_the_whole_ellipsoid(spark):
     cells = spark.range(-18, 18).select((F.col("id") * 5).alias("south"))
     total = cells.select(F.sum(ellipsoid.cell_area(F.col("south"), F.col("south") + 5, F.lit(360.0))).alias("a")).first().a
