@@ -93,6 +93,16 @@ def fisher_interval(r: Column, n: Column, z: float = 1.959963984540054) -> tuple
     return F.tanh(F.atanh(r) - half), F.tanh(F.atanh(r) + half)
 
 
+def log_binomial(n: Column, k: Column) -> Column:
+    """Natural logarithm of n over k, as a sum of min(k, n - k) terms; NULL unless 0 <= k <= n.
+
+    A row costs its terms: for counts of groups, not for millions.
+    """
+    few = F.least(k, n - k)
+    terms = F.transform(F.when(few > 0, F.sequence(F.lit(1).cast("long"), few)).otherwise(F.array().cast("array<bigint>")), lambda i: F.log((n - i + 1) / i))
+    return F.when((k >= 0) & (k <= n), F.aggregate(terms, F.lit(0.0), lambda total, x: total + x))
+
+
 def redacted(x: Column) -> Column:
     """Mail addresses, IPv4 addresses and long digit runs replaced by their kind."""
     for pattern, name in ((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "<mail>"), (r"\b\d{1,3}(\.\d{1,3}){3}\b", "<address>"), (r"\b\d{12,19}\b", "<number>")):

@@ -44,11 +44,13 @@ def a13_grid_archives(spark, d):
     return grid_cells(archives, ["depth", "flow"])
 
 
-@query("SELECT k::BIGINT AS k, (k * k % 97)::BIGINT AS v FROM (SELECT unnest(range(1000)) AS k)")
+@query("SELECT c_custkey AS k, (c_custkey * c_custkey % 97)::BIGINT AS v FROM customer WHERE c_custkey < (SELECT count(*) FROM customer)")
 def a18_paged_source(spark, d):
+    """What an index with an entry for each customer holds under the customers' keys."""
     spark.dataSource.register(remote.PagedIndex)
-    options = {"fetch": "quern.sources.remote:squares", "total": 1000, "page": 64}
-    return spark.read.format("pagedindex").schema("k long, v long").options(**options).load()
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    options = {"fetch": "quern.sources.remote:squares", "total": customers.count(), "page": 1000}
+    return customers.join(spark.read.format("pagedindex").schema("k long, v long").options(**options).load(), "k")
 
 
 @query("SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderpriority FROM orders")

@@ -155,9 +155,10 @@ def f12_stable_seed(spark, d):
     return table(spark, d, "customer").select("c_custkey", seed.alias("seed"))
 
 
-@query("SELECT i::BIGINT AS i, round(list_sum(list_transform(range(0, 41), lambda k: floor(i / pow(2.0, k)) % 2 * pow(2.0, -(k + 1)))), 9) AS h2, round(list_sum(list_transform(range(0, 41), lambda k: floor(i / pow(3.0, k)) % 3 * pow(3.0, -(k + 1)))), 9) AS h3 FROM (SELECT unnest(range(1, 257)) AS i)")
+@query("SELECT i, round(list_sum(list_transform(range(0, 41), lambda k: floor(i / pow(2.0, k)) % 2 * pow(2.0, -(k + 1)))), 9) AS h2, round(list_sum(list_transform(range(0, 41), lambda k: floor(i / pow(3.0, k)) % 3 * pow(3.0, -(k + 1)))), 9) AS h3 FROM (SELECT c_custkey AS i FROM customer)")
 def f13_halton_sequence(spark, d):
-    i = F.col("id")
-    return spark.range(1, 257).select(i.alias("i"), F.round(R.radical_inverse(i, 2), 9).alias("h2"), F.round(R.radical_inverse(i, 3), 9).alias("h3"))
+    """A point of the plane for each customer, by the key's place in the sequence."""
+    i = F.col("c_custkey")
+    return table(spark, d, "customer").select(i.alias("i"), F.round(R.radical_inverse(i, 2), 9).alias("h2"), F.round(R.radical_inverse(i, 3), 9).alias("h3"))
 
 

@@ -210,20 +210,19 @@ def h15_elementary_functions(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", r6(F.log1p(F.abs(x))).alias("a"), r6(F.expm1(x / 1e4)).alias("b"), r6(F.sqrt(F.abs(x))).alias("c"), r6(F.log2(1 + F.abs(x))).alias("e"), r6(F.pow(F.abs(x) / 1000, 1.5)).alias("f"), F.signum(x).cast("int").alias("g"))
 
 
-@query("WITH t AS (SELECT i::BIGINT AS i, (i - 60) / 20.0::DOUBLE AS z, (i - 60) / 80.0::DOUBLE AS r FROM (SELECT unnest(range(121)) AS i)) SELECT i, round(tanh(atanh(r) - 1.959963984540054 / sqrt(97)), 6) AS low, round(tanh(atanh(r) + 1.959963984540054 / sqrt(97)), 6) AS high FROM t")
+@query("WITH t AS (SELECT l_suppkey AS k, corr(l_quantity, l_discount) AS r, count(*) AS n FROM lineitem GROUP BY 1) SELECT k, round(tanh(atanh(r) - 1.959963984540054 / sqrt(n - 3)), 6) AS low, round(tanh(atanh(r) + 1.959963984540054 / sqrt(n - 3)), 6) AS high FROM t WHERE n > 3 AND abs(r) < 1")
 def h16_fisher_interval(spark, d):
-    low, high = S.fisher_interval((F.col("id") - 60) / 80.0, F.lit(100.0))
-    return spark.range(121).select(F.col("id").alias("i"), r6(low).alias("low"), r6(high).alias("high"))
+    """Interval of each supplier's correlation of quantity and discount."""
+    t = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.corr("l_quantity", "l_discount").alias("r"), F.count("*").alias("n"))
+    low, high = S.fisher_interval(F.col("r"), F.col("n"))
+    return t.where("n > 3 and abs(r) < 1").select("k", r6(low).alias("low"), r6(high).alias("high"))
 
 
-@query("SELECT n::BIGINT AS n, k::BIGINT AS k, round(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1), 6) AS log_binomial FROM (SELECT unnest(range(0, 61)) AS n), (SELECT unnest([0, 1, 2, 5, 10]) AS k) WHERE k <= n")
+@query("WITH t AS (SELECT l_suppkey AS s, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS k FROM lineitem GROUP BY 1) SELECT s, n, k, round(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1), 6) AS log_binomial FROM t")
 def h17_log_binomial(spark, d):
-    from quern.operators.stats import log_factorials
-
-    lf = log_factorials(spark, 60)
-    pairs = lf.select(F.col("n"), F.col("lf").alias("a")).join(F.broadcast(lf.where(F.col("n").isin(0, 1, 2, 5, 10)).select(F.col("n").alias("k"), F.col("lf").alias("b"))), F.col("k") <= F.col("n"))  # five rows
-    rest = lf.select(F.col("n").alias("m"), F.col("lf").alias("c"))
-    return pairs.join(rest, F.col("n") - F.col("k") == F.col("m")).select("n", "k", r6(F.col("a") - F.col("b") - F.col("c")).alias("log_binomial"))
+    """In how many ways a supplier's returns could fall on its lines, as a logarithm."""
+    t = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s")).agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("k"))
+    return t.select("s", "n", "k", r6(S.log_binomial(F.col("n"), F.col("k"))).alias("log_binomial"))
 
 
 @query(f"WITH {OBS}, c AS (SELECT species, dataset, count(*) AS n FROM obs GROUP BY 1, 2) SELECT species, dataset, round(1 - pow(1 - 0.05::DOUBLE, n), 6) AS keep FROM c")
@@ -289,6 +288,8 @@ def h27_rms_mismatch(spark, d):
     return e.join(c, "label").select("vec_id", F.round(S.rms_mismatch(F.col("v"), F.col("m"), F.col("s")), 5).alias("mismatch"))
 
 
-@query("WITH RECURSIVE g AS (SELECT s::BIGINT AS seed, 0 AS k, s::BIGINT AS x, s::BIGINT AS y FROM (SELECT unnest(range(1, 41)) AS s) UNION ALL SELECT seed, k + 1, (x * 1664525 + 1013904223) % 4294967296, (WITH a AS (SELECT xor(y, (y << 13) & 4294967295) AS a), b AS (SELECT xor(a, a >> 17) AS b FROM a) SELECT xor(b, (b << 5) & 4294967295) FROM b) FROM g WHERE k < 25) SELECT seed, x AS lcg, y AS xorshift FROM g WHERE k = 25")
+@query("WITH RECURSIVE g AS (SELECT s::BIGINT AS seed, 0 AS k, s::BIGINT AS x, s::BIGINT AS y FROM (SELECT c_custkey AS s FROM customer) UNION ALL SELECT seed, k + 1, (x * 1664525 + 1013904223) % 4294967296, (WITH a AS (SELECT xor(y, (y << 13) & 4294967295) AS a), b AS (SELECT xor(a, a >> 17) AS b FROM a) SELECT xor(b, (b << 5) & 4294967295) FROM b) FROM g WHERE k < 25) SELECT seed, x AS lcg, y AS xorshift FROM g WHERE k = 25")
 def j20_portable_generators(spark, d):
-    return spark.range(1, 41).select(F.col("id").alias("seed"), S.lcg32(F.col("id"), 25).alias("lcg"), S.xorshift32(F.col("id"), 25).alias("xorshift"))
+    """Both generators after 25 steps from each customer's key."""
+    seed = F.col("c_custkey")
+    return table(spark, d, "customer").select(seed.alias("seed"), S.lcg32(seed, 25).alias("lcg"), S.xorshift32(seed, 25).alias("xorshift"))
