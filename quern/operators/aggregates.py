@@ -1,9 +1,9 @@
 """Aggregates: counts, quantiles, contrasts and weighted moments."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.ranks import value_counts
+from quern.operators.ranks import exact_quantiles, value_counts
 from quern.plans.staging import settle
 
 
@@ -21,9 +21,22 @@ def quantiles(x: str, qs: dict[str, float]) -> list[Column]:
     return [r6(F.percentile(F.col(x), F.lit(q))).alias(name) for name, q in qs.items()]
 
 
-def described(x: str) -> list[Column]:
-    """Smallest, quartile-like, largest and mean value."""
-    return [r6(F.min(x)).alias("least"), *quantiles(x, {"q025": 0.025, "median": 0.5, "q975": 0.975}), r6(F.max(x)).alias("largest"), r6(F.avg(x)).alias("mean")]
+def summarised(df: DataFrame, by: list[str], aggregates: list[Column], of: dict[str, dict[str, float]]) -> DataFrame:
+    """The aggregates of each group and, for each column x of ``of``, its exact quantiles, which no task gathers a group for.
+
+    Rows with a NULL in ``by`` are left out.
+    """
+    df = df.dropna(subset=by)
+    out = df.groupBy(*by).agg(*aggregates)
+    for x, qs in of.items():
+        found = exact_quantiles(df, by, x, qs)
+        out = out.join(found.select(*by, *[r6(F.col(name)).alias(name) for name in qs]), by, "left")
+    return out
+
+
+def described(df: DataFrame, by: list[str], x: str) -> DataFrame:
+    """Smallest, quartile-like, largest and mean value of each group."""
+    return summarised(df, by, [r6(F.min(x)).alias("least"), r6(F.max(x)).alias("largest"), r6(F.avg(x)).alias("mean")], {x: {"q025": 0.025, "median": 0.5, "q975": 0.975}})
 
 
 def lower_quantile(df: DataFrame, by: list[str], x: str, q: float) -> DataFrame:
@@ -51,9 +64,9 @@ def mean_of_means(df: DataFrame, inner: list[str], outer: list[str], x: str) ->
     return df.groupBy(*outer, *inner).agg(F.avg(x).alias("_m")).groupBy(*outer).agg(r6(F.avg("_m")).alias("mean_of_means"))
 
 
-def others(df: DataFrame, by: list[str], x: str) -> Column:
-    """The sum over the rest of the row's group."""
-    return F.sum(x).over(Window.partitionBy(*by)) - F.col(x)
+def with_others(df: DataFrame, by: list[str], x: str, new: str) -> DataFrame:
+    """``df`` with the sum of x over the rest of the row's group; rows with a NULL in ``by`` are left out."""
+    return df.join(df.groupBy(*by).agg(F.sum(x).alias("_all")), by).withColumn(new, F.col("_all") - F.col(x)).drop("_all")
 
 
 def block_contrast(df: DataFrame, block: str, arm: Column, x: str) -> DataFrame:

@@ -3,6 +3,9 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.ranks import value_counts
+from quern.plans.staging import settle
+
 
 def footprints(edges: DataFrame, dist: DataFrame) -> DataFrame:
     """(consumer, unit, native): the units of all of a consumer's resources; native if some resource is native there."""
@@ -43,17 +46,27 @@ def concentration(credit: DataFrame, by: list[str], value: str = "credit") -> Da
 
 
 def gini(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Gini index of the positive values within ``by``."""
-    positive = df.where(F.col(value) > 0).withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(value)))
-    n, total = F.count(F.lit(1)), F.sum(value)
-    return positive.groupBy(*by).agg(F.round(2 * F.sum(F.col("_r") * F.col(value)) / (n * total) - (n + 1) / n, 6).alias("gini"))
-
-
-def half_count(df: DataFrame, by: list[str], value: str, key: str) -> DataFrame:
-    """How many of the largest values reach half of the total."""
-    order = Window.partitionBy(*by).orderBy(F.desc(value), key)
-    running = df.withColumn("_upto", F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_r", F.row_number().over(order)).withColumn("_all", F.sum(value).over(Window.partitionBy(*by)))
-    return running.where(F.col("_upto") >= 0.5 * F.col("_all") - F.lit(1e-9)).groupBy(*by).agg(F.min("_r").cast("long").alias("half_count"))
+    """Gini index of the positive values within ``by``, from how often each value occurs: equal ones share their places."""
+    counts = value_counts(df.where(F.col(value) > 0), by, value)
+    n, total = F.sum("n"), F.sum(F.col("n") * F.col(value))
+    places = F.col("n") * F.col("before") + F.col("n") * (F.col("n") + 1) / 2
+    return counts.groupBy(*by).agg(F.round(2 * F.sum(places * F.col(value)) / (n * total) - (n + 1) / n, 6).alias("gini"))
+
+
+def half_count(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """How many of the largest values, which are not negative, reach half of the total.
+
+    Sums of the smaller values tell at which value the half is reached; the
+    larger ones are counted, and of that one as many as it takes.
+    """
+    held = settle(value_counts(df, by, value, value))
+    totals = held.groupBy(*by).agg(F.sum("n").alias("_all"))
+    half = 0.5 * F.col("_all") - F.lit(1e-9)
+    reached = held.join(totals, by).where(F.col("_all") - F.col("before") >= half)
+    last = reached.groupBy(*by).agg(F.max(F.struct(F.col(value).alias("v"), "n", "before", "_all")).alias("_at")).select(*by, F.col("_at.v").alias("_v"), (F.col("_at._all") - F.col("_at.before") - F.col("_at.n")).alias("_above"), F.col("_at._all").alias("_all"))
+    larger = df.join(last, by).groupBy(*by, "_v", "_above", "_all").agg(F.count_if(F.col(value) > F.col("_v")).alias("_larger"))
+    needed = F.greatest(F.lit(1), F.ceil(F.try_divide(half - F.col("_above"), F.col("_v"))))
+    return larger.select(*by, (F.col("_larger") + needed).cast("long").alias("half_count"))
 
 
 def top_share(df: DataFrame, value: str, key: str, tops: list[int]) -> DataFrame:

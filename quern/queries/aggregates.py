@@ -63,14 +63,15 @@ def d18_lower_quantile(spark, d):
 
 @query("SELECT l_shipmode_bucket AS bucket, round(min(x), 6) AS least, round(quantile_cont(x, 0.025), 6) AS q025, round(quantile_cont(x, 0.5), 6) AS median, round(quantile_cont(x, 0.975), 6) AS q975, round(max(x), 6) AS largest, round(avg(x), 6) AS mean FROM (SELECT l_linenumber AS l_shipmode_bucket, l_extendedprice AS x FROM lineitem) GROUP BY 1")
 def d19_describe(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("bucket")).agg(*[c for c in A.described("l_extendedprice")])
+    return A.described(table(spark, d, "lineitem").select(F.col("l_linenumber").alias("bucket"), "l_extendedprice"), ["bucket"], "l_extendedprice")
 
 
 @query("SELECT l_linenumber, count(*) FILTER (l_discount > 0)::BIGINT AS positive, round(count(*) FILTER (l_discount > 0) / count(*), 6) AS positive_share, round(quantile_cont(CASE WHEN l_discount > 0 THEN l_discount END, 0.5), 6) AS median_positive, round(quantile_cont(l_discount, 0.25), 6) AS q25, round(quantile_cont(l_discount, 0.75), 6) AS q75 FROM lineitem GROUP BY 1")
 def d20_zero_inflation(spark, d):
     up = F.col("l_discount") > 0
     li = table(spark, d, "lineitem").withColumn("positive_value", F.when(up, F.col("l_discount")))
-    return li.groupBy("l_linenumber").agg(F.count_if(up).alias("positive"), r6(F.count_if(up) / F.count(ONE)).alias("positive_share"), *A.quantiles("positive_value", {"median_positive": 0.5}), *A.quantiles("l_discount", {"q25": 0.25, "q75": 0.75}))
+    shares = [F.count_if(up).alias("positive"), r6(F.count_if(up) / F.count(ONE)).alias("positive_share")]
+    return A.summarised(li, ["l_linenumber"], shares, {"positive_value": {"median_positive": 0.5}, "l_discount": {"q25": 0.25, "q75": 0.75}})
 
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -104,14 +105,15 @@ def d24_dominance(spark, d):
 @query("SELECT s_suppkey, round(sum(s_acctbal) OVER (PARTITION BY s_nationkey) - s_acctbal, 2) AS others FROM supplier")
 def d26_others_in_group(spark, d):
     s = table(spark, d, "supplier")
-    return s.select("s_suppkey", F.round(A.others(s, ["s_nationkey"], "s_acctbal"), 2).alias("others"))
+    return A.with_others(s, ["s_nationkey"], "s_acctbal", "others").select("s_suppkey", F.round("others", 2).alias("others"))
 
 
 @query(f"WITH {EDGES}, n AS (SELECT consumer, count(*) AS b FROM edges GROUP BY 1), s AS (SELECT o_orderpriority AS stratum, b FROM n JOIN orders ON o_orderkey = consumer) SELECT stratum, count(*)::BIGINT AS n, round(avg(b), 6) AS mean, round(quantile_cont(b, 0.5), 6) AS median FROM s GROUP BY 1")
 def d27_stratified_summary(spark, d):
     b = edges(spark, d).groupBy("consumer").agg(F.count(ONE).alias("b"))
     s = b.join(table(spark, d, "orders"), F.col("consumer") == F.col("o_orderkey"))
-    return s.where(F.col("o_orderpriority").isin(PRIORITIES) | F.col("o_orderpriority").isNotNull()).groupBy(F.col("o_orderpriority").alias("stratum")).agg(F.count(ONE).alias("n"), r6(F.avg("b")).alias("mean"), *A.quantiles("b", {"median": 0.5}))
+    strata = s.where(F.col("o_orderpriority").isin(PRIORITIES) | F.col("o_orderpriority").isNotNull()).select(F.col("o_orderpriority").alias("stratum"), "b")
+    return A.summarised(strata, ["stratum"], [F.count(ONE).alias("n"), r6(F.avg("b")).alias("mean")], {"b": {"median": 0.5}})
 
 
 @query("SELECT coalesce(r_name, '__ALL__') AS region, n_name AS nation, count(*)::BIGINT AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY GROUPING SETS ((r_name, n_name), (n_name))")
@@ -134,7 +136,8 @@ def d30_delta_distribution(spark, d):
     t = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("category"), (F.col("l_discount") - F.col("l_tax")).alias("delta"))
     part = lambda c: r6(F.count_if(c) / F.count(ONE))
     x = F.col("delta")
-    return t.groupBy("category").agg(F.count(ONE).alias("n"), r6(F.avg(x)).alias("mean"), *A.quantiles("delta", {"median": 0.5}), part(x > 1e-9).alias("up"), part(x < -1e-9).alias("down"), part(F.abs(x) <= 1e-9).alias("level"))
+    shares = [part(x > 1e-9).alias("up"), part(x < -1e-9).alias("down"), part(F.abs(x) <= 1e-9).alias("level")]
+    return A.summarised(t, ["category"], [F.count(ONE).alias("n"), r6(F.avg(x)).alias("mean"), *shares], {"delta": {"median": 0.5}})
 
 
 @query(f"WITH {DIST} SELECT 'unit' AS axis, unit::BIGINT AS key, count(*)::BIGINT AS margin FROM dist GROUP BY 2 UNION ALL SELECT 'resource', resource, count(*)::BIGINT FROM dist GROUP BY 2")

@@ -90,7 +90,7 @@ def d08_top_k_shares(spark, d):
 @query(f"""{BASE}, {SOURCES}, {CREDIT}, {TOTALS}, {TAXA}, r AS (SELECT family, sum(credit) OVER (PARTITION BY family ORDER BY credit DESC, resource ROWS UNBOUNDED PRECEDING) AS upto, sum(credit) OVER (PARTITION BY family) AS total, row_number() OVER (PARTITION BY family ORDER BY credit DESC, resource) AS k FROM per JOIN taxa USING (resource))
 SELECT family, min(k)::BIGINT AS half_count FROM r WHERE upto >= 0.5 * total - 1e-9 GROUP BY 1""")
 def d09_half_count(spark, d):
-    return B.half_count(_totals(spark, d).join(taxa(spark, d), "resource"), ["family"], "credit", "resource")
+    return B.half_count(_totals(spark, d).join(taxa(spark, d), "resource"), ["family"], "credit")
 
 
 @query(f"""WITH {EDGES}, {DIST}, {GROUPS}, n AS (SELECT resource, grp, count(*) AS n FROM dist JOIN groups USING (unit) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY resource ORDER BY n DESC, grp) AS k, round(n / sum(n) OVER (PARTITION BY resource), 6) AS share FROM n)
