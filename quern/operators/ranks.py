@@ -104,6 +104,11 @@ def exact_quantiles(df: DataFrame, by: list[str], x: str, qs: dict[str, float],
     return found.select(*by, *[value(name, q).alias(name) for name, q in qs.items()])
 
 
+def whole_quantiles(df: DataFrame, x: str, qs: dict[str, float]) -> DataFrame:
+    """One row (*qs): the exact quantiles of x over all rows."""
+    return exact_quantiles(df.select(x, F.lit(0).alias("_one")), ["_one"], x, qs).drop("_one")
+
+
 def quantile_vectors(df: DataFrame, by: list[str], x: str, qs: dict[str, float], weights: str, width: int) -> DataFrame:
     """(*by, at, *qs): ``exact_quantiles`` by each of the array ``weights``, ``at`` being the place in it; groups that a weighting leaves empty are left out."""
     counts = settle(value_count_vectors(df, by, x, weights, width))

@@ -7,6 +7,7 @@ from quern.operators import graph as G
 from quern.operators import models as M
 from quern.operators import space
 from quern.operators.aggregates import r6
+from quern.operators.ranks import whole_quantiles
 from quern.plans.components import components
 from quern.plans.registry import query
 from quern.plans.staging import settle
@@ -116,7 +117,7 @@ def l09_terminal_weights(spark, d):
 @query("WITH r AS (SELECT s_suppkey, abs(s_acctbal) AS r FROM supplier), m AS (SELECT quantile_cont(r, 0.5) AS m FROM r WHERE r > 0) SELECT s_suppkey, round(ln(1 + r / m), 6) AS feature FROM r, m")
 def l10_resistance_feature(spark, d):
     r = table(spark, d, "supplier").select("s_suppkey", F.abs("s_acctbal").alias("r"))
-    m = F.broadcast(r.where("r > 0").agg(F.percentile("r", F.lit(0.5)).alias("m")))  # one row
+    m = F.broadcast(whole_quantiles(r.where("r > 0"), "r", {"m": 0.5}))  # one row
     return r.crossJoin(m).select("s_suppkey", r6(F.log1p(F.col("r") / F.col("m"))).alias("feature"))
 
 

@@ -84,7 +84,8 @@ def e10_ordered_blocks(spark, d):
 @query("WITH q AS (SELECT s_nationkey, [quantile_cont(s_acctbal, 0.25), quantile_cont(s_acctbal, 0.5), quantile_cont(s_acctbal, 0.75)] AS cuts FROM supplier GROUP BY 1) SELECT s_suppkey, (SELECT count(*) FROM unnest(cuts) AS u(c) WHERE c <= s_acctbal)::INTEGER AS stratum FROM supplier JOIN q USING (s_nationkey)")
 def e11_quantile_strata(spark, d):
     s = table(spark, d, "supplier")
-    cuts = s.groupBy("s_nationkey").agg(F.percentile("s_acctbal", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("cuts"))
+    found = R.exact_quantiles(s, ["s_nationkey"], "s_acctbal", {"low": 0.25, "mid": 0.5, "high": 0.75})
+    cuts = found.select("s_nationkey", F.array("low", "mid", "high").alias("cuts"))
     return s.join(cuts, "s_nationkey").select("s_suppkey", F.size(F.filter("cuts", lambda c: c <= F.col("s_acctbal"))).alias("stratum"))
 
 

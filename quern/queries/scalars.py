@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quern.functions import scalars as S
 from quern.operators import space
 from quern.operators.aggregates import r6, ratio
+from quern.operators.ranks import whole_quantiles
 from quern.plans.registry import query
 from quern.sources.relations import DIST, OBS, POINTS, distribution, observations, points
 from quern.sources.tables import table
@@ -55,7 +56,8 @@ def b07_width_bins(spark, d):
 @query("WITH c AS (SELECT quantile_cont(p_retailprice, [0.25, 0.5, 0.75]) AS q FROM part) SELECT p_partkey, ((q[1] <= p_retailprice)::INT + (q[2] <= p_retailprice)::INT + (q[3] <= p_retailprice)::INT) AS bin FROM part, c")
 def b08_quantile_bins(spark, d):
     p = table(spark, d, "part")
-    cuts = F.broadcast(p.agg(F.percentile("p_retailprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")))  # one row
+    found = whole_quantiles(p, "p_retailprice", {"low": 0.25, "mid": 0.5, "high": 0.75})
+    cuts = F.broadcast(found.select(F.array("low", "mid", "high").alias("q")))  # one row
     return p.crossJoin(cuts).select("p_partkey", F.size(F.filter("q", lambda c: c <= F.col("p_retailprice"))).alias("bin"))
 
 
