@@ -4,10 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.aggregates import r6, ratio
-
-
-#: Groups of which all pairs may be asked for.
-MOST_GROUPS = 50_000
+from quern.plans.staging import settle
 
 
 def shared_counts(incidence: DataFrame, group: str, item: str) -> DataFrame:
@@ -21,19 +18,62 @@ def shared_counts(incidence: DataFrame, group: str, item: str) -> DataFrame:
     return x.join(y, item).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
+def set_sizes(incidence: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    """(group, n) of all ``groups``, those without an item included."""
+    counts = incidence.groupBy(group).agg(F.count("*").alias("n"))
+    return groups.select(group).join(counts, group, "left").select(group, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+def sharing_pairs(incidence: DataFrame, sizes: DataFrame, group: str, item: str) -> DataFrame:
+    """(a, b, na, nb, shared, union) of the pairs a < b that share an item, found by the items, never by pairing groups."""
+    na, nb = (sizes.select(F.col(group).alias(c), F.col("n").alias(f"n{c}")) for c in ("a", "b"))
+    pairs = shared_counts(incidence, group, item).join(na, "a").join(nb, "b")
+    return pairs.select("a", "b", "na", "nb", "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("union"))
+
+
 def pair_overlaps(incidence: DataFrame, groups: DataFrame, group: str, item: str) -> DataFrame:
-    """All pairs a < b of ``groups`` with na, nb, shared and union; pairs that share nothing included.
+    """All pairs of ``groups``: (a, b, na, nb, shared, union, partners).
+
+    Pairs a < b that share an item are rows of their own with partners = 1.
+    The others are counted, not listed, as their number grows with the square
+    of the groups: for each group a, a row with b NULL and the number of
+    partners that hold items but none of a's (nb = 1 stands for any size, on
+    which no measure of sets that share nothing depends), and one for the
+    partners that are empty (nb = 0). So each such pair is counted at both its
+    ends, and two empty sets have a union of 0.
+    """
+    sizes = settle(set_sizes(incidence, groups, group))
+    pairs = settle(sharing_pairs(incidence, sizes, group, item))
+    met = pairs.select(F.col("a").alias(group)).union(pairs.select(F.col("b").alias(group))).groupBy(group).agg(F.count("*").alias("_met"))
+    totals = sizes.agg(F.count_if(F.col("n") > 0).alias("_held"), F.count_if(F.col("n") == 0).alias("_empty"))
+    rest = sizes.join(met, group, "left").crossJoin(F.broadcast(totals))  # of a single row
+    itself, none = F.when(F.col("n") > 0, 1).otherwise(0), F.lit(0).cast("long")
+    rest = rest.select(
+        F.col(group).alias("a"),
+        F.col("n").alias("na"),
+        F.inline(F.array(F.struct(F.lit(1).cast("long").alias("nb"), (F.col("_held") - itself - F.coalesce("_met", none)).alias("partners")), F.struct(none.alias("nb"), (F.col("_empty") - (1 - itself)).alias("partners")))),
+    )
+    b = F.lit(None).cast(pairs.schema["b"].dataType)
+    rest = rest.where("partners > 0").select("a", b.alias("b"), "na", "nb", none.alias("shared"), (F.col("na") + F.col("nb")).alias("union"), "partners")
+    return pairs.withColumn("partners", F.lit(1).cast("long")).union(rest)
+
+
+def mean_overlaps(incidence: DataFrame, groups: DataFrame, group: str, item: str, label: str) -> DataFrame:
+    """(same, defined, zero_filled, n): mean Jaccard of the pairs within a label and of those between labels, undefined pairs left out or as 0.
 
-    As all pairs are wanted, the groups have to be few: beyond MOST_GROUPS it fails.
+    Only sharing pairs add to the sums; the numbers of pairs, and of pairs of
+    empty sets, follow from the labels' counts.
     """
-    n = groups.count()
-    if n > MOST_GROUPS:
-        raise ValueError(f"{n} groups have too many pairs; {MOST_GROUPS} are the most")
-    sizes = groups.select(group).join(incidence.groupBy(group).agg(F.count("*").alias("n")), group, "left").select(group, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
-    a, b = sizes.select(F.col(group).alias("a"), F.col("n").alias("na")), sizes.select(F.col(group).alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, F.col("a") < F.col("b")).join(shared_counts(incidence, group, item), ["a", "b"], "left")
-    shared = F.coalesce("shared", F.lit(0).cast("long"))
-    return pairs.select("a", "b", "na", "nb", shared.alias("shared"), (F.col("na") + F.col("nb") - shared).alias("union"))
+    sizes = settle(set_sizes(incidence, groups, group).join(groups.select(group, label), group))
+    labels = [sizes.select(F.col(group).alias(c), F.col(label).alias(f"_{c}")) for c in ("a", "b")]
+    pairs = sharing_pairs(incidence, sizes, group, item).join(labels[0], "a").join(labels[1], "b")
+    sums = pairs.groupBy((F.col("_a") == F.col("_b")).alias("same")).agg(F.sum(F.col("shared") / F.col("union")).alias("_sum"))
+    two = lambda c: c * (c - 1) / 2
+    each = sizes.groupBy(label).agg(F.count("*").alias("all"), F.count_if(F.col("n") == 0).alias("empty"))
+    every = each.agg(*[F.sum(c).alias(c) for c in ("all", "empty")], *[F.sum(two(F.col(c))).alias(f"{c}_within") for c in ("all", "empty")])
+    kinds = every.select(F.inline(F.array(*[F.struct(F.lit(same).alias("same"), *[(F.col(f"{c}_within") if same else two(F.col(c)) - F.col(f"{c}_within")).cast("long").alias(c) for c in ("all", "empty")]) for same in (True, False)])))
+    total = F.coalesce("_sum", F.lit(0.0))
+    return kinds.where("`all` > 0").join(sums, "same", "left").select("same", r6(ratio(total, F.col("all") - F.col("empty"))).alias("defined"), r6(ratio(total, F.col("all"))).alias("zero_filled"), F.col("all").alias("n"))
 
 
 def jaccard(strict: bool = False):
