@@ -208,34 +208,55 @@ def two_way_residuals(df: DataFrame, by: str, a: str, b: str, x: str, rounds: in
     return rows.join(effects, [by, b]).join(of_a, [by, a]).select(by, a, b, F.expr(f"round(`{x}` - _ea - _eb, 6) AS residual"))
 
 
-def random_intercept(df: DataFrame, group: str, y: str) -> DataFrame:
-    """Mean, between and within variance and intraclass correlation of a random-intercept model, by profile likelihood.
+#: Logarithms of the variances' ratio that are searched, and how finely a round divides what is left of them.
+RATIOS, STEPS = (-12.0, 6.0), 64
 
-    The likelihood needs only each group's size, mean and sum of squares, so
-    one row per group reaches the task that maximises it.
+
+def random_intercept(df: DataFrame, group: str, y: str, rounds: int = 7) -> DataFrame:
+    """Mean, between and within variance and intraclass correlation of a random-intercept model, by restricted likelihood.
+
+    The likelihood needs each group's size, mean and sum of squares, and of
+    groups of one size only sums. So a round is one aggregate over the sizes
+    that occur, for all ratios of the two variances that it tries: the first
+    takes the likeliest, each next narrows down where the slope changes sign.
+    Rows without a value are left out; fewer than two rows give no row, and
+    values that are all equal give variances of 0 and no correlation.
     """
-    stats = df.groupBy(group).agg(F.count("*").alias("n"), F.avg(y).alias("m"), F.var_pop(y).alias("v")).withColumn("_one", F.lit(1))
-
-    def body(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(group)
-        n, m, ss = pdf.n.to_numpy(float), pdf.m.to_numpy(float), (pdf.n * pdf.v).to_numpy(float)
-        total = n.sum()
-
-        def fit(log_ratio: float):
-            lam = np.exp(log_ratio)
-            w = n / (1 + n * lam)
-            mu = (w * m).sum() / w.sum()
-            s2 = (ss.sum() + (w * (m - mu) ** 2).sum()) / (total - 1)
-            return -0.5 * ((total - 1) * np.log(s2) + np.log1p(n * lam).sum() + np.log(w.sum())), mu, s2, lam
-
-        low, high, ratio = -12.0, 6.0, (5**0.5 - 1) / 2
-        for _ in range(80):
-            c, d = high - ratio * (high - low), low + ratio * (high - low)
-            low, high = (low, d) if fit(c)[0] > fit(d)[0] else (c, high)
-        _, mu, s2, lam = fit((low + high) / 2)
-        return pd.DataFrame({"mean": [mu], "between": [lam * s2], "within": [s2], "icc": [lam / (1 + lam)]}).round(6)
-
-    return stats.groupBy("_one").applyInPandas(body, "mean double, between double, within double, icc double")
+    spark, schema = df.sparkSession, "mean double, between double, within double, icc double"
+    stats = settle(df.where(F.col(y).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.avg(y).alias("m"), (F.count("*") * F.var_pop(y)).alias("ss")))
+    total, mean, within = stats.agg(F.sum("n"), F.sum(F.col("n") * F.col("m")) / F.sum("n"), F.sum("ss")).head()
+    if not total or total < 2:
+        return spark.createDataFrame([], schema)
+    off = F.col("m") - mean  # means from a middle, so that squares do not cancel
+    sizes = settle(stats.groupBy("n").agg(F.count("*").cast("double").alias("k"), F.sum(off).alias("s1"), F.sum(off * off).alias("s2")))
+    if within + sizes.agg(F.sum("s2")).head()[0] == 0:
+        return spark.createDataFrame([(round(mean, 6), 0.0, 0.0, None)], schema)
+
+    def tried(logs: list[float]) -> list[tuple[float, float, float, float, float]]:
+        """(log ratio, likelihood, its slope by the ratio, mean, variance within) in the order of the ratios."""
+        rows = sizes.withColumn("t", F.explode(F.array(*[F.lit(t) for t in logs]))).withColumn("w", F.expr("n / (1 + n * exp(t))"))
+        sums = rows.groupBy("t").agg(*[F.expr(f"sum({e})") for e in ("k * w", "w * s1", "w * s2", "k * w * w", "w * w * s1", "w * w * s2", "k * ln(1 + n * exp(t))")])
+        out = []
+        for t, w, w1, w2, v, v1, v2, logdet in sorted(tuple(r) for r in sums.collect()):
+            mu = w1 / w
+            s2 = (within + w2 - w1 * mu) / (total - 1)
+            out.append((t, -0.5 * ((total - 1) * math.log(s2) + logdet + math.log(w)), 0.5 * ((v2 - 2 * mu * v1 + mu * mu * v) / s2 - w + v / w), mean + mu, s2))
+        return out
+
+    low, high = RATIOS
+    for k in range(rounds):
+        step = (high - low) / STEPS
+        grid = tried([low + step * i for i in range(STEPS + 1)])
+        if k == 0:
+            best = max(grid, key=lambda g: (g[1], -g[0]))[0]
+            low, high = max(low, best - step), min(high, best + step)
+        else:
+            rising = [t for t, _, slope, *_ in grid if slope >= 0]
+            low, high = (rising[-1], min(high, rising[-1] + step)) if rising else (low, low)
+        if low == high:
+            break
+    t, _, _, mu, s2 = tried([(low + high) / 2])[0]
+    return spark.createDataFrame([tuple(round(v, 6) for v in (mu, math.exp(t) * s2, s2, math.exp(t) / (1 + math.exp(t))))], schema)
 
 
 #: Values of Pagel's lambda that are tried.

@@ -87,7 +87,25 @@ def i08_two_way_fixed_effects(spark, d):
     return N.two_way_residuals(cells, "g", "u", "t", "x")
 
 
-@query()
+#: Sums over the groups for the log ratios of a grid t, and what the likelihood is there.
+REML = """{name}_s AS (SELECT t, step, sum(w) AS w, sum(w * m) / sum(w) AS mu, sum(ln(1 + n * exp(t))) AS ld, sum(w * w) AS v FROM (SELECT *, n / (1 + n * exp(t)) AS w FROM st, {grid}) GROUP BY 1, 2),
+{name} AS (SELECT t, any_value(step) AS step, any_value(mu) AS mu, (any_value(all_ss) + sum(q * (m - mu) * (m - mu))) / (any_value(nn) - 1) AS s2, sum(q * q * (m - mu) * (m - mu)) AS wv, any_value(w) AS w, any_value(ld) AS ld, any_value(v) AS v, any_value(nn) AS nn FROM (SELECT *, n / (1 + n * exp(t)) AS q FROM st, {name}_s, tot) GROUP BY 1)"""
+
+
+def _reml_sql(rounds: int = 7) -> str:
+    grid = lambda k: f"(SELECT lo + (hi - lo) / 64 * i AS t, (hi - lo) / 64 AS step FROM b{k}, (SELECT unnest(range(65)) AS i))"
+    parts = ["st AS (SELECT c_nationkey AS u, count(*)::DOUBLE AS n, avg(c_acctbal::DOUBLE) AS m, count(*) * var_pop(c_acctbal::DOUBLE) AS ss FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), tot AS (SELECT sum(n) AS nn, sum(ss) AS all_ss FROM st)", "b0 AS (SELECT -12.0::DOUBLE AS lo, 6.0::DOUBLE AS hi)"]
+    for k in range(rounds):
+        parts.append(REML.format(name=f"g{k}", grid=grid(k)))
+        if k == 0:
+            parts.append("b1 AS (SELECT greatest(-12.0::DOUBLE, t - step) AS lo, least(6.0::DOUBLE, t + step) AS hi FROM g0 ORDER BY -0.5 * ((nn - 1) * ln(s2) + ld + ln(w)) DESC, t LIMIT 1)")
+        else:
+            parts.append(f"b{k + 1} AS (SELECT coalesce(max(t) FILTER (wv / s2 - w + v / w >= 0), min(t)) AS lo, CASE WHEN bool_or(wv / s2 - w + v / w >= 0) THEN least(max(t), max(t) FILTER (wv / s2 - w + v / w >= 0) + any_value(step)) ELSE min(t) END AS hi FROM g{k})")
+    parts.append(REML.format(name="last", grid=f"(SELECT (lo + hi) / 2 AS t, 0 AS step FROM b{rounds})"))
+    return f"WITH {', '.join(parts)} SELECT round(mu, 6) AS mean, round(exp(t) * s2, 6) AS between, round(s2, 6) AS within, round(exp(t) / (1 + exp(t)), 6) AS icc FROM last"
+
+
+@query(_reml_sql())
 def i09_random_intercept(spark, d):
     return N.random_intercept(_nation_rows(spark, d), "u", "x")
 
