@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions import ellipsoid
+from quern.operators.aggregates import r6
+from quern.operators.rings import untangled
 from quern.plans.registry import query
 from quern.plans.staging import stage_path
 from quern.sources import files, remote
@@ -27,6 +29,23 @@ def a08_ring_repair(spark, d):
     return fixed.select("k", "r.removed", "r.closed", "r.reversed", "r.area", F.size("r.ring").alias("corners"))
 
 
+#: Even-odd and winding areas of a pentagram in the unit circle: its star less, or plus, the pentagon within, whose radius is cos 72 / cos 36.
+_STAR, _PENTAGON = "5 * sin(pi() / 5) * cos(2 * pi() / 5) / cos(pi() / 5)", "2.5 * sin(2 * pi() / 5) * (cos(2 * pi() / 5) / cos(pi() / 5)) ** 2"
+
+
+@query(f"""WITH {POINTS}, s AS (SELECT label AS code, stddev_pop(lon) * stddev_pop(lat) AS sxy FROM points GROUP BY 1), a AS (SELECT code, sxy * ({_STAR} - {_PENTAGON}) AS area, sxy * ({_STAR} + {_PENTAGON}) AS source FROM s WHERE sxy > 0)
+SELECT code, 5::BIGINT AS crossings, 5::BIGINT AS rings, 0::BIGINT AS holes, round(source, 6) AS source_area, round(area, 6) AS area, round(abs(area - source) / source, 6) AS change FROM a""")
+def a08_ring_untangling(spark, d):
+    """Each label's pentagram about the middle of its points, as wide and high as they spread: five triangles and no pentagon."""
+    spread = points(spark, d).groupBy(F.col("label").alias("code")).agg(*[f(c).alias(f"{n}{c}") for c in ("lon", "lat") for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))])
+    spread = spread.where("slon > 0 AND slat > 0")
+    corner = lambda k: f"mlon + slon * cos({k} * 4 * pi() / 5) AS x{{0}}, mlat + slat * sin({k} * 4 * pi() / 5) AS y{{0}}"
+    sides = ", ".join(f"struct({corner(k).format(1)}, {corner((k + 1) % 5).format(2)})" for k in range(5))
+    edges = spread.selectExpr("code", "0 AS ring", f"inline(array({sides}))")
+    audit = untangled(edges)[1]
+    return audit.select("code", "crossings", "rings", "holes", *[r6(c).alias(c) for c in ("source_area", "area", "change")])
+
+
 @F.pandas_udf(T.BinaryType())
 def _archive(key: pd.Series) -> pd.Series:
     def packed(k: int) -> bytes:
