@@ -42,7 +42,8 @@ def pair_overlaps(incidence: DataFrame, groups: DataFrame, group: str, item: str
     partners that are empty (nb = 0). So each such pair is counted at both its
     ends, and two empty sets have a union of 0.
     """
-    sizes = settle(set_sizes(incidence, groups, group))
+    incidence = settle(incidence.select(group, item))
+    sizes = set_sizes(incidence, groups, group)
     pairs = settle(sharing_pairs(incidence, sizes, group, item))
     met = pairs.select(F.col("a").alias(group)).union(pairs.select(F.col("b").alias(group))).groupBy(group).agg(F.count("*").alias("_met"))
     totals = sizes.agg(F.count_if(F.col("n") > 0).alias("_held"), F.count_if(F.col("n") == 0).alias("_empty"))
@@ -64,7 +65,8 @@ def mean_overlaps(incidence: DataFrame, groups: DataFrame, group: str, item: str
     Only sharing pairs add to the sums; the numbers of pairs, and of pairs of
     empty sets, follow from the labels' counts.
     """
-    sizes = settle(set_sizes(incidence, groups, group).join(groups.select(group, label), group))
+    incidence = settle(incidence.select(group, item))
+    sizes = set_sizes(incidence, groups, group).join(groups.select(group, label), group)
     labels = [sizes.select(F.col(group).alias(c), F.col(label).alias(f"_{c}")) for c in ("a", "b")]
     pairs = sharing_pairs(incidence, sizes, group, item).join(labels[0], "a").join(labels[1], "b")
     sums = pairs.groupBy((F.col("_a") == F.col("_b")).alias("same")).agg(F.sum(F.col("shared") / F.col("union")).alias("_sum"))
