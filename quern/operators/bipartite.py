@@ -57,8 +57,11 @@ def half_count(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """How many of the largest values, which are not negative, reach half of the total.
 
     Sums of the smaller values tell at which value the half is reached; the
-    larger ones are counted, and of that one as many as it takes.
+    larger ones are counted, and of that one as many as it takes. The values
+    are settled first: sums of doubles differ in their last digits each time
+    they are computed, and a value would not be found among others of its own.
     """
+    df = settle(df.select(*by, value))
     held = settle(value_counts(df, by, value, value))
     totals = held.groupBy(*by).agg(F.sum("n").alias("_all"))
     half = 0.5 * F.col("_all") - F.lit(1e-9)
