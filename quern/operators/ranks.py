@@ -83,11 +83,16 @@ def with_average_ranks(df: DataFrame, by: list[str], ranks: dict[str, str], weig
 
 
 def with_rank_vectors(df: DataFrame, by: list[str], ranks: dict[str, str], weights: str, width: int) -> DataFrame:
-    """``df`` with, for each ``new: x`` of ``ranks``, an array: the rank of x within ``by`` by each of the array ``weights``; equal values share the mean of their ranks."""
+    """``df`` with, for each ``new: x`` of ``ranks``, an array: the rank of x within ``by`` by each of the array ``weights``; equal values share the mean of their ranks.
+
+    There are up to as many arrays of ranks as rows, but Spark estimates an
+    array at one element and counts at their compressed size, so it would
+    broadcast them through the driver: the joins are told to merge.
+    """
     source = df
     for new, x in ranks.items():
         rank = F.zip_with("before", "n", lambda b, n: b + (n + 1) / 2).alias(new)
-        df = df.join(value_count_vectors(source, by, x, weights, width).select(*by, x, rank), [*by, x], "left")
+        df = df.join(value_count_vectors(source, by, x, weights, width).select(*by, x, rank).hint("merge"), [*by, x], "left")
     return df
 
 

@@ -27,3 +27,13 @@ def test_half_count_of_values_that_differ_in_their_last_digits(spark):
     shaken = F.udf(lambda k: 16 / 3 + 1e-15 * (os.urandom(1)[0] % 8), "double").asNondeterministic()
     df = spark.range(1000).select((F.col("id") % 2).alias("g"), shaken("id").alias("v"))
     assert {(r.g, r.half_count) for r in half_count(df, ["g"], "v").collect()} == {(0, 250), (1, 250)}
+
+
+def test_rank_vectors_do_not_pass_the_driver(spark):
+    from quern.operators import nulls as N
+    from quern.operators.ranks import with_rank_vectors
+
+    rows = N.poisson_blocks(spark.range(40).select(F.lit("a").alias("g"), F.col("id").alias("k"), F.col("id").cast("double").alias("x")), F.col("k"), 30, "t")
+    plan = with_rank_vectors(rows, ["g", "block"], {"_x": "x", "_k": "k"}, "weights", N.BLOCK)._jdf.queryExecution().executedPlan().toString()
+    outer = [line for line in plan.splitlines() if "LeftOuter" in line]
+    assert len(outer) == 2 and all("SortMergeJoin" in line for line in outer)
