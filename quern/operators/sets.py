@@ -59,6 +59,20 @@ def pair_overlaps(incidence: DataFrame, groups: DataFrame, group: str, item: str
     return pairs.withColumn("partners", F.lit(1).cast("long")).union(rest)
 
 
+def listed_overlaps(incidence: DataFrame, groups: DataFrame, group: str, item: str) -> DataFrame:
+    """(a, b, na, nb, shared, union) of all pairs a < b of ``groups``, those that share nothing and those of empty sets included.
+
+    The result has a row a pair, so its size is the square of the groups'
+    number; what the pairs share is found by the items.
+    """
+    incidence = settle(incidence.select(group, item))
+    sizes = settle(set_sizes(incidence, groups, group))
+    na, nb = (sizes.select(F.col(group).alias(c), F.col("n").alias(f"n{c}")) for c in ("a", "b"))
+    pairs = na.join(nb, F.col("a") < F.col("b")).join(shared_counts(incidence, group, item), ["a", "b"], "left")
+    shared = F.coalesce("shared", F.lit(0).cast("long"))
+    return pairs.select("a", "b", "na", "nb", shared.alias("shared"), (F.col("na") + F.col("nb") - shared).alias("union"))
+
+
 def mean_overlaps(incidence: DataFrame, groups: DataFrame, group: str, item: str, label: str) -> DataFrame:
     """(same, defined, zero_filled, n): mean Jaccard of the pairs within a label and of those between labels, undefined pairs left out or as 0.
 

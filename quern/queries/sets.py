@@ -11,13 +11,10 @@ from quern.sources.tables import table
 PAIRS = f"""{DIST}, sizes AS (SELECT n_nationkey AS unit, count(resource) AS n FROM nation LEFT JOIN dist ON unit = n_nationkey GROUP BY 1),
 sh AS (SELECT x.unit AS a, y.unit AS b, count(*) AS shared FROM dist x JOIN dist y ON x.resource = y.resource AND x.unit < y.unit GROUP BY 1, 2),
 pairs AS (SELECT p.unit AS a, q.unit AS b, p.n AS na, q.n AS nb, coalesce(shared, 0) AS shared, p.n + q.n - coalesce(shared, 0) AS "union" FROM sizes p JOIN sizes q ON p.unit < q.unit LEFT JOIN sh ON a = p.unit AND b = q.unit)"""
-#: Sharing pairs as they are, the others counted at both ends by whether the partner is empty.
-LISTED = f"""{PAIRS}, ends AS (SELECT a, na, least(nb, 1) AS nb FROM pairs WHERE shared = 0 UNION ALL SELECT b, nb, least(na, 1) FROM pairs WHERE shared = 0),
-listed AS (SELECT *, 1::BIGINT AS partners FROM pairs WHERE shared > 0 UNION ALL SELECT a, NULL, na, nb, 0, na + nb, count(*)::BIGINT FROM ends GROUP BY 1, 3, 4)"""
 
 
 def _pairs(spark, d):
-    return S.pair_overlaps(incidence(spark, d), unit_groups(spark, d), "unit", "resource")
+    return S.listed_overlaps(incidence(spark, d), unit_groups(spark, d), "unit", "resource")
 
 
 @query("""WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT DISTINCT user_id AS k FROM events), f AS (SELECT a.k IS NOT NULL AS ina, b.k IS NOT NULL AS inb FROM a FULL JOIN b USING (k))
@@ -38,28 +35,27 @@ def g02_bag_union(spark, d):
     return part("supplier", "s", "supplier").select("id", "unit", "balance", "kind").unionByName(part("customer", "c", "customer"))
 
 
-@query(f"WITH {LISTED} SELECT a, b, round(shared / \"union\", 6) AS jaccard, partners FROM listed WHERE na > 0 AND nb > 0")
+@query(f"WITH {PAIRS} SELECT a, b, round(shared / \"union\", 6) AS jaccard FROM pairs WHERE \"union\" > 0")
 def g03_jaccard_strict(spark, d):
-    """Over the communities that have a resource; two empty ones would fail the query."""
-    kept = incidence(spark, d)
-    return S.pair_overlaps(kept, kept.select("unit").distinct(), "unit", "resource").select("a", "b", S.jaccard(strict=True).alias("jaccard"), "partners")
+    """Of all pairs but those of two empty communities, which would fail the query."""
+    return _pairs(spark, d).where("na > 0 or nb > 0").select("a", "b", S.jaccard(strict=True).alias("jaccard"))
 
 
-@query(f"WITH {LISTED} SELECT a, b, round(shared / nullif(\"union\", 0), 6) AS jaccard, partners FROM listed")
+@query(f"WITH {PAIRS} SELECT a, b, round(shared / nullif(\"union\", 0), 6) AS jaccard FROM pairs")
 def g04_jaccard_null_on_empty(spark, d):
-    return _pairs(spark, d).select("a", "b", S.jaccard().alias("jaccard"), "partners")
+    return _pairs(spark, d).select("a", "b", S.jaccard().alias("jaccard"))
 
 
-@query(f"WITH {LISTED} SELECT a, b, coalesce(round(shared / nullif(\"union\", 0), 6), 0) AS jaccard, \"union\" = 0 AS missing, partners, (SELECT count(*) FROM pairs WHERE \"union\" = 0)::BIGINT AS undefined FROM listed")
+@query(f"WITH {PAIRS} SELECT a, b, coalesce(round(shared / nullif(\"union\", 0), 6), 0) AS jaccard, \"union\" = 0 AS missing, count(*) FILTER (\"union\" = 0) OVER ()::BIGINT AS undefined FROM pairs")
 def g05_jaccard_zero_filled(spark, d):
-    p = _pairs(spark, d).select("a", "b", S.jaccard().alias("j"), "partners")
-    undefined = p.agg((F.coalesce(F.sum(F.when(F.col("j").isNull(), F.col("partners"))), F.lit(0)) / 2).cast("long").alias("undefined"))  # each counted at both ends
-    return p.crossJoin(F.broadcast(undefined)).select("a", "b", F.coalesce("j", F.lit(0.0)).alias("jaccard"), F.col("j").isNull().alias("missing"), "partners", "undefined")
+    p = _pairs(spark, d).select("a", "b", S.jaccard().alias("j"))
+    undefined = p.agg(F.count_if(F.col("j").isNull()).alias("undefined"))
+    return p.crossJoin(F.broadcast(undefined)).select("a", "b", F.coalesce("j", F.lit(0.0)).alias("jaccard"), F.col("j").isNull().alias("missing"), "undefined")
 
 
-@query(f"WITH {LISTED} SELECT a, b, round(2 * shared / nullif(na + nb, 0), 6) AS sorensen, round(shared / nullif(least(na, nb), 0), 6) AS simpson, partners FROM listed")
+@query(f"WITH {PAIRS} SELECT a, b, round(2 * shared / nullif(na + nb, 0), 6) AS sorensen, round(shared / nullif(least(na, nb), 0), 6) AS simpson FROM pairs")
 def g06_sorensen_simpson(spark, d):
-    return _pairs(spark, d).select("a", "b", r6(ratio(2 * F.col("shared"), F.col("na") + F.col("nb"))).alias("sorensen"), r6(ratio(F.col("shared"), F.least("na", "nb"))).alias("simpson"), "partners")
+    return _pairs(spark, d).select("a", "b", r6(ratio(2 * F.col("shared"), F.col("na") + F.col("nb"))).alias("sorensen"), r6(ratio(F.col("shared"), F.least("na", "nb"))).alias("simpson"))
 
 
 @query(f"WITH {DIST} SELECT x.unit AS a, y.unit AS b, count(*)::BIGINT AS cross_origin FROM dist x JOIN dist y USING (resource) WHERE x.native AND NOT y.native GROUP BY 1, 2")

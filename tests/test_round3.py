@@ -37,3 +37,17 @@ def test_rank_vectors_do_not_pass_the_driver(spark):
     plan = with_rank_vectors(rows, ["g", "block"], {"_x": "x", "_k": "k"}, "weights", N.BLOCK)._jdf.queryExecution().executedPlan().toString()
     outer = [line for line in plan.splitlines() if "LeftOuter" in line]
     assert len(outer) == 2 and all("SortMergeJoin" in line for line in outer)
+
+
+def test_every_pair_of_communities_is_a_row(spark):
+    """Ten suppliers leave most nations without a part: pairs that share nothing, and pairs of empty ones, are rows too."""
+    from quern import catalogue
+
+    run = lambda q: catalogue.queries()[q](spark, SF).collect()
+    pairs = {(a, b) for b in range(25) for a in range(b)}
+    null, filled, both = (run(q) for q in ("g04_jaccard_null_on_empty", "g05_jaccard_zero_filled", "g06_sorensen_simpson"))
+    for rows in (null, filled, both):
+        assert len(rows) == 300 and {(r.a, r.b) for r in rows} == pairs
+    undefined = {(r.a, r.b) for r in null if r.jaccard is None}
+    assert undefined == {(r.a, r.b) for r in filled if r.missing} and {r.undefined for r in filled} == {len(undefined)}
+    assert {(r.a, r.b) for r in run("g03_jaccard_strict")} == pairs - undefined
