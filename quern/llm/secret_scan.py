@@ -40,7 +40,7 @@ RESOLUTION = 20_000
 #: States of that tree at most: where more prefixes are left, those above the first frequency that fits. Levels that are counted at once.
 STATES, LEVELS = 30_000, 16
 TOKEN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
-#: Different credentials of a kind that the inference takes at most. Longer tokens than LONGEST are scored whole, but not learned from.
+#: Different credentials of a kind that the inference takes at most. Of tokens longer than LONGEST the trees hold the beginning, which ends nowhere; they are scored whole.
 PER_KIND, LONGEST = 500, 256
 #: Shapes whose score a worker remembers.
 REMEMBERED = 200_000
@@ -98,9 +98,10 @@ class Automaton:
     def __init__(self, words: Iterable[str], alpha: float = 0.05) -> None:
         counts: dict[str, list[int]] = {"": [0, 0]}
         for word in words:
-            for k in range(len(word) + 1):
+            for k in range(min(len(word), LONGEST + 1) + 1):
                 counts.setdefault(word[:k], [0, 0])[0] += 1
-            counts[word][1] += 1
+            if len(word) <= LONGEST:
+                counts[word][1] += 1
         self._fold(counts, 1, alpha)
 
     @classmethod
@@ -203,7 +204,7 @@ class Grammar:
         return found
 
 
-#: A word of the kind, or (-1) a shape of ordinary tokens, and how often a batch of texts has it.
+#: A word of the kind, or (-1) a shape of ordinary tokens, and how often a batch of texts has it; of longer ones LONGEST + 1 characters.
 FOUND = "kind int, word string, n long"
 
 
@@ -213,8 +214,8 @@ def _learner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batch.column(0):
             text = t.as_py() or ""
             own = base_spans(text)
-            found.update((k, c) for (_, k, _), c in zip(own, (credential(text, s) for s in own), strict=True) if len(c) <= LONGEST)
-            found.update((-1, text[a:b].translate(LETTERS)) for a, b, touched in candidates(text, own) if not touched and b - a <= LONGEST)
+            found.update((s[1], credential(text, s)[: LONGEST + 1]) for s in own)
+            found.update((-1, text[a : min(b, a + LONGEST + 1)].translate(LETTERS)) for a, b, touched in candidates(text, own) if not touched)
         kinds, words = zip(*found, strict=True) if found else ((), ())
         yield pa.record_batch([pa.array(kinds, pa.int32()), pa.array(words, pa.string()), pa.array(found.values(), pa.int64())], names=["kind", "word", "n"])
 
@@ -284,7 +285,7 @@ def prefix_counts(shapes: DataFrame, resolution: int = RESOLUTION, most: int = S
         below = shapes.sparkSession.createDataFrame([(p,) for p in last], "start string")
         alive = shapes.join(F.broadcast(below), F.expr(f"substring(word, 1, {at})") == F.col("start"), "left_semi")  # of STATES rows at most
         longer = alive.where(F.length("word") > at).select("word", "n", F.explode(F.expr(f"sequence({at + 1}, least(length(word), {at + levels}))")).alias("k"))
-        counted = longer.groupBy(F.expr("substring(word, 1, k)").alias("prefix")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("k") == F.length("word"), F.col("n")).otherwise(0)).alias("ended"))
+        counted = longer.groupBy(F.expr("substring(word, 1, k)").alias("prefix")).agg(F.sum("n").alias("n"), F.sum(F.when((F.col("k") == F.length("word")) & (F.col("k") <= LONGEST), F.col("n")).otherwise(0)).alias("ended"))
         counted = settle(counted)
         new, least = _few(counted, least, most)
         states |= dict(new)

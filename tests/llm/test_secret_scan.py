@@ -138,3 +138,15 @@ def test_counted_prefixes_are_those_of_brute_force(spark):
         counts, least = S.prefix_counts(spark.createDataFrame(words, "word string, n long"), resolution, levels=levels)
         assert least == sum(k for _, k in words) / resolution / 2
         assert counts == {p: [k // 2, ended[p] // 2] for p, k in n.items() if not p or n[p[:-1]] >= least * 2}
+
+
+def test_long_credentials_and_tokens_are_learned_from(spark):
+    """Of what is longer than LONGEST the beginning counts in the trees, and ends nowhere."""
+    from quern.llm.secret_scan import LONGEST, Automaton, learned, prefix_counts
+
+    docs = spark.createDataFrame([(1, "see " + "a1" * 200), (2, "Wq_" * 200)], "doc_id long, text string")
+    found = learned(docs)
+    assert {(r.kind, len(r.word), r.n) for r in found.collect()} == {(2, LONGEST + 1, 1), (-1, LONGEST + 1, 1)}
+    counts, _ = prefix_counts(found.where("kind = -1").select("word", "n"))
+    assert counts["Ul_"] == [1, 0] and max(map(len, counts)) == LONGEST + 1 and not any(ended for _, ended in counts.values())
+    assert sum(s.ended for s in Automaton(["d" * 1000]).states) == 0
