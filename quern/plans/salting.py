@@ -21,3 +21,17 @@ def per_salt(df: DataFrame, mask: str, salt: str = "salt") -> DataFrame:
     """One row for each salt that ``mask`` names, to be joined on (key, salt)."""
     bits = F.expr(f"filter(sequence(0, {SALTS - 1}), s -> (shiftright({mask}, s) & 1L) = 1L)")
     return df.withColumn(salt, F.explode(bits)).drop(mask)
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], left_key: str, right_key: str, blocks: int = 8) -> DataFrame:
+    """The inner join of all rows that agree in ``on``, where few keys hold nearly all of them.
+
+    Each side of a key is dealt into ``blocks`` blocks by a hash of its own
+    key, and each pair of blocks is a group of its own: a key's product is
+    made by blocks * blocks tasks, and a row is copied ``blocks`` times.
+    """
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias(c)
+    block = lambda k: F.pmod(F.xxhash64(k), F.lit(blocks)).cast("int")
+    l = left.withColumn("_l", block(left_key)).select("*", every("_r"))
+    r = right.withColumn("_r", block(right_key)).select("*", every("_l"))
+    return l.join(r.hint("shuffle_hash"), [*on, "_l", "_r"]).drop("_l", "_r")

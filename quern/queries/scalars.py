@@ -8,6 +8,7 @@ from quern.operators import space
 from quern.operators.aggregates import r6, ratio
 from quern.operators.ranks import whole_quantiles
 from quern.plans.registry import query
+from quern.plans.salting import spread_join
 from quern.sources.relations import DIST, OBS, POINTS, distribution, observations, points
 from quern.sources.tables import table
 
@@ -109,7 +110,7 @@ def b16_expectations(spark, d):
 def b17_pair_features(spark, d):
     s = table(spark, d, "supplier")
     side = lambda k: s.select("s_nationkey", F.col("s_suppkey").alias(k), F.col("s_acctbal").alias("x" + k))
-    p = side("a").join(side("b"), "s_nationkey").where("a < b")
+    p = spread_join(side("a"), side("b"), ["s_nationkey"], "a", "b").where("a < b")
     return p.select("a", "b", r6(F.log1p(F.abs(F.least("xa", "xb")))).alias("log_min"), r6(F.log1p(F.abs(F.greatest("xa", "xb")))).alias("log_max"), F.round(F.col("xa") + F.col("xb"), 2).alias("total"), F.round(F.abs(F.col("xa") - F.col("xb")), 2).alias("gap"))
 
 
