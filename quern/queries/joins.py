@@ -9,6 +9,7 @@ from quern.operators import joins as J
 from quern.operators import polygons as P
 from quern.operators import space as S
 from quern.plans.registry import query
+from quern.plans.salting import spread_join
 from quern.sources import files
 from quern.sources.relations import DIST, EDGES, GROUPS, OBS, POINTS, TAXA, distribution, edges, observations, points, taxa, unit_groups
 from quern.sources.tables import table
@@ -36,7 +37,7 @@ def c03_contracted_left_join(spark, d):
 def c04_many_to_many_join(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("k"))
     s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"))
-    return J.checked_join(c, s, ["k"], "inner", "m:n").drop("k")
+    return spread_join(c, s, ["k"], "c_custkey", "s_suppkey").drop("k")
 
 
 @query("SELECT p_partkey, p_brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.09)")
