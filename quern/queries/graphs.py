@@ -10,6 +10,7 @@ from quern.operators.aggregates import r6
 from quern.operators.ranks import whole_quantiles
 from quern.plans.components import components
 from quern.plans.registry import query
+from quern.plans.salting import spread_join
 from quern.plans.staging import settle
 from quern.sources.relations import DIST, POINTS, incidence, points
 from quern.sources.tables import table
@@ -141,8 +142,5 @@ def k01_leave_one_node_out(spark, d):
     s = table(spark, d, "supplier")
     side = lambda k: s.select("s_nationkey", F.col("s_suppkey").alias(k), F.col("s_acctbal").alias("x" + k))
     gap = F.abs(F.col("xa") - F.col("xb"))
-    p = side("a").join(side("b"), "s_nationkey").where("a < b").select("a", "b", (gap / 1000).alias("x"), ((F.col("a") * 7 + F.col("b") * 3) % 11 + gap / 2000).alias("y"))
-    touching = p.withColumn("node", F.explode(F.array("a", "b")))  # a fold's test pairs touch its node; its training sums are the total less theirs
-    scored = M.leave_node_out(touching, p, "node", ["x"], "y")
-    e = F.col("y") - F.col("prediction")
-    return scored.groupBy("node").agg(F.count("*").alias("pairs"), F.round(F.avg(e * e), 5).alias("mse"))
+    p = spread_join(side("a"), side("b"), ["s_nationkey"], "a", "b").where("a < b").select("a", "b", (gap / 1000).alias("x"), ((F.col("a") * 7 + F.col("b") * 3) % 11 + gap / 2000).alias("y"))
+    return M.leave_node_out_mse(p.select(F.explode(F.array("a", "b")).alias("node"), "x", "y"), p, "node", "x", "y").select("node", "pairs", F.round("mse", 5).alias("mse"))

@@ -51,3 +51,17 @@ def test_every_pair_of_communities_is_a_row(spark):
     undefined = {(r.a, r.b) for r in null if r.jaccard is None}
     assert undefined == {(r.a, r.b) for r in filled if r.missing} and {r.undefined for r in filled} == {len(undefined)}
     assert {(r.a, r.b) for r in run("g03_jaccard_strict")} == pairs - undefined
+
+
+def test_errors_without_a_node_follow_from_sums(spark):
+    import numpy as np
+
+    from quern.operators.models import leave_node_out_mse
+
+    pairs = [(i, j, float((i * 7 + j * 3) % 11), float((i * j) % 13)) for j in range(9) for i in range(j)]
+    p = spark.createDataFrame(pairs, "a long, b long, x double, y double")
+    for r in leave_node_out_mse(p.select(F.explode(F.array("a", "b")).alias("node"), "x", "y"), p, "node", "x", "y").collect():
+        rest = np.array([q[2:] for q in pairs if r.node not in q[:2]])
+        own = np.array([q[2:] for q in pairs if r.node in q[:2]])
+        slope, start = np.polyfit(rest[:, 0], rest[:, 1], 1)
+        assert r.pairs == 8 and abs(r.mse - np.mean((own[:, 1] - start - slope * own[:, 0]) ** 2)) < 1e-9
