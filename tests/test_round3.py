@@ -65,3 +65,9 @@ def test_errors_without_a_node_follow_from_sums(spark):
         own = np.array([q[2:] for q in pairs if r.node in q[:2]])
         slope, start = np.polyfit(rest[:, 0], rest[:, 1], 1)
         assert r.pairs == 8 and abs(r.mse - np.mean((own[:, 1] - start - slope * own[:, 0]) ** 2)) < 1e-9
+
+
+def test_hashes_of_a_small_file_are_dealt_to_all_tasks(spark):
+    from quern import catalogue
+
+    assert "REPARTITION_BY_NUM" in catalogue.queries()["j08_stratified_bootstrap"](spark, SF)._jdf.queryExecution().executedPlan().toString()
