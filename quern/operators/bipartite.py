@@ -7,9 +7,27 @@ from quern.operators.ranks import value_counts
 from quern.plans.staging import settle
 
 
+def _held(dist: DataFrame) -> DataFrame:
+    """(resource, held): a resource's units, as an array, so that a join copies none of its rows."""
+    return dist.groupBy("resource").agg(F.collect_list(F.struct("unit", "native")).alias("held"))
+
+
 def footprints(edges: DataFrame, dist: DataFrame) -> DataFrame:
     """(consumer, unit, native): the units of all of a consumer's resources; native if some resource is native there."""
-    return edges.join(dist, "resource").groupBy("consumer", "unit").agg(F.bool_or("native").alias("native"))
+    reach = edges.join(_held(dist), "resource").select("consumer", F.inline("held"))
+    return reach.groupBy("consumer", "unit").agg(F.bool_or("native").alias("native"))
+
+
+def union_footprints(edges: DataFrame, dist: DataFrame) -> DataFrame:
+    """(consumer, units, resources, mapped_resources): how many different ones each consumer has; mapped are those with a unit.
+
+    The edges are distinct, so an edge is counted at the first of its units
+    and no set of resources is needed.
+    """
+    reach = edges.join(_held(dist.where("unit is not null")), "resource", "left").select("consumer", "resource", F.posexplode_outer("held").alias("_at", "_unit"))
+    first = F.coalesce("_at", F.lit(0)) == 0
+    cells = reach.groupBy("consumer", F.col("_unit.unit").alias("unit")).agg(F.count_if(first & F.col("resource").isNotNull()).alias("resources"), F.count_if(first & F.col("_at").isNotNull()).alias("mapped"))
+    return cells.groupBy("consumer").agg(F.count("unit").alias("units"), F.sum("resources").alias("resources"), F.sum("mapped").alias("mapped_resources"))
 
 
 def footprint_counts(foot: DataFrame) -> DataFrame:

@@ -38,8 +38,7 @@ def c01_edge_distribution_join(spark, d):
 @query(f"""WITH {EDGES}, {DIST} SELECT consumer, count(DISTINCT unit) AS units, count(DISTINCT resource) AS resources, count(DISTINCT CASE WHEN unit IS NOT NULL THEN resource END) AS mapped_resources
 FROM edges LEFT JOIN dist USING (resource) GROUP BY 1""")
 def d01_union_footprint_counts(spark, d):
-    joined = edges(spark, d).join(distribution(spark, d), "resource", "left")
-    return joined.groupBy("consumer").agg(F.countDistinct("unit").alias("units"), F.countDistinct("resource").alias("resources"), F.countDistinct(F.when(F.col("unit").isNotNull(), F.col("resource"))).alias("mapped_resources"))
+    return B.union_footprints(edges(spark, d), distribution(spark, d))
 
 
 @query(f"{BASE} SELECT grp, count(*) FILTER (native)::BIGINT AS native_cells, count(*)::BIGINT AS cells, count(*) FILTER (NOT native)::BIGINT AS added_cells FROM foot JOIN (SELECT n_nationkey AS unit, n_regionkey AS grp FROM nation) USING (unit) GROUP BY 1")

@@ -53,6 +53,19 @@ def test_every_pair_of_communities_is_a_row(spark):
     assert {(r.a, r.b) for r in run("g03_jaccard_strict")} == pairs - undefined
 
 
+def test_products_of_hot_keys_are_dealt_over_tasks(spark):
+    from quern import catalogue
+    from quern.plans.salting import spread_join
+
+    a = spark.range(100).select(F.lit(1).alias("k"), F.col("id").alias("a"))
+    b = spark.range(30).select(F.lit(1).alias("k"), F.col("id").alias("b"))
+    got = spread_join(a, b, ["k"], "a", "b").select("a", "b").collect()
+    assert len(got) == 3000 and len(set(got)) == 3000
+    for q in ("b17_pair_features", "c04_many_to_many_join", "k01_leave_one_node_out"):
+        plan = catalogue.queries()[q](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "_l#" in plan and "_r#" in plan, q
+
+
 def test_errors_without_a_node_follow_from_sums(spark):
     import numpy as np
 
@@ -71,3 +84,20 @@ def test_hashes_of_a_small_file_are_dealt_to_all_tasks(spark):
     from quern import catalogue
 
     assert "REPARTITION_BY_NUM" in catalogue.queries()["j08_stratified_bootstrap"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_footprint_joins_a_row_for_each_edge(spark):
+    from quern import catalogue
+
+    plan = lambda q: catalogue.queries()[q](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan("d01_union_footprint_counts")
+    for q in ("footprint_expansion", "d02_native_contemporary_added", "d03_portfolio_metrics"):
+        assert "collect_list" in plan(q), q
+
+
+def test_union_footprints_with_nulls_and_unmapped_resources(spark):
+    from quern.operators.bipartite import union_footprints
+
+    edges = spark.createDataFrame([(1, 10), (1, 11), (1, None), (2, 12), (3, None), (None, 10)], "consumer int, resource int")
+    dist = spark.createDataFrame([(10, 5, True), (10, 6, False), (11, 5, True), (11, None, True), (13, 7, True)], "resource int, unit int, native boolean")
+    assert {tuple(r) for r in union_footprints(edges, dist).collect()} == {(1, 2, 2, 2), (2, 0, 1, 0), (3, 0, 0, 0), (None, 2, 1, 1)}
