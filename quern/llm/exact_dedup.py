@@ -1,7 +1,7 @@
 """Exact deduplication by skew-safe combining.
 
 Copies are combined three times, each time as a grouping on digest and full
-content: within the task that reads them (the map side of the first
+content, or by the filter on digest, length and a second hash: within the task that reads them (the map side of the first
 aggregate), within a salt of their digest, and over the salts. No task sees
 more of a digest's rows than a salt holds after map-side combining.
 """
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.texts import ascii_lower, whole
+from quern.plans.rows import ROW, chosen, numbered
 from quern.plans.salting import per_salt, salt_bits, salt_of
 from quern.plans.staging import settle
 
@@ -46,12 +47,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of equal texts, with all columns: of the rows with the largest id any one; null ids go last.
 
-    Rows are told apart by a key of their own on a settled copy, as ids may be null or repeat.
+    Rows are told apart by a key of their own on a settled copy, as ids may be
+    null or repeat. Equal texts are those that agree in SHA-256, in length and
+    in a second hash, so that what is combined does not carry the texts.
     """
-    rows = settle(docs.withColumn("__row", F.monotonically_increasing_id()))
+    rows = numbered(docs)
     content = ascii_lower(whole(text_col))
-    keyed = rows.select(F.col(id_col).alias("id"), content.alias("content"), F.col("__row").alias("row")).select("id", "row", "content", F.sha2("content", 256).alias("digest"), salt_of("row").alias("salt"))
-    salted = keyed.groupBy("digest", "salt", "content").agg(F.max("id").alias("largest"), F.max_by("row", "id").alias("named"), F.max("row").alias("last"))
-    merged = salted.groupBy("digest", "content").agg(F.max_by("named", "largest").alias("named"), F.max("last").alias("last"))
-    kept = settle(merged.select(F.coalesce("named", "last").alias("__row")))
-    return rows.join(kept, "__row", "left_semi").drop("__row")
+    told = [F.unhex(F.sha2("content", 256)).alias("digest"), F.octet_length("content").alias("length"), F.xxhash64("content").alias("second")]
+    keyed = rows.select(F.col(id_col).alias("id"), content.alias("content"), F.col(ROW).alias("row")).select("id", "row", *told, salt_of("row").alias("salt"))
+    text = ["digest", "length", "second"]
+    salted = keyed.groupBy(*text, "salt").agg(F.max("id").alias("largest"), F.max_by("row", "id").alias("named"), F.max("row").alias("last"))
+    merged = salted.groupBy(*text).agg(F.max_by("named", "largest").alias("named"), F.max("last").alias("last"))
+    return chosen(rows, merged.select(F.coalesce("named", "last").alias(ROW)))

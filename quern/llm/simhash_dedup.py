@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.plans.components import components
+from quern.plans.rows import ROW, chosen, numbered
 from quern.plans.salting import per_salt, salt_bits, salt_of
 from quern.plans.staging import settle
 
@@ -202,9 +203,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows are told apart by a key of their own on a settled copy, as ids may be null or repeat.
     """
-    rows = settle(docs.withColumn("__row", F.monotonically_increasing_id()))
-    prints = _prints(rows, F.col("__row"), text_col).join(rows.select(F.col("__row").alias("id"), F.col(id_col).cast("long").alias("own")), "id")
+    rows = numbered(docs)
+    prints = _prints(rows, F.col(ROW), text_col).join(rows.select(F.col(ROW).alias("id"), F.col(id_col).cast("long").alias("own")), "id")
     first = F.min(F.struct(F.col("own").isNull().alias("nameless"), "own", F.col("id").alias("row"))).alias("first")
     points = settle(prints.groupBy("fp", "salt").agg(first).groupBy("fp").agg(F.min("first").alias("first")))
-    kept = settle(_rooted(points).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row")))
-    return rows.join(kept, "__row", "left_semi").drop("__row")
+    return chosen(rows, _rooted(points).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(ROW)))

@@ -51,3 +51,21 @@ def test_filter_keeps_one_row_of_null_and_repeated_ids(spark):
     pairs = [(None, "a"), (None, "A"), (3, "b"), (None, "b"), (3, "B"), (3, "c"), (2, "c"), (4, None), (4, ""), (None, "d")]
     kept = exact_dedup(spark.createDataFrame([(i, t, None, None, None) for i, t in pairs], DOCS)).collect()
     assert sorted(((r.text or "").lower(), r.doc_id or 0) for r in kept) == [("", 4), ("a", 0), ("b", 3), ("c", 3), ("d", 0)]
+
+
+def test_filter_moves_neither_texts_nor_rows(spark):
+    """Neither the groups of copies nor the choice of rows carry texts through a shuffle, nor does a table's size change the plan."""
+    from quern.plans.rows import ROW, chosen, numbered
+
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 20).alias("text"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")  # 3000 numbers are more
+    try:
+        plan = exact_dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    rows = numbered(spark.range(0, 1000, 1, 7))
+    odd = rows.where("id % 3 = 1 or id > 900")
+    assert sorted(r.id for r in chosen(rows, odd.select(ROW)).collect()) == [i for i in range(1000) if i % 3 == 1 or i > 900]
+    assert chosen(rows, rows.select(ROW).limit(0)).count() == 0
