@@ -101,3 +101,24 @@ def test_union_footprints_with_nulls_and_unmapped_resources(spark):
     edges = spark.createDataFrame([(1, 10), (1, 11), (1, None), (2, 12), (3, None), (None, 10)], "consumer int, resource int")
     dist = spark.createDataFrame([(10, 5, True), (10, 6, False), (11, 5, True), (11, None, True), (13, 7, True)], "resource int, unit int, native boolean")
     assert {tuple(r) for r in union_footprints(edges, dist).collect()} == {(1, 2, 2, 2), (2, 0, 1, 0), (3, 0, 0, 0), (None, 2, 1, 1)}
+
+
+def test_hash_ordered_samples_with_and_without_doubt(spark):
+    """With no doubt at all nearly every cut is missed and found by the whole order; with the usual one few hashes are ordered."""
+    import hashlib
+
+    from quern.operators.nulls import hash_samples
+
+    rows = [(k, "ab"[k % 3 == 0], float(k % 17)) for k in range(900)]
+    wanted = [(u, f, w, sum(r[1] == f for r in rows)) for u, f, w in [(1, "a", 40), (1, "b", 300), (2, "a", 599), (2, "b", 1), (3, "b", 1000)]]
+    frame, asked = spark.createDataFrame(rows, "k int, f string, v double"), spark.createDataFrame(wanted, "u int, f string, want long, size long")
+    want = set()
+    for u, f, w, _ in wanted:
+        for draw in range(3):
+            picked = sorted((r for r in rows if r[1] == f), key=lambda r: hashlib.sha256(f"{u}|{draw}|{r[0]}".encode()).hexdigest())[:w]
+            want.add((u, f, draw, len(picked), sum(r[2] for r in picked)))
+    for doubt in (0.0, 1.0, 6.0):
+        got = hash_samples(frame, asked, ["f"], ["u", "f"], 3, F.concat_ws("|", "u", "draw", "k"), "v", doubt)
+        assert {tuple(r) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" not in plan  # what is ordered has been hashed and cut before
