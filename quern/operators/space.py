@@ -133,3 +133,43 @@ def nearest_k(pairs: DataFrame, k: int) -> DataFrame:
     """Of (a, b, km) the k nearest b of each a, the lowest b first among equals."""
     order = Window.partitionBy("a").orderBy("km", "b")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+#: Points that share a cube as wide as the first of growing radii, on average over all points.
+FEW = 16
+
+
+def radii(points: DataFrame, km: float, by: list[str] | None = None) -> list[float]:
+    """Radii that double up to ``km``, from one on within which points of a group have few others on average, crowds included."""
+    x, y, z = unit_vector(F.col("lat"), F.col("lon"))
+    placed = settle(points.select(*(by or []), x.alias("x"), y.alias("y"), z.alias("z")))
+    out = [km]
+    while out[0] > km / 2**20:
+        cubes = placed.groupBy(*(by or []), *[F.floor(F.col(c) / (out[0] / EARTH_KM)).alias(c) for c in "xyz"]).agg(F.count(F.lit(1)).cast("double").alias("n"))
+        met, n = cubes.agg(F.sum(F.col("n") * F.col("n")), F.sum("n")).first()
+        if (met or 0) <= FEW * (n or 0):
+            break
+        out.insert(0, out[0] / 2)
+    return out
+
+
+def nearest_k_within(points: DataFrame, k: int, km: float) -> DataFrame:
+    """(a, b, km, rank): the k nearest others of each point that are at most ``km`` away, the lowest b first among equals.
+
+    Radii double; a point that has k neighbours within one is done and does
+    not look further, so crowded places are never paired with all that is
+    within ``km``. Of points at one place only the k + 1 lowest can be
+    anyone's neighbours.
+    """
+    here = Window.partitionBy("lat", "lon").orderBy("id")
+    left = settle(points.where("lat is not null and lon is not null").select("id", "lat", "lon"))
+    right = settle(left.withColumn("_r", F.row_number().over(here)).where(F.col("_r") <= k + 1).drop("_r"))
+    out = None
+    for reach in radii(right, km):
+        near = settle(nearest_k(within_km(left, right, reach).where("a <> b"), k))
+        if reach < km:
+            done = near.where(F.col("rank") == k).select("a")
+            left = settle(left.join(done, left["id"] == done["a"], "left_anti"))
+            near = near.join(done, "a", "left_semi")
+        out = near if out is None else out.union(near)
+    return out

@@ -160,7 +160,7 @@ def c16_nearest_neighbour(spark, d):
 @query(f"WITH {POINTS}, p AS (SELECT a.id AS a, b.id AS b, {KM.format(a='a', b='b')} AS km FROM points a JOIN points b ON a.id <> b.id), k AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY km, b) AS r FROM p WHERE km <= 1500) WHERE r <= 8) SELECT a, b FROM k UNION SELECT b, a FROM k")
 def c17_symmetric_knn(spark, d):
     p = points(spark, d)
-    k = S.nearest_k(S.within_km(p, p, 1500.0).where("a <> b"), 8)
+    k = S.nearest_k_within(p, 8, 1500.0)
     return k.select("a", "b").union(k.select("b", "a")).distinct()
 
 
