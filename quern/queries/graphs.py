@@ -52,9 +52,7 @@ def l03_coarsened_contacts(spark, d):
 @query()
 def l04_minimum_spanning_tree(spark, d):
     """One tree per label over the points within 6000 km of one another."""
-    p = points(spark, d)
-    e = space.within_km(p, p, 6000.0, ["label"]).where("a < b")
-    return G.spanning_forest(e.select("label", "a", "b", F.round("km", 6).alias("w")), "label")
+    return G.spanning_forest_within(points(spark, d), 6000.0, "label")
 
 
 KM_OF = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians(q.lat) - radians(p.lat)) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin((radians(q.lon) - radians(p.lon)) / 2), 2))))"

@@ -48,3 +48,32 @@ def test_pairs_within_reach_agree_in_their_keys(spark):
     frame = spark.createDataFrame(spots, SPOTS)
     got = {(r.label, r.a, r.b) for r in space.within_km(frame, frame, 3000.0, ["label"]).collect()}
     assert got == {(p[3], p[0], q[0]) for p in spots for q in spots if p[3] == q[3] and km(p, q) <= 3000}
+
+
+def test_nearest_of_crowded_and_lonely_points(spark, monkeypatch):
+    """Crowds, copies and lonely points have the neighbours that all pairs give, and crowds are not paired with all that is near."""
+    rng = random.Random(4)
+    spots = [(i, 40 + rng.gauss(0, 0.5), 10 + rng.gauss(0, 0.5), 0) for i in range(300)] + [(300 + i, 5.0, 5.0, 0) for i in range(30)]
+    spots += [(400 + i, rng.uniform(-89, 89), rng.uniform(-180, 180), 0) for i in range(40)] + [(500, None, 1.0, 0)]
+    known = [s for s in spots if s[1] is not None]
+    met, within = [], space.within_km
+    monkeypatch.setattr(space, "within_km", lambda *args: met.append(within(*args)) or met[-1])
+    got = space.nearest_k_within(spark.createDataFrame(spots, SPOTS), 3, 2000.0).collect()
+    want = {(p[0], q) for p in known for _, q in sorted((round(km(p, q), 9), q[0]) for q in known if q[0] != p[0] and km(p, q) <= 2000)[:3]}
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+    assert len(met) > 1 and sum(m.count() for m in met) < 0.6 * sum(km(p, q) <= 2000 for p in known for q in known)
+
+
+def test_forest_by_growing_radii_is_that_of_all_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from quern.operators import graph
+
+    rng = random.Random(5)
+    spots = [(i, 40 + rng.gauss(0, 3), 10 + rng.gauss(0, 3), i % 2) for i in range(160)] + [(200 + i, 5.0, 5.0, i % 2) for i in range(12)]
+    spots += [(300 + i, rng.uniform(-89, 89), rng.uniform(-180, 180), i % 2) for i in range(30)] + [(400, None, 1.0, 0), (401, 0.0, 0.0, 7)]
+    frame = spark.createDataFrame(spots, SPOTS)
+    for reach in (900.0, 6000.0):
+        pairs = space.within_km(frame, frame, reach, ["label"]).where("a < b").select("label", "a", "b", F.round("km", 6).alias("w"))
+        want = sorted(map(tuple, graph.spanning_forest(pairs, "label").collect()))
+        assert sorted(map(tuple, graph.spanning_forest_within(frame, reach, "label").collect())) == want and want
