@@ -113,43 +113,56 @@ def closed(events: DataFrame, build: Callable[[DataFrame], DataFrame], reports:
 FOLLOW_UP = "event_id long, follows boolean"
 
 
+#: Users and types are dealt into so many states, as each call of a state costs more than a row in it.
+BUCKETS = 4096
+
+
 class FollowUp(StatefulProcessor):
-    """For each event whether the same user had one of the same type at most ``days`` days before; keyed by user and type.
+    """For each event whether one of its key came at most ``days`` days before; a state holds many keys.
 
     Events wait in the state until the watermark has passed them, as only then
-    no earlier one can come any more; a timer at the earliest wakes them.
+    no earlier one can come any more; a timer at the earliest wakes them. A
+    key's latest passed event stays, as ``done``, until nothing can follow it.
     """
 
+    FIELDS = ["event_id", "at", "key", "done"]
+
     def __init__(self, days: int) -> None:
         self.reach = days * 86_400_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "event_id long, at long")
-        self.latest = handle.getValueState("latest", "at long")
+        self.waiting = handle.getListState("waiting", "event_id long, at long, key string, done boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows))
-        self.waiting.appendList(list(zip(batch.event_id.tolist(), batch["at"].tolist(), strict=True)))
+        batch = pd.concat(list(rows)).assign(done=False)
+        self.waiting.appendList(self._tuples(batch))
         self._wake(batch["at"])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        every = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=["event_id", "at"]).astype("int64")
-        past = every["at"] <= timerValues.getCurrentWatermarkInMs() * 1000
-        final, rest = every[past].sort_values(["at", "event_id"]), every[~past]
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        every = pd.DataFrame(held, columns=self.FIELDS).astype({"event_id": "int64", "at": "int64", "done": "bool"})
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        past = every["at"] <= now
+        final = every[past].sort_values(["key", "done", "at", "event_id"], ascending=[True, False, True, True])
         if final.empty:
             return iter(())
-        before = final["at"].shift(1)
-        if self.latest.exists():
-            before.iloc[0] = self.latest.get()[0]
-        self.latest.update((int(final["at"].iloc[-1]),))
-        if rest.empty:
+        follows = final["at"] - final.groupby("key")["at"].shift(1) <= self.reach
+        carried = final.groupby("key").tail(1)
+        carried = carried[carried["at"] + self.reach >= now].assign(done=True)
+        rest = every[~past]
+        kept = pd.concat([rest, carried])
+        if kept.empty:
             self.waiting.clear()
         else:
-            self.waiting.put(list(zip(rest.event_id.tolist(), rest["at"].tolist(), strict=True)))
-            self._wake(rest["at"])
-        return iter([pd.DataFrame({"event_id": final.event_id, "follows": (final["at"] - before <= self.reach).fillna(False)})])
+            self.waiting.put(self._tuples(kept))
+            self._wake(pd.concat([rest["at"], carried["at"] + self.reach + 1]))
+        new = ~final["done"]
+        return iter([pd.DataFrame({"event_id": final.event_id[new], "follows": follows[new]})] if new.any() else ())
+
+    def _tuples(self, rows: pd.DataFrame) -> list[tuple]:
+        return list(zip(*(rows[c].tolist() for c in self.FIELDS), strict=True))
 
     def _wake(self, at: pd.Series) -> None:
         self.handle.registerTimer(-(-int(at.min()) // 1000))
@@ -164,4 +177,5 @@ def follow_ups(events: DataFrame, days: int, delay: str = "1 day") -> DataFrame:
         before = F.lag("ts").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
         return events.select("event_id", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(before.cast("timestamp")) <= days * 86_400_000_000, F.lit(False)).alias("follows"))
     timed = events.withWatermark("ts", delay).where(NOT_CLOSING).withColumn("at", F.unix_micros("ts"))
-    return timed.groupBy("user_id", "event_type").transformWithStateInPandas(FollowUp(days), FOLLOW_UP, "Append", "EventTime")
+    dealt = timed.select("ts", "event_id", "at", F.to_json(F.struct("user_id", "event_type")).alias("key"), F.pmod(F.xxhash64("user_id", "event_type"), F.lit(BUCKETS)).alias("bucket"))
+    return dealt.groupBy("bucket").transformWithStateInPandas(FollowUp(days), FOLLOW_UP, "Append", "EventTime")

@@ -74,3 +74,11 @@ def test_user_days_of_late_events_equal_the_batch_form(spark, tmp_path):
     got = sorted(map(tuple, E.closed(arriving(spark, tmp_path, shuffled(every, 4, 20, 6)), lambda e: E.provider_days(e, "3 days")).collect()))
     assert got == sorted(map(tuple, E.provider_days(spark.createDataFrame(every, E.EVENTS), "3 days").collect()))
     assert sum(r[3] for r in got) == len(every)
+
+
+def test_many_keys_share_few_states(spark, tmp_path, rocksdb, monkeypatch):
+    monkeypatch.setattr(E, "BUCKETS", 2)
+    every = [(i, t, None if u == 0 else 1000 * u + i % 40, k, v, p) for i, t, u, k, v, p in rows(7, 300)]
+    got = [tuple(r) for r in E.closed(arriving(spark, tmp_path, shuffled(every, 3, 20, 8)), lambda e: E.follow_ups(e, 2)).collect()]
+    want = {tuple(r) for r in E.follow_ups(spark.createDataFrame(every, E.EVENTS), 2).collect()}
+    assert set(got) == want and len(got) == 300 and {f for _, f in got} == {True, False}
