@@ -1,9 +1,10 @@
 """Exact deduplication by skew-safe combining.
 
 Copies are combined three times, each time as a grouping on digest and full
-content, or by the filter on digest, length and a second hash: within the task that reads them (the map side of the first
+content: within the task that reads them (the map side of the first
 aggregate), within a salt of their digest, and over the salts. No task sees
-more of a digest's rows than a salt holds after map-side combining.
+more of a digest's rows than a salt holds after map-side combining. The filter
+combines so only rows whose digest another row has too.
 """
 
 from collections.abc import Callable
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.texts import ascii_lower, whole
-from quern.plans.rows import ROW, chosen, numbered
+from quern.plans.rows import ROW, chosen, numbered, others
 from quern.plans.salting import per_salt, salt_bits, salt_of
 from quern.plans.staging import settle
 
@@ -48,14 +49,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row of each group of equal texts, with all columns: of the rows with the largest id any one; null ids go last.
 
     Rows are told apart by a key of their own on a settled copy, as ids may be
-    null or repeat. Equal texts are those that agree in SHA-256, in length and
-    in a second hash, so that what is combined does not carry the texts.
+    null or repeat. A text whose digest no other row has is equal to none and
+    stays; all others are compared by their full content, so that a digest
+    decides nothing alone and only the texts of rows that share one move.
+    Salts are those of the tasks that wrote the copy: a task's copies of a
+    text leave it as one.
     """
     rows = numbered(docs)
-    content = ascii_lower(whole(text_col))
-    told = [F.unhex(F.sha2("content", 256)).alias("digest"), F.octet_length("content").alias("length"), F.xxhash64("content").alias("second")]
-    keyed = rows.select(F.col(id_col).alias("id"), content.alias("content"), F.col(ROW).alias("row")).select("id", "row", *told, salt_of("row").alias("salt"))
-    text = ["digest", "length", "second"]
-    salted = keyed.groupBy(*text, "salt").agg(F.max("id").alias("largest"), F.max_by("row", "id").alias("named"), F.max("row").alias("last"))
-    merged = salted.groupBy(*text).agg(F.max_by("named", "largest").alias("named"), F.max("last").alias("last"))
-    return chosen(rows, merged.select(F.coalesce("named", "last").alias(ROW)))
+    digest = F.sha2("content", 256).alias("digest")
+    digests = rows.select(F.col(ROW), ascii_lower(whole(text_col)).alias("content")).select(ROW, digest)
+    alone = settle(digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(ROW).alias(ROW)).where("n = 1").select(ROW))
+    shared = others(rows, alone).select(F.col(id_col).alias("id"), F.col(ROW).alias("row"), ascii_lower(whole(text_col)).alias("content"))
+    keyed = shared.select("id", "row", "content", digest, salt_of(F.shiftright("row", 33)).alias("salt"))
+    salted = keyed.groupBy("digest", "salt", "content").agg(F.max("id").alias("largest"), F.max_by("row", "id").alias("named"), F.max("row").alias("last"))
+    merged = salted.groupBy("digest", "content").agg(F.max_by("named", "largest").alias("named"), F.max("last").alias("last"))
+    return chosen(rows, alone.union(merged.select(F.coalesce("named", "last").alias(ROW))))

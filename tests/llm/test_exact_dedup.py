@@ -69,3 +69,24 @@ def test_filter_moves_neither_texts_nor_rows(spark):
     odd = rows.where("id % 3 = 1 or id > 900")
     assert sorted(r.id for r in chosen(rows, odd.select(ROW)).collect()) == [i for i in range(1000) if i % 3 == 1 or i > 900]
     assert chosen(rows, rows.select(ROW).limit(0)).count() == 0
+
+
+def test_filter_compares_contents_where_all_hashes_agree(spark, monkeypatch):
+    """Hashes only say what need not be compared: where they agree for all texts the same documents stay."""
+    texts = [*awkward_texts(), "ab", "ba", "BA", "Ab", "c" * 64, "d" * 64]
+    docs = with_clashes(documents(spark, texts))
+    monkeypatch.setattr(F, "sha2", lambda text, bits: F.lit("00"))
+    monkeypatch.setattr(F, "xxhash64", lambda *cols: F.lit(0).cast("long"))
+    kept = exact_dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r["doc_id"] for r in expected(list(enumerate(texts))) if r["kept"])
+
+
+def test_others_are_the_rows_that_are_not_chosen(spark):
+    from quern.plans.rows import ROW, numbered, others
+
+    rows = numbered(spark.range(0, 1000, 1, 7))
+    odd = rows.where("id % 3 = 1 or id > 900").select(ROW)
+    left = others(rows, odd)
+    assert left.columns == ["id", ROW] and sorted(r.id for r in left.collect()) == [i for i in range(901) if i % 3 != 1]
+    assert others(rows, odd.limit(0)).count() == 1000 and others(rows, rows.select(ROW)).count() == 0
